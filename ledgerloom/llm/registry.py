@@ -1,9 +1,11 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import simhash_dedup
+from . import simhash_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {}
