@@ -24,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -233,6 +232,22 @@ def word_hash(entry: np.ndarray) -> np.ndarray:
     return h
 
 
+def decided_by(entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How far matches reach before and after the trigger if it is the first smallest gram of the match.
+
+    Every match has one such trigger, given by its own bytes, so each is decided in one entry only.
+    """
+    grams = ENTRY - GRAM + 1
+    flat = np.concatenate([entry.ravel(), np.zeros(GRAM, np.uint8)])
+    h = gram_hashes(flat)[: entry.size].reshape(entry.shape)[:, :grams]
+    own = h[:, LEFT : LEFT + 1]
+    smaller = h[:, LEFT - 1 :: -1] <= own if LEFT else np.zeros((len(h), 0), bool)
+    before = np.where(smaller.any(axis=1), smaller.argmax(axis=1), LEFT)
+    smaller = h[:, LEFT + 1 :] < own
+    after = np.where(smaller.any(axis=1), smaller.argmax(axis=1) + GRAM, MATCH)
+    return before, after
+
+
 def entry_copies(entry: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(kept, copy): rows to go on with, and rows whose bytes a smaller document has in full."""
     h = word_hash(entry)
@@ -277,15 +292,17 @@ def ask_entries(width: int):
         for k in range(0, len(row), 1 << 18):
             r, p = row[k : k + (1 << 18)], pos[k : k + (1 << 18)]
             left, right = np.minimum(p, LEFT), np.minimum(size[r] - p, MATCH)
-            use = left + right >= MATCH
-            r, p, left, right = r[use], p[use], left[use], right[use]
-            if not len(r):
-                continue
-            entry = np.zeros((len(r), ENTRY + 4), np.uint8)  # the last bytes: how far the document reaches
+            entry = np.zeros((len(r), ENTRY + 4), np.uint8)  # the last bytes: how far the entry reaches
             column = np.arange(ENTRY) - LEFT
             entry[:, :ENTRY] = data[(begin[r] + p)[:, None] + column]
+            before, after = decided_by(entry)
+            left, right = np.minimum(left, before), np.minimum(right, after)
             entry[:, :ENTRY] *= (column >= -left[:, None]) & (column < right[:, None])
             entry[:, ENTRY], entry[:, ENTRY + 1] = left, right
+            use = left + right >= MATCH
+            entry, r, p, left, right = entry[use], r[use], p[use], left[use], right[use]
+            if not len(r):
+                continue
             kept, copy = entry_copies(entry, doc[r])
             out = []
             if copy.any():
@@ -349,19 +366,26 @@ def suffix_runs(entry: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return which[new], place[new], place[last]
 
 
-SPAN_ROWS = "doc_id long, th long, start long, end long"
+def answer_entries(width: int):
+    """Entries of a share of the grams to the spans that smaller documents hold; spans already known pass."""
 
+    def run(batches):
+        found = list(spans_of(batches))
+        doc, th, start, end = joined(found, "<i8", "<i8", "<i8", "<i8")
+        if len(doc):
+            yield rows([(b, SPANS, pack(doc[i], th[i], start[i], end[i])) for b, i in by_bucket(spread(doc, width), width)])
+
+    return run
 
-def answer_entries(batches):
-    """Entries of a share of the grams to the spans that smaller documents hold; spans already known pass."""
 
-    def out(doc, th, start, end):
-        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (doc, th, start, end)], ["doc_id", "th", "start", "end"])
+def spans_of(batches) -> Iterator[list[np.ndarray]]:
+    def out(*arrays):
+        return [x.astype(np.int64) for x in arrays]
 
     parts = []
     for kind, blob in received(batches):
         if kind == SPANS:
-            yield out(*unpack(blob, "<i8", "<i8", "<i8", "<i8"))
+            yield unpack(blob, "<i8", "<i8", "<i8", "<i8")
         else:
             e, d, t, p = unpack(blob, "u1", "<i8", "<i8", "<i4")
             parts.append([e.reshape(-1, ENTRY + 4), d, t, p])
@@ -386,54 +410,79 @@ def answer_entries(batches):
         at = to
 
 
+def cut(once: bool):
+    """Texts and spans of the same documents to what stays of each row.
+
+    ``once``: one row for rows that are the same, and without the bytes of characters that a cut splits.
+    """
+    import xxhash
+
+    def run(batches):
+        texts, parts = [], []
+        for kind, blob in received(batches):
+            if kind == SPANS:
+                parts.append(unpack(blob, "<i8", "<i8", "<i8", "<i8"))
+            else:
+                texts.append(blob)
+        doc, th, start, end = joined(parts, "<i8", "<i8", "<i8", "<i8")
+        order = np.lexsort((th, doc))
+        doc, th, start, end = doc[order], th[order], start[order], end[order]
+        new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (th[1:] != th[:-1])]) if len(doc) else np.empty(0, bool)
+        edges = np.append(np.flatnonzero(new), len(doc)).tolist()
+        place = {(int(doc[a]), int(th[a])): (a, b) for a, b in zip(edges, edges[1:])}
+        seen = set()
+        for blob in texts:
+            ids, size, data = unpack(blob, "<i8", "<i8", "u1")
+            data, at, out = data.tobytes(), 0, []
+            for i, n in zip(ids.tolist(), size.tolist()):
+                text, at = data[at : at + n], at + n
+                key = (i, xxhash.xxh64_intdigest(text, 42))
+                key = (i, key[1] - (1 << 64) if key[1] >> 63 else key[1])
+                if once and (key in seen or seen.add(key)):
+                    continue
+                runs, kept = [], text
+                if key in place:
+                    a, b = place[key]
+                    _, first, last = merged(np.zeros(b - a, np.int64), start[a:b], end[a:b])
+                    stay = zip([0, *last.tolist()], [*first.tolist(), n])
+                    kept = b"".join([text[x:y] for x, y in stay])
+                    kept = kept.decode(errors="ignore").encode() if once else kept
+                    runs = [{"start": x, "end": y} for x, y in zip(first.tolist(), last.tolist())]
+                out.append((i, key[1], n, kept, runs))
+            columns = list(zip(*out)) if out else [[]] * 5
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "th", "n_bytes", "kept", "runs"])
+
+    return run
+
+
 # --- the operator ------------------------------------------------------------------------------
-def repeated_spans(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, th (xxhash64 of the text) and the raw spans found in it, one row per document text that loses bytes."""
+def dedup(spark: SparkSession, docs: DataFrame, once: bool = False) -> DataFrame:
+    """What stays of each row with a doc_id: doc_id, th (xxhash64 of the text), n_bytes, kept binary, runs array<struct<start, end>>."""
     width = shuffle_width(spark)
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    source = source.where(F.octet_length("text") >= MATCH)
-    flags = source.mapInArrow(ask_triggers(width), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(answer_triggers(width), PACKED)
+    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     texts = source.mapInArrow(send_texts(width), PACKED)
+    flags = source.where(F.octet_length("text") >= MATCH).mapInArrow(ask_triggers(width), PACKED)
+    flags = flags.repartitionById(width, F.col("bucket")).mapInArrow(answer_triggers(width), PACKED)
     entries = texts.unionByName(flags).repartitionById(width, F.col("bucket")).mapInArrow(ask_entries(width), PACKED)
-    spans = entries.repartitionById(width, F.col("bucket")).mapInArrow(answer_entries, SPAN_ROWS)
-    return spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-
-
-def cut(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
-    """Remaining bytes, and the maximal removed runs, of each text."""
-    kept, runs = [], []
-    for text, found in zip(texts, spans):
-        data = (text or "").encode()
-        if found is None or not len(found):
-            kept.append(data)
-            runs.append([])
-            continue
-        start, end = (np.array([s[k] for s in found], np.int64) for k in ("start", "end"))
-        _, start, end = merged(np.zeros(len(start), np.int64), start, end)
-        stay = zip([0, *end.tolist()], [*start.tolist(), len(data)])
-        kept.append(b"".join([data[a:b] for a, b in stay]))
-        runs.append([{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist())])
-    return pd.DataFrame({"kept": kept, "runs": runs})
-
-
-def dedup(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """``docs`` with a column ``repeats`` struct<kept binary, runs array<struct<start, end>>>."""
-    left = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.col("text").cast("string")))
-    spans = repeated_spans(spark, docs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("spans").alias("_spans"))
-    out = left.join(spans, ["_id", "_th"], "left")
-    udf = F.pandas_udf(cut, "kept binary, runs array<struct<start: long, end: long>>")
-    return out.withColumn("repeats", udf(F.col("text").cast("string"), "_spans")).drop("_id", "_th", "_spans")
+    spans = entries.repartitionById(width, F.col("bucket")).mapInArrow(answer_entries(width), PACKED)
+    both = texts.unionByName(spans).repartitionById(width, F.col("bucket"))
+    return both.mapInArrow(cut(once), "doc_id long, th long, n_bytes long, kept binary, runs array<struct<start: long, end: long>>")
 
 
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that earlier ones hold; characters that a cut splits go, and so do emptied documents."""
-    out = dedup(spark, docs)
-    lost = F.size("repeats.runs") > 0
-    text = F.when(lost, F.decode(F.col("repeats.kept"), F.lit("UTF-8"))).otherwise(F.col("text"))
-    return out.withColumn("_kept", text).where(~lost | (F.col("_kept") != "")).withColumn("text", F.col("_kept")).select(docs.columns)
+    lost = dedup(spark, docs, once=True).where(F.size("runs") > 0)
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.decode("kept", F.lit("UTF-8")).alias("_kept"))
+    left = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    out = left.join(lost, ["_id", "_th"], "left").where("_kept is null or _kept <> ''")
+    return out.withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
-    gone = F.aggregate("repeats.runs", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
-    return out.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), gone.alias("n_removed"), F.size("repeats.runs").cast("long").alias("n_spans"), F.sha2("repeats.kept", 256).alias("kept_sha256"))
+    docs = read(spark, sf_dir, "documents")
+    gone = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r["end"] - r["start"])
+    out = dedup(spark, docs).select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("runs").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    whole = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    nameless = docs.where("doc_id is null").select(F.col("doc_id").cast("long"), F.octet_length(whole).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(whole.cast("binary"), 256).alias("kept_sha256"))
+    return out.unionByName(nameless)
