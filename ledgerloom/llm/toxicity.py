@@ -27,7 +27,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import is_held_out, read
+from .common import Scratch, is_held_out, read
 
 SAMPLE = {1: 1500, 0: 2500}  # labelled rows of each class in the index, at most
 BLOCK = 64  # examples in a posting block
@@ -51,10 +51,10 @@ def terms_of(text: str | None) -> list[bytes]:
 class BlockMaxIndex:
     """Examples by term, in blocks; ``nearest`` is exact."""
 
-    def __init__(self, counts: list[dict[int, int]], idf: np.ndarray):
+    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
         self.idf, self.n = idf, len(counts)
         # examples with the same frequent terms go to the same blocks, which keeps the maxima apart
-        order = sorted(range(self.n), key=lambda i: sorted(counts[i], key=lambda t: (idf[t], t))[:6])
+        order = sorted(range(self.n), key=lambda i: counts[i][0][np.lexsort((counts[i][0], idf[counts[i][0]]))[:6]].tolist())
         self.example = np.array(order, np.int64)
         term, doc, weight = [], [], []
         for at, i in enumerate(order):
@@ -72,13 +72,13 @@ class BlockMaxIndex:
         np.maximum.at(self.most, cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
         self.most = self.most.reshape(len(idf), self.blocks)
 
-    def vector(self, counts: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.fromiter(counts.keys(), np.int64, len(counts))
-        w = (1 + np.log(np.fromiter(counts.values(), np.float64, len(counts)))) * self.idf[t]
+    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        t = counts[0]
+        w = (1 + np.log(counts[1])) * self.idf[t]
         norm = math.sqrt(float(w @ w))
         return (t, w / norm) if norm else (t[:0], w[:0])
 
-    def nearest(self, counts: dict[int, int], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, counts: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest that share a term, nearest first, ties to the smaller example."""
         t, w = self.vector(counts)
         if not len(t):
@@ -108,11 +108,10 @@ class BlockMaxIndex:
 class Model:
     """The index, the labels of its examples and the calibration."""
 
-    def __init__(self, ids: list[int], labels: list[int], counts: list[dict[bytes, int]], vocabulary: list[bytes], idf: np.ndarray, share: float):
+    def __init__(self, ids: list[int], labels: list[int], known: list[tuple[np.ndarray, np.ndarray]], vocabulary: list[bytes], idf: np.ndarray, share: float):
         self.ids, self.labels, self.share = np.array(ids, np.int64), np.array(labels, np.int64), share
         self.term = {t: i for i, t in enumerate(vocabulary)}
         self.k = max(1, math.ceil(NEIGHBOURS * math.sqrt(len(ids))))
-        known = [self.known(c) for c in counts]
         self.index = BlockMaxIndex(known, idf)
         self.curve = None
         if len(set(labels)) == 2:
@@ -121,9 +120,11 @@ class Model:
             if len(set(self.labels[use])) == 2:
                 self.curve = self.fit(np.array([v for v in votes if v is not None]), self.labels[use])
 
-    def known(self, counts: dict[bytes, int]) -> dict[int, int]:
-        term = self.term
-        return {term[t]: n for t, n in counts.items() if t in term}
+    def known(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(terms, times) of a text's indexed terms."""
+        place = self.term.get
+        found = [i for i in map(place, terms_of(text)) if i is not None]
+        return np.unique(np.array(found, np.int64), return_counts=True)
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float | None:
         if not len(near):
@@ -152,7 +153,7 @@ class Model:
         return float(at[0]), float(at[1])
 
     def score(self, text: str | None) -> tuple[float, list[dict]]:
-        near, cosine = self.index.nearest(self.known(Counter(terms_of(text))), self.k)
+        near, cosine = self.index.nearest(self.known(text), self.k)
         vote = self.vote(near, cosine)
         if vote is None or self.curve is None:
             return self.share, []
@@ -177,17 +178,28 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
             times = pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, times], ["example", "label", "terms", "times"])
 
+    scratch = Scratch(docs.sparkSession, "toxicity")
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("example")).groupBy("example", "label").agg(F.min("text").alias("text"))
-    rows = rows.mapInArrow(count, "example long, label int, terms array<binary>, times array<int>").collect()
-    rows.sort(key=lambda r: r["example"])
-    if not rows:
+    rows = scratch.write(rows.mapInArrow(count, "example long, label int, terms array<binary>, times array<int>"))
+    n = rows.count()
+    if not n:
         return None
-    counts = [dict(zip(map(bytes, r["terms"]), r["times"])) for r in rows]
-    held = Counter(t for c in counts for t in c)
-    vocabulary = sorted(t for t, n in held.items() if n >= max(2, math.ceil(TERM_SHARE * len(rows))))
-    n, df = frequencies(docs, vocabulary)
-    idf = np.log1p(n / (1 + df))
-    return Model([r["example"] for r in rows], [r["label"] for r in rows], counts, vocabulary, idf, shares.get(1, 0) / sum(shares.values()))
+    held = rows.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= max(2, math.ceil(TERM_SHARE * n)))
+    vocabulary = sorted(bytes(r["term"]) for r in held.select("term").toLocalIterator())  # at most 1 / TERM_SHARE terms for each term of a mean example
+    place = {t: i for i, t in enumerate(vocabulary)}
+
+    def number(batches):
+        for batch in batches:
+            known = [[(place[t], k) for t, k in zip(ts, ks) if t in place] for ts, ks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            packed = [pa.array([np.array([x[j] for x in row], np.int32).tobytes() for row in known], pa.binary()) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["example", "label", "terms", "times"])
+
+    found = rows.mapInArrow(number, "example long, label int, terms binary, times binary").toPandas().sort_values("example")
+    scratch.drop(rows)
+    total, df = frequencies(docs, vocabulary)
+    idf = np.log1p(total / (1 + df))
+    known = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(k, np.int32)) for t, k in zip(found["terms"], found["times"])]
+    return Model(found["example"].tolist(), found["label"].tolist(), known, vocabulary, idf, shares.get(1, 0) / sum(shares.values()))
 
 
 def frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[int, np.ndarray]:
