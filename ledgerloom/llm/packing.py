@@ -51,14 +51,58 @@ def price(lengths: np.ndarray, dual: np.ndarray, length: int) -> tuple[np.ndarra
     return value, item
 
 
-def solve(lengths: np.ndarray, demand: np.ndarray, length: int = LENGTH, gap: float = 1e-4, rounds: int = 20000) -> list[tuple[np.ndarray, float]]:
-    """Patterns (count of each length) with their fractional use; within ``gap`` of the least padded total."""
+def filled(have: np.ndarray, length: int) -> list[int]:
+    """Lengths for one sequence from those that ``have`` marks: the longest first, then exact fills by one or two, else the longest."""
+    take, room = [], length
+    while room and have[: room + 1].any():
+        pick = [int(np.flatnonzero(have[: room + 1])[-1])]
+        if take:
+            if have[room]:
+                pick = [room]
+            else:
+                a = np.flatnonzero(have[: room // 2 + 1])
+                a = a[(a > 0) & (have[room - a] > (a * 2 == room))]
+                if len(a):
+                    pick = [int(room - a[-1]), int(a[-1])]
+        for size in pick:
+            have[size] -= 1
+            take.append(size)
+            room -= size
+    return take
+
+
+def first_basis(lengths: np.ndarray, demand: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A feasible basis: each pattern is used until it exhausts a length that no later pattern holds."""
+    m = len(lengths)
+    place = np.zeros(length + 1, np.int64)
+    place[lengths] = np.arange(m)
+    left = demand.astype(float)
+    basis, use = np.zeros((m, m)), np.zeros(m)
+    open_ = np.ones(m, bool)
+    for _ in range(m):
+        have = np.zeros(length + 1, np.int64)
+        have[lengths[open_]] = length
+        pattern = np.bincount(place[filled(have, length)], minlength=m)
+        held = np.flatnonzero(pattern)
+        i = held[np.argmin(left[held] / pattern[held])]
+        use[i] = max(left[i] / pattern[i], 0.0)
+        left = left - use[i] * pattern
+        basis[:, i], open_[i] = pattern, False
+    return basis, use
+
+
+def solve(lengths: np.ndarray, demand: np.ndarray, length: int = LENGTH, gap: float = 1e-4, rounds: int = 1000) -> list[tuple[np.ndarray, float]]:
+    """Patterns (count of each length) with their fractional use.
+
+    Ends within ``gap`` of the fewest positions possible, at the optimum, or after ``rounds`` pivots;
+    the patterns cover the demand whenever it ends.
+    """
     m = len(lengths)
-    copies = length // lengths
-    basis = np.diag(copies.astype(float))
-    cost = padded(copies * lengths, length).astype(float)
-    inverse = np.diag(1 / copies)
-    use = demand / copies
+    # demands a little apart, so that no pivot is empty
+    demand = demand * (1 + 1e-7 * np.random.default_rng(0).random(m))
+    basis, use = first_basis(lengths, demand, length)
+    cost = padded((lengths @ basis).astype(np.int64), length).astype(float)
+    inverse = np.linalg.inv(basis)
     floor = float(lengths @ demand)  # no sequence takes fewer positions than its ids
     pool, pool_cost = np.empty((m, 0)), np.empty(0)
     sums = np.arange(length + 1)
@@ -107,22 +151,7 @@ def leftovers(lengths: np.ndarray, left: np.ndarray, length: int) -> list[list[i
     have[lengths] = left
     out = []
     while have.any():
-        take, room = [], length
-        while room and have[: room + 1].any():
-            pick = [int(np.flatnonzero(have[: room + 1])[-1])]
-            if take:
-                if have[room]:
-                    pick = [room]
-                else:
-                    a = np.flatnonzero(have[: room // 2 + 1])
-                    a = a[(a > 0) & (have[room - a] > (a * 2 == room))]
-                    if len(a):
-                        pick = [int(room - a[-1]), int(a[-1])]
-            for size in pick:
-                have[size] -= 1
-                take.append(size)
-                room -= size
-        out.append(take)
+        out.append(filled(have, length))
     return out
 
 
@@ -134,8 +163,10 @@ def plan(histogram: dict[int, int], length: int = LENGTH) -> tuple[dict[int, lis
         return slots, 0
     demand = np.array([histogram[int(x)] for x in lengths], np.int64)
     rank, sequence = np.zeros(len(lengths), np.int64), 0
-    for pattern, use in solve(lengths, demand.astype(float), length):
-        times = int(use + 1e-7)
+    solved = solve(lengths, demand.astype(float), length)
+    whole = [(p, int(use + 1e-5)) for p, use in solved]
+    again = [(p, 1) for p, _ in sorted(solved, key=lambda s: int(s[1] + 1e-5) - s[1])]  # the largest fractions are rounded up while they fit
+    for pattern, times in whole + again:
         held = pattern > 0
         times = min(times, int(((demand - rank)[held] // pattern[held]).min()))
         if times <= 0:
