@@ -1,11 +1,15 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import simhash_dedup, suffix_dedup, toxicity
+from . import bpe_transducer, line_dedup, packing, simhash_dedup, suffix_dedup, token_counts, toxicity
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op3_packing": packing.op3_packing,
+    "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
+    "op6_bpe_transducer": bpe_transducer.op6_bpe_transducer,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 
 ORACLE_SQL: dict[str, str] = {}
