@@ -1,15 +1,18 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe_transducer, line_dedup, packing, simhash_dedup, suffix_dedup, token_counts, toxicity
+from . import bpe_transducer, line_dedup, metric_join, packing, rule_ensemble, simhash_dedup, suffix_dedup, token_counts, toxicity, vp_search
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
+    "op2_vp_search": vp_search.op2_vp_search,
     "op3_packing": packing.op3_packing,
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_simhash_dedup": simhash_dedup.op5_simhash_dedup,
     "op6_bpe_transducer": bpe_transducer.op6_bpe_transducer,
+    "op7_metric_join": metric_join.op7_metric_join,
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
+    "op10_rule_ensemble": rule_ensemble.op10_rule_ensemble,
 }
 
 ORACLE_SQL: dict[str, str] = {}
