@@ -473,7 +473,7 @@ def dedup(spark: SparkSession, docs: DataFrame, once: bool = False) -> DataFrame
 def suffix_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that earlier ones hold; characters that a cut splits go, and so do emptied documents."""
     lost = dedup(spark, docs, once=True).where(F.size("runs") > 0)
-    lost = lost.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.decode("kept", F.lit("UTF-8")).alias("_kept"))
+    lost = lost.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.decode("kept", "UTF-8").alias("_kept"))
     left = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
     out = left.join(lost, ["_id", "_th"], "left").where("_kept is null or _kept <> ''")
     return out.withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)

@@ -29,8 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, is_held_out, read
 
-SAMPLE = {1: 1500, 0: 2500}  # labelled rows of each class in the index, at most
+SAMPLE = {1: 1200, 0: 1800}  # labelled rows of each class in the index, at most
 BLOCK = 64  # examples in a posting block
+FREQUENT = 0.05  # terms that this share of the examples holds are full columns
+FIRST = 8  # blocks scored before the k-th best is known
+BATCH = 64  # texts multiplied at once
 TERM_SHARE = 0.005  # a term is indexed if this share of the examples holds it, and two at least
 SOFTEN = 1.05  # a vote weighs 1 / (SOFTEN - cosine)
 THRESHOLD = 0.3
@@ -39,38 +42,46 @@ EVIDENCE = 5
 LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 
 
-STEMS = (4, 5)  # leading bytes of longer words that are terms of their own, so forms of a word meet
+STEMS = (4, 5)  # longer words count by these leading bytes, so that forms of a word meet
 
 
 def terms_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters, and stems of the longer ones; every character beyond ASCII counts as a letter."""
+    """Lower-cased runs of letters if short, else their stems; every character beyond ASCII counts as a letter."""
     words = (text or "").lower().encode().translate(LETTERS).split()
-    return words + [b"*" + w[:n] for n in STEMS for w in words if len(w) > n]
+    return [w for w in words if len(w) <= STEMS[-1]] + [b"*" + w[:n] for n in STEMS for w in words if len(w) > n]
 
 
 class BlockMaxIndex:
-    """Examples by term, in blocks; ``nearest`` is exact."""
+    """Examples by term, in blocks; ``nearest`` is exact.
+
+    Terms that many examples hold are full columns, multiplied for many texts at once; the others are
+    posting lists with the largest weight of each block.
+    """
 
     def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
         self.idf, self.n = idf, len(counts)
         # examples with the same frequent terms go to the same blocks, which keeps the maxima apart
         order = sorted(range(self.n), key=lambda i: counts[i][0][np.lexsort((counts[i][0], idf[counts[i][0]]))[:6]].tolist())
         self.example = np.array(order, np.int64)
-        term, doc, weight = [], [], []
-        for at, i in enumerate(order):
-            t, w = self.vector(counts[i])
-            term.append(t)
-            doc.append(np.full(len(t), at, np.int64))
-            weight.append(w)
-        term, doc, weight = (np.concatenate(x) if x else np.empty(0) for x in (term, doc, weight))
+        vectors = [self.vector(counts[i]) for i in order]
+        term, weight = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+        doc = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        self.blocks = -(-self.n // BLOCK)
+        held = np.bincount(term, minlength=len(idf))
+        self.column, self.row = np.full(len(idf), -1), np.full(len(idf), -1)
+        frequent, rare = held >= FREQUENT * self.n, (held > 0) & (held < FREQUENT * self.n)
+        self.column[frequent], self.row[rare] = np.arange(frequent.sum()), np.arange(rare.sum())
+        use = frequent[term]
+        self.columns = np.zeros((int(frequent.sum()), self.blocks * BLOCK), np.float32)
+        self.columns[self.column[term[use]], doc[use]] = weight[use]
+        term, doc, weight = self.row[term[~use]], doc[~use], weight[~use]
         by = np.lexsort((doc, term))
         self.doc, self.weight = doc[by].astype(np.int32), weight[by]
-        self.blocks = max(1, -(-self.n // BLOCK))
-        cell = term[by].astype(np.int64) * self.blocks + self.doc // BLOCK
-        self.start = np.searchsorted(cell, np.arange(len(idf) * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros(len(idf) * self.blocks, np.float32)
+        cell = term[by] * self.blocks + self.doc // BLOCK
+        self.start = np.searchsorted(cell, np.arange(int(rare.sum()) * self.blocks + 1)).astype(np.int32)
+        self.most = np.zeros(int(rare.sum()) * self.blocks, np.float32)
         np.maximum.at(self.most, cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        self.most = self.most.reshape(len(idf), self.blocks)
+        self.most = self.most.reshape(-1, self.blocks)
 
     def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         t = counts[0]
@@ -78,26 +89,39 @@ class BlockMaxIndex:
         norm = math.sqrt(float(w @ w))
         return (t, w / norm) if norm else (t[:0], w[:0])
 
-    def nearest(self, counts: tuple[np.ndarray, np.ndarray], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest that share a term, nearest first, ties to the smaller example."""
-        t, w = self.vector(counts)
-        if not len(t):
-            return np.empty(0, np.int64), np.empty(0)
-        bound = w.astype(np.float32) @ self.most[t] * np.float32(1 + 1e-5)
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each text (examples, cosines) of the k nearest that share a term, nearest first, ties to the smaller example."""
+        vectors = [self.vector(c) for c in texts]
+        asked = np.zeros((len(texts), len(self.columns)), np.float32)
+        for i, (t, w) in enumerate(vectors):
+            column = self.column[t]
+            asked[i, column[column >= 0]] = w[column >= 0]
+        base = asked @ self.columns
+        for i, (t, w) in enumerate(vectors):
+            row = self.row[t]
+            yield self.ranked(base[i], row[row >= 0], w[row >= 0], k, skip[i] if skip else -1)
+
+    def ranked(self, base: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        bound = base.reshape(self.blocks, BLOCK).max(axis=1) + w.astype(np.float32) @ self.most[t] + np.float32(1e-5)
         order = np.argsort(-bound, kind="stable")
-        score, least, at, step = np.zeros(self.n), 0.0, 0, 2 * -(-k // BLOCK)
-        while at < len(order) and bound[order[at]] > 0 and bound[order[at]] >= least:
+        score, least, at, step = np.zeros(self.blocks * BLOCK), 0.0, 0, FIRST
+        while at < len(order) and bound[order[at]] >= least:
             wave = order[at : at + step]
-            wave = wave[(bound[wave] >= least) & (bound[wave] > 0)]
+            wave = wave[bound[wave] >= least]
+            docs = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             cells = (t[:, None] * self.blocks + wave).ravel()
-            lo, size = self.start[cells], self.start[cells + 1] - self.start[cells]
+            lo = self.start[cells]
+            size = self.start[cells + 1] - lo
             ends = np.cumsum(size)
-            take = np.repeat(lo - (ends - size), size) + np.arange(ends[-1])
-            score += np.bincount(self.doc[take], self.weight[take] * np.repeat(np.repeat(w, len(wave)), size), self.n)
-            at, step = at + step, 2 * step
-            if np.count_nonzero(score) > k:
-                least = np.partition(score, self.n - k - 1)[self.n - k - 1]  # one spare, as an example may skip itself
-        found = np.flatnonzero(score)
+            total = int(ends[-1]) if len(ends) else 0
+            score[docs] = base[docs]
+            if total:
+                take = np.repeat(lo - (ends - size), size) + np.arange(total)
+                score += np.bincount(self.doc[take], self.weight[take] * np.repeat(np.repeat(w, len(wave)), size), len(score))
+            at, step = at + step, len(order)
+            if len(score) > k + 1:
+                least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]  # one spare, as an example may skip itself
+        found = np.flatnonzero(score[: self.n] > 1e-9)
         found = found[self.example[found] != skip]
         if len(found) > k:
             found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
@@ -115,7 +139,10 @@ class Model:
         self.index = BlockMaxIndex(known, idf)
         self.curve = None
         if len(set(labels)) == 2:
-            votes = [self.vote(*self.index.nearest(c, self.k, skip=i)) for i, c in enumerate(known)]
+            votes = []
+            for at in range(0, len(known), BATCH):
+                near = self.index.nearest(known[at : at + BATCH], self.k, list(range(at, at + BATCH)))
+                votes += [self.vote(*x) for x in near]
             use = np.array([v is not None for v in votes])
             if len(set(self.labels[use])) == 2:
                 self.curve = self.fit(np.array([v for v in votes if v is not None]), self.labels[use])
@@ -152,13 +179,17 @@ class Model:
                 break
         return float(at[0]), float(at[1])
 
-    def score(self, text: str | None) -> tuple[float, list[dict]]:
-        near, cosine = self.index.nearest(self.known(text), self.k)
-        vote = self.vote(near, cosine)
-        if vote is None or self.curve is None:
-            return self.share, []
-        p = 1 / (1 + math.exp(-(self.curve[0] * float(self.logit(vote)) + self.curve[1])))
-        return p, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.labels[i])} for i, c in zip(near[:EVIDENCE], cosine)]
+    def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
+        """(probability, evidence) of each text."""
+        out = []
+        for near, cosine in self.index.nearest([self.known(t) for t in texts], self.k):
+            vote = self.vote(near, cosine)
+            if vote is None or self.curve is None:
+                out.append((self.share, []))
+                continue
+            p = 1 / (1 + math.exp(-(self.curve[0] * float(self.logit(vote)) + self.curve[1])))
+            out.append((p, [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.labels[i])} for i, c in zip(near[:EVIDENCE], cosine)]))
+        return out
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -226,7 +257,12 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = cloudpickle.loads(held.value)
         for texts in parts:
-            found = [model.score(t) if model else (0.0, []) for t in texts]
+            once = list(dict.fromkeys(texts))
+            known = {}
+            for at in range(0, len(once), BATCH):
+                part = once[at : at + BATCH]
+                known |= zip(part, model.score(part) if model else [(0.0, [])] * len(part))
+            found = [known[t] for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
     kind = "score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>"
