@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import Scratch, read
 from .tokens import RANKS, encoder, token_ids
 
 BAND = 4096  # lengths summed in one group before the groups are summed
@@ -81,4 +81,5 @@ def quantile(sums: DataFrame, share: float) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_sums(histogram(read(spark, sf_dir, "documents")))
+    counted = Scratch(spark, "lengths").write(histogram(read(spark, sf_dir, "documents")))  # read twice, encoded once
+    return suffix_sums(counted)
