@@ -3,6 +3,9 @@
 Lines are lower-cased with white space collapsed; those under MIN_WORDS words are left alone. Equal
 lines become one class first. Classes whose 64-bit SimHashes of distinct words are at most DISTANCE bits apart
 agree on two of four 16-bit blocks, so the join runs on the six pairs of blocks, packed by bucket.
+So near are few of the lines that are alike, so WIDE candidates are added: lines that share one of
+WORD_BANDS min-hash bands of their words with SimHashes at most FAR bits apart, and lines under
+FEW_WORDS words that share one of CHAR_BANDS bands of their letter triples.
 A first round over hashes alone finds the lines that have any partner; only their texts are then
 fetched and verified: two lines are linked if their edit similarity is at least SIMILARITY. A task
 verifies a pair only while its lines are not yet connected, and returns a forest instead of pairs.
@@ -33,6 +36,14 @@ DISTANCE = 2
 SIMILARITY = 0.8
 BLOCKS = [0, 16, 32, 48]  # first bits of the blocks; any two of them are equal within DISTANCE
 PAIRS = list(combinations(BLOCKS, 2))
+WORD_BANDS, CHAR_BANDS = 8, 16
+BAND_ROWS = 4  # least hashes that make a band
+FEW_WORDS = 12  # lines under so many words are compared by letters too
+FAR = 20
+KINDS = len(PAIRS) + WORD_BANDS + CHAR_BANDS
+REACH = [DISTANCE] * len(PAIRS) + [FAR] * WORD_BANDS + [64] * CHAR_BANDS  # SimHash bits between candidates, by kind
+MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, BAND_ROWS * CHAR_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+BAG = 256
 
 
 def normal(line: str) -> str:
@@ -68,29 +79,66 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     return np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, h1, h2, sim) of every line that takes part."""
+def band_keys(lines: list[list[str]], bands: int) -> np.ndarray:
+    """Min-hash bands of each line's features, a row of 32-bit keys each."""
+    import xxhash
+
+    place: dict[str, int] = {}
+    at = [place.setdefault(w, len(place)) for features in lines for w in features]
+    hashes = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w.encode()) for w in place]), "<u8")
+    lanes = ((hashes[:, None] * MIXERS[0, : bands * BAND_ROWS] + MIXERS[1, : bands * BAND_ROWS]) >> np.uint64(32)).astype(np.uint32)
+    sizes = np.array([len(f) for f in lines])
+    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).reshape(len(lines), bands, BAND_ROWS)
+    key = np.zeros((len(lines), bands), np.uint64)
+    for k in range(BAND_ROWS):
+        key = (key ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
+def triples(line: str) -> list[str]:
+    line = f" {line} "
+    return list(dict.fromkeys(line[i : i + 3] for i in range(len(line) - 2)))
+
+
+def bands_of(lines: list[str], words: list[list[str]]) -> list[bytes]:
+    """Keys of the word bands of each line, then those of the letter bands if it has few words."""
+    out = [k.tobytes() for k in band_keys(words, WORD_BANDS)]
+    few = [i for i, line in enumerate(lines) if line.count(" ") + 1 < FEW_WORDS]
+    if few:
+        for i, k in zip(few, band_keys([triples(lines[i]) for i in few], CHAR_BANDS)):
+            out[i] += k.tobytes()
+    return out
+
+
+def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
+    """(doc_id, line, h1, h2, sim, bands) of every line that takes part."""
 
     def run(batches):
         for batch in batches:
             for from_row in range(0, len(batch), 500):
                 part = batch.slice(from_row, 500)
-                doc, number, words, keys = [], [], [], []
+                doc, number, which = [], [], []
+                known: dict[str, int] = {}
+                words = []
                 for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for n, line in enumerate((text or "").split("\n")):
                         found = line.lower().split()
                         if len(found) >= MIN_WORDS:
                             doc.append(d)
                             number.append(n)
-                            words.append(list(dict.fromkeys(found)))  # once each, or a separator would outweigh the rest
-                            keys.append(line_key(" ".join(found)).to_bytes(16, "little"))
+                            which.append(at := known.setdefault(" ".join(found), len(words)))
+                            if at == len(words):
+                                words.append(list(dict.fromkeys(found)))  # once each, or a separator would outweigh the rest
                 if doc:
-                    key = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-                    arrays = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhashes(words).view(np.int64))]
-                    yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "line", "h1", "h2", "sim"])
+                    lines, at = list(known), np.array(which)
+                    key = np.frombuffer(b"".join([line_key(x).to_bytes(16, "little") for x in lines]), "<i8").reshape(-1, 2)[at]
+                    bands = bands_of(lines, words) if wide else [b""] * len(lines)
+                    arrays = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhashes(words).view(np.int64)[at])]
+                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([bands[i] for i in which], pa.binary())], ["doc_id", "line", "h1", "h2", "sim", "bands"])
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, sim long")
+    return source.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, sim long, bands binary")
 
 
 def block_key(sim: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
@@ -98,31 +146,48 @@ def block_key(sim: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
     return ((sim >> np.uint64(pair[0])) & low) << np.uint64(16) | ((sim >> np.uint64(pair[1])) & low)
 
 
+def keys_of(sim: np.ndarray, bands: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(kind, positions, keys): the lines that are candidates by each kind of key."""
+    everyone = np.arange(len(sim))
+    for kind, pair in enumerate(PAIRS):
+        yield kind, everyone, block_key(sim, pair).astype(np.uint32)
+    size, first = np.array([len(b) for b in bands], np.int64), len(PAIRS)
+    for low, high in ((0, WORD_BANDS), (WORD_BANDS, WORD_BANDS + CHAR_BANDS)):
+        at = np.flatnonzero(size >= 4 * high)
+        if len(at):
+            keys = np.frombuffer(b"".join([bands[i][4 * low : 4 * high] for i in at.tolist()]), "<u4").reshape(len(at), -1)
+            for k in range(high - low):
+                yield first + low + k, at, keys[:, k]
+
+
 def to_blocks(width: int, with_text: bool):
-    """Rows (line_id, sim[, text]) to packed rows by bucket of each pair of blocks."""
+    """Rows (line_id, sim, bands[, kinds, text]) to packed rows by bucket of each key; ``kinds`` are the bits of those wanted."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sim = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            texts = [t.encode() for t in batch.column(2).to_pylist()] if with_text else []
+            kinds = batch.column(3).to_numpy(zero_copy_only=False) if with_text else None
+            texts = [t.encode() for t in batch.column(4).to_pylist()] if with_text else []
             out = []
-            for k, pair in enumerate(PAIRS):
-                mixed = (block_key(sim, pair) + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+            for kind, at, key in keys_of(sim, batch.column(2).to_pylist()):
+                if with_text:
+                    use = (kinds[at] >> kind) & 1 == 1
+                    at, key = at[use], key[use]
+                mixed = (key + np.uint64(kind << 32)) * np.uint64(0x9E3779B97F4A7C15)
                 for b, i in by_bucket(((mixed >> np.uint64(33)) % np.uint64(width)).astype(np.int64), width):
                     more = []
                     if with_text:
-                        mine = [texts[j] for j in i.tolist()]
+                        mine = [texts[j] for j in at[i].tolist()]
                         more = [np.array([len(t) for t in mine], np.int64), np.frombuffer(b"".join(mine), np.uint8)]
-                    out.append((b, k, pack(ids[i], sim[i], *more)))
+                    out.append((b, kind, pack(ids[at[i]], sim[at[i]], key[i], *more)))
             yield rows(out)
 
     return run
 
 
-def close_pairs(sim: np.ndarray, pair: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) with equal blocks and at most DISTANCE differing bits, a slice at a time."""
-    key = block_key(sim, pair)
+def close_pairs(key: np.ndarray, sim: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) with equal keys and at most ``most`` differing bits, a slice at a time."""
     order = np.argsort(key, kind="stable")
     key, sim = key[order], sim[order]
     left = np.arange(len(key))
@@ -131,22 +196,22 @@ def close_pairs(sim: np.ndarray, pair: tuple[int, int]) -> Iterator[tuple[np.nda
         left = left[key[left] == key[left + step]]
         if not len(left):
             return
-        near = left[np.bitwise_count(sim[left] ^ sim[left + step]) <= DISTANCE]
+        near = left[np.bitwise_count(sim[left] ^ sim[left + step]) <= most]
         if len(near):
             yield order[near], order[near + step]
 
 
 def partners(batches):
-    """Ids of the lines that have a partner in this share of the blocks."""
+    """(line_id, kinds): the lines that have a partner in this share of the keys, by which kind."""
     parts: dict[int, list] = {}
     for kind, blob in received(batches):
-        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8"))
+        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4"))
     for kind, found in parts.items():
-        ids, sim = joined(found, "<i8", "<u8")
+        ids, sim, key = joined(found, "<i8", "<u8", "<u4")
         hit = np.zeros(len(ids), bool)
-        for a, b in close_pairs(sim, PAIRS[kind]):
+        for a, b in close_pairs(key, sim, REACH[kind]):
             hit[a] = hit[b] = True
-        yield pa.RecordBatch.from_arrays([pa.array(ids[hit])], ["line_id"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(np.full(int(hit.sum()), 1 << kind, np.int64))], ["line_id", "kinds"])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -176,11 +241,31 @@ def alike(a: str, b: str) -> bool:
     return longest - min(len(a), len(b)) <= room and edit_distance(a, b) <= room
 
 
+def bags_of(texts: list[str]) -> np.ndarray:
+    """How often each text has each letter pair, pairs hashed to BAG numbers."""
+    out = np.zeros((len(texts), BAG), np.int32)
+    for i, text in enumerate(texts):
+        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+        out[i] = np.bincount((c[:-1] * np.uint32(37) + c[1:]) & np.uint32(BAG - 1), minlength=BAG)
+    return out
+
+
+def may_be_alike(sizes: np.ndarray, bags: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """False only where the lengths or the letter pairs rule the similarity out: an edit changes two pairs at most."""
+    room = np.maximum(sizes[i], sizes[j]) * (1 - SIMILARITY) + 1e-9
+    may = np.abs(sizes[i] - sizes[j]) <= room
+    at = np.flatnonzero(may)
+    for some in np.array_split(at, -(-len(at) // 2048)) if len(at) else []:
+        apart = bags[i[some]] - bags[j[some]]
+        may[some] = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= 2 * room[some]
+    return may
+
+
 def verified(batches):
-    """A forest (src, dst) of the linked lines in this share of the blocks."""
+    """A forest (src, dst) of the linked lines in this share of the keys."""
     parts: dict[int, list] = {}
     for kind, blob in received(batches):
-        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<i8", "u1"))
+        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4", "<i8", "u1"))
     if not parts:
         return
     names = np.unique(np.concatenate([p[0] for found in parts.values() for p in found]))
@@ -194,13 +279,17 @@ def verified(batches):
         return x
 
     for kind, found in parts.items():
-        at, sim = np.searchsorted(names, np.concatenate([p[0] for p in found])), np.concatenate([p[1] for p in found])
+        ids, sim, key = joined(found, "<i8", "<u8", "<u4")
+        at = np.searchsorted(names, ids)
         texts: list[str] = []
-        for _, _, size, data in found:
+        for _, _, _, size, data in found:
             data, ends = data.tobytes(), np.cumsum(size).tolist()
             texts += [data[a:b].decode() for a, b in zip([0, *ends], ends)]
-        for left, right in close_pairs(sim, PAIRS[kind]):
+        sizes, bags = np.array([len(t) for t in texts]), bags_of(texts)
+        for left, right in close_pairs(key, sim, REACH[kind]):
             apart = label[at[left]] != label[at[right]]
+            left, right = left[apart], right[apart]
+            apart = may_be_alike(sizes, bags, left, right)
             moved = False
             for i, j in zip(left[apart].tolist(), right[apart].tolist()):
                 a, b = find(int(at[i])), find(int(at[j]))
@@ -216,7 +305,7 @@ def verified(batches):
 
 
 def fetch(batches):
-    """Documents with their wanted lines to (line_id, sim, text)."""
+    """Documents with their wanted lines to (line_id, sim, bands, kinds, text)."""
     for batch in batches:
         out = []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -225,30 +314,30 @@ def fetch(batches):
                 if w["line"] < len(lines):
                     line = normal(lines[w["line"]])
                     if line_key(line).to_bytes(16, "little")[:8] == w["h1"].to_bytes(8, "little", signed=True):
-                        out.append((w["line_id"], w["sim"], line))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["line_id", "sim", "text"])
+                        out.append((w["line_id"], w["sim"], w["bands"], w["kinds"], line))
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["line_id", "sim", "bands", "kinds", "text"])
 
 
-def doomed_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, lines array<struct<line, h1>>): the occurrences that go."""
     scratch, width = Scratch(spark, "lines"), shuffle_width(spark)
-    seen = scratch.write(occurrences(docs))
-    classes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.min("sim").alias("sim"))
+    seen = scratch.write(occurrences(docs, wide))
+    classes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.min("sim").alias("sim"), F.min("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("line_id", F.monotonically_increasing_id()))
 
-    hashes = classes.select("line_id", "sim").mapInArrow(to_blocks(width, False), PACKED).repartitionById(width, F.col("bucket"))
-    wanted = hashes.mapInArrow(partners, "line_id long").distinct()
-    wanted = classes.join(wanted, "line_id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id"))
-    wanted = wanted.agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_id", "sim", "h1")).alias("wanted"))
+    hashes = classes.select("line_id", "sim", "bands").mapInArrow(to_blocks(width, False), PACKED).repartitionById(width, F.col("bucket"))
+    wanted = hashes.mapInArrow(partners, "line_id long, kinds long").groupBy("line_id").agg(F.bit_or("kinds").alias("kinds"))
+    wanted = classes.join(wanted, "line_id").groupBy(F.col("first.doc_id").alias("doc_id"))
+    wanted = wanted.agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_id", "sim", "bands", "kinds", "h1")).alias("wanted"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("text", "wanted")
-    texts = texts.mapInArrow(fetch, "line_id long, sim long, text string")
+    texts = texts.mapInArrow(fetch, "line_id long, sim long, bands binary, kinds long, text string")
     edges = texts.mapInArrow(to_blocks(width, True), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(verified, "src long, dst long")
     groups = components(scratch, edges)
 
     named = classes.join(groups, F.col("line_id") == F.col("id"), "left").select("h1", "h2", "first", "copies", "component")
     keepers = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
     decided = named.join(keepers, "component", "left").where("copies > 1 or component is not null").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
-    gone = seen.join(decided, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keeper"))
+    gone = seen.drop("sim", "bands").join(decided, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keeper"))
     return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1")).alias("gone"))
 
 
@@ -270,9 +359,9 @@ def without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"text": kept, "n_lines": total, "n_removed": lost})
 
 
-def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def dedup_lines(spark: SparkSession, docs: DataFrame, wide: bool = False) -> DataFrame:
     """``docs`` with a column ``lines`` struct<text, n_lines, n_removed>: what stays of each text."""
-    gone = doomed_lines(spark, docs).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
+    gone = doomed_lines(spark, docs, wide).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
     out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
     udf = F.pandas_udf(without, "text string, n_lines long, n_removed long")
     return out.withColumn("lines", udf(F.col("text").cast("string"), "_gone")).drop("_id", "_gone")
@@ -280,12 +369,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame) -> DataFrame:
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that stay; a document that loses all its lines goes."""
-    out = dedup_lines(spark, docs)
+    out = dedup_lines(spark, docs, wide=True)
     lost = F.col("lines.n_removed") > 0
     text = F.when(lost, F.col("lines.text")).otherwise(F.col("text"))
     return out.withColumn("_kept", text).where(~lost | (F.trim("_kept") != "")).withColumn("text", F.col("_kept")).select(docs.columns)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = dedup_lines(spark, read(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = dedup_lines(spark, read(spark, sf_dir, "documents").select("doc_id", "text"), wide=True)
     return out.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.col("lines.text").cast("binary"), 256).alias("kept_sha256"))

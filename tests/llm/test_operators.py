@@ -172,6 +172,30 @@ def test_lines(spark, corpus):
     assert line_dedup.line_dedup_stage(spark, empty(spark), "").count() == 0
 
 
+def planted_lines(n, seed, cut=0.8):
+    """Pairs of lines with edit similarity of at least ``cut``, in two documents."""
+    rng, found = random.Random(seed), []
+    while len(found) < n:
+        line = words(rng, rng.choice([5, 8, 15, 27, 60, 100]), 10**5).split()
+        other = list(line)
+        for at in rng.sample(range(len(line)), rng.randint(1, max(1, len(line) // 8))):
+            other[at] = other[at][:-1] + "x"
+        if line_dedup.alike(" ".join(line), " ".join(other)) and line != other:
+            found.append((" ".join(line), " ".join(other)))
+    return found
+
+
+def test_lines_recall(spark, corpus):
+    pairs = planted_lines(120, 11)
+    texts = ["\n".join(a for a, _ in pairs), "\n".join(b for _, b in pairs), "one line that is like no other one here"]
+    got = {r.doc_id: r.lines for r in line_dedup.dedup_lines(spark, documents(spark, texts), wide=True).collect()}
+    assert got[0].n_removed == 0 and got[2].n_removed == 0
+    assert got[1].n_removed >= 0.9 * len(pairs)
+    narrow = {r.doc_id: r.lines.n_removed for r in line_dedup.dedup_lines(spark, documents(spark, corpus)).collect()}
+    for r in line_dedup.dedup_lines(spark, documents(spark, corpus), wide=True).collect():
+        assert r.lines.n_removed >= narrow[r.doc_id]
+
+
 def test_edit_distance():
     rng = random.Random(3)
 
