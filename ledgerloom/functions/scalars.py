@@ -154,7 +154,7 @@ def looks_like_summary(c: Column) -> Column:
     return out
 
 
-def pad_row(cells: Column, width: int) -> Column:
+def pad_row(cells: Column, width: int | Column) -> Column:
     """A row cut or filled with blanks to the header's width, nulls blank."""
-    full = F.concat(F.transform(cells, lambda x: F.coalesce(x, F.lit(""))), F.array_repeat(F.lit(""), width))
-    return F.slice(full, 1, width)
+    full = F.concat(F.transform(cells, lambda x: F.coalesce(x, F.lit(""))), F.array_repeat(F.lit(""), F.lit(width)))
+    return F.slice(full, F.lit(1), F.lit(width))

@@ -20,7 +20,7 @@ def explode_tables(uploads: DataFrame) -> DataFrame:
     t = uploads.select("upload_id", F.posexplode("tables").alias("table_idx", "t"))
     r = t.select("upload_id", "table_idx", F.transform("t.header", S.header).alias("header"), F.col("t.summaryRows").alias("s"), F.posexplode("t.rows").alias("row_idx", "cells"))
     marked = F.coalesce(F.array_contains("s", F.col("row_idx")), F.lit(False))
-    return r.select("upload_id", "table_idx", "row_idx", "header", S.pad_row(F.col("cells"), 64).alias("wide"), marked.alias("is_summary")).withColumn("cells", F.slice("wide", F.lit(1), F.size("header"))).drop("wide")
+    return r.select("upload_id", "table_idx", "row_idx", "header", S.pad_row(F.col("cells"), F.size("header")).alias("cells"), marked.alias("is_summary"))
 
 
 def cell(name: str | Column) -> Column:

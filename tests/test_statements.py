@@ -96,6 +96,15 @@ def test_tables(spark):
     assert tables.difflib_ratio(p, "a", "b").first().ratio == 0.75
 
 
+def test_wide_table(spark):
+    header = ["Name", *(f"c{i}" for i in range(98)), "Commission"]
+    grid = [["acme", *["x"] * 98, "$5.00"], ["short"]]
+    df = spark.createDataFrame([(1, [(header, grid, [])])], "upload_id long, tables array<struct<header: array<string>, rows: array<array<string>>, summaryRows: array<int>>>")
+    r = tables.explode_tables(df)
+    assert [len(x.cells) for x in r.collect()] == [100, 100]
+    assert [(x.client_name, float(x.commission)) for x in tables.flatten(r, "Name", "Commission", "none").collect()] == [("acme", 5.0)]
+
+
 def test_scope(spark):
     people = spark.createDataFrame([(1, 5), (2, 5), (3, 6), (4, None)], "user_id long, company_id int")
     data = spark.createDataFrame([(1,), (2,), (3,), (4,)], "user_id long")
