@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash, pigeonhole blocks, edit distance, one occurrence per connected group.
 
-Lines are lower-cased with white space collapsed; those under MIN_WORDS words are left alone. Equal
-lines become one class first. Classes whose 64-bit SimHashes of distinct words are at most DISTANCE bits apart
+Lines are lower-cased with white space collapsed; blank ones are left alone (in the narrow form, those
+under MIN_WORDS words). Equal lines become one class first. Classes whose 64-bit SimHashes of distinct words are at most DISTANCE bits apart
 agree on two of four 16-bit blocks, so the join runs on the six pairs of blocks, packed by bucket.
 So near are few of the lines that are alike, so WIDE candidates are added: lines that share one of
 WORD_BANDS min-hash bands of their words with SimHashes at most FAR bits apart, and lines under
@@ -36,13 +36,13 @@ DISTANCE = 2
 SIMILARITY = 0.8
 BLOCKS = [0, 16, 32, 48]  # first bits of the blocks; any two of them are equal within DISTANCE
 PAIRS = list(combinations(BLOCKS, 2))
-WORD_BANDS, CHAR_BANDS = 8, 16
-BAND_ROWS = 4  # least hashes that make a band
+WORD_BANDS, CHAR_BANDS = 4, 16
+WORD_ROWS, CHAR_ROWS = 3, 4  # least hashes that make a band
 FEW_WORDS = 12  # lines under so many words are compared by letters too
 FAR = 20
 KINDS = len(PAIRS) + WORD_BANDS + CHAR_BANDS
 REACH = [DISTANCE] * len(PAIRS) + [FAR] * WORD_BANDS + [64] * CHAR_BANDS  # SimHash bits between candidates, by kind
-MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, BAND_ROWS * CHAR_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
+MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, CHAR_ROWS * CHAR_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
 BAG = 256
 
 
@@ -79,18 +79,18 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     return np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def band_keys(lines: list[list[str]], bands: int) -> np.ndarray:
+def band_keys(lines: list[list[str]], bands: int, per: int) -> np.ndarray:
     """Min-hash bands of each line's features, a row of 32-bit keys each."""
     import xxhash
 
     place: dict[str, int] = {}
     at = [place.setdefault(w, len(place)) for features in lines for w in features]
     hashes = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w.encode()) for w in place]), "<u8")
-    lanes = ((hashes[:, None] * MIXERS[0, : bands * BAND_ROWS] + MIXERS[1, : bands * BAND_ROWS]) >> np.uint64(32)).astype(np.uint32)
+    lanes = ((hashes[:, None] * MIXERS[0, : bands * per] + MIXERS[1, : bands * per]) >> np.uint64(32)).astype(np.uint32)
     sizes = np.array([len(f) for f in lines])
-    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).reshape(len(lines), bands, BAND_ROWS)
+    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).reshape(len(lines), bands, per)
     key = np.zeros((len(lines), bands), np.uint64)
-    for k in range(BAND_ROWS):
+    for k in range(per):
         key = (key ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return (key >> np.uint64(32)).astype(np.uint32)
@@ -103,10 +103,10 @@ def triples(line: str) -> list[str]:
 
 def bands_of(lines: list[str], words: list[list[str]]) -> list[bytes]:
     """Keys of the word bands of each line, then those of the letter bands if it has few words."""
-    out = [k.tobytes() for k in band_keys(words, WORD_BANDS)]
+    out = [k.tobytes() for k in band_keys(words, WORD_BANDS, WORD_ROWS)]
     few = [i for i, line in enumerate(lines) if line.count(" ") + 1 < FEW_WORDS]
     if few:
-        for i, k in zip(few, band_keys([triples(lines[i]) for i in few], CHAR_BANDS)):
+        for i, k in zip(few, band_keys([triples(lines[i]) for i in few], CHAR_BANDS, CHAR_ROWS)):
             out[i] += k.tobytes()
     return out
 
@@ -114,6 +114,8 @@ def bands_of(lines: list[str], words: list[list[str]]) -> list[bytes]:
 def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
     """(doc_id, line, h1, h2, sim, bands) of every line that takes part."""
 
+    least = 1 if wide else MIN_WORDS
+
     def run(batches):
         for batch in batches:
             for from_row in range(0, len(batch), 500):
@@ -124,7 +126,7 @@ def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
                 for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     for n, line in enumerate((text or "").split("\n")):
                         found = line.lower().split()
-                        if len(found) >= MIN_WORDS:
+                        if len(found) >= least:
                             doc.append(d)
                             number.append(n)
                             which.append(at := known.setdefault(" ".join(found), len(words)))
@@ -180,7 +182,7 @@ def to_blocks(width: int, with_text: bool):
                     if with_text:
                         mine = [texts[j] for j in at[i].tolist()]
                         more = [np.array([len(t) for t in mine], np.int64), np.frombuffer(b"".join(mine), np.uint8)]
-                    out.append((b, kind, pack(ids[at[i]], sim[at[i]], key[i], *more)))
+                    out.append((b, kind, pack(ids[at[i]], sim[at[i]], key[i] if kind >= len(PAIRS) else key[:0], *more)))
             yield rows(out)
 
     return run
@@ -201,13 +203,19 @@ def close_pairs(key: np.ndarray, sim: np.ndarray, most: int) -> Iterator[tuple[n
             yield order[near], order[near + step]
 
 
+def keyed(kind: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids, SimHashes, keys) of one kind; its key is sent only if the SimHash does not hold it."""
+    ids, sim, key = joined(parts, "<i8", "<u8", "<u4")
+    return ids, sim, block_key(sim, PAIRS[kind]) if kind < len(PAIRS) else key
+
+
 def partners(batches):
     """(line_id, kinds): the lines that have a partner in this share of the keys, by which kind."""
     parts: dict[int, list] = {}
     for kind, blob in received(batches):
         parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4"))
     for kind, found in parts.items():
-        ids, sim, key = joined(found, "<i8", "<u8", "<u4")
+        ids, sim, key = keyed(kind, found)
         hit = np.zeros(len(ids), bool)
         for a, b in close_pairs(key, sim, REACH[kind]):
             hit[a] = hit[b] = True
@@ -235,10 +243,29 @@ def edit_distance(a: str, b: str) -> int:
     return score
 
 
+def common_start(a: str, b: str) -> int:
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        at = (low + high + 1) // 2
+        low, high = (at, high) if a[low:at] == b[low:at] else (low, at - 1)
+    return low
+
+
 def alike(a: str, b: str) -> bool:
     longest = max(len(a), len(b))
     room = longest * (1 - SIMILARITY) + 1e-9
-    return longest - min(len(a), len(b)) <= room and edit_distance(a, b) <= room
+    if longest - min(len(a), len(b)) > room:
+        return False
+    at = common_start(a, b)
+    a, b = a[at:], b[at:]
+    if at := common_start(a[::-1], b[::-1]):
+        a, b = a[:-at], b[:-at]
+    if max(len(a), len(b)) <= room:
+        return True
+    x, y = a.split(" "), b.split(" ")  # word for word is one way to edit
+    if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= room:
+        return True
+    return edit_distance(a, b) <= room
 
 
 def bags_of(texts: list[str]) -> np.ndarray:
@@ -279,7 +306,7 @@ def verified(batches):
         return x
 
     for kind, found in parts.items():
-        ids, sim, key = joined(found, "<i8", "<u8", "<u4")
+        ids, sim, key = keyed(kind, found)
         at = np.searchsorted(names, ids)
         texts: list[str] = []
         for _, _, _, size, data in found:

@@ -196,6 +196,14 @@ def test_lines_recall(spark, corpus):
         assert r.lines.n_removed >= narrow[r.doc_id]
 
 
+def test_short_lines(spark):
+    rng = random.Random(2)
+    han = "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(60))
+    texts = ["Dear all\n\n" + han + "\nthe end", "DEAR  all\n\n" + han[:30] + "x" + han[31:] + "\nother words", han + "\n \nthe end"]
+    got = {r.doc_id: r.lines for r in line_dedup.dedup_lines(spark, documents(spark, texts), wide=True).collect()}
+    assert [got[i].text for i in range(3)] == [texts[0], "\nother words", " "]
+
+
 def test_edit_distance():
     rng = random.Random(3)
 
