@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, read, shuffle_width
-from .suffix_dedup import PACKED, by_bucket, joined, pack, received, rows, unpack
+from .packed import PACKED, by_bucket, joined, pack, received, rows, unpack
 
 MIN_WORDS = 5
 DISTANCE = 2
