@@ -9,6 +9,7 @@ import pyarrow as pa
 
 PACKED = "bucket int, kind int, blob binary"
 LEVEL = 5
+TEXTS = 0  # kind of the blocks of ``send_texts``
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -85,3 +86,31 @@ def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 25) -> Iterato
         to = max(at + 1, int(np.searchsorted(total, base + size, side="right")))
         yield batch.slice(at, to - at)
         at = to
+
+
+def send_texts(width: int):
+    """(doc_id, text, ...) to packed rows by the bucket of the id; rows without an id stay in place."""
+
+    def run(batches):
+        for at, whole in enumerate(batches):
+            for batch in portions(whole, 1):
+                ids = batch.column(0)
+                spare = pa.array(np.arange(at, at + len(batch)))
+                bucket = spread(np.array([s if i is None else i for i, s in zip(ids.to_pylist(), spare.to_pylist())], np.int64), width)
+                out = []
+                for b, i in by_bucket(bucket, width):
+                    out.append((b, TEXTS, squeezed(to_bytes(batch.take(pa.array(i))))))
+                yield rows(out)
+
+    return run
+
+
+def to_bytes(batch: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def from_bytes(blob: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(restored(blob)).read_next_batch()

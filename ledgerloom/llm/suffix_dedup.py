@@ -17,7 +17,7 @@ lose those bytes. Texts are shuffled twice, to look up dictionary phrases and to
 repetitive text costs one dictionary entry per distinct phrase, however often it repeats.
 
 All steps are partition functions between shuffles of packed arrays; a batch sends a phrase once
-however often it holds it. Phrases count as equal if 88 bits of hash are, besides the bucket.
+however often it holds it. Phrases count as equal if 80 bits of hash are, besides the bucket.
 
 Cases: a null text is an empty one; texts shorter than the match lose nothing; a null doc_id is
 neither smaller nor larger than another and loses nothing; rows that share a doc_id do not remove
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read, shuffle_width
-from .packed import PACKED, by_bucket, from_low_bytes, joined, low_bytes, pack, portions, received, restored, rows, spread, squeezed, unpack
+from .packed import PACKED, TEXTS, by_bucket, from_bytes, from_low_bytes, joined, low_bytes, pack, portions, received, rows, send_texts, spread, unpack
 
 MATCH = 50
 GRAM = 16
@@ -45,8 +45,8 @@ PHRASE = MATCH + GRAMS - 1  # bytes of a phrase at most: a trigger stays in so m
 PIECE_BITS = 20
 PIECE = 1 << PIECE_BITS  # bytes parsed at a time
 WINDOWS = 1 << 22  # suffixes sorted at a time
-GRAM_BYTES, PHRASE_BYTES = 5, 6
-PARSE, COVERED, ASKED, TEXTS, ENTRIES, SPANS = range(6)
+GRAM_BYTES, PHRASE_BYTES = 4, 6  # of the hashes sent
+PARSE, COVERED, ASKED, ENTRIES, SPANS = range(TEXTS + 1, TEXTS + 6)
 BASE = 0xD6E8FEB86659FD93
 
 
@@ -197,7 +197,7 @@ def send_parse(width: int):
                 bucket = ((trigger[at] >> np.uint64(40)) % np.uint64(width)).astype(np.int64)
                 for b, i in by_bucket(bucket, width):
                     i = at[i]
-                    columns = [low_bytes(trigger[i], GRAM_BYTES), low_bytes(name[i], PHRASE_BYTES), np.diff(doc[i], prepend=0), start[i].astype(np.int32), size[i].astype(np.uint8)]
+                    columns = [low_bytes(trigger[i], GRAM_BYTES), low_bytes(name[i], PHRASE_BYTES), np.diff(doc[i], prepend=0), low_bytes(start[i], 4), size[i].astype(np.uint8)]
                     out.append((b, PARSE, pack(*columns)))
                 yield rows(out)
 
@@ -221,8 +221,8 @@ def judge_parse(width: int):
         for batch in batches:
             for bucket, kind, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if kind == PARSE:
-                    trigger, name, step, start, size = unpack(blob, "u1", "u1", "<i8", "<i4", "u1")
-                    parts.append([from_low_bytes(trigger, GRAM_BYTES), from_low_bytes(name, PHRASE_BYTES), np.cumsum(step), start, size])
+                    trigger, name, step, start, size = unpack(blob, "u1", "u1", "<i8", "u1", "u1")
+                    parts.append([from_low_bytes(trigger, GRAM_BYTES), from_low_bytes(name, PHRASE_BYTES), np.cumsum(step), from_low_bytes(start, 4).astype(np.int32), size])
                     home = bucket
                 else:  # decided in its batch
                     doc = unpack(blob, "<i8", "<i8", "<i4", "u1", "<u4")[1]
@@ -256,34 +256,6 @@ def judge_parse(width: int):
     return run
 
 
-def send_texts(width: int):
-    """(doc_id, text, ...) to packed rows by the bucket of the id; rows without an id stay in place."""
-
-    def run(batches):
-        for at, whole in enumerate(batches):
-            for batch in portions(whole, 1):
-                ids = batch.column(0)
-                spare = pa.array(np.arange(at, at + len(batch)))
-                bucket = spread(np.array([s if i is None else i for i, s in zip(ids.to_pylist(), spare.to_pylist())], np.int64), width)
-                out = []
-                for b, i in by_bucket(bucket, width):
-                    out.append((b, TEXTS, squeezed(to_bytes(batch.take(pa.array(i))))))
-                yield rows(out)
-
-    return run
-
-
-def to_bytes(batch: pa.RecordBatch) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema) as writer:
-        writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def from_bytes(blob: bytes) -> pa.RecordBatch:
-    return pa.ipc.open_stream(restored(blob)).read_next_batch()
-
-
 def text_hashes(texts: list[bytes]) -> np.ndarray:
     import xxhash
 

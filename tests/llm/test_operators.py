@@ -102,6 +102,78 @@ def test_simhash(spark, corpus):
     assert simhash_dedup.simhash_groups(spark, empty(spark)).count() == 0
 
 
+def shingles(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)}
+
+
+def near_corpus(seed):
+    """Texts of many lengths, each with near copies at a Jaccard similarity of 0.5 to 1, and repeats."""
+    rng, texts = random.Random(seed), [None, "", " ", "one two", "One  two", "one two three", "héé 日本語"]
+    for n in (6, 12, 40, 90, 200, 400, 800, 1500) * 3:
+        base = words(rng, n, 3000).split(" ")
+        texts.append(" ".join(base))
+        for part in (0.002, 0.008, 0.015, 0.02, 0.03, 0.06):
+            other = list(base)
+            for at in rng.sample(range(n), max(1, round(part * n))):
+                other[at] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(other))
+    return texts + texts[20:24]
+
+
+def test_near_stage(spark):
+    texts = near_corpus(3)
+    ids = [int(x) for x in np.random.default_rng(0).permutation(len(texts))]
+    sets = [shingles(t) for t in texts]
+    label, pairs, steps = list(range(len(texts))), 0, [[] for _ in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                steps[i].append(j)
+                steps[j].append(i)
+    for i in range(len(texts)):  # smallest id of each group
+        seen, todo = {i}, [i]
+        while todo:
+            for j in steps[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        label[i] = min(ids[j] for j in seen)
+    stay = {i for i, k in zip(ids, label) if i == k}
+    got = {r.doc_id for r in simhash_dedup.near_dedup_stage(spark, documents(spark, texts, ids), "").collect()}
+    assert stay <= got and len(got - stay) <= 0.05 * (len(texts) - len(stay))
+    odd = documents(spark, [texts[30], texts[30] + " end", texts[100], texts[30], None], [5, 7, 5, None, None])
+    assert sorted((r.doc_id, r.text) for r in simhash_dedup.near_dedup_stage(spark, odd, "").where("doc_id is not null").collect()) == sorted([(5, texts[30]), (5, texts[100])])
+    assert simhash_dedup.near_dedup_stage(spark, odd, "").where("doc_id is null").count() == 2
+    none = simhash_dedup.near_dedup_stage(spark, empty(spark), "")
+    assert none.count() == 0 and none.columns == empty(spark).columns
+
+
+def test_spanning():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 60, (2, 400))
+    use = a != b
+    a, b, w = a[use], b[use], rng.integers(0, 8, use.sum()).astype(float)
+    keep = simhash_dedup.spanning(a, b, w)
+
+    def parts(x, y):
+        return sorted(np.unique(np.stack(simhash_dedup.forest(x, y)), axis=1).T.tolist())
+
+    assert parts(a, b) == parts(a[keep], b[keep])
+    best, root = 0.0, list(range(60))
+    for i in np.argsort(-w, kind="stable"):
+        x, y = a[i], b[i]
+        while root[x] != x:
+            x = root[x]
+        while root[y] != y:
+            y = root[y]
+        if x != y:
+            root[x] = y
+            best += w[i]
+    assert w[keep].sum() == best
+
+
 def test_gray_index():
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 200, dtype=np.uint64)
