@@ -5,7 +5,8 @@ under MIN_WORDS words). Equal lines become one class first. Classes whose 64-bit
 agree on two of four 16-bit blocks, so the join runs on the six pairs of blocks, packed by bucket.
 So near are few of the lines that are alike, so WIDE candidates are added: lines that share one of
 WORD_BANDS min-hash bands of their words with SimHashes at most FAR bits apart, and lines under
-FEW_WORDS words that share one of CHAR_BANDS bands of their letter triples.
+FEW_WORDS words that share one of CHAR_BANDS bands of their letter triples. A word's chance to be a
+band's least hash grows with the square of its length, so bands rest on telling words and stay small.
 A first round over hashes alone finds the lines that have any partner; only their texts are then
 fetched and verified: two lines are linked if their edit similarity is at least SIMILARITY. A task
 verifies a pair only while its lines are not yet connected, and returns a forest instead of pairs.
@@ -25,18 +26,19 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, components, read, shuffle_width
-from .packed import PACKED, by_bucket, joined, pack, received, rows, unpack
+from .packed import PACKED, by_bucket, joined, pack, portions, received, rows, unpack
 
 MIN_WORDS = 5
 DISTANCE = 2
 SIMILARITY = 0.8
 BLOCKS = [0, 16, 32, 48]  # first bits of the blocks; any two of them are equal within DISTANCE
 PAIRS = list(combinations(BLOCKS, 2))
-WORD_BANDS, CHAR_BANDS = 4, 16
+WORD_BANDS, CHAR_BANDS = 6, 16
 WORD_ROWS, CHAR_ROWS = 3, 4  # least hashes that make a band
 FEW_WORDS = 12  # lines under so many words are compared by letters too
 FAR = 20
@@ -46,8 +48,17 @@ MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, CHAR_ROWS * CHAR_BAND
 BAG = 256
 
 
+def words_of(lines: pa.Array) -> pa.Array:
+    """Lower-cased words of each line, split at any white space; blank lines have one empty word."""
+    return pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.utf8_lower(lines)))
+
+
+def normal_lines(lines: list[str]) -> list[str]:
+    return pc.binary_join(words_of(pa.array(lines, pa.string())), " ").to_pylist()
+
+
 def normal(line: str) -> str:
-    return " ".join(line.lower().split())
+    return normal_lines([line])[0]
 
 
 def line_key(text: str) -> int:
@@ -56,20 +67,32 @@ def line_key(text: str) -> int:
     return xxhash.xxh3_128_intdigest(text.encode())
 
 
-def word_lanes(words: list[str]) -> np.ndarray:
-    """For each word its hash's 64 bits as byte-wide counters in eight integers."""
+def low_half(text: str) -> int:
+    """The first half of the key as a signed number."""
+    return int.from_bytes(line_key(text).to_bytes(16, "little")[:8], "little", signed=True)
+
+
+def word_hashes(words: list[str]) -> bytes:
     import xxhash
 
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w.encode()) for w in words]), np.uint8).reshape(-1, 8)
-    return np.unpackbits(hashes, axis=1).view("<u8")
+    return b"".join([xxhash.xxh3_64_digest(w.encode()) for w in words])
+
+
+def numbered(lines: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct features, number of each feature of all lines in turn, features of each line)."""
+    place: dict[str, int] = {}
+    at = [place.setdefault(w, len(place)) for features in lines for w in features]
+    return list(place), np.array(at, np.int64), np.array([len(f) for f in lines], np.int64)
 
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
     """SimHash of each line's words."""
-    place: dict[str, int] = {}
-    at = [place.setdefault(w, len(place)) for words in lines for w in words]
-    lanes = word_lanes(list(place))
-    sizes = np.array([len(w) for w in lines])
+    return simhash_of(*numbered(lines))
+
+
+def simhash_of(words: list[str], at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHashes of lines given as numbers of words, from their bits as byte-wide counters in eight integers."""
+    lanes = np.unpackbits(np.frombuffer(word_hashes(words), np.uint8).reshape(-1, 8), axis=1).view("<u8")
     starts = np.cumsum(sizes) - sizes
     short = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(starts, sizes)]) if (sizes > 255).any() else starts
     counts = np.add.reduceat(lanes[at], short, axis=0).view(np.uint8).reshape(len(short), 64)
@@ -79,17 +102,17 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
     return np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def band_keys(lines: list[list[str]], bands: int, per: int) -> np.ndarray:
-    """Min-hash bands of each line's features, a row of 32-bit keys each."""
-    import xxhash
-
-    place: dict[str, int] = {}
-    at = [place.setdefault(w, len(place)) for features in lines for w in features]
-    hashes = np.frombuffer(b"".join([xxhash.xxh3_64_digest(w.encode()) for w in place]), "<u8")
-    lanes = ((hashes[:, None] * MIXERS[0, : bands * per] + MIXERS[1, : bands * per]) >> np.uint64(32)).astype(np.uint32)
-    sizes = np.array([len(f) for f in lines])
-    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).reshape(len(lines), bands, per)
-    key = np.zeros((len(lines), bands), np.uint64)
+def band_keys(features: list[str], at: np.ndarray, sizes: np.ndarray, bands: int, per: int, weighted: bool) -> np.ndarray:
+    """Min-hash bands of lines given as numbers of features, a row of 32-bit keys each."""
+    hashes = np.frombuffer(word_hashes(features), "<u8")
+    lanes = (hashes[:, None] * MIXERS[0, : bands * per] + MIXERS[1, : bands * per]) >> np.uint64(32)
+    if weighted:  # the least of exponential times falls to a word in proportion to its weight
+        weight = np.array([len(f) for f in features], np.float32) ** 2
+        lanes = (-np.log((lanes.astype(np.float32) + 1) / np.float32(1 << 32 | 1 << 9)) / weight[:, None]).astype(np.float32)
+    else:
+        lanes = lanes.astype(np.uint32)
+    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).view(np.uint32).reshape(len(sizes), bands, per)
+    key = np.zeros((len(sizes), bands), np.uint64)
     for k in range(per):
         key = (key ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
@@ -101,12 +124,12 @@ def triples(line: str) -> list[str]:
     return list(dict.fromkeys(line[i : i + 3] for i in range(len(line) - 2)))
 
 
-def bands_of(lines: list[str], words: list[list[str]]) -> list[bytes]:
-    """Keys of the word bands of each line, then those of the letter bands if it has few words."""
-    out = [k.tobytes() for k in band_keys(words, WORD_BANDS, WORD_ROWS)]
-    few = [i for i, line in enumerate(lines) if line.count(" ") + 1 < FEW_WORDS]
-    if few:
-        for i, k in zip(few, band_keys([triples(lines[i]) for i in few], CHAR_BANDS, CHAR_ROWS)):
+def bands_of(lines: pa.Array, words: tuple[list[str], np.ndarray, np.ndarray], few: np.ndarray) -> list[bytes]:
+    """Keys of the word bands of each line, then those of the letter bands of the ``few`` lines with few words."""
+    out = [k.tobytes() for k in band_keys(*words, WORD_BANDS, WORD_ROWS, True)]
+    if len(few):
+        letters = numbered([triples(x) for x in lines.take(pa.array(few)).to_pylist()])
+        for i, k in zip(few.tolist(), band_keys(*letters, CHAR_BANDS, CHAR_ROWS, False)):
             out[i] += k.tobytes()
     return out
 
@@ -117,27 +140,29 @@ def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
     least = 1 if wide else MIN_WORDS
 
     def run(batches):
-        for batch in batches:
-            for from_row in range(0, len(batch), 500):
-                part = batch.slice(from_row, 500)
-                doc, number, which = [], [], []
-                known: dict[str, int] = {}
-                words = []
-                for d, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    for n, line in enumerate((text or "").split("\n")):
-                        found = line.lower().split()
-                        if len(found) >= least:
-                            doc.append(d)
-                            number.append(n)
-                            which.append(at := known.setdefault(" ".join(found), len(words)))
-                            if at == len(words):
-                                words.append(list(dict.fromkeys(found)))  # once each, or a separator would outweigh the rest
-                if doc:
-                    lines, at = list(known), np.array(which)
-                    key = np.frombuffer(b"".join([line_key(x).to_bytes(16, "little") for x in lines]), "<i8").reshape(-1, 2)[at]
-                    bands = bands_of(lines, words) if wide else [b""] * len(lines)
-                    arrays = [pa.array(doc, pa.int64()), pa.array(number, pa.int32()), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhashes(words).view(np.int64)[at])]
-                    yield pa.RecordBatch.from_arrays([*arrays, pa.array([bands[i] for i in which], pa.binary())], ["doc_id", "line", "h1", "h2", "sim", "bands"])
+        for whole in batches:
+            for part in portions(whole, 1, 1 << 23):
+                lists = pc.split_pattern(pc.fill_null(part.column(1), ""), "\n")
+                flat, parent = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+                number = np.arange(len(flat)) - np.searchsorted(parent, parent)
+                words = words_of(flat)
+                lines = pc.binary_join(words, " ")
+                use = pc.and_(pc.greater_equal(pc.list_value_length(words), least), pc.not_equal(lines, ""))
+                at = np.flatnonzero(use.to_numpy(zero_copy_only=False))
+                if not len(at):
+                    continue
+                coded = lines.take(pa.array(at)).dictionary_encode()
+                which = coded.indices.to_numpy()
+                words = words.take(pa.array(at[np.unique(which, return_index=True)[1]]))
+                of, count = pc.list_parent_indices(words).to_numpy().astype(np.int64), pc.list_value_length(words).to_numpy()
+                flat_words = words.flatten().dictionary_encode()
+                size = len(flat_words.dictionary)  # words once each, or a separator would outweigh the rest
+                pairs = np.unique(of * size + flat_words.indices.to_numpy())
+                told = flat_words.dictionary.to_pylist(), pairs % size, np.bincount(pairs // size, minlength=len(words))
+                key = np.frombuffer(b"".join([line_key(x).to_bytes(16, "little") for x in coded.dictionary.to_pylist()]), "<i8").reshape(-1, 2)[which]
+                bands = bands_of(coded.dictionary, told, np.flatnonzero(count < FEW_WORDS)) if wide else [b""] * len(words)
+                arrays = [part.column(0).take(pa.array(parent[at])), pa.array(number[at].astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhash_of(*told).view(np.int64)[which])]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(bands, pa.binary()).take(pa.array(which))], ["doc_id", "line", "h1", "h2", "sim", "bands"])
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return source.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, sim long, bands binary")
@@ -334,15 +359,15 @@ def verified(batches):
 def fetch(batches):
     """Documents with their wanted lines to (line_id, sim, bands, kinds, text)."""
     for batch in batches:
-        out = []
+        out, raw = [], []
         for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines = (text or "").split("\n")
             for w in wanted:
                 if w["line"] < len(lines):
-                    line = normal(lines[w["line"]])
-                    if line_key(line).to_bytes(16, "little")[:8] == w["h1"].to_bytes(8, "little", signed=True):
-                        out.append((w["line_id"], w["sim"], w["bands"], w["kinds"], line))
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["line_id", "sim", "bands", "kinds", "text"])
+                    raw.append(lines[w["line"]])
+                    out.append(w)
+        found = [(w["line_id"], w["sim"], w["bands"], w["kinds"], line) for w, line in zip(out, normal_lines(raw)) if low_half(line) == w["h1"]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["line_id", "sim", "bands", "kinds", "text"])
 
 
 def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
@@ -370,20 +395,14 @@ def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
 
 def without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
     """Texts without the lines listed for them, with the numbers of lines and of lines removed."""
-    kept, total, lost = [], [], []
-    for text, listed in zip(texts, gone):
-        lines = (text or "").split("\n")
-        keys = {} if listed is None else {(g["line"], g["h1"]) for g in listed}
-        numbers = {n for n, _ in keys}
-        stay = []
-        for n, line in enumerate(lines):
-            if n in numbers and (n, int.from_bytes(line_key(normal(line)).to_bytes(16, "little")[:8], "little", signed=True)) in keys:
-                continue
-            stay.append(line)
-        kept.append("\n".join(stay) if len(stay) < len(lines) else text or "")
-        total.append(len(lines) if text else 0)
-        lost.append(len(lines) - len(stay))
-    return pd.DataFrame({"text": kept, "n_lines": total, "n_removed": lost})
+    split = [(text or "").split("\n") for text in texts]
+    listed = [(i, g["line"], g["h1"]) for i, found in enumerate(gone) if found is not None for g in found if g["line"] < len(split[i])]
+    lost: dict[int, set[int]] = {}
+    for (i, n, h1), line in zip(listed, normal_lines([split[i][n] for i, n, _ in listed])):
+        if low_half(line) == h1:  # else the line of another row with this id
+            lost.setdefault(i, set()).add(n)
+    kept = ["\n".join(x for n, x in enumerate(lines) if n not in lost[i]) if i in lost else text or "" for i, (text, lines) in enumerate(zip(texts, split))]
+    return pd.DataFrame({"text": kept, "n_lines": [len(x) if t else 0 for t, x in zip(texts, split)], "n_removed": [len(lost.get(i, ())) for i in range(len(split))]})
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, wide: bool = False) -> DataFrame:
