@@ -1,127 +1,136 @@
 """Toxicity by the nearest labelled examples.
 
 A bounded sample of labelled documents, drawn by class in the order of a hash of the id, becomes an
-inverted index over TF-IDF weights. Document frequencies are counted over all documents. Posting
-lists are cut into blocks of examples, and each term keeps its largest weight per block: a block is
-scored only while the sum of those maxima can still beat the k-th best, so the k nearest by cosine
-are exact. Their votes are weighted by distance and turned into probabilities by a logistic curve
-fitted on the sample itself, each example judged by the others and weighted to the labels' own
+inverted index over TF-IDF weights of all their terms. Terms are words and the first letters of longer
+words, each hashed to one of SLOTS numbers; document frequencies of the numbers are counted over all
+documents, so every term of a text has its weight, indexed or not, and cosines are exact for them.
+Posting lists are cut into blocks of examples, and each term keeps its largest weight per block: a
+block is scored only while the sum of those maxima can still beat the k-th best, so the k nearest by
+cosine are exact. Their votes are weighted by distance and turned into probabilities by a logistic
+curve fitted on the sample itself, each example judged by the others and weighted to the labels' own
 class shares. The nearest examples are returned as evidence.
 
 Cases: null and empty texts, and texts that share no term with the index, get the share of label 1;
 without labelled rows every score is zero; labels that repeat an id count once, as their maximum;
 null labels and ids are not learnt from; a null doc_id is scored and counts as held out; rows are
-scored one by one, so repeated rows repeat their result; extra columns are ignored.
+scored one by one, so repeated rows repeat their result; equal cosines go to the smaller example;
+long texts count whole; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, is_held_out, read
+from .packed import portions, restored, squeezed
 
-SAMPLE = {1: 1200, 0: 1800}  # labelled rows of each class in the index, at most
+SAMPLE = {1: 1500, 0: 2500}  # labelled rows of each class in the index, at most
+SLOTS = 1 << 21  # numbers that terms are hashed to
+SHARES = 64  # pieces that document counts travel in
 BLOCK = 64  # examples in a posting block
-FREQUENT = 0.05  # terms that this share of the examples holds are full columns
 FIRST = 8  # blocks scored before the k-th best is known
-BATCH = 64  # texts multiplied at once
-TERM_SHARE = 0.005  # a term is indexed if this share of the examples holds it, and two at least
 SOFTEN = 1.05  # a vote weighs 1 / (SOFTEN - cosine)
 THRESHOLD = 0.3
 NEIGHBOURS = 0.6  # times the square root of the number of examples: the k of the k nearest
 EVIDENCE = 5
 LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
-
-
-STEMS = (4, 5)  # longer words count by these leading bytes, so that forms of a word meet
-
-
-def terms_of(text: str | None) -> list[bytes]:
-    """Lower-cased runs of letters if short, else their stems; every character beyond ASCII counts as a letter."""
-    words = (text or "").lower().encode().translate(LETTERS).split()
-    return [w for w in words if len(w) <= STEMS[-1]] + [b"*" + w[:n] for n in STEMS for w in words if len(w) > n]
+STEMS = (4, 5)  # longer words count by so many first letters too, so that forms of a word meet
+
+Terms = tuple[np.ndarray, np.ndarray]
+
+
+def slots_of(words: list[str]) -> np.ndarray:
+    import xxhash
+
+    digest = xxhash.xxh3_64_intdigest
+    return np.array([digest(w.encode()) & (SLOTS - 1) for w in words], np.int64)
+
+
+def counted(texts: list[str | None]) -> list[Terms]:
+    """(slots, times) of each text's terms: lower-cased runs of letters, every character beyond ASCII a letter, and stems."""
+    plain = pa.array([(t or "").lower().encode().translate(LETTERS) for t in texts], pa.large_binary()).cast(pa.large_string())
+    words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
+    size, flat = pc.list_value_length(words).to_numpy().astype(np.int64), words.flatten().dictionary_encode()
+    code, known = flat.indices.to_numpy().astype(np.int64), flat.dictionary
+    text = np.repeat(np.arange(len(texts)), size)
+    pair, times = np.unique(text * max(len(known), 1) + code, return_counts=True)
+    text, code = pair // max(len(known), 1), pair % max(len(known), 1)
+    length, listed = pc.utf8_length(known).to_numpy(), known.to_pylist()
+    slot, more = [np.where(length[code] > 0, slots_of(listed)[code], -1)], [text]
+    for n in STEMS:
+        long = length[code] > n
+        stem = np.full(len(listed), -1)
+        at = np.flatnonzero(length > n)
+        stem[at] = slots_of(["*" + listed[i][:n] for i in at.tolist()])
+        slot.append(stem[code[long]])
+        more.append(text[long])
+    times = np.concatenate([times, *(times[length[code] > n] for n in STEMS)])
+    slot, text = np.concatenate(slot), np.concatenate(more)
+    use = slot >= 0
+    pair, of = np.unique(text[use] * SLOTS + slot[use], return_inverse=True)
+    total = np.bincount(of, times[use], len(pair)).astype(np.int64)
+    edges = np.searchsorted(pair, np.arange(len(texts) + 1) * SLOTS)
+    return [(pair[a:b] % SLOTS, total[a:b]) for a, b in zip(edges, edges[1:])]
 
 
 class BlockMaxIndex:
-    """Examples by term, in blocks; ``nearest`` is exact.
+    """Examples by term in blocks of BLOCK, each (term, block) cell with its largest weight; ``nearest`` is exact."""
 
-    Terms that many examples hold are full columns, multiplied for many texts at once; the others are
-    posting lists with the largest weight of each block.
-    """
-
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray):
+    def __init__(self, counts: list[Terms], idf: np.ndarray):
         self.idf, self.n = idf, len(counts)
-        # examples with the same frequent terms go to the same blocks, which keeps the maxima apart
-        order = sorted(range(self.n), key=lambda i: counts[i][0][np.lexsort((counts[i][0], idf[counts[i][0]]))[:6]].tolist())
-        self.example = np.array(order, np.int64)
-        vectors = [self.vector(counts[i]) for i in order]
-        term, weight = (np.concatenate([v[k] for v in vectors]) for k in (0, 1))
+        # examples with the same telling terms go to the same blocks, which keeps the maxima apart
+        held = np.bincount(np.concatenate([c[0] for c in counts] or [np.empty(0, np.int64)]), minlength=len(idf))
+        self.example = np.array(sorted(range(self.n), key=lambda i: counts[i][0][np.lexsort((counts[i][0], -held[counts[i][0]]))[:6]].tolist()), np.int64)
+        vectors = [self.vector(counts[i]) for i in self.example]
+        term, weight = (np.concatenate([v[k] for v in vectors] or [np.empty(0)]) for k in (0, 1))
         doc = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
+        order = np.lexsort((doc, term))
+        term, self.doc, self.weight = term[order].astype(np.int64), doc[order].astype(np.int32), weight[order]
         self.blocks = -(-self.n // BLOCK)
-        held = np.bincount(term, minlength=len(idf))
-        self.column, self.row = np.full(len(idf), -1), np.full(len(idf), -1)
-        frequent, rare = held >= FREQUENT * self.n, (held > 0) & (held < FREQUENT * self.n)
-        self.column[frequent], self.row[rare] = np.arange(frequent.sum()), np.arange(rare.sum())
-        use = frequent[term]
-        self.columns = np.zeros((int(frequent.sum()), self.blocks * BLOCK), np.float32)
-        self.columns[self.column[term[use]], doc[use]] = weight[use]
-        term, doc, weight = self.row[term[~use]], doc[~use], weight[~use]
-        by = np.lexsort((doc, term))
-        self.doc, self.weight = doc[by].astype(np.int32), weight[by]
-        cell = term[by] * self.blocks + self.doc // BLOCK
-        self.start = np.searchsorted(cell, np.arange(int(rare.sum()) * self.blocks + 1)).astype(np.int32)
-        self.most = np.zeros(int(rare.sum()) * self.blocks, np.float32)
-        np.maximum.at(self.most, cell, np.nextafter(self.weight.astype(np.float32), np.float32(2)))
-        self.most = self.most.reshape(-1, self.blocks)
-
-    def vector(self, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        cell = term * max(self.blocks, 1) + self.doc // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
+        self.start = np.append(first, len(cell))  # postings of each cell
+        self.block = (self.doc[first] // BLOCK).astype(np.int64)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
+        self.cells = np.searchsorted(term[first], np.arange(len(idf) + 1)).astype(np.int32)  # cells of each term
+
+    def vector(self, counts: Terms) -> Terms:
         t = counts[0]
         w = (1 + np.log(counts[1])) * self.idf[t]
         norm = math.sqrt(float(w @ w))
         return (t, w / norm) if norm else (t[:0], w[:0])
 
-    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def nearest(self, texts: list[Terms], k: int, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text (examples, cosines) of the k nearest that share a term, nearest first, ties to the smaller example."""
-        vectors = [self.vector(c) for c in texts]
-        asked = np.zeros((len(texts), len(self.columns)), np.float32)
-        for i, (t, w) in enumerate(vectors):
-            column = self.column[t]
-            asked[i, column[column >= 0]] = w[column >= 0]
-        base = asked @ self.columns
-        for i, (t, w) in enumerate(vectors):
-            row = self.row[t]
-            yield self.ranked(base[i], row[row >= 0], w[row >= 0], k, skip[i] if skip else -1)
-
-    def ranked(self, base: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
-        bound = base.reshape(self.blocks, BLOCK).max(axis=1) + w.astype(np.float32) @ self.most[t] + np.float32(1e-5)
+        for i, counts in enumerate(texts):
+            yield self.ranked(*self.vector(counts), k, skip[i] if skip else -1)
+
+    def ranked(self, t: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        cell, w = flat_ranges(self.cells[t], self.cells[t + 1], w)
+        block = self.block[cell]
+        bound = np.bincount(block, w * self.most[cell], self.blocks) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
         score, least, at, step = np.zeros(self.blocks * BLOCK), 0.0, 0, FIRST
-        while at < len(order) and bound[order[at]] >= least:
+        while at < len(order) and bound[order[at]] >= max(least, 1e-12):
             wave = order[at : at + step]
-            wave = wave[bound[wave] >= least]
-            docs = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            cells = (t[:, None] * self.blocks + wave).ravel()
-            lo = self.start[cells]
-            size = self.start[cells + 1] - lo
-            ends = np.cumsum(size)
-            total = int(ends[-1]) if len(ends) else 0
-            score[docs] = base[docs]
-            if total:
-                take = np.repeat(lo - (ends - size), size) + np.arange(total)
-                score += np.bincount(self.doc[take], self.weight[take] * np.repeat(np.repeat(w, len(wave)), size), len(score))
+            chosen = np.zeros(self.blocks, bool)
+            chosen[wave[bound[wave] >= least]] = True
+            use = chosen[block]  # cells stay in the order of terms, so equal examples get equal sums
+            posting, weight = flat_ranges(self.start[cell[use]], self.start[cell[use] + 1], w[use])
+            score += np.bincount(self.doc[posting], self.weight[posting] * weight, len(score))
             at, step = at + step, len(order)
             if len(score) > k + 1:
                 least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]  # one spare, as an example may skip itself
-        found = np.flatnonzero(score[: self.n] > 1e-9)
+        found = np.flatnonzero(score[: self.n] > 0)
         found = found[self.example[found] != skip]
         if len(found) > k:
             found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
@@ -129,30 +138,27 @@ class BlockMaxIndex:
         return self.example[found], score[found]
 
 
+def flat_ranges(start: np.ndarray, end: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the ranges one after the other, and each range's value repeated for them."""
+    size = (end - start).astype(np.int64)
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0), np.repeat(value, size)
+
+
 class Model:
     """The index, the labels of its examples and the calibration."""
 
-    def __init__(self, ids: list[int], labels: list[int], known: list[tuple[np.ndarray, np.ndarray]], vocabulary: list[bytes], idf: np.ndarray, share: float):
+    def __init__(self, ids: list[int], labels: list[int], known: list[Terms], idf: np.ndarray, share: float):
         self.ids, self.labels, self.share = np.array(ids, np.int64), np.array(labels, np.int64), share
-        self.term = {t: i for i, t in enumerate(vocabulary)}
         self.k = max(1, math.ceil(NEIGHBOURS * math.sqrt(len(ids))))
         self.index = BlockMaxIndex(known, idf)
         self.curve = None
         if len(set(labels)) == 2:
-            votes = []
-            for at in range(0, len(known), BATCH):
-                near = self.index.nearest(known[at : at + BATCH], self.k, list(range(at, at + BATCH)))
-                votes += [self.vote(*x) for x in near]
+            votes = [self.vote(*x) for x in self.index.nearest(known, self.k, list(range(len(known))))]
             use = np.array([v is not None for v in votes])
             if len(set(self.labels[use])) == 2:
                 self.curve = self.fit(np.array([v for v in votes if v is not None]), self.labels[use])
 
-    def known(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """(terms, times) of a text's indexed terms."""
-        place = self.term.get
-        found = [i for i in map(place, terms_of(text)) if i is not None]
-        return np.unique(np.array(found, np.int64), return_counts=True)
-
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float | None:
         if not len(near):
             return None
@@ -182,7 +188,7 @@ class Model:
     def score(self, texts: list[str | None]) -> list[tuple[float, list[dict]]]:
         """(probability, evidence) of each text."""
         out = []
-        for near, cosine in self.index.nearest([self.known(t) for t in texts], self.k):
+        for near, cosine in self.index.nearest(counted(texts), self.k):
             vote = self.vote(near, cosine)
             if vote is None or self.curve is None:
                 out.append((self.share, []))
@@ -203,51 +209,53 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     sample = F.broadcast(drawn[0].unionByName(drawn[1]))  # bounded by SAMPLE
 
     def count(batches):
-        for batch in batches:
-            found = [Counter(terms_of(t)) for t in batch.column(2).to_pylist()]
-            terms = pa.array([list(c) for c in found], pa.list_(pa.binary()))
-            times = pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), terms, times], ["example", "label", "terms", "times"])
+        for whole in batches:
+            for batch in portions(whole, 2, 1 << 23):
+                found = counted(batch.column(2).to_pylist())
+                packed = [pa.array([x[j].astype(np.int32).tobytes() for x in found], pa.binary()) for j in (0, 1)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["example", "label", "terms", "times"])
 
-    scratch = Scratch(docs.sparkSession, "toxicity")
     rows = docs.select("doc_id", "text").join(sample, F.col("doc_id") == F.col("example")).groupBy("example", "label").agg(F.min("text").alias("text"))
-    rows = scratch.write(rows.mapInArrow(count, "example long, label int, terms array<binary>, times array<int>"))
-    n = rows.count()
-    if not n:
+    found = rows.mapInArrow(count, "example long, label int, terms binary, times binary").toPandas().sort_values("example")
+    if not len(found):
         return None
-    held = rows.select(F.explode("terms").alias("term")).groupBy("term").count().where(F.col("count") >= max(2, math.ceil(TERM_SHARE * n)))
-    vocabulary = sorted(bytes(r["term"]) for r in held.select("term").toLocalIterator())  # at most 1 / TERM_SHARE terms for each term of a mean example
-    place = {t: i for i, t in enumerate(vocabulary)}
-
-    def number(batches):
-        for batch in batches:
-            known = [[(place[t], k) for t, k in zip(ts, ks) if t in place] for ts, ks in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            packed = [pa.array([np.array([x[j] for x in row], np.int32).tobytes() for row in known], pa.binary()) for j in (0, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["example", "label", "terms", "times"])
-
-    found = rows.mapInArrow(number, "example long, label int, terms binary, times binary").toPandas().sort_values("example")
-    scratch.drop(rows)
-    total, df = frequencies(docs, vocabulary)
-    idf = np.log1p(total / (1 + df))
+    total, df = frequencies(docs)
     known = [(np.frombuffer(t, np.int32).astype(np.int64), np.frombuffer(k, np.int32)) for t, k in zip(found["terms"], found["times"])]
-    return Model(found["example"].tolist(), found["label"].tolist(), known, vocabulary, idf, shares.get(1, 0) / sum(shares.values()))
+    return Model(found["example"].tolist(), found["label"].tolist(), known, np.log1p(total / (1 + df)), shares.get(1, 0) / sum(shares.values()))
+
 
+def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """Documents in all, and those that hold each slot: counted per task, summed in SHARES pieces as they arrive."""
+    names, kinds, size = ["share", "counts", "n"], "share int, counts binary, n long", SLOTS // SHARES
 
-def frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[int, np.ndarray]:
-    """Documents in all, and those that hold each term of the (bounded) vocabulary."""
-    place = {t: i for i, t in enumerate(vocabulary)}
+    def shares(held: np.ndarray, n: int):
+        return pa.RecordBatch.from_arrays([pa.array(range(SHARES), pa.int32()), pa.array([squeezed(x.tobytes()) for x in held.reshape(SHARES, size)], pa.binary()), pa.array([n] + [0] * (SHARES - 1), pa.int64())], names)
 
     def count(batches):
-        n, seen = 0, Counter()
+        held, n = np.zeros(SLOTS, np.int64), 0
+        for whole in batches:
+            for batch in portions(whole, 0, 1 << 23):
+                n += len(batch)
+                held += np.bincount(np.concatenate([t for t, _ in counted(batch.column(0).to_pylist())]), minlength=SLOTS)
+        if n:
+            yield shares(held, n)
+
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        n = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                n += 1
-                seen.update(place.keys() & set(terms_of(text)))
-        terms = [-1, *(place[t] for t in seen)]
-        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.int32()), pa.array([n, *seen.values()], pa.int64())], ["term", "n"])
+            n += sum(batch.column(2).to_pylist())
+            for share, counts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held[share] = held.get(share, 0) + np.frombuffer(restored(counts), np.int64)
+        packed = [squeezed(x.tobytes()) for x in held.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary()), pa.array([n] * bool(held) + [0] * (len(held) - 1), pa.int64())], names)
 
-    found = {r["term"]: r["n"] for r in docs.select("text").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return found.get(-1, 0), np.array([found.get(i, 0) for i in range(len(vocabulary))], np.float64)
+    sums = docs.select(F.col("text").cast("string")).mapInArrow(count, kinds).repartitionById(SHARES, F.col("share")).mapInArrow(add, kinds)
+    total, df = 0, np.zeros((SHARES, size), np.float64)
+    for row in sums.collect():  # SLOTS numbers, however many documents
+        total += row["n"]
+        df[row["share"]] = np.frombuffer(restored(bytes(row["counts"])), np.int64)
+    return total, df.ravel()
 
 
 def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -257,10 +265,10 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
     def judge(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = cloudpickle.loads(held.value)
         for texts in parts:
-            once = list(dict.fromkeys(texts))
+            once = pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(texts)), pa.string())], ["text"])
             known = {}
-            for at in range(0, len(once), BATCH):
-                part = once[at : at + BATCH]
+            for batch in portions(once, 0, 1 << 23):
+                part = batch.column(0).to_pylist()
                 known |= zip(part, model.score(part) if model else [(0.0, [])] * len(part))
             found = [known[t] for t in texts]
             yield pd.DataFrame({"score": [s for s, _ in found], "evidence": [e for _, e in found]})

@@ -483,6 +483,44 @@ def test_block_max_is_exact():
         assert score[near] == pytest.approx(cosine, abs=1e-5)
 
 
+def test_toxicity_nearest_are_exact(sf):
+    """Nearest examples and cosines of whole texts equal those of plain TF-IDF over dictionaries of terms."""
+    import math
+
+    import pyarrow.parquet as pq
+
+    texts = [*pq.read_table(f"{sf}/documents.parquet", columns=["text"])["text"].to_pylist()[:150], None, "", "a", "Über-groß ärger", "naïve " * 3000]
+
+    def plain(text):
+        out = {}
+        for w in (text or "").lower().encode().translate(toxicity.LETTERS).decode().split():
+            for term in [w] + ["*" + w[:n] for n in toxicity.STEMS if len(w) > n]:
+                out[term] = out.get(term, 0) + 1
+        return out
+
+    counts = [plain(t) for t in texts]
+    slot = dict(zip(names := sorted({t for c in counts for t in c}), toxicity.slots_of(names).tolist()))
+    merged = []
+    for c in counts:
+        m = {}
+        for t, n in c.items():
+            m[slot[t]] = m.get(slot[t], 0) + n
+        merged.append(m)
+    df = np.zeros(toxicity.SLOTS)
+    for m in merged:
+        df[list(m)] += 1
+    idf = np.log1p(len(texts) / (1 + df))
+    weights = [{s: (1 + math.log(n)) * idf[s] for s, n in m.items()} for m in merged]
+    norm = [math.sqrt(sum(x * x for x in w.values())) or 1 for w in weights]
+    found = toxicity.counted(texts)
+    index = toxicity.BlockMaxIndex(found[:120], idf)
+    for i, (near, cosine) in enumerate(index.nearest(found, 9)):
+        score = sorted(((-round(sum(x * weights[j].get(s, 0) for s, x in weights[i].items()) / norm[i] / norm[j], 12), j) for j in range(120)))
+        want = [(s, j) for s, j in score[:9] if s < 0]
+        assert [-s for s, _ in want] == pytest.approx(cosine.tolist(), abs=1e-9)
+        assert sorted(j for s, j in want if s < want[-1][0]) == sorted(j for j, c in zip(near.tolist(), cosine) if round(c, 12) > -want[-1][0])
+
+
 def test_rules(spark, tmp_path):
     texts, labels = labelled(spark)
     got = rule_ensemble.quality_scores(spark, documents(spark, [*texts, None, ""], [*range(400), 900, None]), labels).collect()
