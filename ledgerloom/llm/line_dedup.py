@@ -20,26 +20,30 @@ and kept by the pipeline stage.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch, components, read, shuffle_width
-from .packed import PACKED, by_bucket, joined, pack, portions, received, rows, unpack
+from .packed import PACKED, beside, by_bucket, joined, pack, portions, received, rows, unpack
 
 MIN_WORDS = 5
 DISTANCE = 2
 SIMILARITY = 0.8
 BLOCKS = [0, 16, 32, 48]  # first bits of the blocks; any two of them are equal within DISTANCE
 PAIRS = list(combinations(BLOCKS, 2))
-WORD_BANDS, CHAR_BANDS = 6, 16
-WORD_ROWS, CHAR_ROWS = 3, 4  # least hashes that make a band
+WORD_LANES = 9  # least hashes of the words, as a square of three by three
+WORD_LINES = [(0, 1, 2), (3, 4, 5), (6, 7, 8), (0, 3, 6), (1, 4, 7), (2, 5, 8), (0, 4, 8), (1, 5, 6)]  # those that make a band; two bands share one at most
+CHAR_ROWS = 4  # least hashes that make a band of letters
+WORD_BANDS, CHAR_BANDS = len(WORD_LINES), 16
+CHAR_LINES = np.arange(CHAR_BANDS * CHAR_ROWS).reshape(CHAR_BANDS, CHAR_ROWS).tolist()
 FEW_WORDS = 12  # lines under so many words are compared by letters too
 FAR = 20
 KINDS = len(PAIRS) + WORD_BANDS + CHAR_BANDS
@@ -72,10 +76,11 @@ def low_half(text: str) -> int:
     return int.from_bytes(line_key(text).to_bytes(16, "little")[:8], "little", signed=True)
 
 
-def word_hashes(words: list[str]) -> bytes:
+def word_hashes(words: list[str]) -> np.ndarray:
+    """64-bit hashes, as rows of bytes."""
     import xxhash
 
-    return b"".join([xxhash.xxh3_64_digest(w.encode()) for w in words])
+    return np.frombuffer(b"".join([xxhash.xxh3_64_digest(w.encode()) for w in words]), np.uint8).reshape(-1, 8)
 
 
 def numbered(lines: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -87,12 +92,13 @@ def numbered(lines: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]
 
 def simhashes(lines: list[list[str]]) -> np.ndarray:
     """SimHash of each line's words."""
-    return simhash_of(*numbered(lines))
+    words, at, sizes = numbered(lines)
+    return simhash_of(word_hashes(words), at, sizes)
 
 
-def simhash_of(words: list[str], at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """SimHashes of lines given as numbers of words, from their bits as byte-wide counters in eight integers."""
-    lanes = np.unpackbits(np.frombuffer(word_hashes(words), np.uint8).reshape(-1, 8), axis=1).view("<u8")
+def simhash_of(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """SimHashes of lines given as numbers of hashes, from their bits as byte-wide counters in eight integers."""
+    lanes = np.unpackbits(hashes, axis=1).view("<u8")
     starts = np.cumsum(sizes) - sizes
     short = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(starts, sizes)]) if (sizes > 255).any() else starts
     counts = np.add.reduceat(lanes[at], short, axis=0).view(np.uint8).reshape(len(short), 64)
@@ -102,19 +108,16 @@ def simhash_of(words: list[str], at: np.ndarray, sizes: np.ndarray) -> np.ndarra
     return np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
 
 
-def band_keys(features: list[str], at: np.ndarray, sizes: np.ndarray, bands: int, per: int, weighted: bool) -> np.ndarray:
-    """Min-hash bands of lines given as numbers of features, a row of 32-bit keys each."""
-    hashes = np.frombuffer(word_hashes(features), "<u8")
-    lanes = (hashes[:, None] * MIXERS[0, : bands * per] + MIXERS[1, : bands * per]) >> np.uint64(32)
-    if weighted:  # the least of exponential times falls to a word in proportion to its weight
-        weight = np.array([len(f) for f in features], np.float32) ** 2
-        lanes = (-np.log((lanes.astype(np.float32) + 1) / np.float32(1 << 32 | 1 << 9)) / weight[:, None]).astype(np.float32)
-    else:
-        lanes = lanes.astype(np.uint32)
-    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).view(np.uint32).reshape(len(sizes), bands, per)
-    key = np.zeros((len(sizes), bands), np.uint64)
-    for k in range(per):
-        key = (key ^ least[:, :, k]) * np.uint64(0x9E3779B97F4A7C15)
+def band_keys(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray, lines: list, weight: np.ndarray | None = None) -> np.ndarray:
+    """Min-hash bands of lines given as numbers of hashes: a row of 32-bit keys, each over the lanes of one of ``lines``."""
+    n = 1 + max(max(x) for x in lines)
+    lanes = ((hashes.view("<u8") * MIXERS[0, :n] + MIXERS[1, :n]) >> np.uint64(32)).astype(np.uint32)
+    if weight is not None:  # the least of exponential times falls to a word in proportion to its weight
+        lanes = -np.log((lanes.astype(np.float32) + 1) / np.float32(1 << 32 | 1 << 9)) / weight.astype(np.float32)[:, None]
+    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).view(np.uint32)
+    key = np.zeros((len(sizes), len(lines)), np.uint64)
+    for k in range(len(lines[0])):
+        key = (key ^ least[:, [x[k] for x in lines]]) * np.uint64(0x9E3779B97F4A7C15)
         key ^= key >> np.uint64(29)
     return (key >> np.uint64(32)).astype(np.uint32)
 
@@ -124,12 +127,12 @@ def triples(line: str) -> list[str]:
     return list(dict.fromkeys(line[i : i + 3] for i in range(len(line) - 2)))
 
 
-def bands_of(lines: pa.Array, words: tuple[list[str], np.ndarray, np.ndarray], few: np.ndarray) -> list[bytes]:
+def bands_of(lines: pa.Array, word_bands: np.ndarray, few: np.ndarray) -> list[bytes]:
     """Keys of the word bands of each line, then those of the letter bands of the ``few`` lines with few words."""
-    out = [k.tobytes() for k in band_keys(*words, WORD_BANDS, WORD_ROWS, True)]
+    out = [k.tobytes() for k in word_bands]
     if len(few):
-        letters = numbered([triples(x) for x in lines.take(pa.array(few)).to_pylist()])
-        for i, k in zip(few.tolist(), band_keys(*letters, CHAR_BANDS, CHAR_ROWS, False)):
+        letters, at, sizes = numbered([triples(x) for x in lines.take(pa.array(few)).to_pylist()])
+        for i, k in zip(few.tolist(), band_keys(word_hashes(letters), at, sizes, CHAR_LINES)):
             out[i] += k.tobytes()
     return out
 
@@ -141,27 +144,30 @@ def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
 
     def run(batches):
         for whole in batches:
-            for part in portions(whole, 1, 1 << 23):
+            for part in portions(whole, 1, 1 << 22):
                 lists = pc.split_pattern(pc.fill_null(part.column(1), ""), "\n")
                 flat, parent = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
                 number = np.arange(len(flat)) - np.searchsorted(parent, parent)
                 words = words_of(flat)
                 lines = pc.binary_join(words, " ")
                 use = pc.and_(pc.greater_equal(pc.list_value_length(words), least), pc.not_equal(lines, ""))
-                at = np.flatnonzero(use.to_numpy(zero_copy_only=False))
-                if not len(at):
+                place = np.flatnonzero(use.to_numpy(zero_copy_only=False))
+                if not len(place):
                     continue
-                coded = lines.take(pa.array(at)).dictionary_encode()
+                coded = lines.take(pa.array(place)).dictionary_encode()
                 which = coded.indices.to_numpy()
-                words = words.take(pa.array(at[np.unique(which, return_index=True)[1]]))
+                words = words.take(pa.array(place[np.unique(which, return_index=True)[1]]))
                 of, count = pc.list_parent_indices(words).to_numpy().astype(np.int64), pc.list_value_length(words).to_numpy()
                 flat_words = words.flatten().dictionary_encode()
-                size = len(flat_words.dictionary)  # words once each, or a separator would outweigh the rest
-                pairs = np.unique(of * size + flat_words.indices.to_numpy())
-                told = flat_words.dictionary.to_pylist(), pairs % size, np.bincount(pairs // size, minlength=len(words))
+                told = np.sort(of << 32 | flat_words.indices.to_numpy())
+                told = told[np.concatenate([[True], told[1:] != told[:-1]])]  # once each, or a separator would outweigh the rest
+                hashes, at, sizes = word_hashes(flat_words.dictionary.to_pylist()), told & 0xFFFFFFFF, np.bincount(told >> 32, minlength=len(words))
                 key = np.frombuffer(b"".join([line_key(x).to_bytes(16, "little") for x in coded.dictionary.to_pylist()]), "<i8").reshape(-1, 2)[which]
-                bands = bands_of(coded.dictionary, told, np.flatnonzero(count < FEW_WORDS)) if wide else [b""] * len(words)
-                arrays = [part.column(0).take(pa.array(parent[at])), pa.array(number[at].astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhash_of(*told).view(np.int64)[which])]
+                bands = [b""] * len(words)
+                if wide:
+                    weight = pc.utf8_length(flat_words.dictionary).to_numpy().astype(np.float32) ** 2
+                    bands = bands_of(coded.dictionary, band_keys(hashes, at, sizes, WORD_LINES, weight), np.flatnonzero(count < FEW_WORDS))
+                arrays = [part.column(0).take(pa.array(parent[place])), pa.array(number[place].astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhash_of(hashes, at, sizes).view(np.int64)[which])]
                 yield pa.RecordBatch.from_arrays([*arrays, pa.array(bands, pa.binary()).take(pa.array(which))], ["doc_id", "line", "h1", "h2", "sim", "bands"])
 
     source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -196,8 +202,8 @@ def to_blocks(width: int, with_text: bool):
             sim = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             kinds = batch.column(3).to_numpy(zero_copy_only=False) if with_text else None
             texts = [t.encode() for t in batch.column(4).to_pylist()] if with_text else []
-            out = []
-            for kind, at, key in keys_of(sim, batch.column(2).to_pylist()):
+            bands, out = batch.column(2).to_pylist(), []
+            for kind, at, key in keys_of(sim, bands):
                 if with_text:
                     use = (kinds[at] >> kind) & 1 == 1
                     at, key = at[use], key[use]
@@ -207,7 +213,9 @@ def to_blocks(width: int, with_text: bool):
                     if with_text:
                         mine = [texts[j] for j in at[i].tolist()]
                         more = [np.array([len(t) for t in mine], np.int64), np.frombuffer(b"".join(mine), np.uint8)]
-                    out.append((b, kind, pack(ids[at[i]], sim[at[i]], key[i] if kind >= len(PAIRS) else key[:0], *more)))
+                        held = 4 * (WORD_BANDS + CHAR_BANDS * (kind >= len(PAIRS) + WORD_BANDS))
+                        more.append(np.frombuffer(b"".join([bands[j][:held] for j in at[i].tolist()]), np.uint8))
+                    out.append((b, kind, pack(ids[at[i]], sim[at[i]] if with_text or kind < len(PAIRS) else sim[:0], key[i] if kind >= len(PAIRS) else key[:0], *more)))
             yield rows(out)
 
     return run
@@ -234,6 +242,22 @@ def keyed(kind: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return ids, sim, block_key(sim, PAIRS[kind]) if kind < len(PAIRS) else key
 
 
+def met_before(kind: int, sim: np.ndarray, bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """True for pairs that share a key of an earlier kind, so that another share of the keys decides on them."""
+    apart = sim[a] ^ sim[b]
+    pairs = PAIRS[:kind] if kind < len(PAIRS) else PAIRS
+    met = np.zeros(len(a), bool)
+    for pair in pairs:
+        met |= block_key(apart, pair) == 0
+    met &= np.bitwise_count(apart) <= DISTANCE
+    if bands.shape[1] and kind > len(PAIRS):
+        same = bands[a] == bands[b]
+        words = min(kind - len(PAIRS), WORD_BANDS)
+        met |= same[:, :words].any(axis=1) & (np.bitwise_count(apart) <= FAR)
+        met |= same[:, WORD_BANDS : kind - len(PAIRS)].any(axis=1)
+    return met
+
+
 def partners(batches):
     """(line_id, kinds): the lines that have a partner in this share of the keys, by which kind."""
     parts: dict[int, list] = {}
@@ -242,8 +266,13 @@ def partners(batches):
     for kind, found in parts.items():
         ids, sim, key = keyed(kind, found)
         hit = np.zeros(len(ids), bool)
-        for a, b in close_pairs(key, sim, REACH[kind]):
-            hit[a] = hit[b] = True
+        if kind < len(PAIRS):
+            for a, b in close_pairs(key, sim, DISTANCE):
+                hit[a] = hit[b] = True
+        else:
+            order = np.argsort(key, kind="stable")
+            same = key[order][1:] == key[order][:-1]
+            hit[order[1:][same]] = hit[order[:-1][same]] = True
         yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(np.full(int(hit.sum()), 1 << kind, np.int64))], ["line_id", "kinds"])
 
 
@@ -276,6 +305,22 @@ def common_start(a: str, b: str) -> int:
     return low
 
 
+def gaps(x: list[str], y: list[str], room: float) -> float:
+    """Letters to change at most, if words that stand once in either text stay: an upper bound of the edit distance."""
+    once = {w: i for i, w in enumerate(y)}
+    twice = {w for w, n in Counter(y).items() if n > 1} | {w for w, n in Counter(x).items() if n > 1}
+    cost, i, j = 0, 0, 0
+    for at, w in enumerate([*x, None]):
+        to = len(y) if w is None else once.get(w, -1)
+        if w is not None and (to < j or w in twice):
+            continue
+        cost += max(sum(map(len, x[i:at])) + at - i, sum(map(len, y[j:to])) + to - j)
+        if cost > room:
+            return cost
+        i, j = at + 1, to + 1
+    return cost
+
+
 def alike(a: str, b: str) -> bool:
     longest = max(len(a), len(b))
     room = longest * (1 - SIMILARITY) + 1e-9
@@ -290,7 +335,7 @@ def alike(a: str, b: str) -> bool:
     x, y = a.split(" "), b.split(" ")  # word for word is one way to edit
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= room:
         return True
-    return edit_distance(a, b) <= room
+    return gaps(x, y, room) <= room or edit_distance(a, b) <= room
 
 
 def bags_of(texts: list[str]) -> np.ndarray:
@@ -317,7 +362,7 @@ def verified(batches):
     """A forest (src, dst) of the linked lines in this share of the keys."""
     parts: dict[int, list] = {}
     for kind, blob in received(batches):
-        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4", "<i8", "u1"))
+        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4", "<i8", "u1", "<u4"))
     if not parts:
         return
     names = np.unique(np.concatenate([p[0] for found in parts.values() for p in found]))
@@ -334,7 +379,9 @@ def verified(batches):
         ids, sim, key = keyed(kind, found)
         at = np.searchsorted(names, ids)
         texts: list[str] = []
-        for _, _, _, size, data in found:
+        bands = np.concatenate([p[5] for p in found])
+        bands = bands.reshape(len(ids), -1) if len(bands) else np.empty((len(ids), 0), np.uint32)
+        for _, _, _, size, data, _ in found:
             data, ends = data.tobytes(), np.cumsum(size).tolist()
             texts += [data[a:b].decode() for a, b in zip([0, *ends], ends)]
         sizes, bags = np.array([len(t) for t in texts]), bags_of(texts)
@@ -342,6 +389,7 @@ def verified(batches):
             apart = label[at[left]] != label[at[right]]
             left, right = left[apart], right[apart]
             apart = may_be_alike(sizes, bags, left, right)
+            apart[apart] = ~met_before(kind, sim, bands, left[apart], right[apart])
             moved = False
             for i, j in zip(left[apart].tolist(), right[apart].tolist()):
                 a, b = find(int(at[i])), find(int(at[j]))
@@ -356,13 +404,16 @@ def verified(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["src", "dst"])
 
 
-def fetch(batches):
-    """Documents with their wanted lines to (line_id, sim, bands, kinds, text)."""
-    for batch in batches:
+def fetch(texts, wanted):
+    """Texts and their wanted lines to (line_id, sim, bands, kinds, text)."""
+    by: dict[int, list[dict]] = {}
+    for w in wanted.to_pylist() if wanted else []:
+        by.setdefault(w["doc_id"], []).append(w)
+    for batch in texts:
         out, raw = [], []
-        for text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = (text or "").split("\n")
-            for w in wanted:
+        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            lines = (text or "").split("\n") if i in by else []
+            for w in by.get(i, ()):
                 if w["line"] < len(lines):
                     raw.append(lines[w["line"]])
                     out.append(w)
@@ -371,54 +422,71 @@ def fetch(batches):
 
 
 def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
-    """(doc_id, lines array<struct<line, h1>>): the occurrences that go."""
+    """(doc_id, line, h1): the occurrences that go."""
     scratch, width = Scratch(spark, "lines"), shuffle_width(spark)
     seen = scratch.write(occurrences(docs, wide))
-    classes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.min("sim").alias("sim"), F.min("bands").alias("bands"))
+    classes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("line_id", F.monotonically_increasing_id()))
 
     hashes = classes.select("line_id", "sim", "bands").mapInArrow(to_blocks(width, False), PACKED).repartitionById(width, F.col("bucket"))
     wanted = hashes.mapInArrow(partners, "line_id long, kinds long").groupBy("line_id").agg(F.bit_or("kinds").alias("kinds"))
-    wanted = classes.join(wanted, "line_id").groupBy(F.col("first.doc_id").alias("doc_id"))
-    wanted = wanted.agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "line_id", "sim", "bands", "kinds", "h1")).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(wanted, "doc_id").select("text", "wanted")
-    texts = texts.mapInArrow(fetch, "line_id long, sim long, bands binary, kinds long, text string")
+    wanted = classes.join(wanted, "line_id").select("first.doc_id", "first.line", "line_id", "sim", "bands", "kinds", "h1")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    texts = beside(texts, wanted, width, fetch, "line_id long, sim long, bands binary, kinds long, text string")
     edges = texts.mapInArrow(to_blocks(width, True), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(verified, "src long, dst long")
     groups = components(scratch, edges)
 
-    named = classes.join(groups, F.col("line_id") == F.col("id"), "left").select("h1", "h2", "first", "copies", "component")
+    named = classes.select("h1", "h2", "first", "copies", "line_id").join(groups, F.col("line_id") == F.col("id"), "left").where("copies > 1 or component is not null")
     keepers = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
-    decided = named.join(keepers, "component", "left").where("copies > 1 or component is not null").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
-    gone = seen.drop("sim", "bands").join(decided, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keeper"))
-    return gone.groupBy("doc_id").agg(F.collect_set(F.struct("line", "h1")).alias("gone"))
-
+    decided = named.join(keepers, "component", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
+    return seen.select("doc_id", "line", "h1", "h2").join(decided, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keeper")).select("doc_id", "line", "h1")
+
+
+def without(others: list[str]):
+    """Rows (doc_id, text, ...) without the lines listed for them, with the numbers of lines and of lines removed."""
+
+    def run(texts, gone):
+        listed: dict[int, dict[int, set[int]]] = {}
+        for i, n, h1 in zip(*(c.to_pylist() for c in gone.columns)) if gone else []:
+            listed.setdefault(i, {}).setdefault(n, set()).add(h1)
+        for batch in texts:
+            text = batch.column(1).to_pylist()
+            split = [(t or "").split("\n") for t in text]
+            asked = [(k, n, h) for k, i in enumerate(batch.column(0).to_pylist()) for n, h in listed.get(i, {}).items() if n < len(split[k])]
+            lost: dict[int, set[int]] = {}
+            for (k, n, h), line in zip(asked, normal_lines([split[k][n] for k, n, _ in asked])):
+                if low_half(line) in h:  # else the line of another row with this id
+                    lost.setdefault(k, set()).add(n)
+            kept = ["\n".join(x for n, x in enumerate(lines) if n not in lost[k]) if k in lost else t or "" for k, (t, lines) in enumerate(zip(text, split))]
+            counts = [len(x) if t else 0 for t, x in zip(text, split)], [len(lost.get(k, ())) for k in range(len(text))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(kept, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", *others, "text", "n_lines", "n_removed"])
 
-def without(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
-    """Texts without the lines listed for them, with the numbers of lines and of lines removed."""
-    split = [(text or "").split("\n") for text in texts]
-    listed = [(i, g["line"], g["h1"]) for i, found in enumerate(gone) if found is not None for g in found if g["line"] < len(split[i])]
-    lost: dict[int, set[int]] = {}
-    for (i, n, h1), line in zip(listed, normal_lines([split[i][n] for i, n, _ in listed])):
-        if low_half(line) == h1:  # else the line of another row with this id
-            lost.setdefault(i, set()).add(n)
-    kept = ["\n".join(x for n, x in enumerate(lines) if n not in lost[i]) if i in lost else text or "" for i, (text, lines) in enumerate(zip(texts, split))]
-    return pd.DataFrame({"text": kept, "n_lines": [len(x) if t else 0 for t, x in zip(texts, split)], "n_removed": [len(lost.get(i, ())) for i in range(len(split))]})
+    return run
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, wide: bool = False) -> DataFrame:
-    """``docs`` with a column ``lines`` struct<text, n_lines, n_removed>: what stays of each text."""
-    gone = doomed_lines(spark, docs, wide).withColumnRenamed("doc_id", "_id").withColumnRenamed("gone", "_gone")
-    out = docs.join(gone, F.col("doc_id").cast("long") == F.col("_id"), "left")
-    udf = F.pandas_udf(without, "text string, n_lines long, n_removed long")
-    return out.withColumn("lines", udf(F.col("text").cast("string"), "_gone")).drop("_id", "_gone")
+    """``docs`` with what stays of each text, and a column ``lines`` struct<text, n_lines, n_removed> beside; ids come as longs.
+
+    A null text stays null and is empty in ``lines``.
+    """
+    inner = {c: f"c{i}" for i, c in enumerate(docs.columns) if c != "doc_id"}  # clash with nothing
+    source = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(F.col(c).alias(n) for c, n in inner.items()))
+    added = T.StructType([T.StructField("text", T.StringType()), T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
+    # a text is not sent twice: an extra column has it only if it was null
+    source = source.withColumn(inner["text"], F.col("text").isNull()) if "text" in inner else source
+    schema = T.StructType([source.schema["doc_id"], *(source.schema[n] for n in inner.values()), *added])
+    out = beside(source, doomed_lines(spark, docs, wide), shuffle_width(spark), without(list(inner.values())), schema)
+    text = F.when(~F.col(inner["text"]), F.col("text"))
+    lines = F.struct("text", "n_lines", "n_removed").alias("lines")
+    return out.select(*(F.col("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(inner[c]).alias(c) for c in docs.columns if c != "lines"), lines)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the lines that stay; a document that loses all its lines goes."""
-    out = dedup_lines(spark, docs, wide=True)
-    lost = F.col("lines.n_removed") > 0
-    text = F.when(lost, F.col("lines.text")).otherwise(F.col("text"))
-    return out.withColumn("_kept", text).where(~lost | (F.trim("_kept") != "")).withColumn("text", F.col("_kept")).select(docs.columns)
+    inner = {c: c if c in ("doc_id", "text") else f"k{i}" for i, c in enumerate(docs.columns)}
+    out = dedup_lines(spark, docs.select(*(F.col(c).alias(n) for c, n in inner.items())), wide=True)
+    out = out.where((F.col("lines.n_removed") == 0) | (F.trim("lines.text") != ""))
+    return out.select(*(F.col(n).cast(docs.schema[c].dataType).alias(c) for c, n in inner.items()))
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,10 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 PACKED = "bucket int, kind int, blob binary"
 LEVEL = 5
-TEXTS = 0  # kind of the blocks of ``send_texts``
+TEXTS, FACTS = 0, 1  # kinds of the blocks of ``send_texts``
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -88,18 +90,17 @@ def portions(batch: pa.RecordBatch, column: int, size: int = 1 << 25) -> Iterato
         at = to
 
 
-def send_texts(width: int):
-    """(doc_id, text, ...) to packed rows by the bucket of the id; rows without an id stay in place."""
+def send_texts(width: int, kind: int = TEXTS):
+    """Rows (doc_id, text, ...) packed by the bucket of the id; rows without an id are dealt out by their place."""
 
     def run(batches):
         for at, whole in enumerate(batches):
-            for batch in portions(whole, 1):
-                ids = batch.column(0)
-                spare = pa.array(np.arange(at, at + len(batch)))
-                bucket = spread(np.array([s if i is None else i for i, s in zip(ids.to_pylist(), spare.to_pylist())], np.int64), width)
+            for batch in portions(whole, 1) if kind == TEXTS else [whole]:
+                ids = [at + n if i is None else i for n, i in enumerate(batch.column(0).to_pylist())]
+                bucket = spread(np.array(ids, np.int64), width)
                 out = []
                 for b, i in by_bucket(bucket, width):
-                    out.append((b, TEXTS, squeezed(to_bytes(batch.take(pa.array(i))))))
+                    out.append((b, kind, squeezed(to_bytes(batch.take(pa.array(i))))))
                 yield rows(out)
 
     return run
@@ -114,3 +115,22 @@ def to_bytes(batch: pa.RecordBatch) -> bytes:
 
 def from_bytes(blob: bytes) -> pa.RecordBatch:
     return pa.ipc.open_stream(restored(blob)).read_next_batch()
+
+
+def beside(texts: DataFrame, facts: DataFrame, width: int, run, schema) -> DataFrame:
+    """Rows (doc_id, text, ...) and rows (doc_id, ...) of the same documents, met packed in one task by ``run(texts, facts)``.
+
+    ``run`` gets the batches of texts one by one and the facts as one table, and gives batches of ``schema``.
+    """
+
+    def meet(batches):
+        blobs, told = [], []
+        for kind, blob in received(batches):
+            if kind == TEXTS:
+                blobs.append(blob)
+            else:
+                told.append(from_bytes(blob))
+        yield from run(map(from_bytes, blobs), pa.Table.from_batches(told).combine_chunks() if told else None)
+
+    both = texts.mapInArrow(send_texts(width), PACKED).unionByName(facts.mapInArrow(send_texts(width, FACTS), PACKED))
+    return both.repartitionById(width, F.col("bucket")).mapInArrow(meet, schema)

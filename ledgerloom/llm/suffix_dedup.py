@@ -46,7 +46,7 @@ PIECE_BITS = 20
 PIECE = 1 << PIECE_BITS  # bytes parsed at a time
 WINDOWS = 1 << 22  # suffixes sorted at a time
 GRAM_BYTES, PHRASE_BYTES = 4, 6  # of the hashes sent
-PARSE, COVERED, ASKED, ENTRIES, SPANS = range(TEXTS + 1, TEXTS + 6)
+PARSE, COVERED, ASKED, ENTRIES, SPANS = range(TEXTS + 2, TEXTS + 7)
 BASE = 0xD6E8FEB86659FD93
 
 
