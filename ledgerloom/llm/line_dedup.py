@@ -7,9 +7,10 @@ So near are few of the lines that are alike, so WIDE candidates are added: lines
 WORD_BANDS min-hash bands of their words with SimHashes at most FAR bits apart, and lines under
 FEW_WORDS words that share one of CHAR_BANDS bands of their letter triples. A word's chance to be a
 band's least hash grows with the square of its length, so bands rest on telling words and stay small.
-A first round over hashes alone finds the lines that have any partner; only their texts are then
-fetched and verified: two lines are linked if their edit similarity is at least SIMILARITY. A task
-verifies a pair only while its lines are not yet connected, and returns a forest instead of pairs.
+A first round over hashes alone finds the blocks of candidates; only the texts of their lines are
+fetched, once each. Two lines are linked if their edit similarity is at least SIMILARITY. Every line
+is verified against the first of its block; blocks that then hold lines of different groups are
+verified pair by pair, each pair only while its lines are not yet connected. Tasks return forests.
 Of every connected group the first occurrence, by document and line, stays.
 
 Cases: a null text is empty and has no lines to lose; a null doc_id neither loses lines nor makes
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, components, read, shuffle_width
-from .packed import PACKED, beside, by_bucket, joined, pack, portions, received, rows, unpack
+from .packed import PACKED, beside, by_bucket, joined, pack, portions, received, rows, spread, unpack
 
 MIN_WORDS = 5
 DISTANCE = 2
@@ -193,29 +194,18 @@ def keys_of(sim: np.ndarray, bands: list[bytes]) -> Iterator[tuple[int, np.ndarr
                 yield first + low + k, at, keys[:, k]
 
 
-def to_blocks(width: int, with_text: bool):
-    """Rows (line_id, sim, bands[, kinds, text]) to packed rows by bucket of each key; ``kinds`` are the bits of those wanted."""
+def to_blocks(width: int):
+    """Rows (line_id, sim, bands) to packed rows by bucket of each key."""
 
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             sim = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            kinds = batch.column(3).to_numpy(zero_copy_only=False) if with_text else None
-            texts = [t.encode() for t in batch.column(4).to_pylist()] if with_text else []
-            bands, out = batch.column(2).to_pylist(), []
-            for kind, at, key in keys_of(sim, bands):
-                if with_text:
-                    use = (kinds[at] >> kind) & 1 == 1
-                    at, key = at[use], key[use]
+            out = []
+            for kind, at, key in keys_of(sim, batch.column(2).to_pylist()):
                 mixed = (key + np.uint64(kind << 32)) * np.uint64(0x9E3779B97F4A7C15)
                 for b, i in by_bucket(((mixed >> np.uint64(33)) % np.uint64(width)).astype(np.int64), width):
-                    more = []
-                    if with_text:
-                        mine = [texts[j] for j in at[i].tolist()]
-                        more = [np.array([len(t) for t in mine], np.int64), np.frombuffer(b"".join(mine), np.uint8)]
-                        held = 4 * (WORD_BANDS + CHAR_BANDS * (kind >= len(PAIRS) + WORD_BANDS))
-                        more.append(np.frombuffer(b"".join([bands[j][:held] for j in at[i].tolist()]), np.uint8))
-                    out.append((b, kind, pack(ids[at[i]], sim[at[i]] if with_text or kind < len(PAIRS) else sim[:0], key[i] if kind >= len(PAIRS) else key[:0], *more)))
+                    out.append((b, kind, pack(ids[at[i]], sim[at[i]] if kind < len(PAIRS) else sim[:0], key[i] if kind >= len(PAIRS) else key[:0])))
             yield rows(out)
 
     return run
@@ -242,24 +232,8 @@ def keyed(kind: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndar
     return ids, sim, block_key(sim, PAIRS[kind]) if kind < len(PAIRS) else key
 
 
-def met_before(kind: int, sim: np.ndarray, bands: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """True for pairs that share a key of an earlier kind, so that another share of the keys decides on them."""
-    apart = sim[a] ^ sim[b]
-    pairs = PAIRS[:kind] if kind < len(PAIRS) else PAIRS
-    met = np.zeros(len(a), bool)
-    for pair in pairs:
-        met |= block_key(apart, pair) == 0
-    met &= np.bitwise_count(apart) <= DISTANCE
-    if bands.shape[1] and kind > len(PAIRS):
-        same = bands[a] == bands[b]
-        words = min(kind - len(PAIRS), WORD_BANDS)
-        met |= same[:, :words].any(axis=1) & (np.bitwise_count(apart) <= FAR)
-        met |= same[:, WORD_BANDS : kind - len(PAIRS)].any(axis=1)
-    return met
-
-
 def partners(batches):
-    """(line_id, kinds): the lines that have a partner in this share of the keys, by which kind."""
+    """(block, line_id, leader): the lines that have a partner in this share of the keys, with the first of their block."""
     parts: dict[int, list] = {}
     for kind, blob in received(batches):
         parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4"))
@@ -273,7 +247,11 @@ def partners(batches):
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
             hit[order[1:][same]] = hit[order[:-1][same]] = True
-        yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(np.full(int(hit.sum()), 1 << kind, np.int64))], ["line_id", "kinds"])
+        ids, key = ids[hit], key[hit].astype(np.int64)
+        order = np.lexsort((ids, key))
+        ids, key = ids[order], key[order]
+        leader = ids[np.searchsorted(key, key, side="left")]
+        yield pa.RecordBatch.from_arrays([pa.array(key | kind << 32), pa.array(ids), pa.array(leader)], ["block", "line_id", "leader"])
 
 
 def edit_distance(a: str, b: str) -> int:
@@ -358,14 +336,40 @@ def may_be_alike(sizes: np.ndarray, bags: np.ndarray, i: np.ndarray, j: np.ndarr
     return may
 
 
+def linked(batches):
+    """(src, dst) of the pairs of lines that are alike."""
+    for batch in batches:
+        found = [(i, j) for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)) if alike(a, b)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
+
+
+def send_mixed(width: int):
+    """Rows (block, line_id, label, sim, text) packed by bucket of the block."""
+
+    def run(batches):
+        for batch in batches:
+            block, line, label, sim = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            texts, out = [t.encode() for t in batch.column(4).to_pylist()], []
+            for b, i in by_bucket(spread(block, width), width):
+                mine = [texts[j] for j in i.tolist()]
+                out.append((b, 0, pack(block[i], line[i], label[i], sim[i], np.array([len(t) for t in mine], np.int64), np.frombuffer(b"".join(mine), np.uint8))))
+            yield rows(out)
+
+    return run
+
+
 def verified(batches):
-    """A forest (src, dst) of the linked lines in this share of the keys."""
-    parts: dict[int, list] = {}
-    for kind, blob in received(batches):
-        parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4", "<i8", "u1", "<u4"))
+    """A forest (src, dst) that links the groups of lines which pairs in this share of the blocks connect."""
+    parts, texts = [], []
+    for _, blob in received(batches):
+        block, line, label, sim, size, data = unpack(blob, "<i8", "<i8", "<i8", "<u8", "<i8", "u1")
+        parts.append([block, line, label, sim])
+        data, ends = data.tobytes(), np.cumsum(size).tolist()
+        texts += [data[a:b].decode() for a, b in zip([0, *ends], ends)]
     if not parts:
         return
-    names = np.unique(np.concatenate([p[0] for found in parts.values() for p in found]))
+    block, line, group, sim = joined(parts, "<i8", "<i8", "<i8", "<u8")
+    names, at = np.unique(group, return_inverse=True)
     root = list(range(len(names)))
     label = np.arange(len(names))  # the roots before the slice at hand
 
@@ -375,37 +379,28 @@ def verified(batches):
             x = root[x]
         return x
 
-    for kind, found in parts.items():
-        ids, sim, key = keyed(kind, found)
-        at = np.searchsorted(names, ids)
-        texts: list[str] = []
-        bands = np.concatenate([p[5] for p in found])
-        bands = bands.reshape(len(ids), -1) if len(bands) else np.empty((len(ids), 0), np.uint32)
-        for _, _, _, size, data, _ in found:
-            data, ends = data.tobytes(), np.cumsum(size).tolist()
-            texts += [data[a:b].decode() for a, b in zip([0, *ends], ends)]
-        sizes, bags = np.array([len(t) for t in texts]), bags_of(texts)
-        for left, right in close_pairs(key, sim, REACH[kind]):
-            apart = label[at[left]] != label[at[right]]
-            left, right = left[apart], right[apart]
-            apart = may_be_alike(sizes, bags, left, right)
-            apart[apart] = ~met_before(kind, sim, bands, left[apart], right[apart])
-            moved = False
-            for i, j in zip(left[apart].tolist(), right[apart].tolist()):
-                a, b = find(int(at[i])), find(int(at[j]))
-                if a != b and alike(texts[i], texts[j]):
-                    root[max(a, b)] = min(a, b)
-                    moved = True
-            if moved:
-                label = np.array(root)
-                while not np.array_equal(label, up := label[label]):
-                    label = up
+    sizes, bags = np.array([len(t) for t in texts]), bags_of(texts)
+    reach = np.array(REACH)[block >> 32]
+    for left, right in close_pairs(block, sim, 64):
+        apart = (label[at[left]] != label[at[right]]) & (np.bitwise_count(sim[left] ^ sim[right]) <= reach[left])
+        left, right = left[apart], right[apart]
+        apart = may_be_alike(sizes, bags, left, right)
+        moved = False
+        for i, j in zip(left[apart].tolist(), right[apart].tolist()):
+            a, b = find(int(at[i])), find(int(at[j]))
+            if a != b and alike(texts[i], texts[j]):
+                root[max(a, b)] = min(a, b)
+                moved = True
+        if moved:
+            label = np.array(root)
+            while not np.array_equal(label, up := label[label]):
+                label = up
     moved = np.flatnonzero(label != np.arange(len(names)))
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["src", "dst"])
 
 
 def fetch(texts, wanted):
-    """Texts and their wanted lines to (line_id, sim, bands, kinds, text)."""
+    """Texts and their wanted lines to (line_id, sim, text)."""
     by: dict[int, list[dict]] = {}
     for w in wanted.to_pylist() if wanted else []:
         by.setdefault(w["doc_id"], []).append(w)
@@ -417,8 +412,28 @@ def fetch(texts, wanted):
                 if w["line"] < len(lines):
                     raw.append(lines[w["line"]])
                     out.append(w)
-        found = [(w["line_id"], w["sim"], w["bands"], w["kinds"], line) for w, line in zip(out, normal_lines(raw)) if low_half(line) == w["h1"]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.string()))], ["line_id", "sim", "bands", "kinds", "text"])
+        found = [(w["line_id"], w["sim"], line) for w, line in zip(out, normal_lines(raw)) if low_half(line) == w["h1"]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["line_id", "sim", "text"])
+
+
+def similar_groups(scratch: Scratch, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
+    """(id, component) of the line classes that are linked to another."""
+    hashes = classes.select("line_id", "sim", "bands").mapInArrow(to_blocks(width), PACKED).repartitionById(width, F.col("bucket"))
+    blocks = scratch.write(hashes.mapInArrow(partners, "block long, line_id long, leader long"))
+    wanted = classes.join(blocks.select("line_id").distinct(), "line_id").select("first.doc_id", "first.line", "line_id", "sim", "h1")
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    lines = beside(texts, wanted, width, fetch, "line_id long, sim long, text string").dropDuplicates(["line_id"])  # rows may share an id
+    lines = scratch.write(lines)
+
+    stars = blocks.where("line_id <> leader").select("leader", "line_id").distinct()
+    stars = stars.join(lines.select(F.col("line_id").alias("leader"), F.col("text").alias("one")), "leader").join(lines.select("line_id", F.col("text").alias("other")), "line_id")
+    first = components(scratch, stars.select("leader", "line_id", "one", "other").mapInArrow(linked, "src long, dst long"))
+    told = blocks.select("block", "line_id").join(first, F.col("line_id") == F.col("id"), "left").select("block", "line_id", F.coalesce("component", "line_id").alias("label"))
+    told = scratch.write(told)
+    mixed = told.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block")
+    mixed = told.join(mixed, "block").join(lines, "line_id").select("block", "line_id", "label", "sim", "text")
+    more = mixed.mapInArrow(send_mixed(width), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(verified, "src long, dst long")
+    return components(scratch, first.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
 
 def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
@@ -428,14 +443,7 @@ def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
     classes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
     classes = scratch.write(classes.withColumn("line_id", F.monotonically_increasing_id()))
 
-    hashes = classes.select("line_id", "sim", "bands").mapInArrow(to_blocks(width, False), PACKED).repartitionById(width, F.col("bucket"))
-    wanted = hashes.mapInArrow(partners, "line_id long, kinds long").groupBy("line_id").agg(F.bit_or("kinds").alias("kinds"))
-    wanted = classes.join(wanted, "line_id").select("first.doc_id", "first.line", "line_id", "sim", "bands", "kinds", "h1")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = beside(texts, wanted, width, fetch, "line_id long, sim long, bands binary, kinds long, text string")
-    edges = texts.mapInArrow(to_blocks(width, True), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(verified, "src long, dst long")
-    groups = components(scratch, edges)
-
+    groups = similar_groups(scratch, docs, classes, width)
     named = classes.select("h1", "h2", "first", "copies", "line_id").join(groups, F.col("line_id") == F.col("id"), "left").where("copies > 1 or component is not null")
     keepers = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
     decided = named.join(keepers, "component", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
