@@ -230,6 +230,16 @@ class Coder:
         return out
 
 
+WARM: dict[str, Coder] = {}
+
+
+def warm(vocabulary: str) -> Coder:
+    """This worker process' coder of a vocabulary, which keeps what it has learnt between batches and tasks."""
+    if vocabulary not in WARM:
+        WARM[vocabulary] = Coder(vocabulary)
+    return WARM[vocabulary]
+
+
 def encoded(docs: DataFrame, vocabulary: str = MULTI) -> DataFrame:
     """(doc_id, ids, decoded) of every whole text."""
     return _run(docs, vocabulary, "doc_id long, ids array<int>, decoded string", lambda coder, ids, text: (ids, text))
@@ -240,10 +250,8 @@ def _run(docs: DataFrame, vocabulary: str, schema: str, result) -> DataFrame:
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
     types = [kinds[c.split()[1]] for c in schema.split(", ")]
 
-    held = docs.sparkSession.sparkContext.broadcast({})  # each worker process keeps its warm coder in its own copy
-
     def run(batches):
-        coder = held.value.get("coder") or held.value.setdefault("coder", Coder(vocabulary))
+        coder = warm(vocabulary)
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)

@@ -9,17 +9,22 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir, or the checkpoint folder a test session set itself."""
+    """The folder every executor sees: spark.checkpoint.dir, or the checkpoint folder the session was given.
+
+    Without either there is none: a folder of this machine would lose rows on a cluster.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         if held.isDefined():
             path = held.get()
-        else:
+        elif spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
             import tempfile
 
-            path = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+            path = "file://" + tempfile.mkdtemp(prefix="checkpoint-")  # one process, so its disk is everyone's
             spark.sparkContext.setCheckpointDir(path)
+        else:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     return path.rstrip("/")
 
 

@@ -50,7 +50,7 @@ FAR = 20
 KINDS = len(PAIRS) + WORD_BANDS + CHAR_BANDS
 REACH = [DISTANCE] * len(PAIRS) + [FAR] * WORD_BANDS + [64] * CHAR_BANDS  # SimHash bits between candidates, by kind
 MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, CHAR_ROWS * CHAR_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
-BAG = 256
+BAG = 1024
 
 
 def words_of(lines: pa.Array) -> pa.Array:
@@ -254,8 +254,12 @@ def partners(batches):
         yield pa.RecordBatch.from_arrays([pa.array(key | kind << 32), pa.array(ids), pa.array(leader)], ["block", "line_id", "leader"])
 
 
-def edit_distance(a: str, b: str) -> int:
-    """Levenshtein distance, a column of the table at a time as bits of one integer."""
+def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
+    """Levenshtein distance, a column of the table at a time as bits of one integer; past ``most`` any larger number.
+
+    A column's values are the column's number and the sum of the steps below; as they differ by one at most between
+    rows, some rows tell whether every way through the column is already too long.
+    """
     if len(a) > len(b):
         a, b = b, a
     if not a:
@@ -265,13 +269,18 @@ def edit_distance(a: str, b: str) -> int:
         at[c] = at.get(c, 0) | 1 << i
     mask, top, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
     up, down = mask, 0
-    for c in b:
+    for column, c in enumerate(b, 1):
         same = at.get(c, 0)
         zero = (((same & up) + up) ^ up) | same | down
         plus, minus = down | ~(zero | up) & mask, zero & up
         score += 1 if plus & top else -1 if minus & top else 0
         plus, minus = plus << 1 | 1, minus << 1
         up, down = (minus | ~(zero | plus)) & mask, plus & zero & mask
+        if column % 32 == 0 and column > most:
+            reach, step = int(most), max(4, int(most) // 6)
+            rows = range(max(0, column - reach), min(len(a), column + reach) + step, step)
+            if all(column + (up & (1 << r) - 1).bit_count() - (down & (1 << r) - 1).bit_count() - step > most for r in rows):
+                return len(b) + len(a)
     return score
 
 
@@ -284,7 +293,7 @@ def common_start(a: str, b: str) -> int:
 
 
 def gaps(x: list[str], y: list[str], room: float) -> float:
-    """Letters to change at most, if words that stand once in either text stay: an upper bound of the edit distance."""
+    """Letters to change at most, if words that stand once in both texts stay: an upper bound of the edit distance."""
     once = {w: i for i, w in enumerate(y)}
     twice = {w for w, n in Counter(y).items() if n > 1} | {w for w, n in Counter(x).items() if n > 1}
     cost, i, j = 0, 0, 0
@@ -313,25 +322,32 @@ def alike(a: str, b: str) -> bool:
     x, y = a.split(" "), b.split(" ")  # word for word is one way to edit
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= room:
         return True
-    return gaps(x, y, room) <= room or edit_distance(a, b) <= room
+    return gaps(x, y, room) <= room or edit_distance(a, b, room) <= room
 
 
-def bags_of(texts: list[str]) -> np.ndarray:
-    """How often each text has each letter pair, pairs hashed to BAG numbers."""
-    out = np.zeros((len(texts), BAG), np.int32)
-    for i, text in enumerate(texts):
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-        out[i] = np.bincount((c[:-1] * np.uint32(37) + c[1:]) & np.uint32(BAG - 1), minlength=BAG)
-    return out
+class Bags:
+    """How often each text has each letter pair, pairs hashed to BAG numbers; counted when first asked for."""
+
+    def __init__(self, texts: list[str]):
+        self.texts, self.place, self.held, self.size = texts, np.full(len(texts), -1), np.zeros((64, BAG), np.int16), 0
+
+    def of(self, which: np.ndarray) -> np.ndarray:
+        for i in np.unique(which[self.place[which] < 0]).tolist():
+            if self.size == len(self.held):
+                self.held = np.concatenate([self.held, np.zeros_like(self.held)])
+            c = np.frombuffer(self.texts[i].encode("utf-32-le", "surrogatepass"), "<u4")
+            self.held[self.size] = np.minimum(np.bincount((c[:-1] * np.uint32(37) + c[1:]) & np.uint32(BAG - 1), minlength=BAG), 32767)
+            self.place[i], self.size = self.size, self.size + 1
+        return self.held[self.place[which]].astype(np.int32)
 
 
-def may_be_alike(sizes: np.ndarray, bags: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def may_be_alike(sizes: np.ndarray, bags: Bags, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """False only where the lengths or the letter pairs rule the similarity out: an edit changes two pairs at most."""
     room = np.maximum(sizes[i], sizes[j]) * (1 - SIMILARITY) + 1e-9
     may = np.abs(sizes[i] - sizes[j]) <= room
     at = np.flatnonzero(may)
     for some in np.array_split(at, -(-len(at) // 2048)) if len(at) else []:
-        apart = bags[i[some]] - bags[j[some]]
+        apart = bags.of(i[some]) - bags.of(j[some])
         may[some] = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= 2 * room[some]
     return may
 
@@ -379,7 +395,7 @@ def verified(batches):
             x = root[x]
         return x
 
-    sizes, bags = np.array([len(t) for t in texts]), bags_of(texts)
+    sizes, bags = np.array([len(t) for t in texts]), Bags(texts)
     reach = np.array(REACH)[block >> 32]
     for left, right in close_pairs(block, sim, 64):
         apart = (label[at[left]] != label[at[right]]) & (np.bitwise_count(sim[left] ^ sim[right]) <= reach[left])
@@ -425,8 +441,11 @@ def similar_groups(scratch: Scratch, docs: DataFrame, classes: DataFrame, width:
     lines = beside(texts, wanted, width, fetch, "line_id long, sim long, text string").dropDuplicates(["line_id"])  # rows may share an id
     lines = scratch.write(lines)
 
-    stars = blocks.where("line_id <> leader").select("leader", "line_id").distinct()
-    stars = stars.join(lines.select(F.col("line_id").alias("leader"), F.col("text").alias("one")), "leader").join(lines.select("line_id", F.col("text").alias("other")), "line_id")
+    reach = F.element_at(F.array(*[F.lit(r) for r in REACH]), (F.shiftright("block", 32) + 1).cast("int"))
+    stars = blocks.where("line_id <> leader").groupBy("leader", "line_id").agg(F.max(reach).alias("reach"))
+    stars = stars.join(lines.select(F.col("line_id").alias("leader"), F.col("text").alias("one"), F.col("sim").alias("sim1")), "leader").join(lines.select("line_id", F.col("text").alias("other"), "sim"), "line_id")
+    long, short = F.greatest(F.length("one"), F.length("other")), F.least(F.length("one"), F.length("other"))
+    stars = stars.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("sim1"))) <= F.col("reach")) & (long - short <= long * (1 - SIMILARITY) + 1e-9))
     first = components(scratch, stars.select("leader", "line_id", "one", "other").mapInArrow(linked, "src long, dst long"))
     told = blocks.select("block", "line_id").join(first, F.col("line_id") == F.col("id"), "left").select("block", "line_id", F.coalesce("component", "line_id").alias("label"))
     told = scratch.write(told)

@@ -29,7 +29,7 @@ FACTOR = 0.8
 K = 5
 LEAF = 48
 SHARDS = 0.14  # times the root of the number of vectors
-QUERY_BLOCK = 8192
+QUERY_BLOCK = 65536  # queries that walk a shard's tree together; a shard's vectors are sent once for each block
 
 
 class VantageTree:

@@ -420,7 +420,27 @@ def test_vp_search(spark, points):
     assert vp_search.nearest(spark, vectors(spark, points).where("vec_id < 0"), "true").count() == 0
 
 
-def test_metric_join(spark, points):
+def test_vp_recall(spark):
+    """The shipped factor finds at least 0.9 of the neighbours, on vectors spread evenly and in clusters."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(1500, 64)), np.repeat(rng.normal(size=(50, 64)), 20, axis=0) + rng.normal(scale=0.3, size=(1000, 64))]).astype(np.float32).astype(float)
+    got = vp_search.nearest(spark, vectors(spark, list(enumerate(x))), "vec_id % 50 = 0").collect()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, len(u), 50):
+        score = u @ u[q]
+        score[q] = -2
+        hits += len(set(np.argsort(-score)[:5].tolist()) & {r.vec_id for r in got if r.query_id == q})
+    assert hits >= 0.9 * 5 * (len(u) // 50)
+
+
+@pytest.fixture(params=[64, metric_join.CROWD])
+def crowd(request, monkeypatch):
+    monkeypatch.setattr(metric_join, "CROWD", request.param)
+    return request.param
+
+
+def test_metric_join(spark, points, crowd):
     got = {r.vec_id: r for r in metric_join.near_duplicates(spark, vectors(spark, points)).collect()}
     held = sound(points)
     ids = sorted(held)
