@@ -7,8 +7,18 @@ from pyspark.sql import functions as F
 
 # Fixed values of the domain.
 LEGAL_SUFFIXES = ["incorporated", "corporation", "company", "limited", "corp", "inc", "llc", "llp", "ltd", "pllc", "plc", "co", "lp", "pc"]
-SUMMARY_PATTERNS = [r"^total", r"grand total", r"sub-?total", r"^sum\b", r"summary", r"total for", r"^net\b"]
-HEADER_SYNONYMS = {"group": "company", "client": "company", "organization": "company", "customer": "company", "premium": "amount", "invoice": "amount", "payment": "amount"}
+HEADER_SYNONYMS = {"group": "company", "client": "company", "organization": "company", "plan": "policy", "earned": "commission", "paid": "payment", "no": "number", "adj": "adjustment"}
+GRAND_TOTAL_IDENTIFIERS = ["group id", "client", "company", "policy", "member", "subscriber", "agent", "producer", "group name"]
+GRAND_TOTAL_AMOUNTS = ["total", "commission", "amount", "paid", "invoice", "premium"]
+SUMMARY_KEYWORDS = ["total", "subtotal", "grand total", "net total", "overall total", "sum"]
+SUMMARY_PHRASES = {r"\btotal\s+for\s+vendor\b": 0.4, r"\btotal\s+for\s+group\b": 0.4, r"\btotal\s+for\s+(carrier|company|broker)\b": 0.4, r"\btotal\s+for\b": 0.35, r"\bcommission\s+total\b": 0.35, r"\bnet\s+(payment|commission)\b": 0.32, r"\bgrand\s+total\b": 0.35, r"\bstatement\s+total\b": 0.35, r"\btotal\s+commission\s+payment\b": 0.35}
+SUMMARY_ROWS = [r"\btotal\s+for\b", r"\bgrand\s+total\b", r"\bnet\s+(?:payment|commission)\b", r"\bsummary\b", r"\bcommission\s+total\b", r"\bwriting\s+agent\b", r"\bplan\s+summary\b"]
+NAME_SUFFIXES = ["llc", "l l c", "ll", "limited liability company", "limited liability co", "inc", "incorporated", "corporation", "corp", "cor", "ltd", "limited", "co", "company", "pllc", "p l l c", "professional llc", "llp", "l l p", "limited liability partnership", "lp", "l p", "limited partnership"]
+COLUMN_TERMS = ["consultant", "due", "this", "period", "commission", "earned", "paid", "amount"]
+COLUMNS_WITHOUT_SUBSTITUTE = ["consultant due this period", "consultant due", "consultant paid"]
+NEVER_SUBSTITUTES = ["consultant due", "consultant paid", "consultant", "due", "consultant due this period"]
+COMMISSION_COLUMNS = {"commission earned": 8, "commission amount": 7, "commission paid": 6, "total commission": 6, "net commission": 5, "net payment": 4, "payment amount": 4, "paid amount": 3, "paid amt": 3, "total payment": 3, "commission": 1}
+NOT_COMMISSION_COLUMNS = ["commissionable", "rate", "percentage", "percent", "comm rate", "comm. rate"]
 NUMBER = r"^[+-]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?$"
 
 
@@ -66,6 +76,54 @@ def amount_approval(c: Column) -> Column:
     return number(F.when(t.rlike(r"^\(.*\)$"), F.concat(F.lit("-"), F.regexp_replace(t, r"[()]", ""))).otherwise(t))
 
 
+def amount_dollar(c: Column) -> Column:
+    """Parentheses negate whatever sign is inside; null where nothing fits."""
+    t = strip(F.regexp_replace(c, r"[$,]", ""))
+    paren = t.rlike(r"^\(.*\)$")
+    value = number(F.when(paren, F.regexp_replace(t, r"^\(|\)$", "")).otherwise(t))
+    return F.when(paren, -value).otherwise(value)
+
+
+def amount_textual(c: Column) -> Column:
+    """An opening parenthesis becomes a minus sign by text, so two signs make no number."""
+    return number(strip(F.regexp_replace(F.regexp_replace(c, r"[$,)]", ""), r"\(", "-")))
+
+
+def value_pattern(c: Column) -> Column:
+    """The pattern that a column's first value suggests, null for free text."""
+    money, percent, phone, ssn = r"^\$?\d{1,3}(,\d{3})*(\.\d{2})?$", r"^\d+(\.\d+)?%$", r"^\d{3}-\d{3}-\d{4}$", r"^\d{3}-\d{2}-\d{4}$"
+    out = F.when(c.rlike(r"^\d{1,2}/\d{1,2}/\d{2,4}"), r"\d{1,2}/\d{1,2}/\d{2,4}")
+    for p in (money, percent, phone, ssn):
+        out = out.when(c.rlike(p), p)
+    return out
+
+
+def is_date(c: Column) -> Column:
+    """True if some layout, month or day first, makes the text a date that exists."""
+    layouts = ("MM/dd/yyyy", "dd/MM/yyyy", "MM/dd/yy", "dd/MM/yy", "yyyy-MM-dd", "MM-dd-yyyy", "dd-MM-yyyy")
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(x)) for x in layouts]).isNotNull()
+
+
+def month_of_record(json: Column, clock: Column) -> Column:
+    """yyyy-MM of a JSON date record: its year and month, else its date, else its value, else the clock's."""
+    at = lambda k: F.get_json_object(json, f"$.{k}")
+    whole = F.format_string("%s-%02d", at("year"), at("month").cast("int"))
+    iso = F.coalesce(at("date"), at("value")).try_cast("timestamp_ntz")
+    return F.when(at("year").isNotNull() & at("month").isNotNull(), whole).when(iso.isNotNull(), F.date_format(iso, "yyyy-MM")).otherwise(F.date_format(clock, "yyyy-MM"))
+
+
+def progress_summary(step: Column, count: Column) -> Column:
+    n = count.cast("string")
+    return (
+        F.when(step == "upload", "File uploaded, ready for processing")
+        .when(step == "table_editor", F.concat(F.lit("Tables extracted, ready for editing ("), n, F.lit(" tables)")))
+        .when(step == "field_mapper", F.concat(F.lit("Tables edited, ready for field mapping ("), n, F.lit(" fields mapped)")))
+        .when(step == "dashboard", "Field mapping completed, ready for review")
+        .when(step == "completed", "Processing completed")
+        .otherwise(F.concat(F.lit("At step: "), step))
+    )
+
+
 def bracket_rewrite(c: Column) -> Column:
     """Accounting brackets as a signed amount: (1,234.5) becomes -$1234.5; other text stays."""
     m = F.regexp_extract(c, r"^\s*\$?\(\s*\$?([0-9][0-9,]*\.?[0-9]*)\s*\)", 1)
@@ -110,11 +168,18 @@ def header(c: Column) -> Column:
 
 
 def header_canonical(c: Column) -> Column:
-    """Lower-case header with synonyms replaced one after another."""
-    out = strip(F.regexp_replace(F.lower(c), r"[^a-z0-9\s.]", " "))
+    """Lower-case header with synonyms replaced one after another, then without punctuation."""
+    out = strip(F.lower(c))
     for word, to in HEADER_SYNONYMS.items():
         out = F.regexp_replace(out, rf"\b{word}\b", to)
-    return out
+    return strip(F.regexp_replace(F.regexp_replace(out, r"[^\w\s]", ""), r"\s+", " "))
+
+
+def match_name(c: Column) -> Column:
+    """The name companies are matched by: lower case, some punctuation as blanks, the longest legal suffix off, spaced or glued."""
+    t = strip(F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"[,._-]", " "), r"\s+", " "))
+    longest = "|".join(sorted(NAME_SUFFIXES, key=lambda x: (-len(x), x)))
+    return strip(F.regexp_replace(t, rf"(?<=\S)\s?(?:{longest})$", ""))
 
 
 def core_name(c: Column) -> Column:
@@ -125,13 +190,101 @@ def core_name(c: Column) -> Column:
 
 
 def name_similarity(a: Column, b: Column) -> Column:
-    """One for equal core names, else 0.4 edit similarity, 0.5 word overlap and 0.1 for the same first word."""
+    """Similarity of two match names: one if equal, with or without blanks; steps for cut-off names; else a mix.
+
+    The mix is 0.4 edit similarity, 0.5 word overlap, and a tenth of 0.3 or 0.2 if one name is a short form.
+    """
+    first = F.length(a) > F.length(b)
+    longer, shorter = F.when(first, a).otherwise(b), F.when(first, b).otherwise(a)
+    less = F.length(longer) - F.length(shorter)
+    wl, ws = F.split(longer, " "), F.split(shorter, " ")
+    fewer = F.size(F.split(a, " ")) > F.size(F.split(b, " "))
+    wa, wb = F.when(fewer, F.split(a, " ")).otherwise(F.split(b, " ")), F.when(fewer, F.split(b, " ")).otherwise(F.split(a, " "))
+    begins = F.forall(F.zip_with(F.slice(wa, F.lit(1), F.size(wb)), wb, lambda x, y: x.startswith(y)), lambda x: x)
+    some = (F.length(shorter) > 0)
+    cut = some & longer.startswith(shorter)
     longest = F.greatest(F.length(a), F.length(b))
-    edit = F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein(a, b) / longest)
-    wa, wb = F.split(a, " "), F.split(b, " ")
     words = F.size(F.array_intersect(wa, wb)) / F.size(F.array_union(wa, wb))
-    first = F.when(wa[0] == wb[0], 1.0).otherwise(0.0)
-    return F.when(a == b, 1.0).otherwise(0.4 * edit + 0.5 * words + 0.1 * first)
+    plain = lambda x: F.regexp_replace(x, r" (llc|inc|corp|ltd|co|lp|llp|pllc)$", "")
+    boost = F.when(longer.startswith(shorter) & (less <= 4), 0.3).when(plain(longer).contains(plain(shorter)), 0.2).otherwise(0.0)
+    return (
+        F.when(a == b, 1.0)
+        .when(cut & (less <= 3), 0.98)
+        .when(cut & (less <= 10) & (F.length(shorter) >= 10), 0.95)
+        .when(cut & (less <= 20) & (F.length(shorter) >= 15) & (F.size(ws) == F.size(wl) - 1), 0.90)
+        .when(some & (F.replace(a, F.lit(" "), F.lit("")) == F.replace(b, F.lit(" "), F.lit(""))), 1.0)
+        .when(some & begins & (F.size(wb) >= 2), 0.92)
+        .otherwise((1 - F.levenshtein(a, b) / longest) * 0.4 + words * 0.5 + boost * 0.1)
+    )
+
+
+def clean_client(c: Column) -> Column:
+    """A client name without a state code and its number; the first family of codes that occurs is the one removed."""
+    t = strip(c)
+    out = t
+    for n in (1, 2, 3, 4, 5):
+        found = rf"\s+[A-Z]{{2}}\d{{{n}}}\s*"
+        out = F.when(t.rlike(found), strip(F.regexp_replace(t, found, " "))).otherwise(out)
+    return out
+
+
+def similar_column(target: str, header: Column) -> Column:
+    """The header that stands for ``target``: equal, equal but for case, else at least two shared terms, first best."""
+    same = F.filter(header, lambda h: F.lower(h) == target.lower())
+    exact = F.when(F.array_contains(header, target), F.lit(target)).otherwise(F.get(same, F.lit(0)))
+    if target.lower().strip() in COLUMNS_WITHOUT_SUBSTITUTE:
+        return exact
+    joined = target.lower().replace(" ", "").replace("_", "")
+    terms = [t for t in COLUMN_TERMS if t in joined]
+
+    def score(h: Column) -> Column:
+        n = F.regexp_replace(F.lower(h), r"[ _]", "")
+        hits = sum((n.contains(t).cast("int") for t in terms), F.lit(0))
+        key = n.contains("commission") | n.contains("due") | n.contains("earned") | n.contains("paid")
+        return F.when(key & ~F.lower(strip(h)).isin(NEVER_SUBSTITUTES), hits).otherwise(0)
+
+    scores = F.transform(header, score)
+    best = F.array_max(scores)
+    return F.coalesce(exact, F.when(best >= 2, F.element_at(header, F.array_position(scores, best).cast("int"))))
+
+
+def commission_column(header: Column) -> Column:
+    """Position of the commission column: the heaviest term, leftmost of equals; null if no header has one."""
+
+    def weight(h: Column) -> Column:
+        t = F.lower(h)
+        out = F.lit(0)
+        for term, w in sorted(COMMISSION_COLUMNS.items(), key=lambda x: x[1]):
+            out = F.when(t.contains(term), w).otherwise(out)
+        barred = F.lit(False)
+        for term in NOT_COMMISSION_COLUMNS:
+            barred = barred | t.contains(term)
+        return F.when(barred, 0).otherwise(out)
+
+    weights = F.transform(header, weight)
+    return F.when(F.array_max(weights) > 0, F.array_position(weights, F.array_max(weights)) - 1)
+
+
+def filled(c: Column) -> Column:
+    return strip(F.coalesce(c, F.lit(""))) != ""
+
+
+def is_numeric_cell(c: Column) -> Column:
+    t = F.regexp_replace(strip(c), r"[,$]", "")
+    return F.coalesce(number(F.regexp_replace(t, r"^\((.*)\)$", "$1")), F.lit(None).cast("double")).isNotNull()
+
+
+def row_is_summary(cells: Column) -> Column:
+    """Rows that read like totals: a phrase, few cells with a keyword, or amounts without identifiers."""
+    text = F.array_join(F.filter(F.transform(cells, lambda x: F.lower(strip(x))), lambda x: x != ""), " ")
+    n, numeric = F.size(F.filter(cells, filled)), F.size(F.filter(cells, is_numeric_cell))
+    phrase = F.lit(False)
+    for pattern in SUMMARY_ROWS:
+        phrase = phrase | text.rlike(pattern)
+    phrase = phrase | (F.size(F.split(text, "total", -1)) > 2)
+    words = text.contains("total") | text.contains("vendor") | text.contains("summary") | text.contains("plan")
+    blank = ~F.exists(F.slice(cells, 1, 2), filled)
+    return (n > 0) & (phrase | ((n <= 3) & text.contains("total")) | ((n <= 4) & (numeric <= 2) & words) | ((n <= 5) & blank & (numeric >= 1)))
 
 
 def value_type(c: Column) -> Column:
@@ -147,13 +300,6 @@ def value_type(c: Column) -> Column:
     )
 
 
-def looks_like_summary(c: Column) -> Column:
-    out = F.lit(False)
-    for p in SUMMARY_PATTERNS:
-        out = out | F.lower(strip(c)).rlike(p)
-    return out
-
-
 def pad_row(cells: Column, width: int | Column) -> Column:
     """A row cut or filled with blanks to the header's width, nulls blank."""
     full = F.concat(F.transform(cells, lambda x: F.coalesce(x, F.lit(""))), F.array_repeat(F.lit(""), F.lit(width)))

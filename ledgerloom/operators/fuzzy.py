@@ -1,53 +1,109 @@
-"""Name matching inside blocks."""
+"""Name matching: candidates by keys that every pair alike enough must share, then the measure itself."""
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
 
+def with_folder(spark) -> None:
+    """Checkpoints go to the folder that the cluster names; in one process without any, to a temporary one."""
+    context = spark.sparkContext
+    if context._jsc.sc().getCheckpointDir().isDefined():
+        return
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        import tempfile
+
+        folder = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
+    context.setCheckpointDir(folder)
+
+
 def similar_pairs(names: DataFrame, also: list[str], least: float) -> DataFrame:
-    """(a, b): names in the same block (first three letters and ``also``) whose edit similarity is at least ``least``."""
-    n = names.withColumn("block", F.substring(F.lower("name"), 1, 3))
-    left = n.select("block", *also, F.col("id").alias("i"), F.col("name").alias("a"))
-    right = n.select("block", *also, F.col("id").alias("j"), F.col("name").alias("b"))
-    near = 1 - F.levenshtein(F.lower("a"), F.lower("b")) / F.greatest(F.length("a"), F.length("b"))
-    return left.join(right, ["block", *also]).where((F.col("i") < F.col("j")) & (near >= least))
+    """(a, b): names equal in ``also`` and their first three letters whose edit similarity is at least ``least``.
+
+    Names within k edits are equal after deleting at most k letters each, so the join is on what is left
+    after deletions. ``least`` must leave at most two edits at the longest name.
+    """
+    n = names.withColumn("low", F.lower("name")).withColumn("block", F.substring("low", 1, 3))
+    longest = n.agg(F.max(F.length("low"))).first()[0] or 0
+    k = int((1 - least) * longest + 1e-9)
+    if k > 2:
+        raise ValueError("too many edits for deletion keys")
+    keys = F.array("low")
+    for _ in range(k):
+        keys = F.array_distinct(F.concat(keys, F.flatten(F.transform(keys, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))))))
+    keyed = n.select("block", *also, "id", "name", "low", F.explode(keys).alias("key"))
+    left = keyed.select("block", *also, "key", F.col("id").alias("i"), F.col("name").alias("a"), F.col("low").alias("x"))
+    right = keyed.select("block", *also, "key", F.col("id").alias("j"), F.col("name").alias("b"), F.col("low").alias("y"))
+    near = 1 - F.levenshtein("x", "y") / F.greatest(F.length("x"), F.length("y"))
+    return left.join(right, ["block", *also, "key"]).where((F.col("i") < F.col("j")) & (near >= least)).select("i", "j", "a", "b").distinct()
+
+
+def alike_names(cores: DataFrame, least: float = 0.85) -> DataFrame:
+    """(i, j): distinct match names, by number, of one block (first three letters) with similarity of at least ``least``.
+
+    Every step of the measure that reaches 0.85 leaves an equal key: a cut-off name is a prefix, a glued
+    name is equal without blanks, shortened words begin the first two words, and the mix needs five words
+    in six to be the same, so the rarest word is shared up to five words and one of the two rarest beyond.
+    """
+    if least < 0.85:
+        raise ValueError("keys are complete from 0.85 on")
+    words = F.split("core", " ")
+    rare = cores.select(F.explode(F.array_distinct(words)).alias("word")).groupBy("word").agg(F.count("*").alias("df"))
+    of = cores.select("n", F.explode(F.array_distinct(words)).alias("word")).join(rare, "word").groupBy("n").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+    size = F.size("w")
+    some = F.slice("w", F.lit(1), F.greatest(F.lit(1), size - F.ceil(size * F.lit(0.84)).cast("int") + 1))
+    tokens = of.select("n", F.explode(F.transform(some, lambda x: F.concat(F.lit("w:"), x["word"]))).alias("key"))
+
+    def starts(c: Column, least_length: Column) -> Column:
+        return F.transform(F.sequence(F.greatest(F.lit(1), least_length), F.length(c)), lambda i: F.substring(c, F.lit(1), i))
+
+    glued = cores.select("n", F.concat(F.lit("g:"), F.replace("core", F.lit(" "), F.lit(""))).alias("key"))
+    whole = cores.select("n", F.concat(F.lit("p:"), "core").alias("key"))
+    cut = cores.where(F.length("core") > 0).select("n", F.explode(F.transform(starts(F.col("core"), F.length("core") - 20), lambda x: F.concat(F.lit("p:"), x))).alias("key"))
+    two = cores.where(F.size(words) >= 2).select("n", words[0].alias("a"), words[1].alias("b"))
+    pair = lambda a, b: F.concat(F.lit("s:"), a, F.lit(" "), b)
+    short = two.select("n", pair(F.col("a"), F.col("b")).alias("key"))
+    grown = two.where((F.length("a") > 0) & (F.length("b") > 0)).select("n", F.explode(F.flatten(F.transform(starts(F.col("a"), F.lit(1)), lambda a: F.transform(starts(F.col("b"), F.lit(1)), lambda b: pair(a, b))))).alias("key"))
+
+    def met(left: DataFrame, right: DataFrame) -> DataFrame:
+        both = left.join(right.withColumnRenamed("n", "m"), "key").where("n <> m")
+        return both.select(F.least("n", "m").alias("i"), F.greatest("n", "m").alias("j"))
+
+    pairs = met(tokens, tokens).unionByName(met(glued, glued)).unionByName(met(whole, cut)).unionByName(met(short, grown)).distinct()
+    one, other = cores.select(F.col("n").alias("i"), F.col("core").alias("x")), cores.select(F.col("n").alias("j"), F.col("core").alias("y"))
+    both = pairs.join(one, "i").join(other, "j").where(F.substring("x", 1, 3) == F.substring("y", 1, 3))
+    return both.where(S.name_similarity(F.col("x"), F.col("y")) >= least).select("i", "j")
 
 
-def greedy_groups(names: DataFrame, least: float) -> DataFrame:
-    """(id, core, leader): each name joins the first leader of its block that is similar enough, else leads.
+def greedy_groups(names: DataFrame, least: float = 0.85, rounds: int = 100) -> DataFrame:
+    """(id, core, leader): each name joins the first leader, by smallest id of its core name, that is similar enough, else leads.
 
-    Greedy and order-dependent by definition; blocks are the first three letters of the core name and
-    equal core names are one, so a block holds distinct names only.
+    Greedy and order-dependent by definition. In each round the names without an undecided earlier
+    neighbour lead and their later neighbours are settled, so rounds follow chains, not the number of names.
     """
-    cores = names.select("id", S.core_name(F.col("name")).alias("core"))
-    distinct = cores.groupBy("core").agg(F.min("id").alias("first")).withColumn("block", F.substring("core", 1, 3))
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        def similarity(a: str, b: str) -> float:
-            x, y = set(a.split()), set(b.split())
-            row = list(range(len(b) + 1))
-            for i, c in enumerate(a, 1):
-                new = [i]
-                for j, d in enumerate(b, 1):
-                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
-                row = new
-            edit = 1 - row[-1] / max(len(a), len(b), 1)
-            return 0.4 * edit + 0.5 * len(x & y) / max(len(x | y), 1) + 0.1 * (a.split()[:1] == b.split()[:1])
-
-        leaders: list[str] = []
-        out = []
-        for core in sorted(pdf["core"]):
-            found = next((x for x in leaders if x == core or similarity(x, core) >= least), None)
-            if found is None:
-                leaders.append(core)
-                found = core
-            out.append((core, found))
-        return pd.DataFrame(out, columns=["core", "leader"])
-
-    led = distinct.select("block", "core").groupBy("block").applyInPandas(group, "core string, leader string")
-    return cores.join(led, "core").select("id", "core", "leader")
+    cores = names.select("id", S.match_name(F.col("name")).alias("core"))
+    distinct = cores.groupBy("core").agg(F.min("id").alias("n"))
+    with_folder(names.sparkSession)
+    edges = alike_names(distinct, least).checkpoint()
+    state = distinct.select("n").withColumn("role", F.lit(None).cast("boolean"))  # true leads, false has a leader
+    for _ in range(rounds):
+        state = state.checkpoint()
+        open_ = state.where("role is null").select("n")
+        if open_.isEmpty():
+            break
+        waits = edges.join(open_.withColumnRenamed("n", "i"), "i", "left_semi").select(F.col("j").alias("n")).distinct().withColumn("waits", F.lit(True))
+        led = edges.join(state.where("role").select(F.col("n").alias("i")), "i", "left_semi").select(F.col("j").alias("n")).distinct().withColumn("led", F.lit(True))
+        state = state.join(led, "n", "left").join(waits, "n", "left")
+        state = state.select("n", F.when(F.col("role").isNotNull(), F.col("role")).when(F.col("led"), False).when(F.col("waits").isNull(), True).alias("role"))
+    else:
+        raise RuntimeError("greedy_groups: not settled")
+    first = edges.join(state.where("role").select(F.col("n").alias("i")), "i").groupBy(F.col("j").alias("n")).agg(F.min("i").alias("l"))
+    led = state.join(first, "n", "left").select("n", F.when(F.col("role"), F.col("n")).otherwise(F.col("l")).alias("l"))
+    named = led.join(distinct.select("n", "core"), "n").join(distinct.select(F.col("n").alias("l"), F.col("core").alias("leader")), "l").select("core", "leader")
+    return cores.join(named, "core").select("id", "core", "leader")

@@ -85,3 +85,11 @@ def upsert(target: DataFrame, changes: DataFrame, key: list[str], order: str) ->
     """Insert or overwrite by key; of several changes to a key the last by ``order`` counts."""
     last = changes.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
     return target.join(last, key, "left_anti").unionByName(last.select(target.columns))
+
+
+def add_rows(entries: DataFrame) -> DataFrame:
+    """The row-by-row path as one grouping: amounts add, an invoice of zero changes nothing, every row counts."""
+    return entries.groupBy(*KEY).agg(
+        F.sum("invoice").alias("invoice_total"), F.sum("commission").alias("commission_earned"), F.count("*").alias("statement_count"),
+        F.sort_array(F.collect_set("upload_id")).alias("upload_ids"), F.min("statement_date").alias("statement_date"),
+    )

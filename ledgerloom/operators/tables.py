@@ -11,10 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 
-IDENTIFIERS = ["company", "client", "group", "name", "id"]
-FINANCIAL = ["amount", "total", "commission", "premium", "rate", "paid", "due"]
-
-
 def explode_tables(uploads: DataFrame) -> DataFrame:
     """Uploads with ``tables`` (array of struct<header, rows, summaryRows>) to one row per cell row, summary rows marked."""
     t = uploads.select("upload_id", F.posexplode("tables").alias("table_idx", "t"))
@@ -35,12 +31,14 @@ def flatten(rows: DataFrame, client: str, commission: str, invoice: str) -> Data
     return out.where((F.col("commission") != 0) | (F.col("invoice") != 0))
 
 
-def is_grand_total(header: Column, n_rows: Column) -> Column:
-    """A short table without an identifier column whose headers are mostly financial."""
+def is_grand_total(header: Column, n_rows: Column, n_summary: Column) -> Column:
+    """A table that only repeats totals: no identifier column, and one row under amounts, or few rows that are all
+    summaries, or few rows under amounts with a total among the headers."""
     h = F.transform(header, lambda x: F.lower(x))
-    names = F.exists(h, lambda x: _any(x, IDENTIFIERS))
-    money = F.size(F.filter(h, lambda x: _any(x, FINANCIAL))) / F.greatest(F.size(h), F.lit(1))
-    return (n_rows <= 3) & ~names & (money >= 0.8)
+    nameless = ~F.exists(h, lambda x: _any(x, S.GRAND_TOTAL_IDENTIFIERS))
+    amounts = F.size(F.filter(h, lambda x: _any(x, S.GRAND_TOTAL_AMOUNTS))) >= F.size(h) * 0.8
+    few, total = n_rows <= 3, F.exists(h, lambda x: x.contains("total"))
+    return (F.size(h) > 0) & (n_rows > 0) & nameless & (((n_rows == 1) & amounts) | ((n_summary == n_rows) & few) | (few & amounts & total))
 
 
 def _any(x: Column, words: list[str]) -> Column:
@@ -50,12 +48,15 @@ def _any(x: Column, words: list[str]) -> Column:
     return out
 
 
-def promote_last_total(rows: DataFrame, value: str) -> DataFrame:
-    """Marks a table's last row as summary if its value is the sum of the others within one unit."""
+def promote_last_total(rows: DataFrame, value: str, document_total: str) -> DataFrame:
+    """Marks a table's last row as summary if it is, to less than a unit, the sum of the other rows that are no
+    summaries, or to less than a cent the document's total; documents without a total are left alone."""
     t = Window.partitionBy("upload_id", "table_idx")
-    others = F.sum(value).over(t) - F.col(value)
     last = F.col("row_idx") == F.max("row_idx").over(t)
-    return rows.withColumn("is_summary", F.col("is_summary") | (last & (F.count("*").over(t) > 1) & (F.abs(F.col(value) - others) <= 1)))
+    others = F.coalesce(F.sum(F.when(~last & ~F.col("is_summary"), F.col(value))).over(t), F.lit(0))
+    total = F.col(document_total)
+    hit = (F.abs(F.col(value) - others) < 1) | (F.abs(F.col(value) - total) < F.lit("0.01").cast("decimal(3,2)"))
+    return rows.withColumn("is_summary", F.col("is_summary") | F.coalesce(last & (F.count("*").over(t) > 1) & (total != 0) & hit, F.lit(False)))
 
 
 def stitch(tables: DataFrame) -> DataFrame:
@@ -67,30 +68,61 @@ def stitch(tables: DataFrame) -> DataFrame:
     return t.withColumn("row_no", F.row_number().over(order) - 1).withColumn("first_table", first)
 
 
-def running_summaries(rows: DataFrame, tolerance: float = 0.0075) -> DataFrame:
-    """(upload_id, table_idx, row_idx, is_total): rows that equal the running sum since the last such row.
+def running_summaries(tables: DataFrame, tolerance: float = 0.0075) -> DataFrame:
+    """Adds ``summaries``: positions of the rows of ``rows`` (array of cells) that score as totals of the rows above.
 
-    The sum restarts at a confirmed row, so the scan is sequential inside a table and parallel over tables.
+    Amounts of every numeric column (``numeric``, positions) are summed until a row is confirmed, then the sums
+    restart; the scan is a fold over the table's own array, so no table leaves its row.
     """
-
-    def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_idx")
-        total, n, out = 0.0, 0, []
-        for v in pdf["value"]:
-            hit = n >= 2 and v != 0 and abs(v - total) <= max(abs(total) * tolerance, 0.01)
-            out.append(hit)
-            total, n = (0.0, 0) if hit else (total + v, n + 1)
-        return pd.DataFrame({"upload_id": pdf["upload_id"], "table_idx": pdf["table_idx"], "row_idx": pdf["row_idx"], "is_total": out})
-
-    return rows.select("upload_id", "table_idx", "row_idx", "value").groupBy("upload_id", "table_idx").applyInPandas(scan, "upload_id long, table_idx int, row_idx int, is_total boolean")
-
-
-def density_refined(rows: DataFrame) -> DataFrame:
-    """Row density against its table's average, with the class the refinement uses."""
-    d = F.size(F.filter("cells", lambda c: S.strip(c) != "")) / F.greatest(F.size("cells"), F.lit(1))
-    out = rows.withColumn("density", d).withColumn("mean", F.avg("density").over(Window.partitionBy("upload_id", "table_idx")))
-    r = F.col("density") / F.col("mean")
-    return out.withColumn("sparse", F.when(r < 0.5, "very").when(r < 0.7, "quite").when(r < 0.9, "slightly").otherwise("no"))
+    text = lambda cells: F.lower(F.array_join(F.filter(cells, S.filled), " "))
+
+    def features(cells: Column) -> Column:
+        blob = text(cells)
+        phrase = F.lit(0.0)
+        for pattern, weight in S.SUMMARY_PHRASES.items():
+            phrase = F.greatest(phrase, F.when(blob.rlike(pattern), weight).otherwise(0.0))
+        values = F.transform(F.col("numeric"), lambda i: S.amount_tolerant(F.get(cells, i)))
+        share = F.size(F.filter(cells, lambda c: S.amount_tolerant(c).isNotNull())) / F.greatest(F.size(F.filter(cells, S.filled)), F.lit(1))
+        words = F.size(F.filter(cells, lambda c: S.filled(c) & S.amount_tolerant(c).isNull()))
+        agent = blob.rlike(r"\bwriting\b") & blob.rlike(r"\bagent\b")
+        blank = ~F.exists(F.filter(cells, lambda c, i: ~F.array_contains(F.col("numeric"), i)), S.filled)
+        return F.struct(values.alias("v"), _any(blob, S.SUMMARY_KEYWORDS).alias("word"), phrase.alias("phrase"), agent.alias("agent"), share.alias("share"), words.alias("words"), blank.alias("blank"))
+
+    def step(state: Column, r: Column) -> Column:
+        near = lambda v, s: v.isNotNull() & (s != 0) & (F.abs(v - s) <= F.greatest(F.abs(s) * tolerance, F.lit(0.01)))
+        hits = F.size(F.filter(F.zip_with(r["v"], state["sums"], near), lambda x: x))
+        cue = r["word"] | (r["phrase"] > 0) | r["agent"] | ((r["share"] >= 0.7) & (r["words"] <= 2) & r["blank"])
+        score = F.when(r["word"], 0.2).otherwise(0.0) + r["phrase"] + F.when(r["agent"], 0.25).otherwise(0.0) + F.when(r["blank"], 0.1).otherwise(0.0) + F.when(r["share"] >= 0.8, 0.1).otherwise(0.0)
+        score = score + F.when(hits > 0, F.lit(0.45) + F.least(hits - 1, F.lit(2)) * 0.05).otherwise(0.0)
+        total = (cue | (hits > 0)) & (F.round(score, 9) >= 0.55)
+        sums = F.when(total, F.transform(state["sums"], lambda x: F.lit(0.0))).otherwise(F.zip_with(state["sums"], r["v"], lambda s, v: s + F.coalesce(v, F.lit(0.0))))
+        found = F.when(total, F.concat(state["found"], F.array(state["at"]))).otherwise(state["found"])
+        return F.struct(sums.alias("sums"), found.alias("found"), (state["at"] + 1).alias("at"))
+
+    start = F.struct(F.transform(F.col("numeric"), lambda x: F.lit(0.0)).alias("sums"), F.array().cast("array<int>").alias("found"), F.lit(0).alias("at"))
+    return tables.withColumn("summaries", F.aggregate(F.transform("rows", features), start, step, lambda s: s["found"]))
+
+
+def refined_summaries(tables: DataFrame) -> DataFrame:
+    """Replaces ``summaries`` of (header, rows, summaries): rows found by density, keyword or bare numbers, and marks kept unless plainly wrong."""
+    counts = F.transform("rows", lambda r: F.size(F.filter(r, S.filled)))
+    mean = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n) / F.size("rows")
+    middle = F.get(F.sort_array(counts), (F.size("rows") / 2).cast("int"))
+    limit = F.greatest(F.lit(2), F.ceil(F.least(mean, middle) * F.lit(0.4)))
+    width = F.when(F.size("header") > 0, F.size("header")).otherwise(F.array_max(F.transform("rows", lambda r: F.size(r))))
+
+    def stays(r: Column, i: Column) -> Column:
+        n, numeric = F.size(F.filter(r, S.filled)), F.size(F.filter(r, S.is_numeric_cell))
+        named = F.exists(F.slice(r, 1, 2), lambda c: S.filled(c) & ~S.is_numeric_cell(c))
+        bare = (n <= F.greatest(F.lit(3.0), width * 0.5)) & (numeric >= 1) & ~named & (n == numeric)
+        sparse = (n <= limit) & ~named & (numeric >= F.greatest(F.lit(1), F.ceil(width * F.lit(0.3))))
+        total = S.row_is_summary(r) | sparse | bare
+        return total | (F.array_contains("summaries", i) & ~(named & (n > limit * 1.5)))
+
+    marked = F.transform("rows", lambda r, i: F.when(stays(r, i), i))
+    everything = F.transform("rows", lambda r, i: i)
+    whole = is_grand_total(F.col("header"), F.size("rows"), F.size("summaries"))
+    return tables.withColumn("summaries", F.when(whole, everything).otherwise(F.filter(marked, lambda i: i.isNotNull())))
 
 
 def column_profile(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL."""
 
-from . import reads, statements
+from . import cells, records, reads, statements
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "reads", "statements"]
+__all__ = ["QUERIES", "SQL", "cells", "reads", "records", "statements"]

@@ -19,12 +19,13 @@ MONTH_SQL = ", ".join(f"CAST(coalesce(sum(CASE WHEN month = {i} THEN commission
   count(DISTINCT upload_id) AS statement_count FROM entries JOIN supplier ON carrier_id = s_suppkey GROUP BY client_name""")
 def companies_aggregated(spark, sf):
     """Commission by client across carriers, largest first."""
-    named = entries(spark, sf).join(carriers(spark, sf), "carrier_id")
+    e = entries(spark, sf).groupBy("client_name", "carrier_id", "month").agg(F.sum("invoice").alias("invoice"), F.sum("commission").alias("commission"), F.collect_set("upload_id").alias("uploads"))
     months = [dbl(F.coalesce(F.sum(F.when(F.col("month") == i, F.col("commission"))), F.lit(0))).alias(f"{m}_commission") for i, m in enumerate(MONTHS, 1)]
-    out = named.groupBy("client_name").agg(
+    names = carriers(spark, sf).select("carrier_id", "carrier_name")
+    out = e.join(names, "carrier_id").groupBy("client_name").agg(
         dbl(F.sum("invoice")).alias("invoice_total"), dbl(F.sum("commission")).alias("commission_earned"), *months,
-        F.countDistinct("carrier_id").alias("carrier_count"), F.array_join(F.sort_array(F.collect_set("carrier_name")), ",").alias("carrier_names"),
-        F.countDistinct("upload_id").alias("statement_count"),
+        F.size(F.collect_set("carrier_id")).cast("long").alias("carrier_count"), F.array_join(F.sort_array(F.collect_set("carrier_name")), ",").alias("carrier_names"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("uploads")))).cast("long").alias("statement_count"),
     )
     return out.orderBy(F.desc("commission_earned"), "client_name")
 
@@ -219,7 +220,8 @@ def plan_distribution(spark, sf):
 @query(f"WITH {ENTRIES_SQL}, g AS (SELECT carrier_id, CAST(sum(commission) AS DOUBLE) AS com, sum(commission) AS x FROM entries GROUP BY 1) SELECT carrier_id, com / CAST(sum(x) OVER () AS DOUBLE) * 100 AS share FROM g")
 def percent_of_total(spark, sf):
     g = entries(spark, sf).groupBy("carrier_id").agg(F.sum("commission").alias("x"))
-    return g.select("carrier_id", (dbl("x") / dbl(F.sum("x").over(Window.partitionBy())) * 100).alias("share"))
+    total = F.broadcast(g.agg(dbl(F.sum("x")).alias("t")).withColumn("one", F.lit(1)))  # one row
+    return g.withColumn("one", F.lit(1)).join(total, "one").select("carrier_id", (dbl("x") / F.col("t") * 100).alias("share"))
 
 
 @query(f"""WITH {ENTRIES_SQL}, c AS (SELECT carrier_id, client_name, sum(commission) AS com, sum(invoice) AS inv FROM entries GROUP BY 1, 2)
@@ -237,16 +239,17 @@ def commission_tiers(spark, sf):
 
 
 @query(f"""WITH {ENTRIES_SQL}, m AS (SELECT carrier_id, month, CAST(sum(commission) AS DOUBLE) AS v, sum(commission) AS x FROM entries GROUP BY 1, 2), s AS (SELECT carrier_id, max(v) AS hi, min(v) AS lo, CAST(sum(x) AS DOUBLE) / count(*) AS mean,
-  arg_max(month, (v, -month)) AS peak, arg_min(month, (v, month)) AS low FROM m WHERE v <> 0 GROUP BY 1) SELECT *, (hi - lo) / mean * 100 AS variance, CASE WHEN (hi - lo) / mean * 100 < 25 THEN 'stable' WHEN (hi - lo) / mean * 100 < 50 THEN 'moderate' ELSE 'seasonal' END AS class FROM s""")
+  arg_max(month, (v, -month)) AS peak, arg_min(month, (v, month)) AS low FROM m WHERE v > 0 GROUP BY 1) SELECT *, (hi - lo) / mean * 100 AS variance, CASE WHEN (hi - lo) / mean * 100 > 50 THEN 'high' WHEN (hi - lo) / mean * 100 > 25 THEN 'medium' ELSE 'low' END AS class FROM s""")
 def seasonality(spark, sf):
-    m = entries(spark, sf).groupBy("carrier_id", "month").agg(F.sum("commission").alias("x")).withColumn("v", dbl("x")).where("v <> 0")
+    m = entries(spark, sf).groupBy("carrier_id", "month").agg(F.sum("commission").alias("x")).withColumn("v", dbl("x")).where("v > 0")
     s = m.groupBy("carrier_id").agg(F.max("v").alias("hi"), F.min("v").alias("lo"), (dbl(F.sum("x")) / F.count("*")).alias("mean"), F.max_by("month", F.struct("v", -F.col("month"))).alias("peak"), F.min_by("month", F.struct("v", "month")).alias("low"))
     s = s.withColumn("variance", (F.col("hi") - F.col("lo")) / F.col("mean") * 100)
-    return s.withColumn("class", F.when(F.col("variance") < 25, "stable").when(F.col("variance") < 50, "moderate").otherwise("seasonal"))
+    return s.withColumn("class", F.when(F.col("variance") > 50, "high").when(F.col("variance") > 25, "medium").otherwise("low"))
 
 
 @query(f"""WITH {ENTRIES_SQL}, g AS (SELECT carrier_id, sum(commission) AS x, row_number() OVER (ORDER BY sum(commission) DESC, carrier_id) AS r FROM entries GROUP BY 1)
-  SELECT CAST(sum(CASE WHEN r = 1 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 AS top1, CAST(sum(CASE WHEN r <= 3 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 AS top3 FROM g""")
+  SELECT CAST(sum(CASE WHEN r = 1 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 AS top1, CAST(sum(CASE WHEN r <= 3 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 AS top3, 100 - CAST(sum(CASE WHEN r <= 3 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 AS score,
+  CASE WHEN CAST(sum(CASE WHEN r = 1 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 > 50 THEN 'high' WHEN CAST(sum(CASE WHEN r = 1 THEN x END) AS DOUBLE) / CAST(sum(x) AS DOUBLE) * 100 > 30 THEN 'medium' ELSE 'low' END AS risk FROM g""")
 def diversification(spark, sf):
     """Share of the largest carrier and of the three largest; the ranks come from a top-3, not from a global sort."""
     g = entries(spark, sf).groupBy("carrier_id").agg(F.sum("commission").alias("x"))
@@ -254,7 +257,8 @@ def diversification(spark, sf):
     total = g.agg(dbl(F.sum("x")).alias("t"))
     three = F.aggregate("b", F.lit(0).cast("decimal(30,4)"), lambda s, x: (s + x).cast("decimal(30,4)"))
     both = best.withColumn("k", F.lit(1)).join(total.withColumn("k", F.lit(1)), "k")
-    return both.select((dbl(F.col("b")[0]) / F.col("t") * 100).alias("top1"), (dbl(three) / F.col("t") * 100).alias("top3"))
+    top1, top3 = dbl(F.col("b")[0]) / F.col("t") * 100, dbl(three) / F.col("t") * 100
+    return both.select(top1.alias("top1"), top3.alias("top3"), (100 - top3).alias("score"), F.when(top1 > 50, "high").when(top1 > 30, "medium").otherwise("low").alias("risk"))
 
 
 @query("SELECT event_type, round(stddev_pop(value), 6) AS sd, min(value) AS lo, max(value) AS hi, count(*) AS n FROM events GROUP BY 1")
@@ -264,20 +268,20 @@ def value_stats(spark, sf):
 
 @query("""WITH s AS (SELECT event_type, list_sort(list(value)) AS v FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, v[CAST(floor(len(v) * 0.5) AS BIGINT) + 1] AS median, v[CAST(floor(len(v) * 0.95) AS BIGINT) + 1] AS p95, v[CAST(floor(len(v) * 0.99) AS BIGINT) + 1] AS p99 FROM s""")
 def index_percentiles(spark, sf):
-    """Percentiles by index into the sorted values, not interpolated; ranks instead of one array per group."""
-    e = read(spark, sf, "events").where("value is not null").select("event_type", "value")
+    """Percentiles by index into the sorted values, not interpolated; distinct values with their counts are ranked, not rows."""
+    e = read(spark, sf, "events").where("value is not null").groupBy("event_type", "value").agg(F.count("*").alias("k"))
     w = Window.partitionBy("event_type")
-    r = e.withColumn("r", F.row_number().over(w.orderBy("value")) - 1).withColumn("n", F.count("*").over(w))
-    at = lambda p: F.max(F.when(F.col("r") == F.floor(F.col("n") * p), F.col("value")))
+    r = e.withColumn("after", F.sum("k").over(w.orderBy("value"))).withColumn("n", F.sum("k").over(w))
+    at = lambda p: F.min(F.when(F.col("after") > F.floor(F.col("n") * p), F.col("value")))
     return r.groupBy("event_type").agg(at(0.5).alias("median"), at(0.95).alias("p95"), at(0.99).alias("p99"))
 
 
 @query(f"""WITH {ENTRIES_SQL}, m AS (SELECT year, month, CAST(sum(commission) AS DOUBLE) AS v FROM entries GROUP BY 1, 2), l AS (SELECT *, lag(v) OVER (PARTITION BY year ORDER BY month) AS p FROM m)
-  SELECT year, month, CASE WHEN p IS NULL OR p = 0 THEN 0.0 ELSE greatest(-100.0, least(100.0, (v - p) / p * 100)) END AS growth FROM l""")
+  SELECT year, month, CASE WHEN p IS NULL OR p = 0 OR count(*) FILTER (v > 0) OVER (PARTITION BY year) < 3 THEN 0.0 ELSE round(greatest(-100.0, least(100.0, (v - p) / p * 100)), 1) END AS growth FROM l""")
 def month_growth(spark, sf):
     m = entries(spark, sf).groupBy("year", "month").agg(dbl(F.sum("commission")).alias("v"))
     p = F.lag("v").over(Window.partitionBy("year").orderBy("month"))
-    return m.select("year", "month", F.when(p.isNull() | (p == 0), 0.0).otherwise(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (F.col("v") - p) / p * 100))).alias("growth"))
+    return m.select("year", "month", F.when(p.isNull() | (p == 0) | (F.count_if(F.col("v") > 0).over(Window.partitionBy("year")) < 3), 0.0).otherwise(F.round(F.greatest(F.lit(-100.0), F.least(F.lit(100.0), (F.col("v") - p) / p * 100)), 1)).alias("growth"))
 
 
 @query(f"""WITH {ENTRIES_SQL}, m AS (SELECT carrier_id, year, month, sum(commission) AS v FROM entries GROUP BY 1, 2, 3), w AS (SELECT *, sum(v) OVER a AS recent, sum(v) OVER b AS before FROM m
@@ -290,13 +294,16 @@ def carrier_trend(spark, sf):
     return m.select("carrier_id", "year", "month", F.when(before.isNull(), "stable").when(recent > before * F.lit("1.05").cast("decimal(3,2)"), "up").when(recent < before * F.lit("0.95").cast("decimal(3,2)"), "down").otherwise("stable").alias("trend"))
 
 
-@query(f"""WITH {ENTRIES_SQL}, m AS (SELECT carrier_id, year, month, sum(commission) AS v, row_number() OVER (PARTITION BY carrier_id ORDER BY year DESC, month DESC) AS r FROM entries GROUP BY 1, 2, 3 HAVING sum(commission) <> 0)
-  SELECT carrier_id, CASE WHEN count(*) < 3 THEN 0.0 ELSE CAST(sum(v) AS DOUBLE) / 3 END AS forecast FROM m WHERE r <= 3 GROUP BY 1""")
+@query(f"""WITH {ENTRIES_SQL}, m AS (SELECT carrier_id, year, month, sum(commission) AS v, row_number() OVER (PARTITION BY carrier_id ORDER BY year DESC, month DESC) AS r FROM entries GROUP BY 1, 2, 3 HAVING sum(commission) > 0),
+  c AS (SELECT carrier_id, count(*) AS n, CAST(sum(CASE WHEN r <= 3 THEN v END) AS DOUBLE) / 3 AS f, round(stddev_pop(CAST(v AS DOUBLE)) / avg(CAST(v AS DOUBLE)) * 100, 6) AS cv FROM m GROUP BY 1)
+  SELECT carrier_id, CASE WHEN n < 3 THEN 0.0 ELSE f END AS forecast, CASE WHEN n < 3 THEN 'low' WHEN cv < 20 THEN 'high' WHEN cv < 40 THEN 'medium' ELSE 'low' END AS confidence FROM c""")
 def forecast_next_month(spark, sf):
-    """Mean of the last three months that are not zero; zero with fewer."""
-    m = entries(spark, sf).groupBy("carrier_id", "year", "month").agg(F.sum("commission").alias("v")).where("v <> 0")
-    last = m.withColumn("r", F.row_number().over(Window.partitionBy("carrier_id").orderBy(F.desc("year"), F.desc("month")))).where("r <= 3")
-    return last.groupBy("carrier_id").agg(F.when(F.count("*") < 3, 0.0).otherwise(dbl(F.sum("v")) / 3).alias("forecast"))
+    """Mean of the last three positive months, zero with fewer, and how far the variation of all of them bears it."""
+    m = entries(spark, sf).groupBy("carrier_id", "year", "month").agg(F.sum("commission").alias("v")).where("v > 0")
+    m = m.withColumn("r", F.row_number().over(Window.partitionBy("carrier_id").orderBy(F.desc("year"), F.desc("month"))))
+    c = m.groupBy("carrier_id").agg(F.count("*").alias("n"), (dbl(F.sum(F.when(F.col("r") <= 3, F.col("v")))) / 3).alias("f"), F.round(F.stddev_pop(dbl("v")) / F.avg(dbl("v")) * 100, 6).alias("cv"))
+    few = F.col("n") < 3
+    return c.select("carrier_id", F.when(few, 0.0).otherwise(F.col("f")).alias("forecast"), F.when(few, "low").when(F.col("cv") < 20, "high").when(F.col("cv") < 40, "medium").otherwise("low").alias("confidence"))
 
 
 @query(f"""WITH {ENTRIES_SQL}, a AS (SELECT carrier_id, CAST(sum(commission) AS DOUBLE) AS v FROM entries WHERE year = 1995 GROUP BY 1), b AS (SELECT carrier_id, CAST(sum(commission) AS DOUBLE) AS v FROM entries WHERE year = 1996 AND month <= 6 GROUP BY 1)
@@ -381,7 +388,9 @@ def last_thirty_days(spark, sf):
 @query(f"""WITH {ENTRIES_SQL}, b AS (SELECT carrier_id, client_name, list(DISTINCT upload_id) AS ids, sum(commission) AS c FROM entries GROUP BY 1, 2) SELECT carrier_id, client_name, CAST(c AS DOUBLE) AS c FROM b WHERE list_contains(ids, 7)""")
 def array_membership(spark, sf):
     """Ledger rows that hold an upload, by its id in the array."""
-    b = entries(spark, sf).groupBy("carrier_id", "client_name").agg(F.collect_set("upload_id").alias("ids"), F.sum("commission").alias("c"))
+    e = entries(spark, sf)
+    keys = e.where("upload_id = 7").select("carrier_id", "client_name").distinct()
+    b = e.join(keys, ["carrier_id", "client_name"], "left_semi").groupBy("carrier_id", "client_name").agg(F.collect_set("upload_id").alias("ids"), F.sum("commission").alias("c"))
     return b.where(F.array_contains("ids", F.lit(7).cast("long"))).select("carrier_id", "client_name", dbl("c").alias("c"))
 
 

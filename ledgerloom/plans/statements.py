@@ -101,9 +101,12 @@ def summary_lines(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.coalesce(F.size(F.filter(F.split("text", "\n"), hit)), F.lit(0)).cast("long").alias("n_summary"))
 
 
-@query("SELECT p_brand AS name, count(*) AS n, min(p_partkey) AS first_id FROM part GROUP BY lower(trim(p_brand)), p_brand")
+@query("WITH w AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN upper(p_brand) WHEN 1 THEN ' ' || lower(p_brand) ELSE p_brand END AS b FROM part) SELECT lower(trim(b)) AS name, count(*) AS n, min(p_partkey) AS first_id, count(DISTINCT b) AS spellings FROM w GROUP BY 1")
 def case_insensitive_groups(spark, sf):
-    return read(spark, sf, "part").groupBy(F.lower(F.trim("p_brand")), F.col("p_brand").alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id")).select("name", "n", "first_id")
+    """Names that differ by case or outer blanks are one."""
+    b, k = F.col("p_brand"), F.col("p_partkey") % 3
+    w = read(spark, sf, "part").select("p_partkey", F.when(k == 0, F.upper(b)).when(k == 1, F.concat(F.lit(" "), F.lower(b))).otherwise(b).alias("b"))
+    return w.groupBy(F.lower(F.trim("b")).alias("name")).agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_id"), F.countDistinct("b").alias("spellings"))
 
 
 def _uploads_with_tables(spark, sf):
@@ -123,20 +126,112 @@ def flatten_statements(spark, sf):
     return out.select("upload_id", "client_name", (F.col("commission") + 0.0).alias("commission"), "invoice")
 
 
-@query("WITH t AS (SELECT l_orderkey AS upload_id, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(15,2))) AS DOUBLE) AS s FROM lineitem GROUP BY 1) SELECT upload_id, n AS row_idx FROM t WHERE n >= 1")
+ORDERED_SQL = """ordered AS (SELECT l_orderkey AS upload_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS i, 'Group ' || l_suppkey AS name, CAST(l_extendedprice AS DECIMAL(15,2)) AS v FROM lineitem)"""
+
+PROMOTED_SQL = ORDERED_SQL + """, r AS (SELECT upload_id, i, v, upload_id % 3 = 0 AND i = 0 AS marked FROM ordered), o AS (SELECT upload_id, count(*) AS n, coalesce(sum(CASE WHEN NOT marked THEN v END), 0) AS s FROM r GROUP BY 1),
+  last AS (SELECT o.*, CAST(o_totalprice AS DECIMAL(15,2)) AS doc, CASE upload_id % 5 WHEN 0 THEN s WHEN 1 THEN s + 0.99 WHEN 2 THEN s + 1.00 WHEN 4 THEN CAST(o_totalprice AS DECIMAL(15,2)) END AS v FROM o JOIN orders ON o_orderkey = upload_id),
+  own AS (SELECT r.upload_id, n, doc, max(CASE WHEN i = n - 1 THEN v END) AS v, bool_or(marked AND i = n - 1) AS marked, coalesce(sum(CASE WHEN NOT marked AND i < n - 1 THEN v END), 0) AS s FROM r JOIN (SELECT upload_id, n, doc FROM last WHERE v IS NULL) USING (upload_id) GROUP BY 1, 2, 3)"""
+
+
+def _tables_with_last_rows(spark, sf):
+    """Each order as a table of amounts whose last row is the sum of the others, nearly, just not, the stated total, or a line."""
+    r = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("upload_id")).agg(F.sort_array(F.collect_list(r)).alias("r"))
+    o = read(spark, sf, "orders").select(F.col("o_orderkey").alias("upload_id"), F.col("o_totalprice").cast("decimal(15,2)").alias("doc"))
+    lines = F.transform("r", lambda x, i: F.struct(x["l_extendedprice"].cast("decimal(15,2)").alias("v"), ((F.col("upload_id") % 3 == 0) & (i == 0)).alias("m")))
+    total = F.aggregate(F.filter("lines", lambda x: ~x["m"]), F.lit(0).cast("decimal(15,2)"), lambda s, x: (s + x["v"]).cast("decimal(15,2)"))
+    k = F.col("upload_id") % 5
+    more = F.when(k == 0, F.col("s")).when(k == 1, F.col("s") + F.lit("0.99").cast("decimal(3,2)")).when(k == 2, F.col("s") + F.lit("1.00").cast("decimal(3,2)")).when(k == 4, F.col("doc"))
+    t = t.join(o, "upload_id").withColumn("lines", lines).withColumn("s", total).withColumn("more", more.cast("decimal(15,2)"))
+    rows = F.when(F.col("more").isNull(), F.col("lines")).otherwise(F.concat("lines", F.array(F.struct(F.col("more").alias("v"), F.lit(False).alias("m")))))
+    x = t.select("upload_id", "doc", F.posexplode(rows).alias("row_idx", "x"))
+    return x.select("upload_id", F.lit(0).alias("table_idx"), "row_idx", "doc", F.col("x.v").alias("v"), F.col("x.m").alias("is_summary"))
+
+
+@query(f"""WITH {PROMOTED_SQL} SELECT upload_id, n AS row_idx FROM last WHERE v IS NOT NULL AND n >= 1 AND doc <> 0 AND (abs(v - s) < 1 OR abs(v - doc) < 0.01)
+  UNION ALL SELECT upload_id, n - 1 FROM own WHERE n >= 2 AND NOT marked AND doc <> 0 AND (abs(v - s) < 1 OR abs(v - doc) < 0.01)""")
 def promoted_totals(spark, sf):
-    """The last row of each table, found to be the sum of the rows above it."""
-    rows = tables.explode_tables(_uploads_with_tables(spark, sf)).withColumn("is_summary", F.lit(False)).withColumn("v", S.amount_ledger(tables.cell("Invoice")))
-    out = tables.promote_last_total(rows, "v").where("is_summary")
+    """Last rows found to be totals, among rows that miss by a cent or are lines like the others."""
+    rows = _tables_with_last_rows(spark, sf)
+    out = tables.promote_last_total(rows.withColumn("was", F.col("is_summary")), "v", "doc").where("is_summary and not was")
     return out.select("upload_id", F.col("row_idx").cast("long").alias("row_idx"))
 
 
-@query("WITH t AS (SELECT l_orderkey AS upload_id, count(*) AS n FROM lineitem GROUP BY 1) SELECT upload_id, n AS row_idx FROM t WHERE n >= 2")
+RUNNING_SQL = "RECURSIVE " + ORDERED_SQL + """, spaced AS (SELECT upload_id, i + i // 3 AS i, name, CAST(v AS DOUBLE) AS v, i // 3 AS part, i FROM ordered),
+  sums AS (SELECT upload_id, part, CAST(sum(ordered.v) AS DOUBLE) AS s, count(*) AS n FROM (SELECT *, i // 3 AS part FROM ordered) ordered GROUP BY 1, 2 HAVING count(*) = 3),
+  rows_ AS (SELECT upload_id, i, lower(name) AS name, v FROM spaced UNION ALL SELECT upload_id, part * 4 + 3, CASE upload_id % 4 WHEN 0 THEN 'total for group' WHEN 1 THEN '' WHEN 2 THEN 'subtotal' ELSE 'carried' END, round(CASE upload_id % 4 WHEN 2 THEN s * 1.02::DOUBLE WHEN 3 THEN s * 1.005::DOUBLE ELSE s END, 2) FROM sums),
+  scan AS (SELECT upload_id, -1::BIGINT AS i, 0.0::DOUBLE AS s, false AS hit FROM (SELECT DISTINCT upload_id FROM rows_)
+    UNION ALL SELECT upload_id, i, CASE WHEN hit THEN 0.0::DOUBLE ELSE s + v END, hit FROM (SELECT scan.upload_id, r.i, scan.s, r.v,
+      (scan.s <> 0 AND abs(r.v - scan.s) <= greatest(abs(scan.s) * 0.0075::DOUBLE, 0.01::DOUBLE) OR r.name LIKE '%total%' OR r.name = '')
+      AND round(CASE WHEN r.name LIKE '%total%' THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN r.name = 'total for group' THEN 0.4::DOUBLE ELSE 0 END + CASE WHEN r.name = '' THEN 0.2::DOUBLE ELSE 0 END
+        + CASE WHEN scan.s <> 0 AND abs(r.v - scan.s) <= greatest(abs(scan.s) * 0.0075::DOUBLE, 0.01::DOUBLE) THEN 0.45::DOUBLE ELSE 0 END, 9) >= 0.55::DOUBLE AS hit
+      FROM scan JOIN rows_ r ON r.upload_id = scan.upload_id AND r.i = scan.i + 1))"""
+
+
+def _tables_with_subtotals(spark, sf):
+    """Each order as a table of two columns with a row after every third line: a named total, a bare one, or a sum off by two or half a per cent."""
+    r = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("upload_id")).agg(F.sort_array(F.collect_list(r)).alias("r"))
+    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.size("r") / F.lit(3)).cast("int") - 1), lambda p: F.slice("r", p * 3 + 1, F.lit(3)))
+    k = F.col("upload_id") % 4
+
+    def closed(part):
+        s = F.aggregate(part, F.lit(0).cast("decimal(15,2)"), lambda s, x: (s + x["l_extendedprice"].cast("decimal(15,2)")).cast("decimal(15,2)")).cast("double")
+        total = F.round(F.when(k == 2, s * 1.02).when(k == 3, s * 1.005).otherwise(s), 2).cast("decimal(15,2)").cast("string")
+        name = F.when(k == 0, "Total for Group").when(k == 1, "").when(k == 2, "Subtotal").otherwise("Carried")
+        lines = F.transform(part, lambda x: F.array(F.concat(F.lit("Group "), x["l_suppkey"].cast("string")), F.concat(F.lit("$"), x["l_extendedprice"].cast("decimal(15,2)").cast("string"))))
+        return F.when(F.size(part) == 3, F.concat(lines, F.array(F.array(name, total)))).otherwise(lines)
+
+    return t.select("upload_id", F.array(F.lit("Name"), F.lit("Amount")).alias("header"), F.flatten(F.transform(parts, closed)).alias("rows"), F.array(F.lit(1)).alias("numeric"))
+
+
+@query(f"WITH {RUNNING_SQL} SELECT upload_id, i AS row_idx FROM scan WHERE hit")
 def running_totals(spark, sf):
-    """Rows that equal the sum since the last total to the cent, found by a scan inside each table."""
-    rows = tables.explode_tables(_uploads_with_tables(spark, sf)).withColumn("value", S.amount_ledger(tables.cell("Invoice")))
-    found = tables.running_summaries(rows, 1e-9).where("is_total").groupBy("upload_id").agg(F.max("row_idx").alias("row_idx"))
-    return found.select("upload_id", F.col("row_idx").cast("long").alias("row_idx"))
+    """Rows that score as totals of the rows since the last total, by a fold over each table's own rows."""
+    found = tables.running_summaries(_tables_with_subtotals(spark, sf))
+    return found.select("upload_id", F.explode("summaries").alias("i")).select("upload_id", F.col("i").cast("long").alias("row_idx"))
+
+
+REFINED_SQL = ORDERED_SQL + r""", r AS (SELECT upload_id, i, name, v::VARCHAR AS a, count(*) OVER (PARTITION BY upload_id) AS n FROM ordered),
+  shaped AS (SELECT upload_id, i, n, CASE (upload_id + i) % 7 WHEN 0 THEN ['Grand Total', '', a, a] WHEN 1 THEN ['', '', a, ''] WHEN 2 THEN [name, 'plan', '', ''] WHEN 3 THEN [name, 'x', a, a] WHEN 4 THEN ['12', '', a, ''] WHEN 5 THEN ['Vendor one', '', '', ''] ELSE [name, 'total', a, 'total'] END AS c FROM r),
+  f AS (SELECT *, len(list_filter(c, lambda x: x <> '')) AS k, len(list_filter(c, lambda x: regexp_full_match(x, '[0-9.]+'))) AS num, list_aggregate(list_filter(list_transform(c, lambda x: lower(x)), lambda x: x <> ''), 'string_agg', ' ') AS t,
+    len(list_filter(c[1:2], lambda x: x <> '' AND NOT regexp_full_match(x, '[0-9.]+'))) > 0 AS named, len(list_filter(c[1:2], lambda x: x <> '')) = 0 AS blank FROM shaped),
+  lim AS (SELECT upload_id, greatest(2, ceil(least(avg(k), list_sort(list(k))[count(*) // 2 + 1]) * 0.4::DOUBLE)) AS lim FROM f GROUP BY 1),
+  judged AS (SELECT f.*, lim, regexp_matches(t, '\btotal\s+for\b|\bgrand\s+total\b|\bsummary\b') OR (length(t) - length(replace(t, 'total', ''))) // 5 > 1 OR (k <= 3 AND contains(t, 'total'))
+    OR (k <= 4 AND num <= 2 AND (contains(t, 'total') OR contains(t, 'vendor') OR contains(t, 'summary') OR contains(t, 'plan'))) OR (k <= 5 AND blank AND num >= 1) AS reads FROM f JOIN lim USING (upload_id))"""
+
+
+@query(f"""WITH {REFINED_SQL} SELECT upload_id, i AS row_idx FROM judged WHERE reads OR (k <= lim AND NOT named AND num >= 2) OR (k <= 3 AND num >= 1 AND NOT named AND k = num) OR (i = 0 AND NOT (named AND k > lim * 1.5::DOUBLE))""")
+def refined_summaries(spark, sf):
+    """Summary rows found by density and wording; the first row of each table arrives marked."""
+    r = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    t = read(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("upload_id")).agg(F.sort_array(F.collect_list(r)).alias("r"))
+
+    def shape(x, i):
+        a, name = x["l_extendedprice"].cast("decimal(15,2)").cast("string"), F.concat(F.lit("Group "), x["l_suppkey"].cast("string"))
+        k, e = (F.col("upload_id") + i) % 7, F.lit("")
+        return F.when(k == 0, F.array(F.lit("Grand Total"), e, a, a)).when(k == 1, F.array(e, e, a, e)).when(k == 2, F.array(name, F.lit("plan"), e, e)).when(k == 3, F.array(name, F.lit("x"), a, a)).when(k == 4, F.array(F.lit("12"), e, a, e)).when(k == 5, F.array(F.lit("Vendor one"), e, e, e)).otherwise(F.array(name, F.lit("total"), a, F.lit("total")))
+
+    header = F.array(F.lit("Group Name"), F.lit("Kind"), F.lit("Paid"), F.lit("Due"))
+    shaped = t.select("upload_id", header.alias("header"), F.transform("r", shape).alias("rows"), F.array(F.lit(0)).alias("summaries"))
+    return tables.refined_summaries(shaped).select("upload_id", F.explode("summaries").alias("i")).select("upload_id", F.col("i").cast("long").alias("row_idx"))
+
+
+GRAND_SQL = """t AS (SELECT l_orderkey AS upload_id, count(*) AS n, CASE l_orderkey % 6 WHEN 0 THEN ['Group Name', 'Invoice Total', 'Commission'] WHEN 1 THEN ['Total Invoice', 'Total Commission'] WHEN 2 THEN ['Paid Amount', 'Rate', 'Notes'] WHEN 3 THEN ['Commission Amount'] WHEN 4 THEN ['Company', 'Total'] ELSE ['Total Premium', 'Total Paid', 'Period', 'Due Amount', 'Commission'] END AS h,
+  CASE WHEN l_orderkey % 4 = 0 THEN count(*) ELSE l_orderkey % 2 END AS marked FROM lineitem GROUP BY l_orderkey),
+  c AS (SELECT *, len(list_filter(h, lambda x: regexp_matches(lower(x), 'total|commission|amount|paid|invoice|premium'))) >= len(h) * 0.8::DOUBLE AS money, len(list_filter(h, lambda x: regexp_matches(lower(x), 'group id|client|company|policy|member|subscriber|agent|producer|group name'))) = 0 AS nameless, len(list_filter(h, lambda x: contains(lower(x), 'total'))) > 0 AS total FROM t)"""
+
+
+@query(f"WITH {GRAND_SQL} SELECT upload_id, nameless AND ((n = 1 AND money) OR (marked = n AND n <= 3) OR (n <= 3 AND money AND total)) AS grand_total FROM c")
+def grand_total_tables(spark, sf):
+    """Tables that only repeat totals, among headers with and without identifiers."""
+    k = F.col("l_orderkey") % 6
+    heads = [["Group Name", "Invoice Total", "Commission"], ["Total Invoice", "Total Commission"], ["Paid Amount", "Rate", "Notes"], ["Commission Amount"], ["Company", "Total"]]
+    h = F.array(*[F.lit(x) for x in ("Total Premium", "Total Paid", "Period", "Due Amount", "Commission")])
+    for i, head in enumerate(heads):
+        h = F.when(k == i, F.array(*[F.lit(x) for x in head])).otherwise(h)
+    t = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n")).withColumn("marked", F.when(F.col("l_orderkey") % 4 == 0, F.col("n")).otherwise(F.col("l_orderkey") % 2))
+    return t.select(F.col("l_orderkey").alias("upload_id"), tables.is_grand_total(h, F.col("n"), F.col("marked")).alias("grand_total"))
 
 
 @query("SELECT l_orderkey AS upload_id, 3::BIGINT AS n_columns, count(*) + 1 AS filled_first, CAST(count(*) AS DOUBLE) AS filled_last FROM lineitem GROUP BY 1")
@@ -183,10 +278,13 @@ def carrier_merge(spark, sf):
     return out.select("carrier_id", "client_name", "month", "year", "environment_id", dbl("invoice_total").alias("invoice_total"), dbl("commission_earned").alias("commission_earned"))
 
 
-@query("SELECT user_id AS id, arg_max(event_type, (ts, event_id)) AS last_type, arg_max(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
+@query("""WITH l AS (SELECT user_id AS id, event_type, value, event_id, ts, ts >= TIMESTAMP '2024-01-15' AS fresh FROM events), o AS (SELECT id, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v FROM l WHERE NOT fresh AND id % 3 <> 0 GROUP BY 1),
+  n AS (SELECT id, arg_max(event_type, (ts, event_id)) AS t, arg_max(value, (ts, event_id)) AS v FROM l WHERE fresh AND id % 3 <> 1 GROUP BY 1) SELECT coalesce(n.id, o.id) AS id, CASE WHEN n.id IS NULL THEN o.t ELSE n.t END AS last_type, CASE WHEN n.id IS NULL THEN o.v ELSE n.v END AS last_value FROM o FULL JOIN n ON o.id = n.id""")
 def upsert_latest(spark, sf):
-    e = read(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("last_type"), F.col("value").alias("last_value"), F.struct("ts", "event_id").alias("at"))
-    return ledger.upsert(e.limit(0), e, ["id"], "at").select("id", "last_type", "last_value")
+    """Rows of a second half overwrite those of the first by key, the last of several; the rest is inserted or stays."""
+    e = read(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("last_type"), F.col("value").alias("last_value"), F.struct("ts", "event_id").alias("at"), (F.col("ts") >= F.expr("timestamp_ntz '2024-01-15'")).alias("fresh"))
+    old = ledger.upsert(e.limit(0), e.where("not fresh and id % 3 <> 0"), ["id"], "at")
+    return ledger.upsert(old, e.where("fresh and id % 3 <> 1"), ["id"], "at").select("id", "last_type", "last_value")
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1998-01-01' - CASE o_orderstatus WHEN 'F' THEN INTERVAL 3650 DAY WHEN 'O' THEN INTERVAL 365 DAY ELSE INTERVAL 30 DAY END GROUP BY 1")
@@ -203,11 +301,13 @@ def similar_names(spark, sf):
     return fuzzy.similar_pairs(s, ["nation"], 0.9).select("a", "b")
 
 
-@query()
+@query("""WITH g AS (SELECT c_custkey AS id, lpad((c_custkey // 4)::VARCHAR, 9, '0') AS k, c_custkey % 4 AS r FROM customer), n AS (SELECT id, k, CASE r WHEN 0 THEN 'company k' || k || ' works' WHEN 1 THEN 'companyk' || k || 'works' WHEN 2 THEN 'company k' || k || ' wor' ELSE 'company other' || k || ' trading' END AS core, r FROM g),
+  f AS (SELECT k, min(CASE WHEN r < 3 THEN id END) AS l FROM n GROUP BY 1) SELECT n.id, n.core, CASE WHEN n.r = 3 THEN n.core ELSE o.core END AS leader FROM n JOIN f USING (k) LEFT JOIN n o ON o.id = f.l""")
 def name_groups(spark, sf):
-    """Greedy groups of client names inside blocks; the order is that of the core name, then the id."""
-    c = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.concat("s_name", F.lit(" LLC")).alias("name"))
-    return fuzzy.greedy_groups(c, 0.85)
+    """Greedy groups of client names, of which all begin alike: glued, cut-off and unlike forms of each."""
+    k, r = F.lpad(F.floor(F.col("c_custkey") / 4).cast("string"), 9, "0"), F.col("c_custkey") % 4
+    name = F.when(r == 0, F.concat(F.lit("Company K"), k, F.lit(" Works, Inc."))).when(r == 1, F.concat(F.lit("CompanyK"), k, F.lit("Works"))).when(r == 2, F.concat(F.lit("company k"), k, F.lit(" wor llc"))).otherwise(F.concat(F.lit("Company other"), k, F.lit(" trading")))
+    return fuzzy.greedy_groups(read(spark, sf, "customer").select(F.col("c_custkey").alias("id"), name.alias("name")))
 
 
 @query("SELECT conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS line, len(string_split(text, ' ')) AS n_words FROM conversations")

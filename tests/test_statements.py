@@ -87,11 +87,13 @@ def test_tables(spark):
     r = tables.explode_tables(df)
     assert {tuple(x.cells) for x in r.collect()} == {("acme", "$5.00"), ("beta", "$7.00"), ("Total", "$12.00"), ("gamma", ""), ("short", "")}
     assert {x.client_name for x in tables.flatten(r, "Name", "Paid Amount", "none").collect()} == {"acme", "beta"}
-    v = r.withColumn("value", S.amount_ledger(tables.cell("Paid Amount")))
-    assert [x.row_idx for x in tables.running_summaries(v).where("is_total").collect()] == [2]
+    t = df.select(F.col("tables")[0]["header"].alias("header"), F.transform(F.col("tables")[0]["rows"], lambda x: S.pad_row(x, 2)).alias("rows"), F.array(F.lit(1)).alias("numeric"))
+    assert tables.running_summaries(t).first().summaries == [2]
+    assert tables.refined_summaries(t.withColumn("summaries", F.array(F.lit(4)))).first().summaries == [2, 4]  # marks stay unless a row is dense and named
     assert {x.name: x.kind for x in tables.column_profile(r).collect()} == {"Name": "text", "Paid Amount": "currency"}
-    g = spark.createDataFrame([(["total amount", "commission due"], 1), (["client name", "amount"], 1)], "h array<string>, n int")
-    assert [x[0] for x in g.select(tables.is_grand_total(F.col("h"), F.col("n"))).collect()] == [True, False]
+    heads = [(["total amount", "commission due"], 1, 0), (["client name", "amount"], 1, 1), (["Paid Amount"], 3, 0), (["rate"], 2, 2), (["Total paid"], 3, 0), (["Total paid"], 4, 4)]
+    g = spark.createDataFrame(heads, "h array<string>, n int, s int")
+    assert [x[0] for x in g.select(tables.is_grand_total(F.col("h"), F.col("n"), F.col("s"))).collect()] == [True, False, False, True, True, False]
     p = spark.createDataFrame([("abcd", "bcde")], "a string, b string")
     assert tables.difflib_ratio(p, "a", "b").first().ratio == 0.75
 
@@ -114,10 +116,30 @@ def test_scope(spark):
 
 def test_greedy_groups(spark):
     df = spark.createDataFrame([(1, "Acme Widgets Inc"), (2, "Acme Widget LLC"), (3, "Zeta Co"), (4, "acme widgets")], "id long, name string")
-    led = {r.id: r.leader for r in fuzzy.greedy_groups(df, 0.6).collect()}
+    led = {r.id: r.leader for r in fuzzy.greedy_groups(df).collect()}
     assert led[1] == led[2] == led[4] and led[3] == "zeta"
 
 
+def test_greedy_groups_like_a_loop(spark):
+    """The same leaders as a loop over all names in the order of their ids."""
+    import random
+
+    rng = random.Random(4)
+    words = ["acme", "acm", "north", "northern", "freight", "fre", "works", "global", "box", "services", "serv"]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(names)), "id long, name string")
+    distinct = df.select("id", S.match_name(F.col("name")).alias("core")).groupBy("core").agg(F.min("id").alias("n")).orderBy("n").collect()
+    x = spark.createDataFrame([(a.core, b.core) for a in distinct for b in distinct if a.n < b.n and a.core[:3] == b.core[:3]], "x string, y string")
+    near = {(r.x, r.y) for r in x.where(S.name_similarity(F.col("x"), F.col("y")) >= 0.85).collect()}
+    leaders, want = [], {}
+    for r in distinct:
+        found = next((c for c in leaders if (c, r.core) in near), None)
+        if found is None:
+            leaders.append(r.core)
+        want[r.core] = found or r.core
+    assert {r.core: r.leader for r in fuzzy.greedy_groups(df).collect()} == want
+
+
 EVENTS = [(1, 0, "click"), (2, 10, "error"), (3, 20, "error"), (4, 30, "error"), (5, 40, "click"), (6, 4000, "click"), (7, 4010, "error")]
 
 
