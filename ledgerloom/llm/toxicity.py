@@ -6,7 +6,9 @@ words, each hashed to one of SLOTS numbers; document frequencies of the numbers
 documents, so every term of a text has its weight, indexed or not, and cosines are exact for them.
 Posting lists are cut into blocks of examples, and each term keeps its largest weight per block: a
 block is scored only while the sum of those maxima can still beat the k-th best, so the k nearest by
-cosine are exact. Their votes are weighted by distance and turned into probabilities by a logistic
+cosine are exact. The few terms that very many examples hold would be in every block anyway; their
+lists are kept as columns that many texts are multiplied with at once, and a block's bound holds the
+best of these sums instead of the sum of maxima, which is closer. Their votes are weighted by distance and turned into probabilities by a logistic
 curve fitted on the sample itself, each example judged by the others and weighted to the labels' own
 class shares. The nearest examples are returned as evidence.
 
@@ -33,8 +35,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, is_held_out, read
 from .packed import portions, restored, squeezed
 
-SAMPLE = {1: 1500, 0: 2500}  # labelled rows of each class in the index, at most
-SLOTS = 1 << 21  # numbers that terms are hashed to
+SAMPLE = {1: 1200, 0: 1800}  # labelled rows of each class in the index, at most
+SLOTS = 1 << 20  # numbers that terms are hashed to
 SHARES = 64  # pieces that document counts travel in
 BLOCK = 64  # examples in a posting block
 FIRST = 8  # blocks scored before the k-th best is known
@@ -42,6 +44,8 @@ SOFTEN = 1.05  # a vote weighs 1 / (SOFTEN - cosine)
 THRESHOLD = 0.3
 NEIGHBOURS = 0.6  # times the square root of the number of examples: the k of the k nearest
 EVIDENCE = 5
+FREQUENT = 0.1  # terms that this share of the examples holds keep their posting lists as full columns
+BATCH = 64  # texts that meet the full columns at once
 LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 STEMS = (4, 5)  # longer words count by so many first letters too, so that forms of a word meet
 
@@ -83,23 +87,30 @@ def counted(texts: list[str | None]) -> list[Terms]:
 
 
 class BlockMaxIndex:
-    """Examples by term in blocks of BLOCK, each (term, block) cell with its largest weight; ``nearest`` is exact."""
+    """Examples by term in blocks of BLOCK, each (term, block) cell with its largest weight; ``nearest`` is exact, in doubles."""
 
     def __init__(self, counts: list[Terms], idf: np.ndarray):
         self.idf, self.n = idf, len(counts)
-        # examples with the same telling terms go to the same blocks, which keeps the maxima apart
         held = np.bincount(np.concatenate([c[0] for c in counts] or [np.empty(0, np.int64)]), minlength=len(idf))
+        # examples with the same telling terms go to the same blocks, which keeps the maxima apart
         self.example = np.array(sorted(range(self.n), key=lambda i: counts[i][0][np.lexsort((counts[i][0], -held[counts[i][0]]))[:6]].tolist()), np.int64)
         vectors = [self.vector(counts[i]) for i in self.example]
         term, weight = (np.concatenate([v[k] for v in vectors] or [np.empty(0)]) for k in (0, 1))
-        doc = np.repeat(np.arange(self.n), [len(v[0]) for v in vectors])
-        order = np.lexsort((doc, term))
-        term, self.doc, self.weight = term[order].astype(np.int64), doc[order].astype(np.int32), weight[order]
+        doc = np.repeat(np.arange(self.n, dtype=np.int32), [len(v[0]) for v in vectors])
+        del vectors
         self.blocks = -(-self.n // BLOCK)
+        frequent = held >= max(FREQUENT * self.n, 2)
+        self.column = np.where(frequent, np.cumsum(frequent) - 1, -1).astype(np.int32)
+        full = frequent[term.astype(np.int64)]
+        self.columns = np.zeros((int(frequent.sum()), max(self.blocks, 1) * BLOCK))
+        self.columns[self.column[term[full].astype(np.int64)], doc[full]] = weight[full]
+        term, doc, weight = term[~full].astype(np.int64), doc[~full], weight[~full]
+        order = np.lexsort((doc, term))
+        term, self.doc, self.weight = term[order], doc[order], weight[order]
         cell = term * max(self.blocks, 1) + self.doc // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.empty(0, np.int64)
-        self.start = np.append(first, len(cell))  # postings of each cell
-        self.block = (self.doc[first] // BLOCK).astype(np.int64)
+        self.start = np.append(first, len(cell)).astype(np.int32)  # postings of each cell
+        self.block = (self.doc[first] // BLOCK).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.empty(0)
         self.cells = np.searchsorted(term[first], np.arange(len(idf) + 1)).astype(np.int32)  # cells of each term
 
@@ -111,22 +122,31 @@ class BlockMaxIndex:
 
     def nearest(self, texts: list[Terms], k: int, skip: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For each text (examples, cosines) of the k nearest that share a term, nearest first, ties to the smaller example."""
-        for i, counts in enumerate(texts):
-            yield self.ranked(*self.vector(counts), k, skip[i] if skip else -1)
-
-    def ranked(self, t: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        for at in range(0, len(texts), BATCH):
+            vectors = [self.vector(c) for c in texts[at : at + BATCH]]
+            asked = np.zeros((len(vectors), len(self.columns)))
+            for i, (t, w) in enumerate(vectors):
+                column = self.column[t]
+                asked[i, column[column >= 0]] = w[column >= 0]
+            base = asked @ self.columns
+            for i, (t, w) in enumerate(vectors):
+                yield self.ranked(base[i], t, w, k, skip[at + i] if skip else -1)
+
+    def ranked(self, base: np.ndarray, t: np.ndarray, w: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
         cell, w = flat_ranges(self.cells[t], self.cells[t + 1], w)
         block = self.block[cell]
-        bound = np.bincount(block, w * self.most[cell], self.blocks) * (1 + 1e-9)
+        bound = (base.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, w * self.most[cell], len(base) // BLOCK)) * (1 + 1e-9)
         order = np.argsort(-bound, kind="stable")
-        score, least, at, step = np.zeros(self.blocks * BLOCK), 0.0, 0, FIRST
+        score, least, at, step = np.zeros(len(base)), 0.0, 0, FIRST
         while at < len(order) and bound[order[at]] >= max(least, 1e-12):
             wave = order[at : at + step]
-            chosen = np.zeros(self.blocks, bool)
-            chosen[wave[bound[wave] >= least]] = True
+            wave = wave[bound[wave] >= least]
+            chosen = np.zeros(len(bound), bool)
+            chosen[wave] = True
             use = chosen[block]  # cells stay in the order of terms, so equal examples get equal sums
             posting, weight = flat_ranges(self.start[cell[use]], self.start[cell[use] + 1], w[use])
             score += np.bincount(self.doc[posting], self.weight[posting] * weight, len(score))
+            score.reshape(-1, BLOCK)[wave] += base.reshape(-1, BLOCK)[wave]
             at, step = at + step, len(order)
             if len(score) > k + 1:
                 least = np.partition(score, len(score) - k - 1)[len(score) - k - 1]  # one spare, as an example may skip itself

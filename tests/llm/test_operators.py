@@ -569,3 +569,20 @@ def test_pipeline(spark, sf):
     pieces = scratch.write(corpus_pipeline.STAGES[-1][1](spark, docs, sf))
     assert pieces.select("doc_id").distinct().count() == kept
     assert pieces.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 1024
+
+
+def test_pipeline_odd_rows(spark, corpus, sf):
+    """Nulls, repeats, shared ids, long texts, clashing names and no rows at all pass every stage."""
+    import corpus_pipeline
+
+    ids, texts = with_odd_ids(corpus)
+    docs, none = documents(spark, texts, ids), empty(spark)
+    scratch, kept = Scratch(spark, "odd"), docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs, none = scratch.write(stage(spark, docs, sf)), scratch.write(stage(spark, none, sf))
+        assert docs.columns == none.columns == kept and none.count() == 0
+        assert docs.where("doc_id is null").count() == 1 and docs.where("lang <> 'en' or id <> 6").count() == 0
+    left = {r.doc_id: r.text for r in docs.collect()}
+    assert len([i for i in left if i is not None and texts[ids.index(i)] == corpus[7]]) <= 1
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, docs, sf).select("doc_id").distinct().count() == len(left) and last(spark, none, sf).count() == 0
