@@ -211,13 +211,28 @@ def valid_dates(spark, sf):
     return read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.is_date(s).alias("valid"))
 
 
-@query("SELECT p_partkey AS id, md5(concat_ws('|', p_size % 4, p_size, format('{:.1f}', (p_size % 10)::DOUBLE), p_brand || ',' || p_type)) AS signature FROM part")
+@query("SELECT p_partkey AS id, md5(concat_ws('|', 2, p_size, format('{:.2f}', (p_size % 10)::DOUBLE / 4), p_brand, p_type)) AS signature FROM part")
 def table_signatures(spark, sf):
-    """A table's fingerprint: tables, rows, mean columns to one decimal, headers."""
-    s = F.concat_ws("|", (F.col("p_size") % 4).cast("string"), F.col("p_size").cast("string"), F.format_string("%.1f", dbl(F.col("p_size") % 10)), F.concat("p_brand", F.lit(","), "p_type"))
+    """A table's fingerprint: columns, rows, mean cells a row to two decimals, headers."""
+    h = F.array("p_brand", "p_type")
+    s = F.concat_ws("|", F.size(h).cast("string"), F.col("p_size").cast("string"), F.format_string("%.2f", dbl(F.col("p_size") % 10) / 4), F.array_join(h, "|"))
     return part(spark, sf).select("id", F.md5(s.cast("binary")).alias("signature"))
 
 
+COMPANY_PATTERNS = [r"([A-Z][A-Za-z\s&\.]+(?:LLC|Inc|Corp|Co|Corporation|Company|Ltd|Limited))", r"([A-Z]{2,}\s[A-Z][A-Za-z\s]+(?:LLC|Inc|Corp))", r"([A-Z][A-Z\s]+(?:LOGISTICS|DELIVERY|SERVICES|SOLUTIONS))", r"([A-Z][A-Za-z\s&\.]+(?:PROTECTION|HEATING|COOLING))", r"([A-Z][A-Za-z\s&\.]+(?:GROUP|AGENCY|ASSOCIATES))"]
+FOUND_SQL = "list_concat(" + ", ".join(f"regexp_extract_all(s, '(?i){p}', 1)" for p in COMPANY_PATTERNS) + ")"
+
+
+@query(f"""WITH t AS (SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'Paid to ' || p_name || ' LLC, 12 Main' WHEN 1 THEN 'XY ' || p_name || ' Logistics; Acme & Sons Inc. 7' WHEN 2 THEN 'the ' || p_name || ' agency 5 heating' ELSE '12 nothing 34' END AS s FROM part)
+  SELECT id, array_to_string(list_transform(list_filter({FOUND_SQL}, lambda x: length(trim(x)) > 3), lambda x: trim(x)), '|') AS companies FROM t""")
+def company_mentions(spark, sf):
+    """Company names found in text by legal and business words, whatever their case."""
+    n = F.col("p_name")
+    s = picked(F.col("id"), [F.concat(F.lit("Paid to "), n, F.lit(" LLC, 12 Main")), F.concat(F.lit("XY "), n, F.lit(" Logistics; Acme & Sons Inc. 7")), F.concat(F.lit("the "), n, F.lit(" agency 5 heating")), F.lit("12 nothing 34")])
+    found = F.concat(*[F.regexp_extract_all(s, F.lit("(?i)" + p), F.lit(1)) for p in COMPANY_PATTERNS])
+    return part(spark, sf).select("id", F.array_join(F.transform(F.filter(found, lambda x: F.length(F.trim(x)) > 3), lambda x: S.clean_client(x)), "|").alias("companies"))
+
+
 @query("SELECT p_partkey AS id, list_transform(list_filter(string_split(lower(p_name), ' '), lambda w: w <> ''), lambda w: length(w))::BIGINT[] AS sizes, len(list_intersect(string_split(lower(p_name), ' '), string_split(lower(p_type), ' ')))::DOUBLE / len(list_distinct(list_concat(string_split(lower(p_name), ' '), string_split(lower(p_type), ' ')))) AS jaccard FROM part")
 def word_overlap(spark, sf):
     """Words as sets: sizes of the words and their Jaccard share with another column's."""
