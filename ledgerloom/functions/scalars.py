@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the domain.
-LEGAL_SUFFIXES = ["incorporated", "corporation", "company", "limited", "corp", "inc", "llc", "llp", "ltd", "pllc", "plc", "co", "lp", "pc"]
 HEADER_SYNONYMS = {"group": "company", "client": "company", "organization": "company", "plan": "policy", "earned": "commission", "paid": "payment", "no": "number", "adj": "adjustment"}
 GRAND_TOTAL_IDENTIFIERS = ["group id", "client", "company", "policy", "member", "subscriber", "agent", "producer", "group name"]
 GRAND_TOTAL_AMOUNTS = ["total", "commission", "amount", "paid", "invoice", "premium"]
@@ -182,13 +181,6 @@ def match_name(c: Column) -> Column:
     return strip(F.regexp_replace(t, rf"(?<=\S)\s?(?:{longest})$", ""))
 
 
-def core_name(c: Column) -> Column:
-    """Lower-case name without punctuation and without one legal suffix, the longest that fits."""
-    t = strip(F.regexp_replace(F.regexp_replace(F.lower(c), r"[^a-z0-9\s]", " "), r"\s+", " "))
-    cut = strip(F.regexp_replace(t, rf"\s+({'|'.join(LEGAL_SUFFIXES)})$", ""))
-    return F.when(cut == "", t).otherwise(cut)
-
-
 def name_similarity(a: Column, b: Column) -> Column:
     """Similarity of two match names: one if equal, with or without blanks; steps for cut-off names; else a mix.
 

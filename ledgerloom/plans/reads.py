@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scalars as S
 from ..operators import ledger
 from ..sources.binding import ENTRIES_SQL, MONTHS, UPLOADS_SQL, carriers, entries, read, uploads, users
 from .catalogue import query
@@ -314,7 +315,7 @@ def year_over_year(spark, sf):
     one = lambda rows, name: rows.groupBy("carrier_id").agg(dbl(F.sum("commission")).alias(name))
     both = one(e.where("year = 1995"), "p").join(one(e.where("year = 1996 and month <= 6"), "c"), "carrier_id", "full_outer")
     p, c = F.coalesce("p", F.lit(0.0)), F.coalesce("c", F.lit(0.0))
-    return both.select("carrier_id", p.alias("previous"), c.alias("current"), F.when(p == 0, F.when(c > 0, 100.0).otherwise(0.0)).otherwise((c - p) / p * 100).alias("growth"))
+    return both.select("carrier_id", p.alias("previous"), c.alias("current"), S.growth(c, p).alias("growth"))
 
 
 @query("SELECT event_id, user_id, last_value(CASE WHEN event_type = 'signup' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS last_signup FROM events")

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import tables
 from ..sources.binding import read
 from .catalogue import query
 from .cells import picked
@@ -196,3 +197,22 @@ def unmarked_rows(spark, sf):
     named = ~name.isin(blank) & ~name.rlike("Total for|Writing Agent|Producer Name|Grand Total|Sub-total")
     data = sound & named & (F.size(F.filter("c", lambda x: ~F.trim(x).isin(blank))) >= 6)
     return r.select("id", (F.col("marked") & ~data).alias("summary"))
+
+
+@query(f"""WITH {SHAPES_SQL}, t AS (SELECT doc, i, list_transform(header, lambda h: CASE WHEN i % 2 = 0 THEN ' ' || upper(h) ELSE h END) AS h FROM shapes), k AS (SELECT doc, i, array_to_string(list_transform(h, lambda x: lower(trim(x))), '|') AS k FROM t)
+  SELECT doc, i, row_number() OVER (PARTITION BY doc, k ORDER BY i) - 1 AS row_no, min(i) OVER (PARTITION BY doc, k) AS first_table FROM k""")
+def stitched_tables(spark, sf):
+    """Tables of a document with the same header, but for case and blanks, become one."""
+    h = F.transform("header", lambda x: F.when(F.col("i") % 2 == 0, F.concat(F.lit(" "), F.upper(x))).otherwise(x))
+    t = shapes(spark, sf).select(F.col("doc").alias("upload_id"), F.col("i").alias("table_idx"), F.lit(0).alias("row_idx"), h.alias("header"))
+    return tables.stitch(t).select(F.col("upload_id").alias("doc"), F.col("table_idx").alias("i"), F.col("row_no").cast("long").alias("row_no"), "first_table")
+
+
+@query(f"""WITH {SHAPES_SQL}, f AS (SELECT unnest([1, 2, 3]) AS format_id, unnest([['client', 'paid_amount'], ['rate', 'x'], ['x', 'y', 'z']]) AS f), h AS (SELECT DISTINCT doc, i, list_transform(header, lambda x: lower(x)) AS h FROM shapes),
+  s AS (SELECT doc, i, format_id, len(list_intersect(h, f))::DOUBLE / greatest(len(h), len(f)) AS score FROM h, f), b AS (SELECT doc, i, max(score) AS score, arg_max(format_id, (score, -format_id)) AS format_id FROM s WHERE score > 0.5 GROUP BY 1, 2) SELECT doc, i, format_id, score FROM b""")
+def nearest_formats(spark, sf):
+    """The learned format nearest to each header by common names, over a half at least."""
+    lit = lambda *x: F.array(*[F.lit(y) for y in x])
+    formats = spark.range(1).select(F.explode(F.array(F.struct(F.lit(1).alias("format_id"), lit("client", "paid_amount").alias("header")), F.struct(F.lit(2).alias("format_id"), lit("rate", "x").alias("header")), F.struct(F.lit(3).alias("format_id"), lit("x", "y", "z").alias("header")))).alias("f")).select("f.*")
+    rows = shapes(spark, sf).select(F.col("doc").alias("upload_id"), F.col("i").alias("table_idx"), "header")
+    return tables.header_match(rows, formats).select(F.col("upload_id").alias("doc"), F.col("table_idx").alias("i"), "format_id", "score")

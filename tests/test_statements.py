@@ -38,7 +38,7 @@ def test_brackets_dates_headers(spark):
     assert one(spark, S.statement_date, ["01/15/2025", "2025-01-15", "January 15, 2025", "Jan 15, 2025", "13/01/2025", "junk", None]) == [dt.date(2025, 1, 15)] * 4 + [dt.date(2025, 1, 13), None, None]
     assert one(spark, S.range_start, ["01/01/2025 through 01/31/2025", "01/01/2025"]) == ["01/01/2025"] * 2
     assert one(spark, S.header, ["Commission \nAmount", "  a  b "]) == ["Commission Amount", "a b"]
-    assert one(spark, S.core_name, ["Acme Corp", "ACME, Inc.", "LLC"]) == ["acme", "acme", "llc"]
+    assert one(spark, S.match_name, ["Acme Corp", "ACME, Inc.", "LLC", "AcmeLLC", "Acme Limited Liability Co."]) == ["acme", "acme", "llc", "acme", "acme"]
     assert one(spark, S.value_type, ["01/02/2024", "$5.00", "5%", "1,000", "x", " "]) == ["date", "currency", "percentage", "number", "text", "empty"]
 
 
