@@ -45,6 +45,7 @@ THRESHOLD = 0.3
 NEIGHBOURS = 0.6  # times the square root of the number of examples: the k of the k nearest
 EVIDENCE = 5
 FREQUENT = 0.1  # terms that this share of the examples holds keep their posting lists as full columns
+PORTION = 1 << 21  # bytes of text whose terms are counted at once
 BATCH = 64  # texts that meet the full columns at once
 LETTERS = bytes(c if c >= 0x80 or chr(c).isalpha() else 0x20 for c in range(256))
 STEMS = (4, 5)  # longer words count by so many first letters too, so that forms of a word meet
@@ -65,11 +66,10 @@ def counted(texts: list[str | None]) -> list[Terms]:
     words = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(plain))
     size, flat = pc.list_value_length(words).to_numpy().astype(np.int64), words.flatten().dictionary_encode()
     code, known = flat.indices.to_numpy().astype(np.int64), flat.dictionary
-    text = np.repeat(np.arange(len(texts)), size)
-    pair, times = np.unique(text * max(len(known), 1) + code, return_counts=True)
-    text, code = pair // max(len(known), 1), pair % max(len(known), 1)
+    pair, times = tallied(np.repeat(np.arange(len(texts)), size) << 32 | code, None)
+    text, code = pair >> 32, pair & 0xFFFFFFFF
     length, listed = pc.utf8_length(known).to_numpy(), known.to_pylist()
-    slot, more = [np.where(length[code] > 0, slots_of(listed)[code], -1)], [text]
+    slot, more, n_times = [np.where(length > 0, slots_of(listed), -1)[code]], [text], [times]
     for n in STEMS:
         long = length[code] > n
         stem = np.full(len(listed), -1)
@@ -77,13 +77,21 @@ def counted(texts: list[str | None]) -> list[Terms]:
         stem[at] = slots_of(["*" + listed[i][:n] for i in at.tolist()])
         slot.append(stem[code[long]])
         more.append(text[long])
-    times = np.concatenate([times, *(times[length[code] > n] for n in STEMS)])
-    slot, text = np.concatenate(slot), np.concatenate(more)
-    use = slot >= 0
-    pair, of = np.unique(text[use] * SLOTS + slot[use], return_inverse=True)
-    total = np.bincount(of, times[use], len(pair)).astype(np.int64)
-    edges = np.searchsorted(pair, np.arange(len(texts) + 1) * SLOTS)
-    return [(pair[a:b] % SLOTS, total[a:b]) for a, b in zip(edges, edges[1:])]
+        n_times.append(times[long])
+    slot = np.concatenate(slot)
+    pair, total = tallied(np.concatenate(more)[slot >= 0] << 32 | slot[slot >= 0], np.concatenate(n_times)[slot >= 0])
+    edges = np.searchsorted(pair, np.arange(len(texts) + 1) << 32)
+    return [(pair[a:b] & 0xFFFFFFFF, total[a:b]) for a, b in zip(edges, edges[1:])]
+
+
+def tallied(keys: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and how often each occurs, or the sum of its times."""
+    if not len(keys):
+        return keys, keys
+    order = None if times is None else np.argsort(keys)
+    keys = np.sort(keys) if order is None else keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.diff(np.append(first, len(keys))) if order is None else np.add.reduceat(times[order], first)
 
 
 class BlockMaxIndex:
@@ -230,7 +238,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def count(batches):
         for whole in batches:
-            for batch in portions(whole, 2, 1 << 23):
+            for batch in portions(whole, 2, PORTION):
                 found = counted(batch.column(2).to_pylist())
                 packed = [pa.array([x[j].astype(np.int32).tobytes() for x in found], pa.binary()) for j in (0, 1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *packed], ["example", "label", "terms", "times"])
@@ -254,7 +262,7 @@ def frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         held, n = np.zeros(SLOTS, np.int64), 0
         for whole in batches:
-            for batch in portions(whole, 0, 1 << 23):
+            for batch in portions(whole, 0, PORTION):
                 n += len(batch)
                 held += np.bincount(np.concatenate([t for t, _ in counted(batch.column(0).to_pylist())]), minlength=SLOTS)
         if n:
@@ -287,7 +295,7 @@ def scored(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame
         for texts in parts:
             once = pa.RecordBatch.from_arrays([pa.array(list(dict.fromkeys(texts)), pa.string())], ["text"])
             known = {}
-            for batch in portions(once, 0, 1 << 23):
+            for batch in portions(once, 0, PORTION):
                 part = batch.column(0).to_pylist()
                 known |= zip(part, model.score(part) if model else [(0.0, [])] * len(part))
             found = [known[t] for t in texts]
