@@ -183,7 +183,7 @@ def commission_structures(spark, sf):
     return read(spark, sf, "documents").select("doc_id", F.when(F.size(s) == 0, "Standard").otherwise(F.array_join(s, ",")).alias("structures"))
 
 
-@query("""WITH r AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS marked, [CASE p_partkey % 4 WHEN 0 THEN 'L' || p_partkey WHEN 1 THEN 'Total' WHEN 2 THEN '-' ELSE p_brand END, CASE p_partkey % 5 WHEN 0 THEN 'Total for all' ELSE p_name END, p_type, p_size::VARCHAR, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'N/A' END, 'y'] AS c FROM part)
+@query(r"""WITH r AS (SELECT p_partkey AS id, p_partkey % 3 = 0 AS marked, [CASE p_partkey % 4 WHEN 0 THEN 'L' || p_partkey WHEN 1 THEN 'Total' WHEN 2 THEN '-' ELSE p_brand END, CASE p_partkey % 5 WHEN 0 THEN 'Total for all' ELSE p_name END, p_type, p_size::VARCHAR, CASE WHEN p_size % 2 = 0 THEN 'x' ELSE 'N/A' END, 'y'] AS c FROM part)
   SELECT id, marked AND NOT (regexp_full_match(c[1], '[A-Za-z0-9][A-Za-z0-9\-]*') AND NOT regexp_matches(lower(c[1]), 'total|summary|grand') AND NOT contains(c[2], 'Total for') AND len(list_filter(c, lambda x: x NOT IN ('', '-', 'N/A', 'n/a'))) >= 6) AS summary FROM r""")
 def unmarked_rows(spark, sf):
     """Rows marked as summaries by mistake: with a valid group number and name and six filled cells they are data."""
