@@ -1,6 +1,6 @@
 """Queries of the training-data operators, and their SQL where SQL can express them."""
 
-from . import bpe_transducer, line_dedup, metric_join, packing, rule_ensemble, simhash_dedup, suffix_dedup, token_counts, toxicity, vp_search
+from . import bpe_transducer, crf_language, elkan_clusters, importance_resampling, line_dedup, metric_join, packing, rule_ensemble, simhash_dedup, suffix_dedup, token_counts, toxicity, vp_search
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
@@ -13,6 +13,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
     "op10_rule_ensemble": rule_ensemble.op10_rule_ensemble,
+    "op11_crf_language": crf_language.op11_crf_language,
+    "op12_elkan_clusters": elkan_clusters.op12_elkan_clusters,
+    "op13_importance_resampling": importance_resampling.op13_importance_resampling,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_elkan_clusters": elkan_clusters.OP12_SQL, "op13_importance_resampling": importance_resampling.OP13_SQL}
