@@ -370,8 +370,3 @@ def replay_last(spark, sf):
 def stage_progress(spark, sf):
     return stream.latest_stage(read(spark, sf, "events"))
 
-
-@query()
-def breaker_states(spark, sf):
-    """Circuit breaker per user over the ordered events; errors count as failures."""
-    return stream.breaker(read(spark, sf, "events"))

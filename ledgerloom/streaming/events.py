@@ -5,12 +5,9 @@ The batch forms are windows; ``streamed_*`` are the same rules for ``readStream`
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FAILURES, RETRY = 3, 3600.0  # a breaker opens after so many failures in a row and tries again after so many seconds
-
 
 def sliding_rate(events: DataFrame, seconds: int, limit: int) -> DataFrame:
     """Requests of a user in the window that ends with each request, and whether the limit rejects it."""
@@ -40,34 +37,6 @@ def latest_stage(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("stage"), F.count("*").alias("progress"))
 
 
-def _walk(pdf: pd.DataFrame, failures: int, opened: float | None) -> tuple[list[str], int, float | None]:
-    states = []
-    for at, kind in zip(pdf["at"], pdf["event_type"]):
-        trial = opened is not None and at - opened >= RETRY
-        if opened is not None and not trial:
-            states.append("open")
-            continue
-        if kind == "error":
-            failures += 1
-            opened = at if trial or failures >= FAILURES else None
-            states.append("open" if opened is not None else "closed")
-        else:
-            failures, opened = 0, None
-            states.append("closed")
-    return states, failures, opened
-
-
-def breaker(events: DataFrame) -> DataFrame:
-    """(user_id, event_id, state) after each event: the state depends on all before it, so each user is one sequence."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at", "event_id"])
-        return pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "state": _walk(pdf, 0, None)[0]})
-
-    rows = events.select("user_id", "event_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")).withColumn("at", F.col("at") / 1e6)
-    return rows.groupBy("user_id").applyInPandas(run, "user_id long, event_id long, state string")
-
-
 def streamed_rate(events: DataFrame, window: str, late: str) -> DataFrame:
     """Requests per user and tumbling window, with late data up to ``late``."""
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
@@ -79,18 +48,3 @@ def streamed_sessions(events: DataFrame, gap: str, late: str) -> DataFrame:
     e = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     return e.groupBy(F.session_window("ts", gap), "user_id").agg(F.count("*").alias("beats"))
 
-
-def streamed_breaker(events: DataFrame) -> DataFrame:
-    """The breaker as keyed state: failures in a row and the time it opened."""
-
-    def run(key, parts, state):
-        failures, opened = state.get if state.exists else (0, -1.0)
-        opened = None if opened < 0 else opened
-        for pdf in parts:
-            pdf = pdf.sort_values(["at", "event_id"])
-            states, failures, opened = _walk(pdf, failures, opened)
-            yield pd.DataFrame({"user_id": pdf["user_id"], "event_id": pdf["event_id"], "state": states})
-        state.update((failures, -1.0 if opened is None else opened))
-
-    rows = events.select("user_id", "event_id", "event_type", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return rows.groupBy("user_id").applyInPandasWithState(run, "user_id long, event_id long, state string", "failures int, opened double", "append", "NoTimeout")
