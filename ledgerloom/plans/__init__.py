@@ -1,6 +1,6 @@
 """Named queries over the test tables, each with its SQL."""
 
-from . import cells, reads, records, shapes, statements, stitches, streams
+from . import cells, learning, reads, records, shapes, statements, stitches, streams
 from .catalogue import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "cells", "reads", "records", "shapes", "statements", "stitches", "streams"]
+__all__ = ["QUERIES", "SQL", "cells", "learning", "reads", "records", "shapes", "statements", "stitches", "streams"]
