@@ -13,6 +13,9 @@ SUMMARY_KEYWORDS = ["total", "subtotal", "grand total", "net total", "overall to
 SUMMARY_PHRASES = {r"\btotal\s+for\s+vendor\b": 0.4, r"\btotal\s+for\s+group\b": 0.4, r"\btotal\s+for\s+(carrier|company|broker)\b": 0.4, r"\btotal\s+for\b": 0.35, r"\bcommission\s+total\b": 0.35, r"\bnet\s+(payment|commission)\b": 0.32, r"\bgrand\s+total\b": 0.35, r"\bstatement\s+total\b": 0.35, r"\btotal\s+commission\s+payment\b": 0.35}
 SUMMARY_ROWS = [r"\btotal\s+for\b", r"\bgrand\s+total\b", r"\bnet\s+(?:payment|commission)\b", r"\bsummary\b", r"\bcommission\s+total\b", r"\bwriting\s+agent\b", r"\bplan\s+summary\b"]
 NAME_SUFFIXES = ["llc", "l l c", "ll", "limited liability company", "limited liability co", "inc", "incorporated", "corporation", "corp", "cor", "ltd", "limited", "co", "company", "pllc", "p l l c", "professional llc", "llp", "l l p", "limited liability partnership", "lp", "l p", "limited partnership"]
+CANONICAL_SUFFIXES = {"llc": "LLC", "ll": "LLC", "limited liability company": "LLC", "limited liability co": "LLC", "inc": "Inc.", "incorporated": "Inc.", "corporation": "Corp.", "corp": "Corp.", "cor": "Corp.", "ltd": "Ltd.", "limited": "Ltd.", "co": "Co.", "company": "Co.", "pllc": "PLLC", "professional llc": "PLLC", "llp": "LLP", "limited liability partnership": "LLP", "lp": "LP", "limited partnership": "LP"}
+BUSINESS_WORDS = ["logistics", "transport", "shipping", "delivery", "freight", "cargo", "express", "global", "international", "services", "solutions", "group", "companies", "corporation", "enterprises", "industries", "systems", "trucking", "hauling", "moving", "storage", "warehouse", "distribution", "couriers", "courier", "box"]
+SMALL_WORDS = ["the", "of", "and", "&", "at", "in", "on", "for", "to", "a", "an"]
 COLUMN_TERMS = ["consultant", "due", "this", "period", "commission", "earned", "paid", "amount"]
 COLUMNS_WITHOUT_SUBSTITUTE = ["consultant due this period", "consultant due", "consultant paid"]
 NEVER_SUBSTITUTES = ["consultant due", "consultant paid", "consultant", "due", "consultant due this period"]
@@ -181,6 +184,36 @@ def match_name(c: Column) -> Column:
     return strip(F.regexp_replace(t, rf"(?<=\S)\s?(?:{longest})$", ""))
 
 
+def company_name(c: Column) -> Column:
+    """A company name in normal form: punctuation as blanks, "&" and "+" as words, glued business words apart, one legal suffix
+    in its canonical form at the end, small words left out, words capitalised, codes like A1 in capitals; blank names as they are."""
+    t = F.regexp_replace(F.regexp_replace(strip(c), r"\s+", " "), r"[,._-]", " ")
+    t = F.regexp_replace(t, r"[&+]", " and ")
+    low = F.lower(t)
+
+    def apart(name: Column, word: Column) -> Column:
+        glued = F.regexp_replace(name, F.concat(F.lit("(?is)^(.*?)([a-zA-Z0-9]+)("), word, F.lit(")([a-zA-Z]*)")), F.concat(F.lit("$1$2 "), word, F.lit(" $4")))
+        return F.when(F.rlike(low, F.concat(F.lit("[a-zA-Z0-9]"), word)), glued).otherwise(name)
+
+    main = F.trim(F.lower(F.aggregate(F.array(*[F.lit(w) for w in BUSINESS_WORDS]), t, apart)))
+    longest = "|".join(sorted(CANONICAL_SUFFIXES, key=lambda x: (-len(x), x)))
+    forms = F.create_map(*[F.lit(x) for pair in CANONICAL_SUFFIXES.items() for x in pair])
+    glued = F.regexp_extract(main, rf"(?<=[^ ])({longest})$", 1)
+    rest = F.when(glued != "", F.substring(main, F.lit(1), F.length(main) - F.length(glued))).otherwise(F.trim(F.regexp_replace(main, " +", " ")))
+    spaced = F.when(glued == "", F.regexp_extract(rest, rf"(?:^| )({longest})$", 1)).otherwise("")
+    rest = F.when(spaced != "", F.substring(rest, F.lit(1), F.length(rest) - F.length(spaced))).otherwise(rest)
+    parts = F.filter(F.split(rest, " "), lambda p: (p != "") & ~p.isin(SMALL_WORDS))
+    shown = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+[a-zA-Z]+$|^[a-zA-Z][0-9]+$"), F.upper(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))))
+    suffix = F.coalesce(F.element_at(forms, F.when(glued != "", glued).otherwise(spaced)), F.lit(""))
+    out = F.trim(F.concat_ws(" ", F.array_join(shown, " "), suffix))
+    return F.when((strip(c) == "") | (out == ""), c).otherwise(out)
+
+
+def company_similarity(a: Column, b: Column) -> Column:
+    """Similarity of two company names: one if their normal forms are equal, else that of their match names."""
+    return F.when(F.lower(company_name(a)) == F.lower(company_name(b)), 1.0).otherwise(name_similarity(match_name(a), match_name(b)))
+
+
 def name_similarity(a: Column, b: Column) -> Column:
     """Similarity of two match names: one if equal, with or without blanks; steps for cut-off names; else a mix.
 
