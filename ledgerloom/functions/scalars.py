@@ -184,6 +184,31 @@ def match_name(c: Column) -> Column:
     return strip(F.regexp_replace(t, rf"(?<=\S)\s?(?:{longest})$", ""))
 
 
+def repair_state_codes(c: Column) -> Column:
+    """State codes whose zeros were read as the letter O: two capitals and five digits again. Four rules in turn; each takes its
+    correction from the first code it meets and writes it in place of all of them."""
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  a value named once
+    part = lambda x, pattern, k: F.regexp_extract(x, pattern, k)
+    filled_up = lambda state, digits: F.concat(state, F.repeat(F.lit("0"), F.greatest(5 - F.length(digits), F.lit(0))), digits)
+    letters, trailing, mixed, single = r"([A-Z]{2})O+(\d+)", r"([A-Z]{2}\d+)O+", r"([A-Z]{2})[0O]+(\d+)", r"([A-Z]{2}\d)O(\d+)"
+
+    def first(x: Column) -> Column:
+        fixed = F.when(x.rlike(letters), F.regexp_replace(x, F.lit(letters), filled_up(part(x, letters, 1), part(x, letters, 2)))).otherwise(x)
+        return F.struct(fixed.alias("x"), part(x, letters, 0).alias("seen"))
+
+    def second(s: Column) -> Column:
+        code = part(s["x"], trailing, 1)
+        fixed = F.regexp_replace(s["x"], F.lit(trailing), F.concat(code, F.repeat(F.lit("0"), F.greatest(7 - F.length(code), F.lit(0)))))
+        return F.struct(F.when((code != "") & (F.length(code) < 7), fixed).otherwise(s["x"]).alias("x"), s["seen"].alias("seen"))
+
+    def third(s: Column) -> Column:
+        x = s["x"]
+        return F.when((part(x, mixed, 0) != "") & (part(x, mixed, 0) != s["seen"]), F.regexp_replace(x, F.lit(mixed), filled_up(part(x, mixed, 1), part(x, mixed, 2)))).otherwise(x)
+
+    last = lambda x: F.when(x.rlike(single), F.regexp_replace(x, F.lit(single), F.concat(part(x, single, 1), F.lit("0"), part(x, single, 2)))).otherwise(x)
+    return bound(bound(bound(bound(c, first), second), third), last)
+
+
 def company_name(c: Column) -> Column:
     """A company name in normal form: punctuation as blanks, "&" and "+" as words, glued business words apart, one legal suffix
     in its canonical form at the end, small words left out, words capitalised, codes like A1 in capitals; blank names as they are."""

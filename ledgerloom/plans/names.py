@@ -57,3 +57,23 @@ def normal_names(spark, sf):
 def company_groups(spark, sf):
     """All company names grouped greedily at 0.75 in the order of their ids, without blocks, each group under its longest normal form."""
     return fuzzy.company_groups(companies(spark, sf)).select("id", "leader", "canonical", "size")
+
+
+CODES = ["MNOO867", "LAO48", "MD005OO", "MN0O867", "MN0O67", "TX12345", "NYO1", "VA00598 OHOO12"]
+
+CODES_SQL = f"""c AS (SELECT p_partkey AS id, p_name || ' ' || {CODES}[1 + p_partkey % 8] || CASE WHEN p_size % 3 = 0 THEN ' LLC' ELSE '' END AS x FROM part),
+ f1 AS (SELECT id, regexp_extract(x, '([A-Z]{{2}})O+(\\d+)') AS seen, regexp_replace(x, '([A-Z]{{2}})O+(\\d+)', regexp_extract(x, '([A-Z]{{2}})O+(\\d+)', 1) || repeat('0', greatest(5 - length(regexp_extract(x, '([A-Z]{{2}})O+(\\d+)', 2)), 0)::INT) || regexp_extract(x, '([A-Z]{{2}})O+(\\d+)', 2), 'g') AS x FROM c),
+ f2 AS (SELECT id, seen, CASE WHEN length(regexp_extract(x, '([A-Z]{{2}}\\d+)O+', 1)) BETWEEN 1 AND 6 THEN regexp_replace(x, '([A-Z]{{2}}\\d+)O+', rpad(regexp_extract(x, '([A-Z]{{2}}\\d+)O+', 1), 7, '0'), 'g') ELSE x END AS x FROM f1),
+ f3 AS (SELECT id, CASE WHEN regexp_extract(x, '([A-Z]{{2}})[0O]+(\\d+)') NOT IN ('', seen) THEN regexp_replace(x, '([A-Z]{{2}})[0O]+(\\d+)', regexp_extract(x, '([A-Z]{{2}})[0O]+(\\d+)', 1) || repeat('0', greatest(5 - length(regexp_extract(x, '([A-Z]{{2}})[0O]+(\\d+)', 2)), 0)::INT) || regexp_extract(x, '([A-Z]{{2}})[0O]+(\\d+)', 2), 'g') ELSE x END AS x FROM f2),
+ f4 AS (SELECT id, regexp_replace(x, '([A-Z]{{2}}\\d)O(\\d+)', regexp_extract(x, '([A-Z]{{2}}\\d)O(\\d+)', 1) || '0' || regexp_extract(x, '([A-Z]{{2}}\\d)O(\\d+)', 2), 'g') AS x FROM f3)"""
+
+
+@query(f"""WITH {CODES_SQL} SELECT id, x AS repaired, CASE WHEN regexp_matches(x, '\\s+[A-Z]{{2}}\\d{{5}}') THEN trim(regexp_replace(x, '\\s+[A-Z]{{2}}\\d{{5}}\\s*', ' ', 'g')) WHEN regexp_matches(x, '\\s+[A-Z]{{2}}\\d{{4}}') THEN trim(regexp_replace(x, '\\s+[A-Z]{{2}}\\d{{4}}\\s*', ' ', 'g'))
+  WHEN regexp_matches(x, '\\s+[A-Z]{{2}}\\d{{3}}') THEN trim(regexp_replace(x, '\\s+[A-Z]{{2}}\\d{{3}}\\s*', ' ', 'g')) WHEN regexp_matches(x, '\\s+[A-Z]{{2}}\\d{{2}}') THEN trim(regexp_replace(x, '\\s+[A-Z]{{2}}\\d{{2}}\\s*', ' ', 'g')) ELSE x END AS client FROM f4""")
+def repaired_clients(spark, sf):
+    """Client names whose state codes were misread: the codes repaired, then taken off."""
+    k = F.col("p_partkey")
+    code = F.element_at(F.array(*[F.lit(c) for c in CODES]), (k % 8 + 1).cast("int"))
+    name = F.concat(F.col("p_name"), F.lit(" "), code, F.when(F.col("p_size") % 3 == 0, " LLC").otherwise(""))
+    fixed = read(spark, sf, "part").select(k.alias("id"), S.repair_state_codes(name).alias("repaired"))
+    return fixed.select("id", "repaired", S.clean_client(F.col("repaired")).alias("client"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import stitching
+from ..operators import formats, stitching
 from ..sources.binding import read
 from .catalogue import query
 from .cells import picked
@@ -67,3 +67,12 @@ def fuzzy_stitched(spark, sf):
     s = stitching.stitched(page_tables(spark, sf))
     plain = F.transform("rows", lambda r: F.array_join(r, "|"))
     return s.select(F.col("upload_id").alias("doc"), "first_table", "is_total", F.array_join("header", "|").alias("header"), F.size("rows").cast("long").alias("n_rows"), F.array_join(F.transform("parts", lambda x: x.cast("string")), ",").alias("parts"), F.md5(F.array_join(plain, ";").cast("binary")).alias("cells"))
+
+
+@query()
+def best_formats(spark, sf):
+    """The format learnt from every tenth order that fits each other order's tables best, by header names and shape, within one of five companies."""
+    t = page_tables(spark, sf).select((F.col("upload_id") % 5).alias("company_id"), "upload_id", "table_idx", "header", F.size("header").alias("n_columns"), F.size("rows").alias("n_rows"), (F.col("upload_id") % 3 > 0).alias("has_header"))
+    known = t.where("upload_id % 10 < 2").groupBy("company_id", "header", "n_columns", "n_rows", "has_header").agg(F.min(F.col("upload_id") * 100 + F.col("table_idx")).alias("format_id"), F.max("upload_id").alias("last_used"))
+    b = formats.best_formats(t.where("upload_id % 10 >= 2"), known)
+    return b.select(F.col("upload_id").alias("doc"), F.col("table_idx").alias("i"), "format_id", F.round("score", 9).alias("score"))
