@@ -13,13 +13,12 @@ from .catalogue import query
 dbl = lambda c: F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
 
 
-@query(f"""WITH {ENTRIES_SQL} SELECT client_name, {{'jan': CAST(coalesce(sum(CASE WHEN month = 1 THEN commission END), 0) AS DOUBLE), 'feb': CAST(coalesce(sum(CASE WHEN month = 2 THEN commission END), 0) AS DOUBLE)}}::VARCHAR AS breakdown FROM entries WHERE false GROUP BY 1
-  UNION ALL SELECT client_name, CAST(coalesce(sum(CASE WHEN month = 1 THEN commission END), 0) AS VARCHAR) || '/' || CAST(coalesce(sum(CASE WHEN month = 12 THEN commission END), 0) AS VARCHAR) FROM entries GROUP BY 1""")
+@query(f"""WITH {ENTRIES_SQL} SELECT client_name, concat_ws('/', {", ".join(f"CAST(CAST(coalesce(sum(CASE WHEN month = {m} THEN commission END), 0) AS DECIMAL(30,4)) AS VARCHAR)" for m in range(1, 13))}) AS breakdown FROM entries GROUP BY 1""")
 def month_breakdown(spark, sf):
     """The twelve month columns as one nested value, read back by path."""
     wide = entries(spark, sf).groupBy("client_name").agg(*ledger.month_columns("commission"))
     nested = wide.select("client_name", F.struct(*[F.col(f"{m}_commission").alias(m) for m in MONTHS]).alias("b"))
-    return nested.select("client_name", F.concat_ws("/", F.col("b.jan").cast("decimal(30,4)").cast("string"), F.col("b.dec").cast("decimal(30,4)").cast("string")).alias("breakdown"))
+    return nested.select("client_name", F.concat_ws("/", *[F.col(f"b.{m}").cast("decimal(30,4)").cast("string") for m in MONTHS]).alias("breakdown"))
 
 
 @query("SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN o_custkey ELSE o_orderkey % 100 END AS carrier_key, CASE WHEN o_orderkey % 4 = 0 THEN o_orderpriority || '@x' ELSE trim(o_orderstatus || ' ' || o_orderpriority) END AS shown, o_custkey || '_' || o_orderkey % 100 AS both, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') END AS at FROM orders")
@@ -224,7 +223,9 @@ def bound_sql(spark, sf):
     read(spark, sf, "nation").createOrReplaceTempView("nation_probe")
     if not spark.catalog.tableExists("nation_probe"):
         raise LookupError("nation_probe")
-    return spark.sql("select n_nationkey as id, n_name as name from nation_probe where n_regionkey = :region and n_nationkey > :least", args={"region": 2, "least": 3})
+    found = spark.sql("select n_nationkey as id, n_name as name from nation_probe where n_regionkey = :region and n_nationkey > :least", args={"region": 2, "least": 3})
+    spark.catalog.dropTempView("nation_probe")
+    return found
 
 
 @query("""SELECT r_regionkey AS id, '{"name":"' || r_name || '","header":["name","key"],"rows":[["' || r_name || '","' || r_regionkey || '"]]}' AS json FROM region""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import boxes as box_matching
 from ..operators import formats, stitching
 from ..sources.binding import read
 from .catalogue import query
@@ -76,3 +77,30 @@ def best_formats(spark, sf):
     known = t.where("upload_id % 10 < 2").groupBy("company_id", "header", "n_columns", "n_rows", "has_header").agg(F.min(F.col("upload_id") * 100 + F.col("table_idx")).alias("format_id"), F.max("upload_id").alias("last_used"))
     b = formats.best_formats(t.where("upload_id % 10 >= 2"), known)
     return b.select(F.col("upload_id").alias("doc"), F.col("table_idx").alias("i"), "format_id", F.round("score", 9).alias("score"))
+
+
+BOXES_SQL = """n AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS id, l_partkey AS a, l_suppkey AS b FROM lineitem),
+ truth AS (SELECT doc, id, (a % 4 * 20)::DOUBLE AS x1, (id % 3 * 12)::DOUBLE AS y1, (a % 4 * 20 + 30 + a % 7)::DOUBLE AS x2, (id % 3 * 12 + 20)::DOUBLE AS y2 FROM n),
+ found AS (SELECT doc, id * 2 + k AS id, x1 + (b + k * 5) % 9 - 4 AS x1, y1 + b % 5 - 2 AS y1, x2 + (b + k * 3) % 7 - 3 AS x2, y2 + b % 4 - 2 AS y2 FROM (SELECT t.*, n.b FROM truth AS t JOIN n USING (doc, id)), (SELECT unnest([0, 1]) AS k) WHERE b % 6 > 0 OR k = 1)"""
+
+
+def boxes(spark, sf):
+    """Each order as a page: a box for each line, many of them over others, and one or two detections of each that are a little off."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    n = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).cast("long").alias("id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    x, y = F.col("a") % 4 * 20, F.col("id") % 3 * 12
+    n = n.select("doc", "id", "b", x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 30 + F.col("a") % 7).cast("double").alias("x2"), (y + 20).cast("double").alias("y2"))
+    d = n.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("b % 6 > 0 or k = 1")
+    b, k = F.col("b"), F.col("k")
+    d = d.select("doc", (F.col("id") * 2 + k).alias("id"), (F.col("x1") + (b + k * 5) % 9 - 4).alias("x1"), (F.col("y1") + b % 5 - 2).alias("y1"), (F.col("x2") + (b + k * 3) % 7 - 3).alias("x2"), (F.col("y2") + b % 4 - 2).alias("y2"))
+    return d, n.drop("b")
+
+
+@query(f"""WITH RECURSIVE {BOXES_SQL}, o AS (SELECT f.doc, f.id AS p, t.id AS t, greatest(least(f.x2, t.x2) - greatest(f.x1, t.x1), 0) * greatest(least(f.y2, t.y2) - greatest(f.y1, t.y1), 0) AS i, (f.x2 - f.x1) * (f.y2 - f.y1) + (t.x2 - t.x1) * (t.y2 - t.y1) AS s FROM found AS f JOIN truth AS t ON t.doc = f.doc),
+ e AS (SELECT doc, p, t, i / (s - i) AS iou, row_number() OVER (PARTITION BY doc ORDER BY i / (s - i) DESC, p, t) AS k FROM o WHERE i / (s - i) >= 0.5e0),
+ g AS (SELECT DISTINCT doc, 0::BIGINT AS k, []::BIGINT[] AS ps, []::BIGINT[] AS ts, NULL::BIGINT AS p, NULL::BIGINT AS t, 0e0 AS iou, false AS taken FROM e
+  UNION ALL SELECT e.doc, e.k, CASE WHEN list_contains(g.ps, e.p) OR list_contains(g.ts, e.t) THEN g.ps ELSE list_append(g.ps, e.p) END, CASE WHEN list_contains(g.ps, e.p) OR list_contains(g.ts, e.t) THEN g.ts ELSE list_append(g.ts, e.t) END, e.p, e.t, e.iou, NOT (list_contains(g.ps, e.p) OR list_contains(g.ts, e.t)) FROM g JOIN e ON e.doc = g.doc AND e.k = g.k + 1)
+ SELECT doc, p, t, round(iou, 9) AS iou FROM g WHERE taken""")
+def matched_boxes(spark, sf):
+    """Detected boxes of each page matched one to one with its true ones, the largest overlap first, none under a half."""
+    return box_matching.matched(*boxes(spark, sf)).select("doc", "p", "t", F.round("iou", 9).alias("iou"))
