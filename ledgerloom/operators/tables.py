@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fields as X
 from ..functions import scalars as S
 
 def explode_tables(uploads: DataFrame) -> DataFrame:
@@ -153,3 +154,23 @@ def difflib_ratio(pairs: DataFrame, a: str, b: str) -> DataFrame:
         return pd.Series([SequenceMatcher(None, p or "", q or "").ratio() for p, q in zip(x, y)])
 
     return pairs.withColumn("ratio", ratio(F.col(a), F.col(b)))
+
+
+def flatten_mapped(uploads: DataFrame) -> DataFrame:
+    """Uploads with their field configuration to ledger input: (carrier_id, upload_id, client_name, commission, invoice).
+
+    ``uploads(upload_id, carrier_id, company_id, config, tables)``. Without a configuration the first row of the first table gives one. Columns
+    are resolved for each table by itself; a table without the client or the commission column is left out, one without
+    the invoice column has invoices of zero. Summary rows, rows without a client and rows without any amount go.
+    """
+    first = F.get("tables", 0)
+    inferred = X.inferred_config(F.transform(first["header"], S.header), F.get(first["rows"], 0))
+    config = F.when(F.coalesce(F.size("config"), F.lit(0)) > 0, F.col("config")).otherwise(inferred)
+    u = uploads.select("upload_id", F.coalesce("carrier_id", "company_id").alias("carrier_id"), "tables", X.field_mapping(config).alias("m")).where("m.client is not null and m.commission is not null")
+    t = u.select("carrier_id", "upload_id", "m", F.explode("tables").alias("t")).select("carrier_id", "upload_id", "m", F.transform("t.header", S.header).alias("h"), "t.rows", "t.summaryRows")
+    exact = F.when(F.array_contains("h", F.col("m.invoice")), F.size("h") - F.array_position(F.reverse("h"), F.col("m.invoice")).cast("int"))
+    t = t.select("carrier_id", "upload_id", "rows", "summaryRows", X.resolved(F.col("m.client"), F.col("h")).alias("a"), X.resolved(F.col("m.commission"), F.col("h")).alias("b"), exact.alias("c")).where("a is not null and b is not null")
+    r = t.select("carrier_id", "upload_id", "summaryRows", "a", "b", "c", F.posexplode("rows").alias("i", "row")).where(~F.coalesce(F.array_contains("summaryRows", F.col("i")), F.lit(False)))
+    cell = lambda k: F.coalesce(F.get("row", F.col(k)), F.lit(""))
+    out = r.select("carrier_id", "upload_id", X.client_of(cell("a")).alias("client_name"), S.amount_ledger(cell("b")).alias("commission"), F.coalesce(S.amount_ledger(cell("c")), F.lit(0.0)).alias("invoice"))
+    return out.where((F.col("client_name") != "") & ((F.col("commission") != 0) | (F.col("invoice") != 0)))
