@@ -126,10 +126,20 @@ def progress_summary(step: Column, count: Column) -> Column:
     )
 
 
+# Fixed values of the domain: amounts in brackets are negative; what follows a match is dropped.
+BRACKETS = [r"^\(\s*\\?\$\s*([0-9,]+\.?\d*)\s*\)", r"^\(\s*\\?\$?\s*-?\s*([0-9,]+\.?\d*)\s*\$?\s*\)", r"^\\?\(\s*\\?\$\s*([0-9,]+\.?\d*)\s*\\?\)"]
+PLAIN_AMOUNT = r"^\\?\$\s*([0-9,]+\.?\d*)"
+
+
 def bracket_rewrite(c: Column) -> Column:
-    """Accounting brackets as a signed amount: (1,234.5) becomes -$1234.5; other text stays."""
-    m = F.regexp_extract(c, r"^\s*\$?\(\s*\$?([0-9][0-9,]*\.?[0-9]*)\s*\)", 1)
-    return F.when(m != "", F.concat(F.lit("-$"), F.regexp_replace(m, ",", ""))).otherwise(c)
+    """Accounting brackets as a signed amount: (1,234.5) becomes -$1234.5, also with currency signs, a minus or escapes inside;
+    amounts with a currency sign lose their separators; other text stays, without outer blanks."""
+    t = strip(c)
+    found = lambda pattern: F.nullif(F.regexp_extract(t, pattern, 1), F.lit(""))
+    bare = lambda m: F.when(F.replace(m, F.lit(","), F.lit("")).rlike(r"^(\d+\.?\d*|\.\d+)$"), F.replace(m, F.lit(","), F.lit(""))).otherwise(m)
+    inside = F.coalesce(*[found(p) for p in BRACKETS])
+    plain = found(PLAIN_AMOUNT)
+    return F.when(t == "", c).when(inside.isNotNull(), F.concat(F.lit("-$"), bare(inside))).when(plain.isNotNull(), F.concat(F.lit("$"), bare(plain))).otherwise(t)
 
 
 def growth(current: Column, previous: Column) -> Column:

@@ -55,9 +55,19 @@ def amounts_client(spark, sf):
     return raw_cells(spark, sf).select("id", S.amount_client(F.col("c")).alias("amount"))
 
 
-@query(f"""WITH {RAW_SQL}, t AS (SELECT id, c, regexp_extract(c, '^\\s*\\$?\\(\\s*\\$?([0-9][0-9,]*\\.?[0-9]*)\\s*\\)', 1) AS m FROM cells) SELECT id, CASE WHEN m <> '' THEN '-$' || replace(m, ',', '') ELSE c END AS c FROM t""")
+BRACKET_FORMS = ["({x})", "($ {x} )", "(\\${x}) net", "(-{x}$)", "\\(\\${x}\\)", "${x} due", " {x} ", "$({x})", "(,)", "( - 7 )", "(a)", "  ", "-{x}"]
+BRACKET_LIST = "[" + ", ".join(f"'{x}'" for x in BRACKET_FORMS) + "]"
+BRACKET_SQL = "coalesce(" + ", ".join(f"nullif(regexp_extract(t, '{p}', 1), '')" for p in S.BRACKETS) + ")"
+_bare = "CASE WHEN regexp_full_match(replace({m}, ',', ''), '\\d+\\.?\\d*|\\.\\d+') THEN replace({m}, ',', '') ELSE {m} END"
+
+
+@query(f"""WITH f AS (SELECT p_partkey AS id, replace({BRACKET_LIST}[1 + p_partkey % {len(BRACKET_FORMS)}], '{{x}}', printf('%,d', p_partkey * 37 + 1000) || '.' || p_size % 10) AS c FROM part), t AS (SELECT id, c, trim(c) AS t FROM f), m AS (SELECT *, {BRACKET_SQL} AS m, nullif(regexp_extract(t, '{S.PLAIN_AMOUNT}', 1), '') AS p FROM t)
+  SELECT id, CASE WHEN t = '' THEN c WHEN m IS NOT NULL THEN '-$' || {_bare.format(m="m")} WHEN p IS NOT NULL THEN '$' || {_bare.format(m="p")} ELSE t END AS c FROM m""")
 def brackets(spark, sf):
-    return raw_cells(spark, sf).select("id", S.bracket_rewrite(F.col("c")).alias("c"))
+    """Amounts in brackets of many forms as signed amounts."""
+    form = F.element_at(F.array(*[F.lit(x) for x in BRACKET_FORMS]), (F.col("p_partkey") % len(BRACKET_FORMS) + 1).cast("int"))
+    amount = F.concat(F.format_number(F.col("p_partkey") * 37 + 1000, 0), F.lit("."), (F.col("p_size") % 10).cast("string"))
+    return read(spark, sf, "part").select(F.col("p_partkey").alias("id"), S.bracket_rewrite(F.replace(form, F.lit("{x}"), amount)).alias("c"))
 
 
 @query(f"""WITH {RAW_SQL} SELECT CASE WHEN trim(c) = '' THEN 'empty' WHEN regexp_matches(trim(c), '^[(-]?\\$\\s?[0-9][0-9,]*(\\.[0-9]+)?\\)?$') THEN 'currency' WHEN regexp_matches(trim(c), '^-?[0-9]+(\\.[0-9]+)?\\s?%$') THEN 'percentage'
