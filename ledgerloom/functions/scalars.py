@@ -13,6 +13,13 @@ SUMMARY_KEYWORDS = ["total", "subtotal", "grand total", "net total", "overall to
 SUMMARY_PHRASES = {r"\btotal\s+for\s+vendor\b": 0.4, r"\btotal\s+for\s+group\b": 0.4, r"\btotal\s+for\s+(carrier|company|broker)\b": 0.4, r"\btotal\s+for\b": 0.35, r"\bcommission\s+total\b": 0.35, r"\bnet\s+(payment|commission)\b": 0.32, r"\bgrand\s+total\b": 0.35, r"\bstatement\s+total\b": 0.35, r"\btotal\s+commission\s+payment\b": 0.35}
 SUMMARY_ROWS = [r"\btotal\s+for\b", r"\bgrand\s+total\b", r"\bnet\s+(?:payment|commission)\b", r"\bsummary\b", r"\bcommission\s+total\b", r"\bwriting\s+agent\b", r"\bplan\s+summary\b"]
 NAME_SUFFIXES = ["llc", "l l c", "ll", "limited liability company", "limited liability co", "inc", "incorporated", "corporation", "corp", "cor", "ltd", "limited", "co", "company", "pllc", "p l l c", "professional llc", "llp", "l l p", "limited liability partnership", "lp", "l p", "limited partnership"]
+CARRIER_NAMES = {
+    "allied": "Allied Benefit Systems", "allied benefit": "Allied Benefit Systems", "allied benefit systems": "Allied Benefit Systems", "absf": "Allied Benefit Systems",
+    "united healthcare": "UnitedHealthcare", "unitedhealthcare": "UnitedHealthcare", "uhc": "UnitedHealthcare", "united health group": "UnitedHealthcare", "unitedhealth": "UnitedHealthcare",
+    "blue cross blue shield": "Blue Cross Blue Shield", "bcbs": "Blue Cross Blue Shield", "blue cross": "Blue Cross Blue Shield",
+    "aetna": "Aetna", "aetna inc": "Aetna", "cigna": "Cigna", "cigna health": "Cigna", "humana": "Humana", "humana inc": "Humana",
+}
+CARRIER_SUFFIXES = [" llc", " inc", " inc.", " corporation", " corp"]
 CANONICAL_SUFFIXES = {"llc": "LLC", "ll": "LLC", "limited liability company": "LLC", "limited liability co": "LLC", "inc": "Inc.", "incorporated": "Inc.", "corporation": "Corp.", "corp": "Corp.", "cor": "Corp.", "ltd": "Ltd.", "limited": "Ltd.", "co": "Co.", "company": "Co.", "pllc": "PLLC", "professional llc": "PLLC", "llp": "LLP", "limited liability partnership": "LLP", "lp": "LP", "limited partnership": "LP"}
 BUSINESS_WORDS = ["logistics", "transport", "shipping", "delivery", "freight", "cargo", "express", "global", "international", "services", "solutions", "group", "companies", "corporation", "enterprises", "industries", "systems", "trucking", "hauling", "moving", "storage", "warehouse", "distribution", "couriers", "courier", "box"]
 SMALL_WORDS = ["the", "of", "and", "&", "at", "in", "on", "for", "to", "a", "an"]
@@ -244,6 +251,15 @@ def company_name(c: Column) -> Column:
     return F.when((strip(c) == "") | (out == ""), c).otherwise(out)
 
 
+def carrier_name(c: Column) -> Column:
+    """A carrier's canonical name: looked up in lower case without the legal suffixes that do not tell carriers apart; unknown names as they are, without outer blanks."""
+    low = strip(F.lower(c))
+    for suffix in CARRIER_SUFFIXES:
+        low = F.replace(low, F.lit(suffix), F.lit(""))
+    known = F.create_map(*[F.lit(x) for pair in CARRIER_NAMES.items() for x in pair])
+    return F.when(c == "", c).otherwise(F.coalesce(F.element_at(known, strip(low)), strip(c)))
+
+
 def company_similarity(a: Column, b: Column) -> Column:
     """Similarity of two company names: one if their normal forms are equal, else that of their match names."""
     return F.when(F.lower(company_name(a)) == F.lower(company_name(b)), 1.0).otherwise(name_similarity(match_name(a), match_name(b)))

@@ -77,3 +77,16 @@ def repaired_clients(spark, sf):
     name = F.concat(F.col("p_name"), F.lit(" "), code, F.when(F.col("p_size") % 3 == 0, " LLC").otherwise(""))
     fixed = read(spark, sf, "part").select(k.alias("id"), S.repair_state_codes(name).alias("repaired"))
     return fixed.select("id", "repaired", S.clean_client(F.col("repaired")).alias("client"))
+
+
+CARRIERS = ["Allied", " ABSF llc ", "united HEALTHCARE Corporation", "UHC Inc", "Blue Cross, Inc.", "bcbs corp", "AETNA INC", "Cigna Health LLC", "humana", "Other Carrier Inc ", ""]
+_carriers = "[" + ", ".join(f"'{x}'" for x in CARRIERS) + "]"
+_known = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in S.CARRIER_NAMES.items()) + "}"
+
+
+@query(f"""WITH c AS (SELECT s_suppkey AS id, {_carriers}[1 + s_suppkey % {len(CARRIERS)}] AS x FROM supplier), n AS (SELECT id, x, trim(list_reduce({S.CARRIER_SUFFIXES}, lambda a, w: replace(a, w, ''), trim(lower(x)))) AS k FROM c)
+ SELECT id, coalesce({_known}[k], trim(x)) AS carrier FROM n""")
+def canonical_carriers(spark, sf):
+    """Carriers under their canonical names."""
+    name = F.element_at(F.array(*[F.lit(x) for x in CARRIERS]), (F.col("s_suppkey") % len(CARRIERS) + 1).cast("int"))
+    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), S.carrier_name(name).alias("carrier"))
