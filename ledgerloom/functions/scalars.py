@@ -229,26 +229,41 @@ def repair_state_codes(c: Column) -> Column:
 def company_name(c: Column) -> Column:
     """A company name in normal form: punctuation as blanks, "&" and "+" as words, glued business words apart, one legal suffix
     in its canonical form at the end, small words left out, words capitalised, codes like A1 in capitals; blank names as they are."""
+    bound = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  a value named once
     t = F.regexp_replace(F.regexp_replace(strip(c), r"\s+", " "), r"[,._-]", " ")
     t = F.regexp_replace(t, r"[&+]", " and ")
-    low = F.lower(t)
 
-    def apart(name: Column, word: Column) -> Column:
-        glued = F.regexp_replace(name, F.concat(F.lit("(?is)^(.*?)([a-zA-Z0-9]+)("), word, F.lit(")([a-zA-Z]*)")), F.concat(F.lit("$1$2 "), word, F.lit(" $4")))
-        return F.when(F.rlike(low, F.concat(F.lit("[a-zA-Z0-9]"), word)), glued).otherwise(name)
+    def apart(name: Column) -> Column:
+        out = name
+        for word in BUSINESS_WORDS:  # blanks that one word brings glue no other
+            out = F.regexp_replace(out, rf"(?is)^(?=.*[a-zA-Z0-9]{word})(.*?)([a-zA-Z0-9]+)({word})([a-zA-Z]*)", f"$1$2 {word} $4")
+        return F.when(name.rlike(rf"(?i)[a-z0-9](?:{'|'.join(BUSINESS_WORDS)})"), out).otherwise(name)
 
-    main = F.trim(F.lower(F.aggregate(F.array(*[F.lit(w) for w in BUSINESS_WORDS]), t, apart)))
     longest = "|".join(sorted(CANONICAL_SUFFIXES, key=lambda x: (-len(x), x)))
     forms = F.create_map(*[F.lit(x) for pair in CANONICAL_SUFFIXES.items() for x in pair])
-    glued = F.regexp_extract(main, rf"(?<=[^ ])({longest})$", 1)
-    rest = F.when(glued != "", F.substring(main, F.lit(1), F.length(main) - F.length(glued))).otherwise(F.trim(F.regexp_replace(main, " +", " ")))
-    spaced = F.when(glued == "", F.regexp_extract(rest, rf"(?:^| )({longest})$", 1)).otherwise("")
-    rest = F.when(spaced != "", F.substring(rest, F.lit(1), F.length(rest) - F.length(spaced))).otherwise(rest)
-    parts = F.filter(F.split(rest, " "), lambda p: (p != "") & ~p.isin(SMALL_WORDS))
-    shown = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+[a-zA-Z]+$|^[a-zA-Z][0-9]+$"), F.upper(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))))
-    suffix = F.coalesce(F.element_at(forms, F.when(glued != "", glued).otherwise(spaced)), F.lit(""))
-    out = F.trim(F.concat_ws(" ", F.array_join(shown, " "), suffix))
-    return F.when((strip(c) == "") | (out == ""), c).otherwise(out)
+
+    def unglued(main: Column) -> Column:
+        return F.struct(main.alias("main"), F.regexp_extract(main, rf"(?<=[^ ])({longest})$", 1).alias("glued"))
+
+    def without_glued(s: Column) -> Column:
+        main, glued = s["main"], s["glued"]
+        rest = F.when(glued != "", F.substring(main, F.lit(1), F.length(main) - F.length(glued))).otherwise(F.trim(F.regexp_replace(main, " +", " ")))
+        return F.struct(rest.alias("rest"), glued.alias("glued"))
+
+    def unspaced(s: Column) -> Column:
+        spaced = F.when(s["glued"] == "", F.regexp_extract(s["rest"], rf"(?:^| )({longest})$", 1)).otherwise("")
+        return F.struct(s["rest"].alias("rest"), s["glued"].alias("glued"), spaced.alias("spaced"))
+
+    def joined(s: Column) -> Column:
+        rest, glued, spaced = s["rest"], s["glued"], s["spaced"]
+        rest = F.when(spaced != "", F.substring(rest, F.lit(1), F.length(rest) - F.length(spaced))).otherwise(rest)
+        parts = F.filter(F.split(rest, " "), lambda p: (p != "") & ~p.isin(SMALL_WORDS))
+        shown = F.transform(parts, lambda p: F.when(p.rlike("^[0-9]+[a-zA-Z]+$|^[a-zA-Z][0-9]+$"), F.upper(p)).otherwise(F.concat(F.upper(F.substring(p, 1, 1)), F.substring(p, F.lit(2), F.length(p)))))
+        suffix = F.coalesce(F.element_at(forms, F.when(glued != "", glued).otherwise(spaced)), F.lit(""))
+        return F.trim(F.concat_ws(" ", F.array_join(shown, " "), suffix))
+
+    out = bound(bound(bound(bound(F.trim(F.lower(bound(t, apart))), unglued), without_glued), unspaced), joined)
+    return bound(out, lambda x: F.when(x == "", c).otherwise(x))
 
 
 def carrier_name(c: Column) -> Column:

@@ -42,7 +42,7 @@ def companies(spark, sf):
 @query(f"WITH {COMPANIES_SQL}, {NORMAL_SQL} SELECT id, normal FROM normal")
 def normal_names(spark, sf):
     """The normal form of every company name."""
-    return companies(spark, sf).select("id", S.company_name(F.col("name")).alias("normal"))
+    return companies(spark, sf).repartition("id").select("id", S.company_name(F.col("name")).alias("normal"))
 
 
 @query(f"""WITH RECURSIVE {COMPANIES_SQL}, {NORMAL_SQL}, {CORES_SQL}, n AS MATERIALIZED (SELECT id, normal, lower(normal) AS norm, core, string_split(core, ' ') AS w, row_number() OVER (ORDER BY id) AS k FROM normal JOIN cores USING (id)),

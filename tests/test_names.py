@@ -133,3 +133,8 @@ def test_chain_and_hot_words(spark):
     hot = [f"north american {''.join(rng.choices('abcdefghij', k=6))} {''.join(rng.choices('abcdefghij', k=6))}" for _ in range(3000)]
     cores = spark.createDataFrame(list(enumerate(sorted(set(hot)))), "n long, core string")
     assert fuzzy.alike_names(cores, 0.75, False).count() < 50  # not one pair in a thousand meets
+
+
+def test_each_business_word_is_looked_for_once(spark):
+    plan = frame(spark, ["x"]).select(S.company_name(F.col("name")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("courier") <= 8 and "aggregate(" not in plan  # two words hold it; before, 70 copies of the search were nested
