@@ -8,6 +8,9 @@ Matching is greedy by overlap: of all pairs of a document the one with the large
 then the earlier second one). A pair that is the best of both its boxes is taken by that order whatever else happens, so
 each round takes all of these in all documents at once and drops their boxes' other pairs; rounds follow chains of ever better pairs.
 
+Grid and rounds are for documents with many boxes. Where all pairs are few (``PAIRS``), boxes meet by their document alone and its
+pairs are folded in their order inside one row, so nothing is copied over cells or written between rounds.
+
 Boxes with nulls, without area or without end take no part; ids are unique in a document and a detection.
 """
 
@@ -19,6 +22,7 @@ from pyspark.sql import functions as F
 from .fuzzy import Tables
 
 SIDES = ["x1", "y1", "x2", "y2"]
+PAIRS = 4096  # boxes of one detection times those of the other, up to which a document is one row's work
 
 
 def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
@@ -30,11 +34,15 @@ def overlap(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return both / (area(a) + area(b) - both)
 
 
+def sound(df: DataFrame) -> DataFrame:
+    """Boxes with area and end."""
+    return df.select("doc", "id", *[F.col(c).cast("double").alias(c) for c in SIDES]).where("x2 > x1 and y2 > y1 and x2 - x1 < double('infinity') and y2 - y1 < double('infinity')")
+
+
 def candidates(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
     """(doc, p, t, iou): pairs of boxes ``(doc, id, x1, y1, x2, y2)`` of a document with at least this overlap, each once."""
     if not 0.5 <= least <= 1:
         raise ValueError("cells are complete from 0.5 on")
-    sound = lambda df: df.select("doc", "id", *[F.col(c).cast("double").alias(c) for c in SIDES]).where("x2 > x1 and y2 > y1 and x2 - x1 < double('infinity') and y2 - y1 < double('infinity')")
     power = lambda c: F.floor(F.log2(c)).cast("int")
     cell = lambda middle, p: F.floor(middle / F.pow(F.lit(2.0), p)).cast("long")
     span = lambda df, a, b, low, high: F.transform(F.sequence(F.lit(low), F.lit(high)), lambda d: power(F.col(b) - F.col(a)) + d)
@@ -54,8 +62,31 @@ def candidates(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataF
     return pairs.where(F.col("iou") >= least)
 
 
-def matched(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
-    """(doc, p, t, iou): the greedy one-to-one matching of two detections."""
+def matched_rows(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
+    """The matching of documents with few boxes: all pairs of a document folded, the largest overlap first."""
+    side = lambda df, name: sound(df).select("doc", F.struct("id", *SIDES).alias(name))
+    fields = lambda s: {c: F.col(f"{s}.{c}") for c in SIDES}
+    pairs = side(first, "a").join(side(second, "b").hint("merge"), "doc").select("doc", F.col("a.id").alias("p"), F.col("b.id").alias("t"), overlap(fields("a"), fields("b")).alias("iou")).where(F.col("iou") >= least)
+    ranked = pairs.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("less"), "p", "t"))).alias("x"))
+    clash = lambda taken, x: F.exists(taken, lambda y: (y["p"] == x["p"]) | (y["t"] == x["t"]))
+    taken = F.aggregate("x", F.slice("x", 1, 0), lambda m, x: F.when(clash(m, x), m).otherwise(F.array_append(m, x)))
+    return ranked.select("doc", F.explode(taken).alias("x")).select("doc", "x.p", "x.t", (-F.col("x.less")).alias("iou"))
+
+
+def matched(first: DataFrame, second: DataFrame, least: float = 0.5, pairs: int = PAIRS) -> DataFrame:
+    """(doc, p, t, iou): the greedy one-to-one matching of two detections; documents of more than ``pairs`` pairs go by grid and rounds."""
+    counted = lambda df, name: df.groupBy("doc").agg(F.count("*").alias(name))
+    large = counted(first, "a").join(counted(second, "b").hint("merge"), "doc").where(F.col("a") * F.col("b") > pairs).select("doc")
+    large = Tables(first.sparkSession).write(large)
+    if large.isEmpty():
+        return matched_rows(first, second, least)
+    few = lambda df: df.join(large, "doc", "left_anti")
+    many = lambda df: df.join(large, "doc", "left_semi")
+    return matched_rows(few(first), few(second), least).unionByName(matched_rounds(many(first), many(second), least))
+
+
+def matched_rounds(first: DataFrame, second: DataFrame, least: float = 0.5) -> DataFrame:
+    """The matching of documents with many boxes, in rounds."""
     tables = Tables(first.sparkSession)
     left, taken = tables.write(candidates(first, second, least)), []
     best = F.max(F.struct("iou", (-F.col("p")).alias("p"), (-F.col("t")).alias("t")))

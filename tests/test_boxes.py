@@ -55,3 +55,18 @@ def test_like_a_loop(spark):
         seen = [(r.doc, r.p, r.t) for r in boxes.candidates(first, second, least).collect()]
         assert len(seen) == len(set(seen)) == sum(iou(a, b) >= least for one, two in docs.values() for a in one.values() for b in two.values())
     assert boxes.matched(first.where("doc < 0"), second).count() == 0
+
+
+def test_both_ways_agree(spark):
+    rng = random.Random(4)
+    box = lambda: (float(rng.randrange(4)), float(rng.randrange(4)), float(rng.randrange(5, 8)), float(rng.randrange(5, 8)))
+    rows = [[(d, i, *box(), "p", "t", "a", "px") for d in range(12) for i in range(1 + 2 * d)] for _ in range(2)]
+    first, second = (spark.createDataFrame(r, SCHEMA) for r in rows)
+    got = [sorted(map(tuple, boxes.matched(first, second, 0.5, limit).collect())) for limit in (10**6, 100, 0)]  # rows, both, rounds
+    assert got[0] == got[1] == got[2] and len(got[0]) > 60
+
+
+def test_few_boxes_are_not_copied_over_cells(spark):
+    box = lambda n: spark.range(n).selectExpr("id div 4 doc", "id", "0D x1", "0D y1", "1D x2", "1D y2", "'' p", "'' t", "'' a", "'' px")
+    plan = boxes.matched(box(40), box(40))._jdf.queryExecution().optimizedPlan().toString()
+    assert "gx" not in plan and plan.count("Generate") == 1  # the matching itself
