@@ -88,7 +88,7 @@ def alike_names(cores: DataFrame, least: float = 0.85, blocked: bool = True, eit
     * a cut-off name is a prefix of the other, within the steps' lengths (all such pairs are results);
     * a glued name is equal without blanks (all such pairs are results);
     * of a name whose words begin the first words of another, one word at its place is the rarest beginning there,
-      and the other name has it among the beginnings of its words;
+      and the other name has it among the beginnings of its words; of these pairs only those stay that begin so at all places;
     * the mix needs a word overlap of (least - 0.43) / 0.5. For s and t words that fixes how many are equal, so
       a set of that many words is a key of the pair of sizes; from nine words on the rarest words are keys.
     """
@@ -110,10 +110,13 @@ def alike_names(cores: DataFrame, least: float = 0.85, blocked: bool = True, eit
 
     at = lambda k, x: F.concat(k.cast("string"), F.lit(":"), x)
     starts = F.flatten(F.transform("w", lambda x, k: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda z: z <= F.length(x)), lambda z: at(k, F.substring(x, F.lit(1), z)))))
-    begun = c.select("n", F.explode(starts).alias("key"))
+    begun = c.select("n", "w", F.explode(starts).alias("key"))
     often = begun.groupBy("key").agg(F.count("*").alias("df"))
-    own = c.where(F.size("w") >= 2).select("n", F.posexplode("w").alias("k", "x")).where("x <> ''").select("n", at(F.col("k"), F.col("x")).alias("key"))
-    rarest = own.join(often, "key").groupBy("n").agg(F.min(F.struct("df", "key")).alias("r")).select("n", F.col("r.key").alias("key"))
+    own = c.where(F.size("w") >= 2).select("n", "w", F.posexplode("w").alias("k", "x")).where("x <> ''").select("n", "w", at(F.col("k"), F.col("x")).alias("key"))
+    rarest = own.join(often, "key").groupBy("n", "w").agg(F.min(F.struct("df", "key")).alias("r")).select("n", "w", F.col("r.key").alias("key"))
+    all_begin = F.forall(F.zip_with(F.slice("v", F.lit(1), F.size("w")), "w", lambda x, y: x.startswith(y)), lambda x: x)
+    begins = rarest.join(begun.select(F.col("n").alias("m"), F.col("w").alias("v"), "key"), "key").where((F.col("n") != F.col("m")) & (F.size("w") <= F.size("v")) & all_begin)
+    begins = begins.select(F.least("n", "m").alias("i"), F.greatest("n", "m").alias("j"))
 
     need = lambda s, t: -(-overlap / (1 + overlap) * (s + t) // 1)  # noqa: E731  equal words for sizes s and t
     sized = c.withColumn("s", F.size("set"))
@@ -133,7 +136,7 @@ def alike_names(cores: DataFrame, least: float = 0.85, blocked: bool = True, eit
     rare_words = of.select("n", "s", F.explode(F.transform(some, lambda x: x["key"])).alias("key"))
     long = met(rare_words.where(F.col("s") >= LONG).drop("s"), rare_words.drop("s"))
 
-    pairs = met(whole, cut).unionByName(met(glued, glued)).unionByName(met(rarest, begun)).unionByName(sets).unionByName(long).distinct()
+    pairs = met(whole, cut).unionByName(met(glued, glued)).unionByName(begins).unionByName(sets).unionByName(long).distinct()
     one, two = cores.select(F.col("n").alias("i"), F.col("core").alias("x")), cores.select(F.col("n").alias("j"), F.col("core").alias("y"))
     both = pairs.join(one, "i").join(two, "j")
     if blocked:

@@ -36,13 +36,13 @@ def companies(spark, sf):
         F.when(r == 0, F.concat(w, F.lit(" "), t, F.lit(" "), n, F.lit(", Inc."))).when(r == 1, F.concat(F.lit("The "), F.upper(w), F.lit("-"), t, F.lit("   "), n, F.lit(" LLC")))
         .when(r == 2, F.concat(w, t, F.lit(" & Sons "), n)).when(r == 3, F.concat(w, F.lit(" "), F.left(t, F.lit(4)), F.lit(" "), n, F.lit(" incorporated"))).otherwise(F.concat(n, F.lit("+"), w, F.lit("corp")))
     )
-    return read(spark, sf, "customer").select(k.alias("id"), name.alias("name"))
+    return read(spark, sf, "customer").select(k.alias("id"), name.alias("name")).repartition("id")
 
 
 @query(f"WITH {COMPANIES_SQL}, {NORMAL_SQL} SELECT id, normal FROM normal")
 def normal_names(spark, sf):
     """The normal form of every company name."""
-    return companies(spark, sf).repartition("id").select("id", S.company_name(F.col("name")).alias("normal"))
+    return companies(spark, sf).select("id", S.company_name(F.col("name")).alias("normal"))
 
 
 @query(f"""WITH RECURSIVE {COMPANIES_SQL}, {NORMAL_SQL}, {CORES_SQL}, n AS MATERIALIZED (SELECT id, normal, lower(normal) AS norm, core, string_split(core, ' ') AS w, row_number() OVER (ORDER BY id) AS k FROM normal JOIN cores USING (id)),

@@ -138,3 +138,10 @@ def test_chain_and_hot_words(spark):
 def test_each_business_word_is_looked_for_once(spark):
     plan = frame(spark, ["x"]).select(S.company_name(F.col("name")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("courier") <= 8 and "aggregate(" not in plan  # two words hold it; before, 70 copies of the search were nested
+
+
+def test_begun_pairs_are_filtered_where_they_meet(spark):
+    cores = spark.createDataFrame([(i, f"{w} works k{i}") for i, w in enumerate(["alco", "borden", "cinder", "delmar"] * 30)], "n long, core string")
+    plan = fuzzy.alike_names(cores, 0.75, False, True)._jdf.queryExecution().optimizedPlan().toString()
+    before = plan[: plan.rindex("forall(zip_with(slice(v")]
+    assert before.count("Aggregate") >= 1  # under the duplicates' aggregate, not only in the measure after it
