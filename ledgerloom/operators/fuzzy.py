@@ -37,7 +37,7 @@ class Tables:
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path).hint("merge")  # packed files look small enough for the driver
 
 
 def similar_pairs(names: DataFrame, also: list[str], least: float) -> DataFrame:
@@ -172,8 +172,9 @@ def led_by(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def greedy_groups(names: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, core, leader): each name joins the first leader of its block, by smallest id of its core name, that is similar enough, else leads."""
-    cores = names.select("id", S.match_name(F.col("name")).alias("core"))
-    distinct = cores.groupBy("core").agg(F.min("id").alias("n")).where("core is not null")
+    tables = Tables(names.sparkSession)
+    cores = tables.write(names.select("id", S.match_name(F.col("name")).alias("core")))
+    distinct = tables.write(cores.groupBy("core").agg(F.min("id").alias("n")).where("core is not null"))
     led = led_by(distinct, alike_names(distinct, least)).withColumnRenamed("leader", "l")
     named = led.join(distinct.select("n", "core"), "n").join(distinct.select(F.col("n").alias("l"), F.col("core").alias("leader")), "l").select("core", "leader")
     return cores.join(named, "core").select("id", "core", "leader")

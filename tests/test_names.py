@@ -145,3 +145,9 @@ def test_begun_pairs_are_filtered_where_they_meet(spark):
     plan = fuzzy.alike_names(cores, 0.75, False, True)._jdf.queryExecution().optimizedPlan().toString()
     before = plan[: plan.rindex("forall(zip_with(slice(v")]
     assert before.count("Aggregate") >= 1  # under the duplicates' aggregate, not only in the measure after it
+
+
+def test_written_tables_never_go_through_the_driver(spark):
+    table = fuzzy.Tables(spark).write(spark.range(1000).withColumnRenamed("id", "n"))
+    plan = spark.range(5000).withColumnRenamed("id", "n").join(table.select("n"), "n")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
