@@ -12,8 +12,9 @@ any number of copies weighs as much as one document.
 similarity of SIMILAR over sets of five-word shingles and uses the index to find candidates: its
 fingerprints are of distinct single words, and every document leaves its UNSURE bits with the least
 majority out of the comparison, as near copies differ in those. Rows carry a min-hash sketch of the
-shingles; a task keeps a spanning forest of the pairs that the sketch finds alike, the most alike
-first, and only its edges are verified by the shingles themselves before they link.
+shingles; a task gives a spanning forest of the pairs that the sketch finds alike, the most alike
+first, and its edges are verified by the shingles themselves before they link. Where one fails, the task
+searches again among the parts that are still apart, until no pair between two parts is unverified.
 
 Cases: a null or empty text has no words and fingerprint zero, which links like any other; a null
 doc_id gets its fingerprint and the component of that fingerprint, but is never a component's
@@ -44,6 +45,7 @@ SIMILAR = 0.8  # of the sets of word shingles, in the stage
 UNSURE, SURE_DISTANCE = 20, 1
 SKETCH = 64  # least hashes of the shingles
 DOUBT = 0.15  # sketches may fall short of the similarity by so much: three deviations
+LAYERS, HELD = 32, 1 << 21  # forests that a task gives in one round at most, and pairs it holds before it thins them out
 MIXERS = np.random.default_rng(5).integers(0, 1 << 63, (2, SKETCH), np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -352,29 +354,58 @@ def spanning(a: np.ndarray, b: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return order[np.concatenate(kept)] if kept else np.empty(0, np.int64)
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Pairs (src, dst) of classes to verify: per task a forest of the pairs whose sketches are alike."""
+def layered(a: np.ndarray, b: np.ndarray, weight: np.ndarray, layers: int) -> np.ndarray:
+    """Positions of the pairs in the first so many forests of greatest weight, each of the pairs that the ones before left."""
+    left, kept = np.arange(len(a)), [np.empty(0, np.int64)]
+    for _ in range(layers):
+        if not len(left):
+            break
+        take = left[spanning(a[left], b[left], weight[left])]
+        kept.append(take)
+        left = np.setdiff1d(left, take, assume_unique=True)
+    return np.concatenate(kept)
 
-    def search(key, table):
-        nodes = table.column("node").to_numpy()
+
+def candidates(members: DataFrame, asked: DataFrame, layers: int) -> DataFrame:
+    """Pairs (range, chunk, src, dst, more) to verify: per task some forests of the pairs of different parts whose sketches are alike.
+
+    ``members`` are dealt rows with the part that each node belongs to so far, ``asked(range, chunk, src, dst)`` the pairs that
+    were verified before; ``more`` tells that a task left pairs out.
+    """
+
+    def search(key, table, done):
+        nodes, parts = table.column("node").to_numpy(), table.column("part").to_numpy()
         sure = table.column("sure").to_numpy().view(np.uint64)
         sketches = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
-        src, dst, alike = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        order = np.argsort(nodes)
+        at = [order[np.searchsorted(nodes[order], done.column(c).to_numpy())] for c in ("src", "dst")]
+        done = np.minimum(*at) * len(nodes) + np.maximum(*at)
+        held, alike, seen = np.empty(0, np.int64), np.empty(0), False
+
+        def kept(pairs, same):
+            nonlocal seen
+            pairs, first = np.unique(pairs, return_index=True)
+            keep = layered(parts[pairs // len(nodes)], parts[pairs % len(nodes)], same[first], layers)
+            seen |= len(keep) < len(pairs)
+            return pairs[keep], same[first][keep]
+
         for a, b in found_pairs(key, table, SURE_DISTANCE, sure):
+            apart = parts[a] != parts[b]
+            a, b = a[apart], b[apart]
             same = np.concatenate([(sketches[a[i : i + 65536]] == sketches[b[i : i + 65536]]).mean(axis=1) for i in range(0, len(a), 65536)] or [np.empty(0)])
-            near = same >= SIMILAR - DOUBT
-            a, b, same = a[near], b[near], same[near]
-            keep = spanning(a, b, same)
-            src.append(a[keep])
-            dst.append(b[keep])
-            alike.append(same[keep])
-        a, b, same = np.concatenate(src), np.concatenate(dst), np.concatenate(alike)
-        keep = spanning(a, b, same)
-        return pa.table({"src": pa.array(nodes[a[keep]]), "dst": pa.array(nodes[b[keep]])})
+            pairs = np.minimum(a, b) * len(nodes) + np.maximum(a, b)
+            near = (same >= SIMILAR - DOUBT) & ~np.isin(pairs, done)
+            pairs, same = kept(pairs[near], same[near])
+            held, alike = np.concatenate([held, pairs]), np.concatenate([alike, same])
+            if len(held) > HELD:
+                held, alike = kept(held, alike)
+        held, alike = kept(held, alike)
+        src, dst = nodes[held // max(len(nodes), 1)], nodes[held % max(len(nodes), 1)]
+        where = [pa.array(np.full(len(held), k.as_py(), np.int32)) for k in key]
+        return pa.table([*where, pa.array(np.minimum(src, dst)), pa.array(np.maximum(src, dst)), pa.array(np.full(len(held), seen))], ["range", "chunk", "src", "dst", "more"])
 
-    found = dealt(classes.select("fp", "node", "sure", "sketch"), Ranges(classes), SURE_DISTANCE)
-    found = found.groupBy("range", "chunk").applyInArrow(search, "src long, dst long")
-    return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    tasks = members.groupBy("range", "chunk").cogroup(asked.groupBy("range", "chunk"))
+    return tasks.applyInArrow(search, "range int, chunk int, src long, dst long, more boolean")
 
 
 WANTED = 9  # kind of the blocks that name the texts to be fetched
@@ -423,6 +454,37 @@ def similar_enough(batches):
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
 
+def verified_groups(spark: SparkSession, scratch: Scratch, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, component) of the classes that verified pairs link.
+
+    Pairs are verified in rounds: a forest of each task's pairs first, then more and more forests of the pairs whose ends are still
+    apart, in the tasks where a pair failed and others are left, until there are none.
+    """
+    ranges = Ranges(classes)
+    asked = spark.createDataFrame([], "range int, chunk int, src long, dst long")
+    labelled, still, layers, linked, sets = classes.withColumn("part", F.col("node")), None, 1, None, None
+    while True:
+        members = dealt(labelled.select("fp", "node", "sure", "sketch", "part"), ranges, SURE_DISTANCE)
+        if still is not None:
+            members, asked = (t.join(F.broadcast(still), ["range", "chunk"], "left_semi") for t in (members, asked))
+        found = scratch.write(candidates(members, asked, layers))
+        pairs = found.select("src", "dst").distinct()
+        if sets is None:  # the first forests reach every class that has a pair
+            ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+            sets = scratch.write(fetched(docs, classes.join(ends, "node"), shuffle_width(spark)))
+        met = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("one")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("other")), "dst")
+        edges = scratch.write(met.select("src", "dst", "one", "other").mapInArrow(similar_enough, "src long, dst long"))
+        linked = edges if linked is None else linked.unionByName(edges)
+        groups = components(scratch, linked)
+        still = scratch.write(found.where("more").join(edges, ["src", "dst"], "left_anti").select("range", "chunk").distinct())
+        if still.isEmpty():
+            return groups
+        asked = asked.unionByName(found.select("range", "chunk", "src", "dst"))
+        named = groups.select(F.col("id").alias("node"), F.col("component").alias("part"))
+        labelled = scratch.write(classes.join(named, "node", "left").withColumn("part", F.coalesce("part", "node")))
+        layers = min(4 * layers, LAYERS)
+
+
 def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """(doc_id, th, keeper): rows of ``docs`` with a near copy, and the document of their group that stays."""
     scratch = Scratch(spark, "near")
@@ -430,12 +492,7 @@ def near_groups(spark: SparkSession, docs: DataFrame) -> DataFrame:
     least = F.min(F.struct("doc_id", "th")).alias("least")
     classes = prints.groupBy("class1", "class2").agg(least, F.count("*").alias("copies"), F.first("fp").alias("fp"), F.first("sure").alias("sure"), F.first("sketch").alias("sketch"))
     classes = scratch.write(classes.select("class1", "class2", F.monotonically_increasing_id().alias("node"), "least.doc_id", "least.th", "copies", "fp", "sure", "sketch"))
-    pairs = scratch.write(candidates(classes))
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    sets = scratch.write(fetched(docs, classes.join(ends, "node"), shuffle_width(spark)))
-    met = pairs.join(sets.select(F.col("node").alias("src"), F.col("shingles").alias("one")), "src").join(sets.select(F.col("node").alias("dst"), F.col("shingles").alias("other")), "dst")
-    edges = met.select("src", "dst", "one", "other").mapInArrow(similar_enough, "src long, dst long")
-    groups = components(scratch, edges)
+    groups = verified_groups(spark, scratch, docs, classes)
     named = classes.join(groups, F.col("node") == F.col("id"), "left").select("class1", "class2", "doc_id", "copies", F.coalesce("component", "node").alias("component"), F.col("component").isNotNull().alias("linked"))
     keepers = named.where("linked").groupBy("component").agg(F.min("doc_id").alias("keeper"))
     decided = named.join(keepers, "component", "left").where("linked or copies > 1").select("class1", "class2", F.coalesce("keeper", "doc_id").alias("keeper"))

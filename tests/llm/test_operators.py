@@ -586,3 +586,37 @@ def test_pipeline_odd_rows(spark, corpus, sf):
     assert len([i for i in left if i is not None and texts[ids.index(i)] == corpus[7]]) <= 1
     last = corpus_pipeline.STAGES[-1][1]
     assert last(spark, docs, sf).select("doc_id").distinct().count() == len(left) and last(spark, none, sf).count() == 0
+
+
+def test_a_link_beside_a_failed_pair_is_kept(spark):
+    """Groups of texts at about the limit: where the pair that the sketch finds most alike fails, the others between two parts are verified too."""
+    rng = np.random.default_rng(11)
+    texts = []
+    for base in range(60):
+        words = [f"w{base}x{k}" for k in rng.integers(0, 10**9, 170)]
+        for _ in range(12):
+            own = list(words)
+            for k in rng.choice(170, 2, replace=False):
+                own[k] = f"n{rng.integers(10**9)}"
+            texts.append(" ".join(own))
+    sets = [set(zip(*(t.split()[i:] for i in range(5)))) for t in texts]
+
+    def linked(pairs):
+        label = list(range(len(texts)))
+
+        def root(i):
+            return i if label[i] == i else root(label[i])
+
+        for i, j in pairs:
+            if len(sets[i] & sets[j]) >= simhash_dedup.SIMILAR * len(sets[i] | sets[j]):
+                a, b = sorted((root(i), root(j)))
+                label[b] = a
+        return [root(i) for i in range(len(texts))]
+
+    classes = simhash_dedup.stage_prints(documents(spark, texts)).withColumn("node", F.col("doc_id"))
+    none = spark.createDataFrame([], "range int, chunk int, src long, dst long")
+    dealt = simhash_dedup.dealt(classes.withColumn("part", F.col("node")).select("fp", "node", "sure", "sketch", "part"), simhash_dedup.Ranges(classes), simhash_dedup.SURE_DISTANCE)
+    one, every = ({(r.src, r.dst) for r in simhash_dedup.candidates(dealt, none, layers).collect()} for layers in (1, 1000))
+    assert linked(one) != linked(every)  # what verifying a single forest loses
+    held = {r.id: r.component for r in simhash_dedup.verified_groups(spark, Scratch(spark, "test"), documents(spark, texts), classes).collect()}
+    assert [held.get(i, i) for i in range(len(texts))] == linked(every)
