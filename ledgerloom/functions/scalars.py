@@ -31,6 +31,11 @@ NOT_COMMISSION_COLUMNS = ["commissionable", "rate", "percentage", "percent", "co
 NUMBER = r"^[+-]?[0-9]*\.?[0-9]+([eE][+-]?[0-9]+)?$"
 
 
+def bound(value: Column, then) -> Column:
+    """``then`` of a value that is worked out once, however often ``then`` names it; inside lambdas Spark repeats what is written twice."""
+    return F.get(F.transform(F.array(value), then), 0)
+
+
 def strip(c: Column) -> Column:
     """White space of any kind off both ends."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")
@@ -69,9 +74,12 @@ def amount_strict(c: Column) -> Column:
 def amount_tolerant(c: Column) -> Column:
     """Like the strict parser, without a plus sign or ``usd``; dashes and n/a are null."""
     t = F.lower(F.regexp_replace(strip(c), r"[$,+\s]", ""))
-    t = F.regexp_replace(t, "usd", "")
-    value = number(F.regexp_replace(t, r"^\(|\)$", ""))
-    return F.when(t.isin("", "-", "--", "—", "n/a", "na", "none"), None).when(t.rlike(r"^\(.+\)$"), -F.abs(value)).otherwise(value)
+
+    def signed(t: Column) -> Column:
+        value = bound(F.regexp_replace(t, r"^\(|\)$", ""), number)
+        return F.when(t.isin("", "-", "--", "—", "n/a", "na", "none"), None).when(t.rlike(r"^\(.+\)$"), -F.abs(value)).otherwise(value)
+
+    return bound(F.regexp_replace(t, "usd", ""), signed)
 
 
 def amount_client(c: Column) -> Column:
@@ -204,7 +212,6 @@ def match_name(c: Column) -> Column:
 def repair_state_codes(c: Column) -> Column:
     """State codes whose zeros were read as the letter O: two capitals and five digits again. Four rules in turn; each takes its
     correction from the first code it meets and writes it in place of all of them."""
-    bound = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  a value named once
     part = lambda x, pattern, k: F.regexp_extract(x, pattern, k)
     filled_up = lambda state, digits: F.concat(state, F.repeat(F.lit("0"), F.greatest(5 - F.length(digits), F.lit(0))), digits)
     letters, trailing, mixed, single = r"([A-Z]{2})O+(\d+)", r"([A-Z]{2}\d+)O+", r"([A-Z]{2})[0O]+(\d+)", r"([A-Z]{2}\d)O(\d+)"
@@ -229,7 +236,6 @@ def repair_state_codes(c: Column) -> Column:
 def company_name(c: Column) -> Column:
     """A company name in normal form: punctuation as blanks, "&" and "+" as words, glued business words apart, one legal suffix
     in its canonical form at the end, small words left out, words capitalised, codes like A1 in capitals; blank names as they are."""
-    bound = lambda value, then: F.get(F.transform(F.array(value), then), 0)  # noqa: E731  a value named once
     t = F.regexp_replace(F.regexp_replace(strip(c), r"\s+", " "), r"[,._-]", " ")
     t = F.regexp_replace(t, r"[&+]", " and ")
 
@@ -311,12 +317,15 @@ def name_similarity(a: Column, b: Column) -> Column:
 
 def clean_client(c: Column) -> Column:
     """A client name without a state code and its number; the first family of codes that occurs is the one removed."""
-    t = strip(c)
-    out = t
-    for n in (1, 2, 3, 4, 5):
-        found = rf"\s+[A-Z]{{2}}\d{{{n}}}\s*"
-        out = F.when(t.rlike(found), strip(F.regexp_replace(t, found, " "))).otherwise(out)
-    return out
+
+    def without(t: Column) -> Column:
+        out = t
+        for n in (1, 2, 3, 4, 5):
+            found = rf"\s+[A-Z]{{2}}\d{{{n}}}\s*"
+            out = F.when(t.rlike(found), strip(F.regexp_replace(t, found, " "))).otherwise(out)
+        return out
+
+    return bound(strip(c), without)
 
 
 def similar_column(target: str, header: Column) -> Column:
@@ -357,25 +366,30 @@ def commission_column(header: Column) -> Column:
 
 
 def filled(c: Column) -> Column:
-    return strip(F.coalesce(c, F.lit(""))) != ""
+    return F.coalesce(c.rlike(r"\S"), F.lit(False))
 
 
 def is_numeric_cell(c: Column) -> Column:
     t = F.regexp_replace(strip(c), r"[,$]", "")
-    return F.coalesce(number(F.regexp_replace(t, r"^\((.*)\)$", "$1")), F.lit(None).cast("double")).isNotNull()
+    return bound(F.regexp_replace(t, r"^\((.*)\)$", "$1"), lambda x: number(x).isNotNull())
 
 
 def row_is_summary(cells: Column) -> Column:
     """Rows that read like totals: a phrase, few cells with a keyword, or amounts without identifiers."""
     text = F.array_join(F.filter(F.transform(cells, lambda x: F.lower(strip(x))), lambda x: x != ""), " ")
-    n, numeric = F.size(F.filter(cells, filled)), F.size(F.filter(cells, is_numeric_cell))
-    phrase = F.lit(False)
-    for pattern in SUMMARY_ROWS:
-        phrase = phrase | text.rlike(pattern)
-    phrase = phrase | (F.size(F.split(text, "total", -1)) > 2)
-    words = text.contains("total") | text.contains("vendor") | text.contains("summary") | text.contains("plan")
-    blank = ~F.exists(F.slice(cells, 1, 2), filled)
-    return (n > 0) & (phrase | ((n <= 3) & text.contains("total")) | ((n <= 4) & (numeric <= 2) & words) | ((n <= 5) & blank & (numeric >= 1)))
+    facts = F.struct(text.alias("text"), F.size(F.filter(cells, filled)).alias("n"), F.size(F.filter(cells, is_numeric_cell)).alias("numeric"))
+
+    def reads(x: Column) -> Column:
+        text, n, numeric = x["text"], x["n"], x["numeric"]
+        phrase = F.lit(False)
+        for pattern in SUMMARY_ROWS:
+            phrase = phrase | text.rlike(pattern)
+        phrase = phrase | (F.size(F.split(text, "total", -1)) > 2)
+        words = text.contains("total") | text.contains("vendor") | text.contains("summary") | text.contains("plan")
+        blank = ~F.exists(F.slice(cells, 1, 2), filled)
+        return (n > 0) & (phrase | ((n <= 3) & text.contains("total")) | ((n <= 4) & (numeric <= 2) & words) | ((n <= 5) & blank & (numeric >= 1)))
+
+    return bound(facts, reads)
 
 
 def value_type(c: Column) -> Column:

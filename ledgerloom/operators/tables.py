@@ -35,11 +35,15 @@ def flatten(rows: DataFrame, client: str, commission: str, invoice: str) -> Data
 def is_grand_total(header: Column, n_rows: Column, n_summary: Column) -> Column:
     """A table that only repeats totals: no identifier column, and one row under amounts, or few rows that are all
     summaries, or few rows under amounts with a total among the headers."""
-    h = F.transform(header, lambda x: F.lower(x))
-    nameless = ~F.exists(h, lambda x: _any(x, S.GRAND_TOTAL_IDENTIFIERS))
-    amounts = F.size(F.filter(h, lambda x: _any(x, S.GRAND_TOTAL_AMOUNTS))) >= F.size(h) * 0.8
-    few, total = n_rows <= 3, F.exists(h, lambda x: x.contains("total"))
-    return (F.size(h) > 0) & (n_rows > 0) & nameless & (((n_rows == 1) & amounts) | ((n_summary == n_rows) & few) | (few & amounts & total))
+    low = F.transform(header, lambda x: F.lower(x))
+
+    def only(h: Column) -> Column:
+        nameless = ~F.exists(h, lambda x: _any(x, S.GRAND_TOTAL_IDENTIFIERS))
+        amounts = F.size(F.filter(h, lambda x: _any(x, S.GRAND_TOTAL_AMOUNTS))) >= F.size(h) * 0.8
+        few, total = n_rows <= 3, F.exists(h, lambda x: x.contains("total"))
+        return nameless & (((n_rows == 1) & amounts) | ((n_summary == n_rows) & few) | (few & amounts & total))
+
+    return (F.size(header) > 0) & (n_rows > 0) & S.bound(low, only)
 
 
 def _any(x: Column, words: list[str]) -> Column:
@@ -75,27 +79,36 @@ def running_summaries(tables: DataFrame, tolerance: float = 0.0075) -> DataFrame
     Amounts of every numeric column (``numeric``, positions) are summed until a row is confirmed, then the sums
     restart; the scan is a fold over the table's own array, so no table leaves its row.
     """
-    text = lambda cells: F.lower(F.array_join(F.filter(cells, S.filled), " "))
+    numeric = F.col("numeric")
 
     def features(cells: Column) -> Column:
-        blob = text(cells)
+        known = F.transform(cells, lambda c: F.struct(S.filled(c).alias("filled"), S.amount_tolerant(c).alias("v")))
+        return S.bound(F.struct(F.lower(F.array_join(F.filter(cells, S.filled), " ")).alias("blob"), known.alias("cells")), scored)
+
+    def scored(x: Column) -> Column:
+        blob, cells = x["blob"], x["cells"]
         phrase = F.lit(0.0)
         for pattern, weight in S.SUMMARY_PHRASES.items():
             phrase = F.greatest(phrase, F.when(blob.rlike(pattern), weight).otherwise(0.0))
-        values = F.transform(F.col("numeric"), lambda i: S.amount_tolerant(F.get(cells, i)))
-        share = F.size(F.filter(cells, lambda c: S.amount_tolerant(c).isNotNull())) / F.greatest(F.size(F.filter(cells, S.filled)), F.lit(1))
-        words = F.size(F.filter(cells, lambda c: S.filled(c) & S.amount_tolerant(c).isNull()))
+        values = F.transform(numeric, lambda i: F.get(cells, i)["v"])
+        share = F.size(F.filter(cells, lambda c: c["v"].isNotNull())) / F.greatest(F.size(F.filter(cells, lambda c: c["filled"])), F.lit(1))
+        words = F.size(F.filter(cells, lambda c: c["filled"] & c["v"].isNull()))
         agent = blob.rlike(r"\bwriting\b") & blob.rlike(r"\bagent\b")
-        blank = ~F.exists(F.filter(cells, lambda c, i: ~F.array_contains(F.col("numeric"), i)), S.filled)
+        blank = ~F.exists(F.filter(cells, lambda c, i: ~F.array_contains(numeric, i)), lambda c: c["filled"])
         return F.struct(values.alias("v"), _any(blob, S.SUMMARY_KEYWORDS).alias("word"), phrase.alias("phrase"), agent.alias("agent"), share.alias("share"), words.alias("words"), blank.alias("blank"))
 
     def step(state: Column, r: Column) -> Column:
         near = lambda v, s: v.isNotNull() & (s != 0) & (F.abs(v - s) <= F.greatest(F.abs(s) * tolerance, F.lit(0.01)))
         hits = F.size(F.filter(F.zip_with(r["v"], state["sums"], near), lambda x: x))
+        return S.bound(S.bound(hits, lambda n: is_total(r, n)), lambda total: after(state, r, total))
+
+    def is_total(r: Column, hits: Column) -> Column:
         cue = r["word"] | (r["phrase"] > 0) | r["agent"] | ((r["share"] >= 0.7) & (r["words"] <= 2) & r["blank"])
         score = F.when(r["word"], 0.2).otherwise(0.0) + r["phrase"] + F.when(r["agent"], 0.25).otherwise(0.0) + F.when(r["blank"], 0.1).otherwise(0.0) + F.when(r["share"] >= 0.8, 0.1).otherwise(0.0)
         score = score + F.when(hits > 0, F.lit(0.45) + F.least(hits - 1, F.lit(2)) * 0.05).otherwise(0.0)
-        total = (cue | (hits > 0)) & (F.round(score, 9) >= 0.55)
+        return (cue | (hits > 0)) & (F.round(score, 9) >= 0.55)
+
+    def after(state: Column, r: Column, total: Column) -> Column:
         sums = F.when(total, F.transform(state["sums"], lambda x: F.lit(0.0))).otherwise(F.zip_with(state["sums"], r["v"], lambda s, v: s + F.coalesce(v, F.lit(0.0))))
         found = F.when(total, F.concat(state["found"], F.array(state["at"]))).otherwise(state["found"])
         return F.struct(sums.alias("sums"), found.alias("found"), (state["at"] + 1).alias("at"))
@@ -106,24 +119,25 @@ def running_summaries(tables: DataFrame, tolerance: float = 0.0075) -> DataFrame
 
 def refined_summaries(tables: DataFrame) -> DataFrame:
     """Replaces ``summaries`` of (header, rows, summaries): rows found by density, keyword or bare numbers, and marks kept unless plainly wrong."""
-    counts = F.transform("rows", lambda r: F.size(F.filter(r, S.filled)))
-    mean = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n) / F.size("rows")
-    middle = F.get(F.sort_array(counts), (F.size("rows") / 2).cast("int"))
-    limit = F.greatest(F.lit(2), F.ceil(F.least(mean, middle) * F.lit(0.4)))
     width = F.when(F.size("header") > 0, F.size("header")).otherwise(F.array_max(F.transform("rows", lambda r: F.size(r))))
+    cells = lambda r: F.struct(F.size(F.filter(r, S.filled)).alias("n"), F.size(F.filter(r, S.is_numeric_cell)).alias("numeric"), F.exists(F.slice(r, 1, 2), lambda c: S.filled(c) & ~S.is_numeric_cell(c)).alias("named"), S.row_is_summary(r).alias("reads"))
+
+    def limits(facts: Column) -> Column:
+        counts = F.transform(facts, lambda x: x["n"])
+        mean = F.aggregate(counts, F.lit(0.0), lambda s, n: s + n) / F.size("rows")
+        middle = F.get(F.sort_array(counts), (F.size("rows") / 2).cast("int"))
+        return F.struct(facts.alias("rows"), F.greatest(F.lit(2), F.ceil(F.least(mean, middle) * F.lit(0.4))).alias("limit"), width.alias("width"))
 
-    def stays(r: Column, i: Column) -> Column:
-        n, numeric = F.size(F.filter(r, S.filled)), F.size(F.filter(r, S.is_numeric_cell))
-        named = F.exists(F.slice(r, 1, 2), lambda c: S.filled(c) & ~S.is_numeric_cell(c))
+    def stays(x: Column, i: Column, limit: Column, width: Column) -> Column:
+        n, numeric, named = x["n"], x["numeric"], x["named"]
         bare = (n <= F.greatest(F.lit(3.0), width * 0.5)) & (numeric >= 1) & ~named & (n == numeric)
         sparse = (n <= limit) & ~named & (numeric >= F.greatest(F.lit(1), F.ceil(width * F.lit(0.3))))
-        total = S.row_is_summary(r) | sparse | bare
-        return total | (F.array_contains("summaries", i) & ~(named & (n > limit * 1.5)))
+        return x["reads"] | sparse | bare | (F.array_contains("summaries", i) & ~(named & (n > limit * 1.5)))
 
-    marked = F.transform("rows", lambda r, i: F.when(stays(r, i), i))
+    found = S.bound(S.bound(F.transform("rows", cells), limits), lambda t: F.transform(t["rows"], lambda x, i: F.when(stays(x, i, t["limit"], t["width"]), i)))
     everything = F.transform("rows", lambda r, i: i)
     whole = is_grand_total(F.col("header"), F.size("rows"), F.size("summaries"))
-    return tables.withColumn("summaries", F.when(whole, everything).otherwise(F.filter(marked, lambda i: i.isNotNull())))
+    return tables.withColumn("summaries", F.when(whole, everything).otherwise(F.filter(found, lambda i: i.isNotNull())))
 
 
 def column_profile(rows: DataFrame) -> DataFrame:
@@ -166,11 +180,12 @@ def flatten_mapped(uploads: DataFrame) -> DataFrame:
     first = F.get("tables", 0)
     inferred = X.inferred_config(F.transform(first["header"], S.header), F.get(first["rows"], 0))
     config = F.when(F.coalesce(F.size("config"), F.lit(0)) > 0, F.col("config")).otherwise(inferred)
-    u = uploads.select("upload_id", F.coalesce("carrier_id", "company_id").alias("carrier_id"), "tables", X.field_mapping(config).alias("m")).where("m.client is not null and m.commission is not null")
-    t = u.select("carrier_id", "upload_id", "m", F.explode("tables").alias("t")).select("carrier_id", "upload_id", "m", F.transform("t.header", S.header).alias("h"), "t.rows", "t.summaryRows")
+    once = lambda *columns: F.inline(F.array(F.struct(*columns)))  # noqa: E731  worked out before a filter, which would repeat it
+    u = uploads.select("upload_id", F.coalesce("carrier_id", "company_id").alias("carrier_id"), "tables", once(X.field_mapping(config).alias("m"))).where("m.client is not null and m.commission is not null")
+    t = u.select("carrier_id", "upload_id", "m", F.explode("tables").alias("t")).select("carrier_id", "upload_id", "m", "t.rows", "t.summaryRows", once(F.transform("t.header", S.header).alias("h")))
     exact = F.when(F.array_contains("h", F.col("m.invoice")), F.size("h") - F.array_position(F.reverse("h"), F.col("m.invoice")).cast("int"))
-    t = t.select("carrier_id", "upload_id", "rows", "summaryRows", X.resolved(F.col("m.client"), F.col("h")).alias("a"), X.resolved(F.col("m.commission"), F.col("h")).alias("b"), exact.alias("c")).where("a is not null and b is not null")
+    t = t.select("carrier_id", "upload_id", "rows", "summaryRows", once(X.resolved(F.col("m.client"), F.col("h")).alias("a"), X.resolved(F.col("m.commission"), F.col("h")).alias("b"), exact.alias("c"))).where("a is not null and b is not null")
     r = t.select("carrier_id", "upload_id", "summaryRows", "a", "b", "c", F.posexplode("rows").alias("i", "row")).where(~F.coalesce(F.array_contains("summaryRows", F.col("i")), F.lit(False)))
     cell = lambda k: F.coalesce(F.get("row", F.col(k)), F.lit(""))
-    out = r.select("carrier_id", "upload_id", X.client_of(cell("a")).alias("client_name"), S.amount_ledger(cell("b")).alias("commission"), F.coalesce(S.amount_ledger(cell("c")), F.lit(0.0)).alias("invoice"))
+    out = r.select("carrier_id", "upload_id", once(X.client_of(cell("a")).alias("client_name"), S.amount_ledger(cell("b")).alias("commission"), F.coalesce(S.amount_ledger(cell("c")), F.lit(0.0)).alias("invoice")))
     return out.where((F.col("client_name") != "") & ((F.col("commission") != 0) | (F.col("invoice") != 0)))

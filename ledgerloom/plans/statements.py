@@ -198,8 +198,9 @@ def _tables_with_subtotals(spark, sf):
 @query(f"WITH {RUNNING_SQL} SELECT upload_id, i AS row_idx FROM scan WHERE hit")
 def running_totals(spark, sf):
     """Rows that score as totals of the rows since the last total, by a fold over each table's own rows."""
+    # explode_outer here and below: Spark would work the array out twice, once to leave out empty ones
     found = tables.running_summaries(_tables_with_subtotals(spark, sf))
-    return found.select("upload_id", F.explode("summaries").alias("i")).select("upload_id", F.col("i").cast("long").alias("row_idx"))
+    return found.select("upload_id", F.explode_outer("summaries").alias("i")).where("i is not null").select("upload_id", F.col("i").cast("long").alias("row_idx"))
 
 
 REFINED_SQL = ORDERED_SQL + r""", r AS (SELECT upload_id, i, name, v::VARCHAR AS a, count(*) OVER (PARTITION BY upload_id) AS n FROM ordered),
@@ -224,7 +225,7 @@ def refined_summaries(spark, sf):
 
     header = F.array(F.lit("Group Name"), F.lit("Kind"), F.lit("Paid"), F.lit("Due"))
     shaped = t.select("upload_id", header.alias("header"), F.transform("r", shape).alias("rows"), F.array(F.lit(0)).alias("summaries"))
-    return tables.refined_summaries(shaped).select("upload_id", F.explode("summaries").alias("i")).select("upload_id", F.col("i").cast("long").alias("row_idx"))
+    return tables.refined_summaries(shaped).select("upload_id", F.explode_outer("summaries").alias("i")).where("i is not null").select("upload_id", F.col("i").cast("long").alias("row_idx"))
 
 
 GRAND_SQL = """t AS (SELECT l_orderkey AS upload_id, count(*) AS n, CASE l_orderkey % 6 WHEN 0 THEN ['Group Name', 'Invoice Total', 'Commission'] WHEN 1 THEN ['Total Invoice', 'Total Commission'] WHEN 2 THEN ['Paid Amount', 'Rate', 'Notes'] WHEN 3 THEN ['Commission Amount'] WHEN 4 THEN ['Company', 'Total'] ELSE ['Total Premium', 'Total Paid', 'Period', 'Due Amount', 'Commission'] END AS h,
