@@ -42,18 +42,20 @@ def field_mapping(config: Column) -> Column:
     source) fits, else the first whose source has one of the field's words.
     """
     first = lambda x, *names: F.coalesce(*[F.when(x[n] != "", x[n]) for n in names], F.lit(""))
-    entries = F.transform(F.coalesce(config, F.array().cast(CONFIG)), lambda x: F.struct(first(x, "field", "source_field", "display_name").alias("source"), F.lower(first(x, "mapping", "display_name", "label")).alias("target")))
+    sides = lambda x: F.struct(first(x, "field", "source_field", "display_name").alias("source"), F.lower(first(x, "mapping", "display_name", "label")).alias("target"))
+    entries = F.transform(F.coalesce(config, F.array().cast(CONFIG)), sides)
+    entries = F.transform(entries, lambda x: F.struct(x["source"].alias("source"), x["target"].alias("target"), F.lower(x["source"]).alias("low")))
     client = lambda x: x["target"].isin(CLIENT_TARGETS) | _has(x["target"], "client", "name") | _has(x["target"], "company", "name")
     commission = lambda x: x["target"].isin(COMMISSION_TARGETS) | (x["target"].contains("commission") & _any(x["target"], ["earned", "amount"]))
-    low = lambda x: F.lower(x["source"])
+    low = lambda x: x["low"]
     invoice = lambda x: x["target"].isin(INVOICE_TARGETS) | (low(x).contains("invoice") & _any(low(x), ["amount", "total"])) | _has(x["target"], "invoice", "total")
 
-    def pick(test, words: list[str]) -> Column:
+    def pick(entries: Column, test, words: list[str]) -> Column:
         fits = F.filter(entries, lambda x: test(x) & (x["source"] != ""))
         other = F.filter(entries, lambda x: _any(low(x), words))
         return F.coalesce(F.get(fits, 0)["source"], F.get(other, 0)["source"])
 
-    return F.struct(pick(client, CLIENT_SOURCES).alias("client"), pick(commission, COMMISSION_SOURCES).alias("commission"), pick(invoice, INVOICE_SOURCES).alias("invoice"))
+    return S.bound(entries, lambda e: F.struct(pick(e, client, CLIENT_SOURCES).alias("client"), pick(e, commission, COMMISSION_SOURCES).alias("commission"), pick(e, invoice, INVOICE_SOURCES).alias("invoice")))
 
 
 def inferred_config(header: Column, row: Column) -> Column:
@@ -75,20 +77,23 @@ def inferred_kind(name: Column) -> Column:
 def resolved(target: Column, header: Column) -> Column:
     """Position (from 0) of the column that stands for a name: equal (the last such), equal but for case, else the first best of at
     least two shared terms; null if none does or the name allows no substitute."""
-    low = F.lower(target)
-    joined = F.regexp_replace(low, "[ _]", "")
     last = F.size(header) - F.array_position(F.reverse(header), target).cast("int")
-    same = F.array_position(F.transform(header, F.lower), low).cast("int") - 1
+    same = lambda low: F.array_position(F.transform(header, F.lower), low).cast("int") - 1
 
-    def score(h: Column) -> Column:
-        n = F.regexp_replace(F.lower(h), "[ _]", "")
-        hits = sum(((n.contains(t) & joined.contains(t)).cast("int") for t in S.COLUMN_TERMS), F.lit(0))
-        return F.when(_any(n, ["commission", "due", "earned", "paid"]) & ~F.lower(S.strip(h)).isin(S.NEVER_SUBSTITUTES), hits).otherwise(0)
+    def score(h: Column, joined: Column) -> Column:
+        def shared(n: Column) -> Column:
+            hits = sum(((n.contains(t) & joined.contains(t)).cast("int") for t in S.COLUMN_TERMS), F.lit(0))
+            return F.when(_any(n, ["commission", "due", "earned", "paid"]) & ~F.lower(S.strip(h)).isin(S.NEVER_SUBSTITUTES), hits).otherwise(0)
 
-    scores = F.transform(header, score)
-    best = F.array_max(scores)
-    close = F.when(~S.strip(low).isin(S.COLUMNS_WITHOUT_SUBSTITUTE) & (best >= 2), F.array_position(scores, best).cast("int") - 1)
-    return F.when(F.array_contains(header, target), last).when(same >= 0, same).otherwise(close)
+        return S.bound(F.regexp_replace(F.lower(h), "[ _]", ""), shared)
+
+    def close(low: Column) -> Column:
+        scores = S.bound(F.regexp_replace(low, "[ _]", ""), lambda joined: F.transform(header, lambda h: score(h, joined)))
+        best = S.bound(scores, lambda x: F.when(F.array_max(x) >= 2, F.array_position(x, F.array_max(x)).cast("int") - 1))
+        return F.when(~S.strip(low).isin(S.COLUMNS_WITHOUT_SUBSTITUTE), best)
+
+    other = S.bound(F.lower(target), lambda low: S.bound(same(low), lambda k: F.when(k >= 0, k).otherwise(close(low))))
+    return F.when(F.array_contains(header, target), last).otherwise(other)
 
 
 def client_of(cell: Column) -> Column:
