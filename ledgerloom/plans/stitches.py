@@ -52,8 +52,8 @@ def table_similarities(spark, sf):
     """Each table of a document held against the next one: header, columns, row format, value patterns, structure, and their weighted sum."""
     t = stitching.with_summary(page_tables(spark, sf)).select("upload_id", "table_idx", "summary")
     t = t.withColumn("next", F.lead("summary").over(Window.partitionBy("upload_id").orderBy("table_idx"))).where("next is not null")
-    parts = stitching.similarity_parts(F.col("summary"), F.col("next"))
-    return t.select(F.col("upload_id").alias("doc"), F.col("table_idx").alias("i"), *(F.round(c, 9).alias(f"{k}_part") for k, c in parts.items()), F.round(stitching.similarity(F.col("summary"), F.col("next")), 9).alias("score"))
+    t = t.select("upload_id", "table_idx", stitching.similarity_parts(F.col("summary"), F.col("next")).alias("p"))
+    return t.select(F.col("upload_id").alias("doc"), F.col("table_idx").alias("i"), *(F.round(f"p.{k}", 9).alias(f"{k}_part") for k in stitching.WEIGHTS), F.round(stitching.weighted(F.col("p")), 9).alias("score"))
 
 
 @query(f"""WITH RECURSIVE {PAGE_TABLES_SQL}, g AS (SELECT doc, h, min(i) AS place, arg_min(facts, i) AS f FROM facts WHERE NOT is_total GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY place) AS k FROM g),
