@@ -1,6 +1,10 @@
 """What a task holds must not grow with the tables: rows are dealt by number, and alike rows are worked out once."""
 
-from ledgerloom.operators import formats
+import pytest
+from pyspark.sql import functions as F
+
+from ledgerloom import plans
+from ledgerloom.operators import formats, ledger
 from ledgerloom.sources import binding
 
 
@@ -8,6 +12,26 @@ def plan_of(df):
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_entries_dealt(spark, sf, monkeypatch):
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)"))).first()
+    plain, whole = digest(binding.entries(spark, sf)), binding.read(spark, sf, "lineitem").count()
+    monkeypatch.setattr(binding, "ROWS", 500)
+    n = -(-whole // 500)
+    assert n > 4  # the session's partitions
+    for by in (None, ledger.KEY):
+        found = binding.entries(spark, sf, by)
+        assert f"], {n}" in plan_of(found) and digest(found) == plain
+    assert binding.order_lines(spark, sf).rdd.getNumPartitions() == n
+
+
+@pytest.mark.parametrize("name", ["top_performing_carriers", "environment_stats"])
+def test_same_rows_dealt(spark, sf, monkeypatch, name):
+    rows = lambda: sorted(map(str, plans.QUERIES[name](spark, sf).collect()))
+    plain = rows()
+    monkeypatch.setattr(binding, "ROWS", 500)
+    assert "RepartitionByExpression" in plan_of(plans.QUERIES[name](spark, sf)) and rows() == plain
+
+
 def test_formats_by_kind_of_table(spark):
     """Tables take the best format of their kind; candidates are never joined to single tables. A missing has_header is one of the kinds."""
     schema = "company_id long, upload_id long, table_idx long, header array<string>, n_columns int, n_rows int, has_header boolean"
