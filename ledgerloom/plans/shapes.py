@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import tables
-from ..sources.binding import read
+from ..sources.binding import order_lines, read
 from .catalogue import query
 from .cells import picked
 
@@ -25,7 +25,7 @@ def shapes(spark, sf):
     lit = lambda *x: F.array(*[F.lit(y) for y in x])
     kind = picked(F.col("l_suppkey"), [F.lit(x) for x in ("Commission_Detail", "commission_table", "data", "Hold summary", "")])
     header = picked(F.col("l_partkey"), [lit("Client", "Paid_Amount", "Notes"), lit("Rate"), lit("x", "y")])
-    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("l_quantity").cast("long").alias("n"), kind.alias("kind"), header.alias("header"))
+    return order_lines(spark, sf).select(F.col("l_orderkey").alias("doc"), (F.row_number().over(w) - 1).cast("long").alias("i"), F.col("l_quantity").cast("long").alias("n"), kind.alias("kind"), header.alias("header"))
 
 
 @query(f"""WITH {SHAPES_SQL}, s AS (SELECT doc, i, n, CASE WHEN contains(lower(kind), 'commission') AND contains(lower(kind), 'detail') THEN 100 WHEN contains(lower(kind), 'commission') THEN 90 WHEN contains(lower(kind), 'data') THEN 70 WHEN regexp_matches(lower(kind), 'hold|summary|total') THEN 10 ELSE 50 END + least(n, 50)

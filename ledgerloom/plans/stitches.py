@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import boxes as box_matching
 from ..operators import formats, stitching
-from ..sources.binding import read
+from ..sources.binding import order_lines
 from .catalogue import query
 from .cells import picked
 
@@ -43,7 +43,7 @@ def page_tables(spark, sf):
     rows = lambda first, other: F.concat(F.array(first), F.array_repeat(other, more))
     three, four, five = F.array(name, cash, F.lit("5%")), F.array(name, cash, price, F.lit("5%")), F.array(F.concat(F.lit("P"), s), F.lit("01/02/2024"), F.lit(""), F.lit("active"), F.lit("n/a"))
     body = F.when(v < 3, rows(three, three)).when(v == 3, rows(four, F.array(F.concat(F.lit("C"), s), cash))).when(v == 4, rows(five, F.array(F.lit(""), F.lit("2024-01-02"), price, F.lit(""), F.lit("")))).otherwise(F.array(F.array(cash)))
-    return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("upload_id"), (F.row_number().over(w) - 1).cast("long").alias("table_idx"), header.alias("header"), body.alias("rows"))
+    return order_lines(spark, sf).select(F.col("l_orderkey").alias("upload_id"), (F.row_number().over(w) - 1).cast("long").alias("table_idx"), header.alias("header"), body.alias("rows"))
 
 
 @query(f"""WITH {PAGE_TABLES_SQL}, n AS (SELECT doc, i, facts AS a, lead(facts) OVER (PARTITION BY doc ORDER BY i) AS b FROM facts), pairs AS (SELECT doc, i, i + 1 AS j, a, b FROM n WHERE b IS NOT NULL), {SIMILARITY_SQL}
@@ -87,7 +87,7 @@ BOXES_SQL = """n AS (SELECT l_orderkey AS doc, row_number() OVER (PARTITION BY l
 def boxes(spark, sf):
     """Each order as a page: a box for each line, many of them over others, and one or two detections of each that are a little off."""
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
-    n = read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).cast("long").alias("id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
+    n = order_lines(spark, sf).select(F.col("l_orderkey").alias("doc"), F.row_number().over(w).cast("long").alias("id"), F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"))
     x, y = F.col("a") % 4 * 20, F.col("id") % 3 * 12
     n = n.select("doc", "id", "b", x.cast("double").alias("x1"), y.cast("double").alias("y1"), (x + 30 + F.col("a") % 7).cast("double").alias("x2"), (y + 20).cast("double").alias("y2"))
     d = n.withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("b % 6 > 0 or k = 1")
