@@ -61,7 +61,7 @@ def carriers_with_counts(spark, sf):
 @query(f"""WITH {ENTRIES_SQL} SELECT carrier_id, client_name, month, year, user_id, environment_id, CAST(sum(invoice) AS DOUBLE) AS invoice_total,
   CAST(sum(commission) AS DOUBLE) AS commission_earned, count(DISTINCT upload_id) AS statement_count, CAST(min(statement_date) AS DATE) AS first_date FROM entries GROUP BY ALL""")
 def ledger_build(spark, sf):
-    out = ledger.build(entries(spark, sf))
+    out = ledger.build(entries(spark, sf, ledger.KEY))
     return out.select("carrier_id", "client_name", "month", "year", "user_id", "environment_id", dbl("invoice_total").alias("invoice_total"), dbl("commission_earned").alias("commission_earned"), F.col("statement_count").cast("long"), F.to_date("statement_date").alias("first_date"))
 
 
@@ -176,7 +176,7 @@ def latest_upload_per_user(spark, sf):
 
 @query(f"WITH {ENTRIES_SQL} SELECT carrier_id, client_name, month, year, user_id, environment_id, count(*) AS n FROM entries GROUP BY ALL HAVING count(*) > 1")
 def duplicate_ledger_keys(spark, sf):
-    return ledger.duplicate_keys(entries(spark, sf)).select(*ledger.KEY, F.col("count").alias("n"))
+    return ledger.duplicate_keys(entries(spark, sf, ledger.KEY)).select(*ledger.KEY, F.col("count").alias("n"))
 
 
 @query(f"""WITH {CARRIER_UPLOADS_SQL}, s AS (SELECT s_suppkey AS id, (SELECT count(*) FROM carrier_uploads WHERE carrier_id = s_suppkey AND status = 'Approved') AS a,

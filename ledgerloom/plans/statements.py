@@ -270,7 +270,7 @@ def ledger_merge(spark, sf):
 @query(f"""WITH {ENTRIES_SQL} SELECT carrier_id, client_name, month, year, environment_id, CAST(sum(invoice) AS DOUBLE) AS invoice_total, count(DISTINCT upload_id) AS uploads FROM entries GROUP BY carrier_id, client_name, month, year, user_id, environment_id""")
 def ledger_replay(spark, sf):
     """The same statements merged twice: the second time replaces, so nothing changes."""
-    built = ledger.build(entries(spark, sf))
+    built = ledger.build(entries(spark, sf, ledger.KEY))
     out = ledger.merge(built, built)
     return out.select("carrier_id", "client_name", "month", "year", "environment_id", dbl("invoice_total").alias("invoice_total"), F.size("upload_ids").cast("long").alias("uploads"))
 
@@ -285,7 +285,7 @@ def ledger_retract(spark, sf):
 
 @query(f"""WITH {ENTRIES_SQL} SELECT CASE carrier_id WHEN 2 THEN 1 ELSE carrier_id END AS carrier_id, client_name, month, year, environment_id, CAST(sum(invoice) AS DOUBLE) AS invoice_total, CAST(sum(commission) AS DOUBLE) AS commission_earned FROM entries GROUP BY 1, client_name, month, year, user_id, environment_id""")
 def carrier_merge(spark, sf):
-    out = ledger.rekey_carrier(ledger.build(entries(spark, sf)), 2, 1)
+    out = ledger.rekey_carrier(ledger.build(entries(spark, sf, ledger.KEY)), 2, 1)
     return out.select("carrier_id", "client_name", "month", "year", "environment_id", dbl("invoice_total").alias("invoice_total"), dbl("commission_earned").alias("commission_earned"))
 
 

@@ -24,7 +24,7 @@ def test_entries_dealt(spark, sf, monkeypatch):
     assert binding.order_lines(spark, sf).rdd.getNumPartitions() == n
 
 
-@pytest.mark.parametrize("name", ["nearest_formats", "top_performing_carriers", "environment_stats"])
+@pytest.mark.parametrize("name", ["nearest_formats", "top_performing_carriers", "environment_stats", "duplicate_ledger_keys"])
 def test_same_rows_dealt(spark, sf, monkeypatch, name):
     rows = lambda: sorted(map(str, plans.QUERIES[name](spark, sf).collect()))
     plain = rows()
