@@ -67,7 +67,8 @@ def ledger_build(spark, sf):
 
 @query(f"""WITH {ENTRIES_SQL} SELECT carrier_id, year, {MONTH_SQL} FROM entries GROUP BY carrier_id, year""")
 def ledger_month_pivot(spark, sf):
-    rows = entries(spark, sf).withColumnRenamed("commission", "commission_earned").groupBy("carrier_id", "year").agg(*ledger.month_columns())
+    months = entries(spark, sf).groupBy("carrier_id", "year", "month").agg(F.sum("commission").alias("commission_earned"))  # one sum a row, not twelve, is moved
+    rows = months.groupBy("carrier_id", "year").agg(*ledger.month_columns())
     return rows.select("carrier_id", "year", *[dbl(f"{m}_commission").alias(f"{m}_commission") for m in MONTHS])
 
 

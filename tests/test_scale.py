@@ -24,7 +24,7 @@ def test_entries_dealt(spark, sf, monkeypatch):
     assert binding.order_lines(spark, sf).rdd.getNumPartitions() == n
 
 
-@pytest.mark.parametrize("name", ["nearest_formats", "top_performing_carriers", "environment_stats", "duplicate_ledger_keys"])
+@pytest.mark.parametrize("name", ["nearest_formats", "top_performing_carriers", "environment_stats", "duplicate_ledger_keys", "ledger_month_pivot"])
 def test_same_rows_dealt(spark, sf, monkeypatch, name):
     rows = lambda: sorted(map(str, plans.QUERIES[name](spark, sf).collect()))
     plain = rows()
@@ -32,6 +32,11 @@ def test_same_rows_dealt(spark, sf, monkeypatch, name):
     assert "RepartitionByExpression" in plan_of(plans.QUERIES[name](spark, sf)) and rows() == plain
 
 
+def test_pivot_moves_one_sum(spark, sf):
+    plan = plan_of(plans.QUERIES["ledger_month_pivot"](spark, sf))
+    assert plan.count("Aggregate") == 2  # months before columns
+
+
 def test_formats_by_kind_of_table(spark):
     """Tables take the best format of their kind; candidates are never joined to single tables. A missing has_header is one of the kinds."""
     schema = "company_id long, upload_id long, table_idx long, header array<string>, n_columns int, n_rows int, has_header boolean"
