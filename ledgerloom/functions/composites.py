@@ -51,28 +51,33 @@ def _search(bound, state: Column, kind: str, pattern: str) -> Column:
     return bound(state, step)
 
 
-def reference_patterns(reference: Column) -> Column:
-    """What a column's reference value says of its values: the pattern names it shows, in order."""
-    business = (
+def _number(reference: Column) -> Column:
+    return F.when(reference.rlike(r"^\d+$"), "pure_integer").when(reference.rlike(r"^\d+\.\d+$"), "decimal_number")
+
+
+def _business(reference: Column) -> Column:
+    return (
         F.when(reference.rlike(r"[A-Z]+\d+"), "alphanumeric_code").when(reference.rlike(r"\d+[/\-]\d+[/\-]\d+"), "date_pattern")
         .when(reference.rlike("[$£€¥]") & reference.rlike(r"\d"), "currency_pattern").when(reference.contains("%") & reference.rlike(r"\d"), "percentage_pattern")
     )
-    number = F.when(reference.rlike(r"^\d+$"), "pure_integer").when(reference.rlike(r"^\d+\.\d+$"), "decimal_number")
+
+
+def reference_patterns(reference: Column) -> Column:
+    """What a column's reference value says of its values: the pattern names it shows, in order."""
     words = F.filter(F.split(strip(reference), r"\s+"), lambda w: w != "")
     text = F.when(reference.rlike("[A-Za-z]"), F.when(reference.rlike(r"^[A-Z\s]+$"), "uppercase_text").when(F.size(words) > 1, "multi_word_text"))
-    return F.filter(F.array(number, text, business), lambda p: p.isNotNull())
+    return F.filter(F.array(_number(reference), text, _business(reference)), lambda p: p.isNotNull())
 
 
 def column_fit(value: Column, reference: Column) -> Column:
     """How well a value fits a column by its reference value, from 0 to 1: the same pattern, digits and letters where
     the reference has them, and a like length. An empty value fits an empty reference only."""
     value, reference = F.coalesce(value, F.lit("")), F.coalesce(reference, F.lit(""))
-    patterns = reference_patterns(reference)
-    has = lambda name: F.array_contains(patterns, name)
+    number, business = _number(reference), _business(reference)  # no lambda, so a fixed reference is read once, when the query is planned
     same = (
-        (has("alphanumeric_code") & value.rlike(r"[A-Z]+\d+")) | (has("date_pattern") & value.rlike(r"\d+[/\-]\d+[/\-]\d+"))
-        | (has("currency_pattern") & (value.rlike("[$£€]") | (value.contains("(") & value.contains(")")))) | (has("percentage_pattern") & value.contains("%"))
-        | (has("pure_integer") & value.rlike(r"^\d+$")) | (has("decimal_number") & value.rlike(r"^\d+\.\d+$"))
+        ((business == "alphanumeric_code") & value.rlike(r"[A-Z]+\d+")) | ((business == "date_pattern") & value.rlike(r"\d+[/\-]\d+[/\-]\d+"))
+        | ((business == "currency_pattern") & (value.rlike("[$£€]") | (value.contains("(") & value.contains(")")))) | ((business == "percentage_pattern") & value.contains("%"))
+        | ((number == "pure_integer") & value.rlike(r"^\d+$")) | ((number == "decimal_number") & value.rlike(r"^\d+\.\d+$"))
     )
     both = lambda pattern: reference.rlike(pattern) & value.rlike(pattern)
     longest = F.greatest(F.length(value), F.length(reference), F.lit(1))

@@ -31,7 +31,8 @@ def cells(spark, sf):
         F.when(k % 5 == 0, say("L", part, " $", price, " ", size, "% ", name)).when(k % 5 == 1, say(F.col("p_brand"), " 1/", day, "/2024 ", name, " of a long kind.", " (", size, ") 1 20", size))
         .when(k % 5 == 2, say("SKU-", part, "B, SKU-", part, "B and ", kind)).when(k % 5 == 3, F.lit("  ")).otherwise(say(size, " ", kind, " 5 1", size, " 2024-01-05 x"))
     )
-    return read(spark, sf, "part").select(k.alias("id"), cell.alias("cell"))
+    parts = read(spark, sf, "part").select("p_partkey", "p_size", "p_name", "p_type", "p_brand", "p_retailprice")
+    return parts.repartition("p_partkey").select(k.alias("id"), cell.alias("cell"))  # the file is small, the work on its rows is not
 
 
 @query(f"WITH {CELLS_SQL} SELECT id, unnest(range(len(parts))) AS place, unnest(parts).value AS value, unnest(parts).kind AS kind FROM parts")

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import plans
+from ledgerloom.functions import composites
 from ledgerloom.operators import formats, ledger
 from ledgerloom.sources import binding
 
@@ -47,3 +48,8 @@ def test_formats_by_kind_of_table(spark):
     assert "<=>" in top[1]
     got = {(r.upload_id, r.table_idx): (r.format_id, round(r.score, 9)) for r in found.collect()}
     assert got == {(u, i): (8, round(0.84 - 0.1 / 3, 9) if u % 2 else 0.84) for u in range(30) for i in range(2)}
+
+
+def test_fixed_reference_read_once(spark):
+    df = spark.range(3).select(composites.column_fit(F.col("id").cast("string"), F.lit("L221")).alias("x"))
+    assert "lambda" not in plan_of(df)
