@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, components, read, shuffle_width
+from .edits import Letters
 from .packed import PACKED, beside, by_bucket, joined, pack, portions, received, rows, spread, unpack
 
 MIN_WORDS = 5
@@ -51,6 +52,9 @@ KINDS = len(PAIRS) + WORD_BANDS + CHAR_BANDS
 REACH = [DISTANCE] * len(PAIRS) + [FAR] * WORD_BANDS + [64] * CHAR_BANDS  # SimHash bits between candidates, by kind
 MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, CHAR_ROWS * CHAR_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
 BAG = 1024
+SHORT, LONG = 128, 4096  # letters from which the short ways are tried first, and beyond which a pair has a table of its own
+TOGETHER = 1 << 21  # letters of the longer lines that are compared at once
+PENDING = 4096  # pairs that are gathered before they are compared
 
 
 def words_of(lines: pa.Array) -> pa.Array:
@@ -308,21 +312,53 @@ def gaps(x: list[str], y: list[str], room: float) -> float:
     return cost
 
 
-def alike(a: str, b: str) -> bool:
-    longest = max(len(a), len(b))
-    room = longest * (1 - SIMILARITY) + 1e-9
-    if longest - min(len(a), len(b)) > room:
-        return False
+def trimmed(a: str, b: str) -> tuple[str, str]:
+    """Both texts without the start and the end they share."""
     at = common_start(a, b)
     a, b = a[at:], b[at:]
     if at := common_start(a[::-1], b[::-1]):
         a, b = a[:-at], b[:-at]
+    return a, b
+
+
+def surely(a: str, b: str, room: float) -> bool:
+    """Whether one of a few ways to edit a text into the other, which need no table, is short enough."""
     if max(len(a), len(b)) <= room:
         return True
     x, y = a.split(" "), b.split(" ")  # word for word is one way to edit
     if len(x) == len(y) and sum(max(len(p), len(q)) for p, q in zip(x, y) if p != q) <= room:
         return True
-    return gaps(x, y, room) <= room or edit_distance(a, b, room) <= room
+    return gaps(x, y, room) <= room
+
+
+def alike(a: str, b: str) -> bool:
+    longest = max(len(a), len(b))
+    room = longest * (1 - SIMILARITY) + 1e-9
+    if longest - min(len(a), len(b)) > room:
+        return False
+    a, b = trimmed(a, b)
+    return surely(a, b, room) or edit_distance(a, b, room) <= room
+
+
+def alike_pairs(texts: list[str], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``alike`` of many pairs: what the short ways do not settle goes through one table, very long lines through their own."""
+    longest = np.maximum(sizes[i], sizes[j])
+    room = longest * (1 - SIMILARITY) + 1e-9
+    good = np.zeros(len(i), bool)
+    left = np.abs(sizes[i] - sizes[j]) <= room
+    for k in np.flatnonzero(left & (longest > SHORT)).tolist():
+        a, b = trimmed(texts[i[k]], texts[j[k]])
+        good[k] = surely(a, b, room[k])
+        if longest[k] > LONG:
+            good[k] = good[k] or edit_distance(a, b, room[k]) <= room[k]
+            left[k] = False
+    left = np.flatnonzero(left & ~good)
+    if len(left):
+        for some in np.split(left, np.flatnonzero(np.diff(np.cumsum(longest[left]) // TOGETHER)) + 1):
+            which, at = np.unique(np.concatenate([i[some], j[some]]), return_inverse=True)
+            letters = Letters([texts[k] for k in which.tolist()])
+            good[some] = letters.within(at[: len(some)], at[len(some) :], room[some].astype(np.int64))
+    return good
 
 
 class Bags:
@@ -354,9 +390,12 @@ def may_be_alike(sizes: np.ndarray, bags: Bags, i: np.ndarray, j: np.ndarray) ->
 
 def linked(batches):
     """(src, dst) of the pairs of lines that are alike."""
-    for batch in batches:
-        found = [(i, j) for i, j, a, b in zip(*(c.to_pylist() for c in batch.columns)) if alike(a, b)]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["src", "dst"])
+    for whole in batches:
+        for part in portions(whole, 3):
+            texts = [*part.column(2).to_pylist(), *part.column(3).to_pylist()]
+            n = np.arange(len(part))
+            good = alike_pairs(texts, np.array([len(t) for t in texts]), n, n + len(part))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(good)) for c in part.columns[:2]], ["src", "dst"])
 
 
 def send_mixed(width: int):
@@ -374,43 +413,65 @@ def send_mixed(width: int):
     return run
 
 
+def connected(label: np.ndarray, at: np.ndarray, line: np.ndarray, texts: list[str], sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Labels of the groups after pairs of lines, of groups ``at``, are verified: first one of the pairs between two groups, then ever more."""
+    quota = 1
+    while True:
+        a, b = label[at[left]], label[at[right]]
+        left, right, a, b = (x[a != b] for x in (left, right, a, b))
+        if not len(left):
+            return label
+        key = np.minimum(a, b) * len(label) + np.maximum(a, b)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        now = np.zeros(len(left), bool)
+        now[order[np.arange(len(key)) - np.searchsorted(key, key) < quota]] = True
+        good = np.flatnonzero(now)[alike_pairs(texts, sizes, line[left[now]], line[right[now]])]
+        if len(good):
+            root = label.tolist()
+            for x, y in zip(a[good].tolist(), b[good].tolist()):
+                while root[x] != x:
+                    x = root[x]
+                while root[y] != y:
+                    y = root[y]
+                root[max(x, y)] = min(x, y)
+            label = np.array(root)
+            while not np.array_equal(label, up := label[label]):
+                label = up
+        left, right, quota = left[~now], right[~now], 8 * quota
+
+
 def verified(batches):
     """A forest (src, dst) that links the groups of lines which pairs in this share of the blocks connect."""
-    parts, texts = [], []
+    parts, texts, place = [], [], {}
     for _, blob in received(batches):
         block, line, label, sim, size, data = unpack(blob, "<i8", "<i8", "<i8", "<u8", "<i8", "u1")
-        parts.append([block, line, label, sim])
         data, ends = data.tobytes(), np.cumsum(size).tolist()
-        texts += [data[a:b].decode() for a, b in zip([0, *ends], ends)]
+        for x, a, b in zip(line.tolist(), [0, *ends], ends):
+            if x not in place:  # a line of several blocks is held once
+                place[x] = len(texts)
+                texts.append(data[a:b].decode())
+        parts.append([block, np.array([place[x] for x in line.tolist()], np.int64), label, sim])
     if not parts:
         return
+    del place
     block, line, group, sim = joined(parts, "<i8", "<i8", "<i8", "<u8")
     names, at = np.unique(group, return_inverse=True)
-    root = list(range(len(names)))
-    label = np.arange(len(names))  # the roots before the slice at hand
-
-    def find(x: int) -> int:
-        while root[x] != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
+    label = np.arange(len(names))
     sizes, bags = np.array([len(t) for t in texts]), Bags(texts)
     reach = np.array(REACH)[block >> 32]
+    held, n, most = [], 0, 1
     for left, right in close_pairs(block, sim, 64):
         apart = (label[at[left]] != label[at[right]]) & (np.bitwise_count(sim[left] ^ sim[right]) <= reach[left])
         left, right = left[apart], right[apart]
-        apart = may_be_alike(sizes, bags, left, right)
-        moved = False
-        for i, j in zip(left[apart].tolist(), right[apart].tolist()):
-            a, b = find(int(at[i])), find(int(at[j]))
-            if a != b and alike(texts[i], texts[j]):
-                root[max(a, b)] = min(a, b)
-                moved = True
-        if moved:
-            label = np.array(root)
-            while not np.array_equal(label, up := label[label]):
-                label = up
+        apart = may_be_alike(sizes, bags, line[left], line[right])
+        held.append((left[apart], right[apart]))
+        n += int(apart.sum())
+        if n >= most:  # neighbours at once, as they may be all that connects a block
+            label = connected(label, at, line, texts, sizes, *map(np.concatenate, zip(*held)))
+            held, n, most = [], 0, PENDING
+    if n:
+        label = connected(label, at, line, texts, sizes, *map(np.concatenate, zip(*held)))
     moved = np.flatnonzero(label != np.arange(len(names)))
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["src", "dst"])
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import bpe_transducer, line_dedup, metric_join, packing, rule_ensemble, simhash_dedup, suffix_dedup, token_counts, toxicity, vp_search
+from ledgerloom.llm import bpe_transducer, edits, line_dedup, metric_join, packing, rule_ensemble, simhash_dedup, suffix_dedup, token_counts, toxicity, vp_search
 from ledgerloom.llm.common import Scratch, components
 from ledgerloom.llm.tokens import encoder
 
@@ -293,6 +293,47 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b) == plain(a, b)
 
 
+def test_edit_distances_of_many_pairs():
+    """Lengths about the borders of words, rare letters, empty texts, and similarities about the limit."""
+    rng, texts = random.Random(8), []
+    han = [chr(0x4E00 + k) for k in range(300)]
+    for n in [0, 1, 3, 20, 63, 64, 65, 127, 128, 129, 200, 300, 700, 5000] * 12:
+        line = rng.choices("abcd é" if rng.random() < 0.7 else han, k=n)
+        other = list(line)
+        for _ in range(int(n * rng.choice([0.05, 0.15, 0.19, 0.2, 0.21, 0.3]))):
+            at = rng.randrange(len(other) + 1)
+            other[at : at + rng.randrange(2)] = rng.choice([[], ["x"], ["🎉"]])
+        texts += ["".join(line), "".join(other)]
+    i = np.array([*range(0, len(texts), 2), *(rng.randrange(len(texts)) for _ in range(1500))])
+    j = np.array([*range(1, len(texts), 2), *(rng.randrange(len(texts)) for _ in range(1500))])
+    want = [line_dedup.alike(texts[a], texts[b]) for a, b in zip(i, j)]
+    assert line_dedup.alike_pairs(texts, np.array([len(t) for t in texts]), i, j).tolist() == want and 0 < sum(want) < len(want)
+    most = np.array([rng.choice([0, 1, 5, 40, 10**4]) for _ in i])
+    short = np.array([max(len(texts[a]), len(texts[b])) < 1000 for a, b in zip(i, j)])
+    got = edits.Letters(texts).within(i[short], j[short], most[short]).tolist()
+    assert got == [line_dedup.edit_distance(texts[a], texts[b]) <= m for a, b, m in zip(i[short], j[short], most[short])]
+
+
+def test_hot_block_is_compared_together(monkeypatch):
+    """Lines of one block are gathered before they are compared; groups and links come out as from pair by pair."""
+    rng = random.Random(9)
+    base = [words(rng, 12, 10**6) for _ in range(30)]
+    texts = [b[:k] + "x" + b[k + 1 :] for b in base for k in range(0, 40, 4)]
+    rng.shuffle(texts)
+    n, calls = len(texts), []
+    blob = line_dedup.pack(np.full(n, len(line_dedup.PAIRS) + line_dedup.WORD_BANDS << 32), np.arange(n), np.arange(n), np.zeros(n, np.uint64), np.array([len(t.encode()) for t in texts]), np.frombuffer("".join(texts).encode(), np.uint8))
+    whole = line_dedup.alike_pairs
+    monkeypatch.setattr(line_dedup, "alike_pairs", lambda *x: calls.append(1) or whole(*x))
+    root = list(range(n))
+    for batch in line_dedup.verified(iter([line_dedup.rows([(0, 0, blob)])])):
+        for s, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            root[s] = d
+    for a in range(n):
+        for b in range(a):
+            assert (root[a] == root[b]) == line_dedup.alike(texts[a], texts[b])
+    assert len(calls) < 20  # not one for each distance within the block
+
+
 def test_long_line_simhash():
     rng = random.Random(2)
     lines = [words(rng, n).split() for n in (5, 255, 256, 700)]
