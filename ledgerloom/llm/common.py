@@ -35,10 +35,11 @@ class Scratch:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, group: int | None = None) -> DataFrame:
+        """``group``: bytes of a row group, of which a reader holds one; for rows that are large."""
         self.count += 1
         path = f"{self.root}/{self.count}"
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.options(compression="zstd", **{"parquet.block.size": group} if group else {}).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out

@@ -7,9 +7,9 @@ So near are few of the lines that are alike, so WIDE candidates are added: lines
 WORD_BANDS min-hash bands of their words with SimHashes at most FAR bits apart, and lines under
 FEW_WORDS words that share one of CHAR_BANDS bands of their letter triples. A word's chance to be a
 band's least hash grows with the square of its length, so bands rest on telling words and stay small.
-A first round over hashes alone finds the blocks of candidates; only the texts of their lines are
-fetched, once each. Two lines are linked if their edit similarity is at least SIMILARITY. Every line
-is verified against the first of its block; blocks that then hold lines of different groups are
+A first round over hashes alone finds the blocks of candidates, a second over SimHashes and lengths the
+lines with one they may be alike; only the texts of these are fetched, once each. Two lines are linked if their edit similarity is at least SIMILARITY. Every line
+is verified against the first of its block; blocks whose other lines are then of different groups are
 verified pair by pair, each pair only while its lines are not yet connected. Tasks return forests.
 Of every connected group the first occurrence, by document and line, stays.
 
@@ -33,8 +33,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Scratch, components, read, shuffle_width
-from .edits import Letters
-from .packed import PACKED, beside, by_bucket, joined, pack, portions, received, rows, spread, unpack
+from .edits import Letters, ranges
+from .packed import PACKED, beside, by_bucket, gathered, joined, pack, portions, received, rows, send_texts, spread, unpack, values
 
 MIN_WORDS = 5
 DISTANCE = 2
@@ -51,8 +51,16 @@ FAR = 20
 KINDS = len(PAIRS) + WORD_BANDS + CHAR_BANDS
 REACH = [DISTANCE] * len(PAIRS) + [FAR] * WORD_BANDS + [64] * CHAR_BANDS  # SimHash bits between candidates, by kind
 MIXERS = np.random.default_rng(4).integers(0, 1 << 63, (2, CHAR_ROWS * CHAR_BANDS), np.uint64) * np.uint64(2) + np.uint64(1)
-BAG = 1024
-SHORT, LONG = 128, 4096  # letters from which the short ways are tried first, and beyond which a pair has a table of its own
+BAG = 256
+LINE_SCHEMA = "doc_id long, line int, h1 long, h2 long, copies long, size int, sim long, bands binary"
+CLASS_SCHEMA = "line_id long, doc_id long, line int, h1 long, h2 long, copies long, size int, sim long"
+PORTION = 1 << 21  # bytes of texts that are worked on at once
+QUICK = 2  # level at which texts are compressed
+GROUP = 8 << 20  # bytes of packed rows that are read at once
+LINE = [("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int64()), ("size", pa.int32()), ("sim", pa.int64()), ("bands", pa.binary())]
+CLASS = [("line_id", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64()), ("copies", pa.int64()), ("size", pa.int32()), ("sim", pa.int64())]
+BLOB = [("bucket", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())]
+SHORT, LONG = 128, 4096  # letters from which the short ways are tried first, where many pairs are alike, and beyond which a pair has a table of its own
 TOGETHER = 1 << 21  # letters of the longer lines that are compared at once
 PENDING = 4096  # pairs that are gathered before they are compared
 
@@ -81,11 +89,18 @@ def low_half(text: str) -> int:
     return int.from_bytes(line_key(text).to_bytes(16, "little")[:8], "little", signed=True)
 
 
-def word_hashes(words: list[str]) -> np.ndarray:
+def word_hashes(words: list[str] | list[bytes]) -> np.ndarray:
     """64-bit hashes, as rows of bytes."""
     import xxhash
 
-    return np.frombuffer(b"".join([xxhash.xxh3_64_digest(w.encode()) for w in words]), np.uint8).reshape(-1, 8)
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint8).reshape(-1, 8)
+
+
+def line_keys(lines: list[bytes]) -> np.ndarray:
+    """``line_key`` of each line as two signed numbers, the low half first."""
+    import xxhash
+
+    return np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), ">i8").reshape(-1, 2)[:, ::-1].astype(np.int64)
 
 
 def numbered(lines: list[list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -103,12 +118,13 @@ def simhashes(lines: list[list[str]]) -> np.ndarray:
 
 def simhash_of(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """SimHashes of lines given as numbers of hashes, from their bits as byte-wide counters in eight integers."""
-    lanes = np.unpackbits(hashes, axis=1).view("<u8")
-    starts = np.cumsum(sizes) - sizes
-    short = np.concatenate([np.arange(a, a + n, 255) for a, n in zip(starts, sizes)]) if (sizes > 255).any() else starts
-    counts = np.add.reduceat(lanes[at], short, axis=0).view(np.uint8).reshape(len(short), 64)
-    if len(short) != len(starts):  # byte counters hold 255 words
-        counts = np.add.reduceat(counts.astype(np.int64), np.searchsorted(short, starts), axis=0)
+    lanes = np.ascontiguousarray(np.unpackbits(hashes, axis=1).view("<u8").T)  # one after the other, as rows of eight are slow to sum
+    starts, parts = np.cumsum(sizes) - sizes, -(-sizes // 255)  # byte counters hold 255 words
+    first = np.cumsum(parts) - parts
+    short = np.repeat(starts, parts) + 255 * (np.arange(int(parts.sum())) - np.repeat(first, parts))
+    counts = np.stack([np.add.reduceat(lane[at], short) for lane in lanes], axis=1).view(np.uint8).reshape(len(short), 64)
+    if len(short) != len(starts):
+        counts = np.add.reduceat(counts.astype(np.int64), first, axis=0)
     ones = 2 * counts.astype(np.int64) > sizes[:, None]
     return np.packbits(ones, axis=1).view(">u8").ravel().astype(np.uint64)
 
@@ -119,7 +135,8 @@ def band_keys(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray, lines: list
     lanes = ((hashes.view("<u8") * MIXERS[0, :n] + MIXERS[1, :n]) >> np.uint64(32)).astype(np.uint32)
     if weight is not None:  # the least of exponential times falls to a word in proportion to its weight
         lanes = -np.log((lanes.astype(np.float32) + 1) / np.float32(1 << 32 | 1 << 9)) / weight.astype(np.float32)[:, None]
-    least = np.minimum.reduceat(lanes[at], np.cumsum(sizes) - sizes, axis=0).view(np.uint32)
+    starts = np.cumsum(sizes) - sizes
+    least = np.stack([np.minimum.reduceat(lane[at], starts) for lane in np.ascontiguousarray(lanes.T)], axis=1).view(np.uint32)
     key = np.zeros((len(sizes), len(lines)), np.uint64)
     for k in range(len(lines[0])):
         key = (key ^ least[:, [x[k] for x in lines]]) * np.uint64(0x9E3779B97F4A7C15)
@@ -127,29 +144,45 @@ def band_keys(hashes: np.ndarray, at: np.ndarray, sizes: np.ndarray, lines: list
     return (key >> np.uint64(32)).astype(np.uint32)
 
 
-def triples(line: str) -> list[str]:
-    line = f" {line} "
-    return list(dict.fromkeys(line[i : i + 3] for i in range(len(line) - 2)))
+def triples(lines: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Letter triples of lines, once for each line, as ``numbered`` has them; a space stands before and after a line."""
+    letters = np.frombuffer("".join([f" {x} " for x in lines]).encode("utf-32-le"), "<u4").astype(np.int64)
+    owner = np.repeat(np.arange(len(lines)), [len(x) + 2 for x in lines])
+    within = owner[2:] == owner[:-2]
+    known, at = np.unique((letters[:-2] << 42 | letters[1:-1] << 21 | letters[2:])[within], return_inverse=True)
+    told = np.unique(owner[2:][within] << 32 | at)
+    return ["".join(map(chr, (x >> 42, x >> 21 & 0x1FFFFF, x & 0x1FFFFF))) for x in known.tolist()], told & 0xFFFFFFFF, np.bincount(told >> 32, minlength=len(lines))
 
 
-def bands_of(lines: pa.Array, word_bands: np.ndarray, few: np.ndarray) -> list[bytes]:
+def bands_of(lines: pa.Array, word_bands: np.ndarray, few: np.ndarray) -> pa.Array:
     """Keys of the word bands of each line, then those of the letter bands of the ``few`` lines with few words."""
-    out = [k.tobytes() for k in word_bands]
+    words, letters = word_bands.view(np.uint8), np.empty((0, 4 * CHAR_BANDS), np.uint8)
     if len(few):
-        letters, at, sizes = numbered([triples(x) for x in lines.take(pa.array(few)).to_pylist()])
-        for i, k in zip(few.tolist(), band_keys(word_hashes(letters), at, sizes, CHAR_LINES)):
-            out[i] += k.tobytes()
-    return out
+        known, at, sizes = triples([x.decode() for x in values(lines.take(pa.array(few)))])
+        letters = band_keys(word_hashes(known), at, sizes, CHAR_LINES).view(np.uint8)
+    size = np.full(len(words), words.shape[1])
+    size[few] += letters.shape[1]
+    ends = np.cumsum(size)
+    data = np.empty(int(ends[-1]), np.uint8)
+    data[(ends - size)[:, None] + np.arange(words.shape[1])] = words
+    data[(ends[few] - letters.shape[1])[:, None] + np.arange(letters.shape[1])] = letters
+    return pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(data)])
 
 
-def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
-    """(doc_id, line, h1, h2, sim, bands) of every line that takes part."""
+def occurrences(source: DataFrame, wide: bool, width: int) -> DataFrame:
+    """Rows of two sorts: ``LINE`` of every line that takes part, and ``source`` packed by bucket as ``BLOB``, so that it is read once.
+
+    Of equal lines that a task finds close by, the first has their number as ``copies``, the others 0 and no more than place and hashes.
+    """
 
     least = 1 if wide else MIN_WORDS
 
     def run(batches):
         for whole in batches:
-            for part in portions(whole, 1, 1 << 22):
+            for sent in send_texts(width, level=QUICK)(portions(whole, 1, min(1 << 25, max(1 << 22, width << 18)))):  # blobs of a size for the heap
+                yield of_two_sorts(LINE, blobs=sent)
+            whole = whole.filter(pc.is_valid(whole.column(0))) if whole.column(0).null_count else whole
+            for part in portions(whole, 1, PORTION):
                 lists = pc.split_pattern(pc.fill_null(part.column(1), ""), "\n")
                 flat, parent = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
                 number = np.arange(len(flat)) - np.searchsorted(parent, parent)
@@ -166,17 +199,54 @@ def occurrences(docs: DataFrame, wide: bool) -> DataFrame:
                 flat_words = words.flatten().dictionary_encode()
                 told = np.sort(of << 32 | flat_words.indices.to_numpy())
                 told = told[np.concatenate([[True], told[1:] != told[:-1]])]  # once each, or a separator would outweigh the rest
-                hashes, at, sizes = word_hashes(flat_words.dictionary.to_pylist()), told & 0xFFFFFFFF, np.bincount(told >> 32, minlength=len(words))
-                key = np.frombuffer(b"".join([line_key(x).to_bytes(16, "little") for x in coded.dictionary.to_pylist()]), "<i8").reshape(-1, 2)[which]
-                bands = [b""] * len(words)
+                hashes, at, sizes = word_hashes(values(flat_words.dictionary)), told & 0xFFFFFFFF, np.bincount(told >> 32, minlength=len(words))
+                key = line_keys(values(coded.dictionary))[which]
+                bands = pa.array([b""] * len(words), pa.binary())
                 if wide:
                     weight = pc.utf8_length(flat_words.dictionary).to_numpy().astype(np.float32) ** 2
                     bands = bands_of(coded.dictionary, band_keys(hashes, at, sizes, WORD_LINES, weight), np.flatnonzero(count < FEW_WORDS))
-                arrays = [part.column(0).take(pa.array(parent[place])), pa.array(number[place].astype(np.int32)), pa.array(key[:, 0].copy()), pa.array(key[:, 1].copy()), pa.array(simhash_of(hashes, at, sizes).view(np.int64)[which])]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(bands, pa.binary()).take(pa.array(which))], ["doc_id", "line", "h1", "h2", "sim", "bands"])
+                doc = part.column(0).to_numpy()[parent[place]]
+                order = np.lexsort((number[place], doc, which))
+                first = order[np.searchsorted(which[order], np.arange(len(words)))]
+                copies = np.zeros(len(place), np.int64)
+                copies[first] = np.bincount(which)
+                lead = pa.array(which, mask=copies == 0)
+                facts = pc.utf8_length(coded.dictionary), pa.array(simhash_of(hashes, at, sizes).view(np.int64)), bands
+                yield of_two_sorts(LINE, [doc, number[place].astype(np.int32), key[:, 0].copy(), key[:, 1].copy(), copies, *(x.take(lead) for x in facts)])
+        pa.default_memory_pool().release_unused()  # workers stay, and others run beside them
+
+    return source.mapInArrow(run, f"{LINE_SCHEMA}, {PACKED}")
+
+
+def of_two_sorts(kinds: list, rows: list | None = None, blobs: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    """A batch of rows of ``kinds`` or of packed blobs, with nulls for the others' columns."""
+    n = len(rows[0]) if blobs is None else len(blobs)
+    arrays = [pa.nulls(n, t) for _, t in kinds] if rows is None else [x if isinstance(x, pa.Array) else pa.array(x) for x in rows]
+    return pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(n, t) for _, t in BLOB)] if blobs is None else [*arrays, *blobs.columns], [n for n, _ in kinds + BLOB])
+
+
+def classes_of(width: int):
+    """Rows (LINE) of the same hashes together to rows (CLASS) of different lines, and their keys packed by bucket."""
 
-    source = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return source.mapInArrow(run, "doc_id long, line int, h1 long, h2 long, sim long, bands binary")
+    def run(batches):
+        from pyspark import TaskContext
+
+        batches = list(batches)
+        if not batches:
+            return
+        table = pa.concat_batches(batches)
+        del batches
+        h1, h2, doc, line, copies = (table.column(n).to_numpy() for n in ("h1", "h2", "doc_id", "line", "copies"))
+        order = np.lexsort((line, doc, h2, h1))
+        starts = np.flatnonzero(np.append(True, (np.diff(h1[order]) != 0) | (np.diff(h2[order]) != 0)))
+        copies, first = np.add.reduceat(copies[order], starts), pa.array(order[starts])
+        ids = pa.array((TaskContext.get().partitionId() << 33) + np.arange(len(starts)))
+        kept = table.select(["doc_id", "line", "h1", "h2", "size", "sim", "bands"]).take(first)
+        yield of_two_sorts(CLASS, [ids, *kept.columns[:4], copies, *kept.columns[4:6]])
+        for at in range(0, len(kept), 1 << 16):
+            yield of_two_sorts(CLASS, blobs=to_blocks(width, ids[at : at + (1 << 16)], *(kept.column(n)[at : at + (1 << 16)] for n in ("sim", "bands"))))
+
+    return run
 
 
 def block_key(sim: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
@@ -198,21 +268,14 @@ def keys_of(sim: np.ndarray, bands: list[bytes]) -> Iterator[tuple[int, np.ndarr
                 yield first + low + k, at, keys[:, k]
 
 
-def to_blocks(width: int):
-    """Rows (line_id, sim, bands) to packed rows by bucket of each key."""
-
-    def run(batches):
-        for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            sim = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
-            out = []
-            for kind, at, key in keys_of(sim, batch.column(2).to_pylist()):
-                mixed = (key + np.uint64(kind << 32)) * np.uint64(0x9E3779B97F4A7C15)
-                for b, i in by_bucket(((mixed >> np.uint64(33)) % np.uint64(width)).astype(np.int64), width):
-                    out.append((b, kind, pack(ids[at[i]], sim[at[i]] if kind < len(PAIRS) else sim[:0], key[i] if kind >= len(PAIRS) else key[:0])))
-            yield rows(out)
-
-    return run
+def to_blocks(width: int, ids: pa.Array, sim: pa.Array, bands: pa.Array) -> pa.RecordBatch:
+    """Lines packed by bucket of each of their keys."""
+    ids, sim, out = ids.to_numpy(), sim.to_numpy().view(np.uint64), []
+    for kind, at, key in keys_of(sim, values(bands)):
+        mixed = (key + np.uint64(kind << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        for b, i in by_bucket(((mixed >> np.uint64(33)) % np.uint64(width)).astype(np.int64), width):
+            out.append((b, kind, pack(ids[at[i]], sim[at[i]] if kind < len(PAIRS) else sim[:0], key[i] if kind >= len(PAIRS) else key[:0])))
+    return rows(out)
 
 
 def close_pairs(key: np.ndarray, sim: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -237,7 +300,7 @@ def keyed(kind: int, parts: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndar
 
 
 def partners(batches):
-    """(block, line_id, leader): the lines that have a partner in this share of the keys, with the first of their block."""
+    """(block, line_id): the lines that share a key with another in this share of the keys."""
     parts: dict[int, list] = {}
     for kind, blob in received(batches):
         parts.setdefault(kind, []).append(unpack(blob, "<i8", "<u8", "<u4"))
@@ -251,11 +314,50 @@ def partners(batches):
             order = np.argsort(key, kind="stable")
             same = key[order][1:] == key[order][:-1]
             hit[order[1:][same]] = hit[order[:-1][same]] = True
-        ids, key = ids[hit], key[hit].astype(np.int64)
-        order = np.lexsort((ids, key))
-        ids, key = ids[order], key[order]
-        leader = ids[np.searchsorted(key, key, side="left")]
-        yield pa.RecordBatch.from_arrays([pa.array(key | kind << 32), pa.array(ids), pa.array(leader)], ["block", "line_id", "leader"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[hit].astype(np.int64) | kind << 32), pa.array(ids[hit])], ["block", "line_id"])
+
+
+def send_members(width: int):
+    """Rows (block, line_id, sim, size) packed by bucket of the block."""
+
+    def run(batches):
+        for batch in gathered(batches):
+            block, line, sim, size = (batch.column(k).to_numpy() for k in range(4))
+            yield rows([(b, 0, pack(block[i], line[i], sim[i], size[i])) for b, i in by_bucket(spread(block, width), width)])
+
+    return run
+
+
+def within_reach(block: np.ndarray, sim: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each line has another in its block that SimHash and length allow to be alike; sorted by block and size."""
+    reach, found, left = np.array(REACH)[block >> 32], np.zeros(len(block), bool), np.arange(len(block))
+    for step in range(1, len(block)):
+        go = np.zeros(len(left), bool)
+        for low, high, other in ((left, left + step, left + step), (left - step, left, left - step)):
+            at = np.flatnonzero((low >= 0) & (high < len(block)))
+            low, high = low[at], high[at]
+            may = (block[low] == block[high]) & (size[high] - size[low] <= size[high] * (1 - SIMILARITY) + 1e-9)  # once false, false for all steps beyond
+            at, low, high = at[may], low[may], high[may]
+            go[at] = True
+            found[left[at[np.bitwise_count(sim[low] ^ sim[high]) <= reach[low]]]] = True
+        left = left[go & ~found[left]]
+        if not len(left):
+            break
+    return found
+
+
+def candidates(batches):
+    """(block, line_id, leader): lines with one they may be alike in their block; leader: the first such line of the block, where it may be alike too."""
+    parts = [unpack(blob, "<i8", "<i8", "<u8", "<i4") for _, blob in received(batches)]
+    block, line, sim, size = joined(parts, "<i8", "<i8", "<u8", "<i4")
+    order = np.lexsort((size, block))
+    order = order[within_reach(block[order], sim[order], size[order].astype(np.int64))]
+    order = order[np.lexsort((line[order], block[order]))]
+    block, line, sim, size = block[order], line[order], sim[order], size[order].astype(np.int64)
+    first = np.searchsorted(block, block)
+    room = np.maximum(size, size[first]) * (1 - SIMILARITY) + 1e-9
+    star = (np.bitwise_count(sim ^ sim[first]) <= np.array(REACH)[block >> 32]) & (np.abs(size - size[first]) <= room) & (line != line[first])
+    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(line), pa.array(line[first], mask=~star)], ["block", "line_id", "leader"])
 
 
 def edit_distance(a: str, b: str, most: float = float("inf")) -> int:
@@ -340,13 +442,13 @@ def alike(a: str, b: str) -> bool:
     return surely(a, b, room) or edit_distance(a, b, room) <= room
 
 
-def alike_pairs(texts: list[str], sizes: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def alike_pairs(texts: list[str], sizes: np.ndarray, i: np.ndarray, j: np.ndarray, short: int = SHORT) -> np.ndarray:
     """``alike`` of many pairs: what the short ways do not settle goes through one table, very long lines through their own."""
     longest = np.maximum(sizes[i], sizes[j])
     room = longest * (1 - SIMILARITY) + 1e-9
     good = np.zeros(len(i), bool)
     left = np.abs(sizes[i] - sizes[j]) <= room
-    for k in np.flatnonzero(left & (longest > SHORT)).tolist():
+    for k in np.flatnonzero(left & (longest > short)).tolist():
         a, b = trimmed(texts[i[k]], texts[j[k]])
         good[k] = surely(a, b, room[k])
         if longest[k] > LONG:
@@ -362,29 +464,46 @@ def alike_pairs(texts: list[str], sizes: np.ndarray, i: np.ndarray, j: np.ndarra
 
 
 class Bags:
-    """How often each text has each letter pair, pairs hashed to BAG numbers; counted when first asked for."""
+    """How often each text has each letter pair, pairs hashed to BAG numbers, up to 255 of each; counted when first asked for."""
 
-    def __init__(self, texts: list[str]):
-        self.texts, self.place, self.held, self.size = texts, np.full(len(texts), -1), np.zeros((64, BAG), np.int16), 0
+    def __init__(self, texts: list[str], sizes: np.ndarray):
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.pairs = ((letters[:-1] * np.uint32(37) + letters[1:]) & np.uint32(BAG - 1)).astype(np.uint16)
+        self.place, self.held, self.total, self.size = np.full(len(texts), -1), np.zeros((64, BAG), np.uint8), np.zeros(64, np.int64), 0
 
     def of(self, which: np.ndarray) -> np.ndarray:
-        for i in np.unique(which[self.place[which] < 0]).tolist():
-            if self.size == len(self.held):
-                self.held = np.concatenate([self.held, np.zeros_like(self.held)])
-            c = np.frombuffer(self.texts[i].encode("utf-32-le", "surrogatepass"), "<u4")
-            self.held[self.size] = np.minimum(np.bincount((c[:-1] * np.uint32(37) + c[1:]) & np.uint32(BAG - 1), minlength=BAG), 32767)
-            self.place[i], self.size = self.size, self.size + 1
-        return self.held[self.place[which]].astype(np.int32)
+        """Places of the texts' counts in ``held``."""
+        new = np.unique(which[self.place[which] < 0])
+        while self.size + len(new) > len(self.held):
+            self.held, self.total = np.concatenate([self.held, np.zeros_like(self.held)]), np.concatenate([self.total, np.zeros_like(self.total)])
+        for some in np.array_split(new, -(-len(new) // 128)) if len(new) else []:
+            n = np.maximum(self.sizes[some] - 1, 0)
+            at, _ = ranges(self.starts[some], n)
+            key = np.repeat(np.arange(len(some)) * BAG, n)
+            key += self.pairs[at]
+            mine = slice(self.size, self.size + len(some))
+            self.held[mine] = np.minimum(np.bincount(key, minlength=len(some) * BAG), 255).reshape(len(some), BAG)
+            self.total[mine] = self.held[mine].sum(axis=1)
+            self.place[some] = np.arange(self.size, self.size + len(some))
+            self.size += len(some)
+        return self.place[which]
 
 
 def may_be_alike(sizes: np.ndarray, bags: Bags, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """False only where the lengths or the letter pairs rule the similarity out: an edit changes two pairs at most."""
     room = np.maximum(sizes[i], sizes[j]) * (1 - SIMILARITY) + 1e-9
     may = np.abs(sizes[i] - sizes[j]) <= room
-    at = np.flatnonzero(may)
-    for some in np.array_split(at, -(-len(at) // 2048)) if len(at) else []:
-        apart = bags.of(i[some]) - bags.of(j[some])
-        may[some] = np.maximum(np.maximum(apart, 0).sum(axis=1), np.maximum(-apart, 0).sum(axis=1)) <= 2 * room[some]
+    at, even = np.flatnonzero(may), np.uint64(0x00FF00FF00FF00FF)
+    for some in np.array_split(at, -(-len(at) // 512)) if len(at) else []:
+        a, b = bags.of(i[some]), bags.of(j[some])
+        most = np.maximum(bags.held[a], bags.held[b]).view("<u8")
+        both = most & even
+        most >>= np.uint64(8)
+        most &= even
+        both += most  # sums of two bytes, so that BAG of them fit into 16 bits
+        either = both.sum(axis=1).view("<u2").reshape(len(some), 4).sum(axis=1, dtype=np.int64)
+        may[some] = either - np.minimum(bags.total[a], bags.total[b]) <= 2 * room[some]
     return may
 
 
@@ -402,9 +521,9 @@ def send_mixed(width: int):
     """Rows (block, line_id, label, sim, text) packed by bucket of the block."""
 
     def run(batches):
-        for batch in batches:
-            block, line, label, sim = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            texts, out = [t.encode() for t in batch.column(4).to_pylist()], []
+        for batch in gathered(batches, 1 << 15):
+            block, line, label, sim = (batch.column(k).to_numpy() for k in range(4))
+            texts, out = values(batch.column(4)), []
             for b, i in by_bucket(spread(block, width), width):
                 mine = [texts[j] for j in i.tolist()]
                 out.append((b, 0, pack(block[i], line[i], label[i], sim[i], np.array([len(t) for t in mine], np.int64), np.frombuffer(b"".join(mine), np.uint8))))
@@ -413,6 +532,28 @@ def send_mixed(width: int):
     return run
 
 
+def send_labels(width: int):
+    """Rows (block, line_id, label) packed by bucket of the block."""
+
+    def run(batches):
+        for batch in gathered(batches):
+            block, line, label = (batch.column(k).to_numpy() for k in range(3))
+            yield rows([(b, 0, pack(block[i], line[i], label[i])) for b, i in by_bucket(spread(block, width), width)])
+
+    return run
+
+
+def mixed_blocks(batches):
+    """(block, line_id, label) of the blocks with lines of different groups, without their first line, which has been compared with all others."""
+    block, line, label = joined([unpack(blob, "<i8", "<i8", "<i8") for _, blob in received(batches)], "<i8", "<i8", "<i8")
+    order = np.lexsort((line, block))
+    order = order[1:][block[order[1:]] == block[order[:-1]]]
+    order = order[np.lexsort((label[order], block[order]))]
+    block, line, label = block[order], line[order], label[order]
+    mixed = label[np.searchsorted(block, block)] != label[np.searchsorted(block, block, side="right") - 1]
+    yield pa.RecordBatch.from_arrays([pa.array(x[mixed]) for x in (block, line, label)], ["block", "line_id", "label"])
+
+
 def connected(label: np.ndarray, at: np.ndarray, line: np.ndarray, texts: list[str], sizes: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Labels of the groups after pairs of lines, of groups ``at``, are verified: first one of the pairs between two groups, then ever more."""
     quota = 1
@@ -426,7 +567,7 @@ def connected(label: np.ndarray, at: np.ndarray, line: np.ndarray, texts: list[s
         key = key[order]
         now = np.zeros(len(left), bool)
         now[order[np.arange(len(key)) - np.searchsorted(key, key) < quota]] = True
-        good = np.flatnonzero(now)[alike_pairs(texts, sizes, line[left[now]], line[right[now]])]
+        good = np.flatnonzero(now)[alike_pairs(texts, sizes, line[left[now]], line[right[now]], LONG)]  # few of these are alike
         if len(good):
             root = label.tolist()
             for x, y in zip(a[good].tolist(), b[good].tolist()):
@@ -458,7 +599,8 @@ def verified(batches):
     block, line, group, sim = joined(parts, "<i8", "<i8", "<i8", "<u8")
     names, at = np.unique(group, return_inverse=True)
     label = np.arange(len(names))
-    sizes, bags = np.array([len(t) for t in texts]), Bags(texts)
+    sizes = np.array([len(t) for t in texts])
+    bags = Bags(texts, sizes)
     reach = np.array(REACH)[block >> 32]
     held, n, most = [], 0, 1
     for left, right in close_pairs(block, sim, 64):
@@ -476,78 +618,104 @@ def verified(batches):
     yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[label[moved]])], ["src", "dst"])
 
 
+class Told:
+    """Facts (doc_id, line, h1, ...) about lines of documents."""
+
+    def __init__(self, facts: pa.Table | None):
+        facts = facts.sort_by("doc_id") if facts is not None else pa.table({n: pa.array([], pa.int64()) for n in ("doc_id", "line", "h1")})
+        self.facts, (self.ids, self.line, self.h1) = facts, (facts[n].to_numpy() for n in ("doc_id", "line", "h1"))
+
+    def lines(self, batch: pa.RecordBatch) -> tuple[np.ndarray, pa.ListArray, np.ndarray, np.ndarray, pa.Array]:
+        """Of a batch of texts: rows with facts, their lines, and the facts that hold with the place of their line among these and its normal form."""
+        ids = pc.fill_null(batch.column(0), 0).to_numpy()
+        low = np.searchsorted(self.ids, ids, side="left")
+        count = (np.searchsorted(self.ids, ids, side="right") - low) * pc.is_valid(batch.column(0)).to_numpy(zero_copy_only=False)
+        at = np.flatnonzero(count)
+        lists = pc.split_pattern(pc.fill_null(batch.column(1), "").take(pa.array(at)), "\n")
+        starts = lists.offsets.to_numpy().astype(np.int64)
+        fact, _ = ranges(low[at], count[at])
+        row = np.repeat(np.arange(len(at)), count[at])
+        place = starts[row] + self.line[fact]
+        there = place < starts[row + 1]
+        fact, place = fact[there], place[there]
+        normal = pc.binary_join(words_of(lists.flatten().take(pa.array(place))), " ")
+        same = line_keys(values(normal))[:, 0] == self.h1[fact]  # else the line of another row with this id
+        return at, lists, fact[same], place[same], normal.filter(pa.array(same))
+
+
 def fetch(texts, wanted):
-    """Texts and their wanted lines to (line_id, sim, text)."""
-    by: dict[int, list[dict]] = {}
-    for w in wanted.to_pylist() if wanted else []:
-        by.setdefault(w["doc_id"], []).append(w)
+    """Texts and their wanted lines to (line_id, sim, text), each once: rows that share an id are in one task."""
+    told = Told(wanted)
+    open_ = np.ones(len(told.ids), bool)
     for batch in texts:
-        out, raw = [], []
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            lines = (text or "").split("\n") if i in by else []
-            for w in by.get(i, ()):
-                if w["line"] < len(lines):
-                    raw.append(lines[w["line"]])
-                    out.append(w)
-        found = [(w["line_id"], w["sim"], line) for w, line in zip(out, normal_lines(raw)) if low_half(line) == w["h1"]]
-        yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["line_id", "sim", "text"])
-
-
-def similar_groups(scratch: Scratch, docs: DataFrame, classes: DataFrame, width: int) -> DataFrame:
-    """(id, component) of the line classes that are linked to another."""
-    hashes = classes.select("line_id", "sim", "bands").mapInArrow(to_blocks(width), PACKED).repartitionById(width, F.col("bucket"))
-    blocks = scratch.write(hashes.mapInArrow(partners, "block long, line_id long, leader long"))
-    wanted = classes.join(blocks.select("line_id").distinct(), "line_id").select("first.doc_id", "first.line", "line_id", "sim", "h1")
-    texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    lines = beside(texts, wanted, width, fetch, "line_id long, sim long, text string").dropDuplicates(["line_id"])  # rows may share an id
-    lines = scratch.write(lines)
-
-    reach = F.element_at(F.array(*[F.lit(r) for r in REACH]), (F.shiftright("block", 32) + 1).cast("int"))
-    stars = blocks.where("line_id <> leader").groupBy("leader", "line_id").agg(F.max(reach).alias("reach"))
-    stars = stars.join(lines.select(F.col("line_id").alias("leader"), F.col("text").alias("one"), F.col("sim").alias("sim1")), "leader").join(lines.select("line_id", F.col("text").alias("other"), "sim"), "line_id")
-    long, short = F.greatest(F.length("one"), F.length("other")), F.least(F.length("one"), F.length("other"))
-    stars = stars.where((F.bit_count(F.col("sim").bitwiseXOR(F.col("sim1"))) <= F.col("reach")) & (long - short <= long * (1 - SIMILARITY) + 1e-9))
+        _, _, fact, _, lines = told.lines(batch)
+        fact, first = np.unique(fact, return_index=True)
+        fact, first = fact[open_[fact]], first[open_[fact]]
+        if len(fact):
+            open_[fact] = False
+            yield pa.RecordBatch.from_arrays([*(told.facts[n].combine_chunks().take(pa.array(fact)) for n in ("line_id", "sim")), lines.take(pa.array(first))], ["line_id", "sim", "text"])
+
+
+def similar_groups(scratch: Scratch, texts: DataFrame, classes: DataFrame, keys: DataFrame, width: int) -> DataFrame:
+    """(id, component) of the line classes that are linked to another; joins hash the side with one row for each line."""
+
+    def by_block(df: DataFrame, send, run, schema: str) -> DataFrame:
+        return df.mapInArrow(send(width), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(run, schema)
+
+    hashes = keys.repartitionById(width, F.col("bucket"))
+    facts = classes.select("line_id", "sim", "size").hint("shuffle_hash")
+    members = hashes.mapInArrow(partners, "block long, line_id long").join(facts, "line_id").select("block", "line_id", "sim", "size")
+    blocks = scratch.write(by_block(members, send_members, candidates, "block long, line_id long, leader long"))
+    wanted = classes.join(blocks.select("line_id").distinct().hint("shuffle_hash"), "line_id").select("doc_id", "line", "line_id", "sim", "h1")
+    lines = scratch.write(beside(texts, wanted, width, fetch, "line_id long, sim long, text string"))
+
+    stars = blocks.where("leader is not null").select("leader", "line_id").distinct()
+    stars = stars.join(lines.select(F.col("line_id").alias("leader"), F.col("text").alias("one")), "leader").join(lines.select("line_id", F.col("text").alias("other")), "line_id")
     first = components(scratch, stars.select("leader", "line_id", "one", "other").mapInArrow(linked, "src long, dst long"))
-    told = blocks.select("block", "line_id").join(first, F.col("line_id") == F.col("id"), "left").select("block", "line_id", F.coalesce("component", "line_id").alias("label"))
-    told = scratch.write(told)
-    mixed = told.groupBy("block").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("block")
-    mixed = told.join(mixed, "block").join(lines, "line_id").select("block", "line_id", "label", "sim", "text")
-    more = mixed.mapInArrow(send_mixed(width), PACKED).repartitionById(width, F.col("bucket")).mapInArrow(verified, "src long, dst long")
+    told = blocks.join(first.hint("shuffle_hash"), F.col("line_id") == F.col("id"), "left").select("block", "line_id", F.coalesce("component", "line_id").alias("label"))
+    mixed = by_block(told, send_labels, mixed_blocks, "block long, line_id long, label long").join(lines, "line_id").select("block", "line_id", "label", "sim", "text")
+    more = by_block(mixed, send_mixed, verified, "src long, dst long")
     return components(scratch, first.select(F.col("id").alias("src"), F.col("component").alias("dst")).unionByName(more))
 
 
-def doomed_lines(spark: SparkSession, docs: DataFrame, wide: bool) -> DataFrame:
-    """(doc_id, line, h1): the occurrences that go."""
+def doomed_lines(spark: SparkSession, source: DataFrame, wide: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, line, h1): the occurrences that go; and the packed texts of ``source``."""
     scratch, width = Scratch(spark, "lines"), shuffle_width(spark)
-    seen = scratch.write(occurrences(docs, wide))
-    classes = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.count("*").alias("copies"), F.first("sim").alias("sim"), F.first("bands").alias("bands"))
-    classes = scratch.write(classes.withColumn("line_id", F.monotonically_increasing_id()))
-
-    groups = similar_groups(scratch, docs, classes, width)
-    named = classes.select("h1", "h2", "first", "copies", "line_id").join(groups, F.col("line_id") == F.col("id"), "left").where("copies > 1 or component is not null")
+    both = scratch.write(occurrences(source, wide, width), GROUP)
+    seen, texts = both.where("bucket is null"), both.where("bucket is not null").select("bucket", "blob")
+    once = seen.where("copies > 0").select(*(n for n, _ in LINE)).repartition(width, "h1")
+    both = scratch.write(once.mapInArrow(classes_of(width), f"{CLASS_SCHEMA}, {PACKED}"), GROUP)
+    classes, keys = both.where("bucket is null").select(*(n for n, _ in CLASS)), both.where("bucket is not null").select("bucket", "kind", "blob")
+
+    groups = similar_groups(scratch, texts, classes, keys, width)
+    named = classes.select("h1", "h2", F.struct("doc_id", "line").alias("first"), "copies", "line_id").join(groups.hint("shuffle_hash"), F.col("line_id") == F.col("id"), "left").where("copies > 1 or component is not null")
     keepers = named.where("component is not null").groupBy("component").agg(F.min("first").alias("keeper"))
     decided = named.join(keepers, "component", "left").select("h1", "h2", F.coalesce("keeper", "first").alias("keeper"))
-    return seen.select("doc_id", "line", "h1", "h2").join(decided, ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keeper")).select("doc_id", "line", "h1")
+    gone = seen.select("doc_id", "line", "h1", "h2").join(decided.hint("shuffle_hash"), ["h1", "h2"]).where(F.struct("doc_id", "line") != F.col("keeper")).select("doc_id", "line", "h1")
+    return gone, texts
 
 
 def without(others: list[str]):
     """Rows (doc_id, text, ...) without the lines listed for them, with the numbers of lines and of lines removed."""
 
     def run(texts, gone):
-        listed: dict[int, dict[int, set[int]]] = {}
-        for i, n, h1 in zip(*(c.to_pylist() for c in gone.columns)) if gone else []:
-            listed.setdefault(i, {}).setdefault(n, set()).add(h1)
+        told = Told(gone)
         for batch in texts:
-            text = batch.column(1).to_pylist()
-            split = [(t or "").split("\n") for t in text]
-            asked = [(k, n, h) for k, i in enumerate(batch.column(0).to_pylist()) for n, h in listed.get(i, {}).items() if n < len(split[k])]
-            lost: dict[int, set[int]] = {}
-            for (k, n, h), line in zip(asked, normal_lines([split[k][n] for k, n, _ in asked])):
-                if low_half(line) in h:  # else the line of another row with this id
-                    lost.setdefault(k, set()).add(n)
-            kept = ["\n".join(x for n, x in enumerate(lines) if n not in lost[k]) if k in lost else t or "" for k, (t, lines) in enumerate(zip(text, split))]
-            counts = [len(x) if t else 0 for t, x in zip(text, split)], [len(lost.get(k, ())) for k in range(len(text))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(kept, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], ["doc_id", *others, "text", "n_lines", "n_removed"])
+            at, lists, _, place, _ = told.lines(batch)
+            text = pc.fill_null(batch.column(1), "")
+            count = np.where(pc.equal(text, "").to_numpy(zero_copy_only=False), 0, pc.count_substring(text, "\n").to_numpy().astype(np.int64) + 1)
+            lost = np.zeros(len(batch), np.int64)
+            if len(place):
+                lines, starts = lists.flatten(), lists.offsets.to_numpy().astype(np.int64)
+                stays = np.ones(len(lines), bool)
+                stays[place] = False
+                left = np.append(0, np.cumsum(stays))[starts]
+                lost[at] = np.diff(starts) - np.diff(left)
+                less = pc.binary_join(pa.ListArray.from_arrays(pa.array(left.astype(np.int32)), lines.filter(pa.array(stays))), "\n")
+                which = np.arange(len(batch))
+                which[at] = len(batch) + np.arange(len(at))
+                text = pa.concat_arrays([text, less]).take(pa.array(which))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], text, pa.array(count), pa.array(lost)], ["doc_id", *others, "text", "n_lines", "n_removed"])
 
     return run
 
@@ -563,7 +731,8 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, wide: bool = False) -> Dat
     # a text is not sent twice: an extra column has it only if it was null
     source = source.withColumn(inner["text"], F.col("text").isNull()) if "text" in inner else source
     schema = T.StructType([source.schema["doc_id"], *(source.schema[n] for n in inner.values()), *added])
-    out = beside(source, doomed_lines(spark, docs, wide), shuffle_width(spark), without(list(inner.values())), schema)
+    gone, texts = doomed_lines(spark, source, wide)
+    out = beside(texts, gone, shuffle_width(spark), without(list(inner.values())), schema)
     text = F.when(~F.col(inner["text"]), F.col("text"))
     lines = F.struct("text", "n_lines", "n_removed").alias("lines")
     return out.select(*(F.col("doc_id") if c == "doc_id" else text.alias("text") if c == "text" else F.col(inner[c]).alias(c) for c in docs.columns if c != "lines"), lines)

@@ -314,6 +314,57 @@ def test_edit_distances_of_many_pairs():
     assert got == [line_dedup.edit_distance(texts[a], texts[b]) <= m for a, b, m in zip(i[short], j[short], most[short])]
 
 
+def test_line_dedup_reads_documents_once(spark, corpus):
+    """Neither the look-up of lines nor their removal reads and sends the texts anew; rows without an id come out once too."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    docs = documents(spark, corpus + corpus[5:8], [*range(len(corpus)), None, None, 5])
+    out = line_dedup.dedup_lines(spark, docs.mapInArrow(count, docs.schema), wide=True).collect()
+    assert len(out) == len(corpus) + 3 == seen.value
+
+
+def test_lines_within_reach():
+    """Lines that SimHash or length part from all others of their block are not candidates."""
+    rng = np.random.default_rng(4)
+    block = np.sort(rng.integers(0, 40, 600)) + (rng.integers(0, 2, 600) * 12 << 32)
+    size, sim = rng.integers(5, 60, 600), rng.integers(0, 1 << 14, 600).astype(np.uint64) * np.uint64(0x0001000100010001)
+    order = np.lexsort((size, block))
+    block, size, sim = block[order], size[order], sim[order]
+    want = [
+        any(i != j and block[i] == block[j] and int(sim[i] ^ sim[j]).bit_count() <= line_dedup.REACH[block[i] >> 32] and abs(size[i] - size[j]) <= 0.2 * max(size[i], size[j]) + 1e-9 for j in range(600))
+        for i in range(600)
+    ]
+    assert line_dedup.within_reach(block, sim, size).tolist() == want and 0 < sum(want) < 600
+    texts = [line_dedup.rows([(0, 0, line_dedup.pack(block, np.arange(600), sim, size.astype(np.int32)))])]
+    got = [r for batch in line_dedup.candidates(iter(texts)) for r in zip(*(c.to_pylist() for c in batch.columns))]
+    assert sorted(line for _, line, _ in got) == [i for i in range(600) if want[i]]
+    assert all(leader < line and block[leader] == block[line] and want[leader] for _, line, leader in got if leader is not None)
+
+
+def test_edit_distances_keep_to_the_band(monkeypatch):
+    """Long pairs at their very limit, with the surplus letters anywhere; only words about the diagonals take part."""
+    rng, texts = random.Random(6), []
+    for n in (500, 900, 1600, 2500) * 12:
+        line = rng.choices("abcd é", k=n)
+        k, at, to = int(n * rng.choice([0.05, 0.1, 0.15, 0.2])), rng.randrange(n), rng.randrange(n)
+        other = line[:at] + rng.choices("xyz", k=k) + line[at:]
+        del other[to : to + rng.choice([0, k // 2, k])]
+        texts += ["".join(line), "".join(other)]
+    i = np.arange(0, len(texts), 2)
+    exact = np.array([line_dedup.edit_distance(texts[a], texts[a + 1]) for a in i])
+    for most in (exact, exact - 1, exact + 1, exact // 2, exact + 70):
+        assert edits.Letters(texts).within(i, i + 1, most).tolist() == (exact <= most).tolist()
+    sizes, whole = [], np.bitwise_or
+    monkeypatch.setattr(edits.np, "bitwise_or", lambda a, b, out: sizes.append(len(a)) or whole(a, b, out=out))
+    assert edits.Letters(["ab" * 1000, "ab" * 1000]).within(np.array([0]), np.array([1]), np.array([100])).all()
+    assert 2 * 2000 < sum(sizes) < 3 * 2 * 2031 * 4  # of 32 words, four at a time
+
+
 def test_hot_block_is_compared_together(monkeypatch):
     """Lines of one block are gathered before they are compared; groups and links come out as from pair by pair."""
     rng = random.Random(9)
